@@ -47,3 +47,12 @@ def text_or_empty(name: str = "text") -> Column:
 def hash128(c: Column) -> list[Column]:
     """Two 64-bit hashes under different seeds: equal pairs are taken for equal strings."""
     return [F.xxhash64(c), F.xxhash64(F.lit(0x5EED), c)]
+
+
+def small_side(df: DataFrame, row_bytes: Column, at_most_mb: float = 32) -> DataFrame:
+    """df, marked for broadcast if its measured size is at most at_most_mb; else as it is, for a shuffled join.
+
+    df should be cheap to read, as cut() leaves it.
+    """
+    size = df.agg(F.sum(row_bytes.cast("long") + 32)).first()[0] or 0
+    return F.broadcast(df) if size <= at_most_mb * 1_000_000 else df
