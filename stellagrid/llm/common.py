@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,14 @@ def small_side(df: DataFrame, row_bytes: Column, at_most_mb: float = 32) -> Data
     """
     size = df.agg(F.sum(row_bytes.cast("long") + 32)).first()[0] or 0
     return F.broadcast(df) if size <= at_most_mb * 1_000_000 else df
+
+
+def filter_texts(docs: DataFrame, prepare: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of docs whose text passes, with all columns as they are. prepare() runs in each task and gives the test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = prepare()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, text_or_empty
+from .common import filter_texts, hash128, text_or_empty
 
 WINDOW = 10
 #: At most so many MB of test text are searched for at once; more is searched for block by block.
@@ -104,6 +104,28 @@ def _blocks(benchmark: DataFrame, block_mb: float) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _scan_blocks(keyed: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """(t1, t2, spans, items) of the texts of keyed (t1, t2, text) in which an item of any block is found."""
+    parts = None
+    for block in blocks:
+        patterns = keyed.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
+
+        def part(batches: Iterator[pd.DataFrame], patterns=patterns) -> Iterator[pd.DataFrame]:
+            searchers = tables(patterns.value, window)
+            for batch in batches:
+                rows = []
+                for t1, t2, text in zip(batch["t1"], batch["t2"], batch["text"], strict=True):
+                    spans, items = search(searchers, words_of(text))
+                    if spans:
+                        rows.append((t1, t2, [list(s) for s in spans], sorted(items)))
+                yield pd.DataFrame(rows, columns=["t1", "t2", "spans", "items"])
+
+        found = keyed.select("t1", "t2", "text").mapInPandas(part, "t1 long, t2 long, spans array<array<int>>, items array<string>")
+        parts = found if parts is None else parts.unionByName(found)
+    # Equal texts find the same, so one row stands for a text; its spans and items are bounded by its own length.
+    return parts.distinct().groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_mb: float = BLOCK_MB) -> DataFrame:
     """For each row of docs (doc_id, text): its words, those inside test windows, and the items found (see RESULT).
 
@@ -129,24 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return docs.select("doc_id", "text").mapInPandas(whole, RESULT)
 
     keyed = docs.select("doc_id", "text", *(h.alias(f"t{i}") for i, h in enumerate(hash128(text_or_empty()), 1)))
-    parts = None
-    for block in blocks:
-        patterns = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])
-
-        def part(batches: Iterator[pd.DataFrame], patterns=patterns) -> Iterator[pd.DataFrame]:
-            searchers = tables(patterns.value, window)
-            for batch in batches:
-                rows = []
-                for t1, t2, text in zip(batch["t1"], batch["t2"], batch["text"], strict=True):
-                    spans, items = search(searchers, words_of(text))
-                    if spans:
-                        rows.append((t1, t2, [list(s) for s in spans], sorted(items)))
-                yield pd.DataFrame(rows, columns=["t1", "t2", "spans", "items"])
-
-        found = keyed.mapInPandas(part, "t1 long, t2 long, spans array<array<int>>, items array<string>")
-        parts = found if parts is None else parts.unionByName(found)
-    # Equal texts find the same, so one row stands for a text; its spans and items are bounded by its own length.
-    parts = parts.distinct().groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    parts = _scan_blocks(keyed, blocks, window)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,3 +167,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             yield pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]).assign(doc_id=batch["doc_id"].array)
 
     return keyed.join(parts, ["t1", "t2"], "left").select("doc_id", "text", "spans", "items").mapInPandas(merge, RESULT)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_mb: float = BLOCK_MB) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of any item occurs."""
+    for block in _blocks(benchmark, block_mb):  # each a scan that drops rows; none is shuffled
+        patterns = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
+
+        def prepare(patterns=patterns):
+            searchers = tables(patterns.value, window)
+
+            def passes(text: str | None) -> bool:
+                words = words_of(text)
+                return not any(next(s.find(words), None) for s in searchers)
+
+            return passes
+
+        docs = filter_texts(docs, prepare)
+    return docs

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, text_or_empty
+from .common import cut, small_side, text_or_empty
 
 WORDS = 5
 #: Similarity 80 / 100; the formulas below have it worked in.
@@ -256,7 +256,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs (doc_id, text).
+    """doc_id, row_hash, n_shingles and component_id of each row of docs (doc_id, text); row_hash is its text's.
 
     1. Each text becomes a set of hashed shingles, a node. Equal sets are one node, so copies cost one row each.
     2. Sets send their rarest shingles to buckets. Where several meet, each is paired with the pivot of its size band;
@@ -310,6 +310,16 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
     if not more.isEmpty():
         first = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
 
-    labelled = sets.join(first, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("label"))
+    labelled = sets.join(first, "node", "left").select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("label"))
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return labelled.join(least, "label", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component. Rows without doc_id stay.
+
+    Repeated rows of one doc_id and text are one document, and stay together.
+    """
+    later = jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"))
+    later = small_side(cut(later.distinct(), "later"), F.lit(16))
+    return docs.join(later, (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64(text_or_empty()) == F.col("_row_hash")), "left_anti")

@@ -25,17 +25,8 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_text of each row of docs (doc_id, text; other columns are ignored).
-
-    Lines are cut at "\\n", stripped, A-Z lower-cased and hashed to 128 bits; the documents of each hash are counted
-    with partial aggregation on (hash, doc_id), so a line that a third of all documents hold is spread over all tasks.
-    Only hashes and positions are shuffled for that; the text moves once, to meet its list of dropped positions.
-
-    A line found in min_docs distinct documents loses all its places but those in the largest doc_id that holds it.
-    Null text counts as one empty line. Rows without doc_id count nowhere and lose nothing. Repeated rows of a doc_id
-    are one document: each of them loses the same lines. An empty table gives no rows.
-    """
+def _kept(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(row, lines, dropped, kept): each row of docs as a struct, its lines, dropped positions, and lines kept."""
     lines = keyed_lines(docs, min_chars)
     common = (
         lines.groupBy("h1", "h2")
@@ -49,12 +40,32 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .groupBy("doc_id", "row_hash")
         .agg(F.collect_set("pos").alias("dropped"))
     )
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_hash"), F.split(text_or_empty(), "\n", -1).alias("lines"))
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_hash"), F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.split(text_or_empty(), "\n", -1).alias("lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.col("lines")[i]))
-    return rows.join(dropped, ["doc_id", "row_hash"], "left").select(
-        "doc_id",
+    return rows.join(dropped, ["doc_id", "row_hash"], "left").select("row", "lines", "dropped", F.array_join(kept, "\n").alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_text of each row of docs (doc_id, text; other columns are ignored).
+
+    Lines are cut at "\\n", stripped, A-Z lower-cased and hashed to 128 bits; the documents of each hash are counted
+    with partial aggregation on (hash, doc_id), so a line that a third of all documents hold is spread over all tasks.
+    Only hashes and positions are shuffled for that; the text moves once, to meet its list of dropped positions.
+
+    A line found in min_docs distinct documents loses all its places but those in the largest doc_id that holds it.
+    Null text counts as one empty line. Rows without doc_id count nowhere and lose nothing. Repeated rows of a doc_id
+    are one document: each of them loses the same lines. An empty table gives no rows.
+    """
+    return _kept(docs.select("doc_id", "text"), min_chars, min_docs).select(
+        "row.doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.array_join(kept, "\n").alias("kept_text"),
+        F.col("kept").alias("kept_text"),
     )
+
+
+def rewrite(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with the kept text for the text, and its length in n_chars if there is such a column; null texts become empty."""
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return _kept(docs, min_chars, min_docs).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

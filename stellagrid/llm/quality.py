@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filter_texts
+
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -49,6 +51,10 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, dup, repeat
 
 
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > REPEAT_PERCENT * n_words
+
+
 def gram_buckets(text: str | None) -> np.ndarray:
     """The bucket of each n-gram of bytes of the text."""
     b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
@@ -130,9 +136,23 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
         for batch in batches:
             out = pd.DataFrame([base_counts(t) for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
             out["doc_id"] = batch["doc_id"].array
-            out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * out["n_words"])
+            out["base_failed"] = [base_failed(n, r) for n, r in zip(out["n_words"], out["n_repeat_words"], strict=True)]
             out["score"] = [_mean_ratio(t, ratio.value) for t in batch["text"]]
             out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
             yield out
 
     return docs.select("doc_id", "text").mapInPandas(score, RESULT)
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, trusted))
+
+    def prepare():
+        def passes(text: str | None) -> bool:
+            n_words, *_, n_repeat_words = base_counts(text)
+            return not base_failed(n_words, n_repeat_words) and _mean_ratio(text, ratio.value) >= threshold
+
+        return passes
+
+    return filter_texts(docs, prepare)

@@ -13,7 +13,7 @@ SHARDS = 16
 #: Groups are packed in so many bundles by hash; one with over 1 / (SHARDS * PIECES) of any total is packed by itself.
 BUNDLES, PIECES = 16_384, 64
 #: How much bytes, tokens and rows weigh in the dot product.
-WEIGHTS = (4.0, 1.0, 1.0)
+WEIGHTS = (10.0, 1.0, 1.0)
 
 
 def pack(vectors: np.ndarray, shards: int = SHARDS, weights: tuple = WEIGHTS) -> np.ndarray:
