@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.model import bounds, initial_guess
 from ..params import FitParams
 
+#: Sigmas are held above this.
+LEAST_SIGMA = 0.1
 NAMES = {2: ["A", "x0", "y0", "s1", "s2", "theta"], 3: ["A", "x0", "y0", "s1", "s2", "theta", "v0", "s3"]}
 
 
@@ -45,6 +47,10 @@ def fit_group(start: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.n
     Damped Gauss-Newton steps on the free parameters, held inside the bounds. Each step weighs the residuals by the
     slope of the loss at the last ones. The weight of a voxel is a power of the first model there.
     """
+    sigmas = [k for k in (3, 4, 7) if k < start.shape[1]]
+    start, low, high = start.copy(), low.copy(), high.copy()
+    for table in (start, low, high):  # a clump of one voxel has no width; a model needs one
+        table[:, sigmas] = np.maximum(table[:, sigmas], LEAST_SIGMA)
     p = np.clip(start, low, high)
     m, _ = model_and_slopes(p, places)
     first = m.sum(axis=0) ** o.weight_power

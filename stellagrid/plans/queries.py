@@ -546,7 +546,7 @@ def random_sample(spark, sf_dir):
 @query
 def clump_spectrum(spark, sf_dir):
     g = grid3(spark, sf_dir)
-    lab = g.where(F.col("intensity") > 5).withColumn("clump_id", (F.floor((F.col("x") - 1) / 10) + 1).cast("int"))
+    lab = g.where(F.col("intensity") > 3).withColumn("clump_id", (F.floor((F.col("x") - 1) / 10) + 1).cast("int"))
     return grid.clump_spectra(g, lab, SHAPE3).select(*longs("clump_id", "v"), *r6("mean"))
 
 
