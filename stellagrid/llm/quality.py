@@ -15,12 +15,12 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: N-grams of so many bytes, hashed to so many buckets; the smoothing count of each bucket.
-GRAM, BUCKETS, PRIOR = 4, 1 << 16, 0.5
+#: N-grams of so many bytes, hashed to so many buckets; the count that draws each bucket's ratio towards 1.
+GRAM, BUCKETS, PRIOR = 4, 1 << 16, 1.0
 #: The trusted multinomial is fitted on so many trusted documents at most, those whose ids have the smallest hashes.
 TRUSTED = 20_000
 #: A document is kept if its mean log ratio is at least this.
-THRESHOLD = -0.3
+THRESHOLD = -0.7
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -84,7 +84,10 @@ def trusted_ids(labels: DataFrame, at_most: int) -> DataFrame:
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarray:
-    """log P(bucket | trusted) - log P(bucket | raw); raw counts cover every document.
+    """log P(bucket | trusted) - log P(bucket | raw), smoothed; raw counts cover every document.
+
+    A bucket's trusted count is held against the one that the raw share lets expect, both raised by PRIOR: what is rare
+    in a small trusted sample says little, what is common in raw text and missing in trusted text says much.
 
     Each task adds up its own texts and sends one row a bucket, so the shuffle has tasks x BUCKETS small rows and the
     driver gets BUCKETS sums, whatever the corpus. The broadcast side has at most `trusted` ids.
@@ -117,7 +120,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.
         raw[b], good[b] = r, g
     if not good.sum():
         return np.zeros(BUCKETS)
-    return np.log((good + PRIOR) / (good.sum() + PRIOR * BUCKETS)) - np.log((raw + PRIOR) / (raw.sum() + PRIOR * BUCKETS))
+    return np.log((good + PRIOR) / (raw * (good.sum() / raw.sum()) + PRIOR))
 
 
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
