@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import cut, hash128, text_or_empty
 
 SHARDS = 16
-#: Groups are packed in so many bundles by hash; one with over 1 / (SHARDS * PIECES) of any total is packed by itself.
-BUNDLES, PIECES = 16_384, 64
+#: Groups are packed in so many bundles by hash. One with over 1 / WHOLE of a shard's share of any total is dealt into
+#: pieces of 1 / PIECES of a shard's share each.
+BUNDLES, WHOLE, PIECES = 16_384, 4, 64
 #: How much bytes, tokens and rows weigh in the dot product.
 WEIGHTS = (10.0, 1.0, 1.0)
 
@@ -34,8 +35,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     """doc_id, size, tokens, text_crc32, shard and slot of each row of docs (doc_id, text). The law is `bytes`.
 
     Tokens are estimated as white-space separated words. Groups of equal texts keep together, but for the hot ones: a
-    group with over 1 / (shards * 64) of all bytes, tokens or rows is dealt by doc_id into pieces of about that size,
-    since it could fit no shard evenly. There are 3 * 64 * shards such groups at most, whatever the input. All other
+    group with over a quarter of a shard's share of bytes, tokens or rows is dealt by doc_id into pieces of a 64th of
+    such a share. There are 3 * 4 * shards such groups at most, whatever the input. All other
     groups are summed into `bundles` bundles by hash. So what the driver packs is a table of fixed size, and the
     shuffles before it carry partial sums. Slots are counted within bundles, whose places follow one another in their
     shard; no task sorts a whole shard.
@@ -52,9 +53,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Data
     sums = (F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     total = [max(1, x or 0) for x in rows.agg(*sums).first()]
     share = F.greatest(*(F.col(c) / n for c, n in zip(("size", "tokens", "n"), total, strict=True)))
-    groups = rows.groupBy("h1", "h2").agg(*sums).select("h1", "h2", "n", share.alias("share")).where((F.col("share") > 1 / (shards * PIECES)) & (F.col("n") > 1))
+    groups = rows.groupBy("h1", "h2").agg(*sums).select("h1", "h2", "n", share.alias("share")).where((F.col("share") > 1 / (shards * WHOLE)) & (F.col("n") > 1))
     hot, at = [], bundles
-    for g1, g2, _, part in groups.orderBy("h1", "h2").collect():  # 3 * shards * PIECES rows at most
+    for g1, g2, _, part in groups.orderBy("h1", "h2").collect():  # 3 * shards * WHOLE rows at most
         k = int(np.ceil(part * shards * PIECES))
         hot.append((g1, g2, at, k))
         at += k
