@@ -91,3 +91,39 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) A
        sha256(coalesce(t.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN t ON w.r = t.r
 """
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TEMPLATES = ", ".join(f"({k}, '{label}', {words!r})" for k, label, words in licenses.template_words(licenses.TEMPLATES))
+
+SQL["op3_licenses"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_LOWER.format("text")} AS low FROM documents),
+     w AS (SELECT doc_id, r, low, {_WORDS.format("low")} AS words FROM d),
+     p AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM w),
+     q AS (SELECT r, pos, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM p WINDOW o AS (PARTITION BY r ORDER BY pos)),
+     b AS (SELECT r, pos, CASE WHEN word = 'mit' AND w2 = 'license' THEN 'mit' WHEN word = 'apache' AND w2 = 'license' THEN 'apache'
+                              WHEN word = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl' END AS label FROM q),
+     base AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM b WHERE label IS NOT NULL GROUP BY r),
+     t AS (SELECT * FROM (VALUES {_TEMPLATES}) t(k, label, tw)),
+     l AS (SELECT r, list_distinct({_WORDS.format("line")}) AS lw FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
+     m AS (SELECT r, label, len(list_intersect(tw, lw))::DOUBLE / len(tw) AS share FROM l, t WHERE len(list_intersect(tw, lw)) >= {licenses.THRESHOLD} * len(tw)),
+     found AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS score FROM m GROUP BY r)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word,
+       coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+       coalesce(found.score, 0.0::DOUBLE) AS score
+FROM w LEFT JOIN base ON base.r = w.r LEFT JOIN found ON found.r = w.r
+"""
+
+SQL["op8_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+     s AS (SELECT DISTINCT r, array_to_string(words[i : i + 4], ' ') AS shingle
+           FROM (SELECT r, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)),
+     n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+     c AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+     e AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= {jaccard.SIMILAR} * (x.n + y.n - common)),
+     sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+     reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM w JOIN reach ON reach.a = w.r JOIN w o ON o.r = reach.b LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
+"""
