@@ -24,6 +24,10 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Edges, or nodes, that a task of an iteration handles at least: small graphs run in few tasks.
+ROWS_A_TASK = 50_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -39,15 +43,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     loops = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
     e = cut_lineage(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen = _mark(e)
     for _ in range(rounds):
+        tasks = 1 + seen[0] // ROWS_A_TASK
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        low = e.join(least, "u")
+        low = e.join(least, "u").coalesce(tasks)
         e = low.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut_lineage(e.distinct(), "edges")
+        e = cut_lineage(e.distinct().coalesce(tasks), "edges")
         if (now := _mark(e)) == seen:
             break
         seen = now
@@ -66,9 +71,10 @@ def forest_roots(parents: DataFrame, node: str = "node", parent: str = "parent",
     each an equi-join on the parent. A parent without a row of its own counts as a root.
     """
     up = cut_lineage(parents.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("root")), "parents")
+    tasks = 1 + up.count() // ROWS_A_TASK
     for _ in range(rounds):
         jump = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut_lineage(up.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")), "parents")
+        new = cut_lineage(up.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")).coalesce(tasks), "parents")
         up = new.select("node", "root")
         if new.where("moved").isEmpty():
             return up
