@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def resolution_of(header: dict) -> tuple[float, ...]:
+    """Arc seconds, arc seconds and km/s a voxel, from the steps of a header; the usual ones where it has none."""
+    sky = [abs(float(header[f"CDELT{k}"])) * 3600 if f"CDELT{k}" in header else 30.0 for k in (1, 2)]
+    step = abs(float(header["CDELT3"])) if "CDELT3" in header else 166.0
+    return (*sky, step / 1000 if step > 10 or str(header.get("CUNIT3", "")).strip() == "m/s" else step)
+
+
 @dataclass(frozen=True)
 class Wcs:
     """Reference values, steps (degrees, metres a second) and reference pixels of longitude, latitude and velocity.
@@ -26,6 +33,17 @@ class Wcs:
         if self.crval[1] < 0:
             raise ValueError("a reference latitude below 0 has another native pole, which is not supported")
 
+    @classmethod
+    def from_header(cls, header: dict) -> Wcs:
+        """From the cards of a FITS header; a velocity axis that is missing is the template's."""
+        axes = range(1, 1 + min(3, int(header.get("NAXIS", 3))))
+        base = cls()
+        pick = lambda key, k, default: float(header.get(f"{key}{k}", default))
+        return cls(
+            *(tuple(pick(key, k, d) if k in axes else d for k, d in enumerate(default, 1)) for key, default in (("CRVAL", base.crval), ("CDELT", base.cdelt), ("CRPIX", base.crpix))),
+            resolution_of(header),
+        )
+
     @property
     def pole(self) -> tuple[float, float]:
         """Declination and right ascension of the native pole, in radians."""

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .density import neighbour_pairs
-from .graph import connected_components, forest_roots
-from .grid import Shape
+from .graph import connected_components, cut_lineage, forest_roots
+from .grid import Shape, voxel_index
 
 
 def propagate(linked: DataFrame, centre: DataFrame) -> DataFrame:
@@ -62,6 +62,36 @@ def largest_part(labelled: DataFrame, shape: Shape) -> DataFrame:
     return parted.join(best, ["tile", "clump_id", "part"], "left_semi")
 
 
+def fill_holes(labelled: DataFrame, shape: Shape) -> DataFrame:
+    """labelled (tile, clump_id, axes, idx) with the holes of each clump: voxels of its box that no path of faces, off
+    the clump, leads from to outside the box.
+
+    The box, one voxel wider, is the clump's own small grid; its empty voxels join along faces, and parts that do not
+    reach the rim are holes.
+    """
+    axes = list(shape)
+    clump = labelled.select("tile", "clump_id", *axes)
+    box = clump.groupBy("tile", "clump_id").agg(*(F.min(a).alias(f"{a}_lo") for a in axes), *(F.max(a).alias(f"{a}_hi") for a in axes))
+    cells = box
+    for a in axes:
+        cells = cells.withColumn(a, F.explode(F.sequence(F.col(f"{a}_lo") - 1, F.col(f"{a}_hi") + 1)))
+    rim = F.lit(False)
+    for a in axes:
+        rim |= (F.col(a) < F.col(f"{a}_lo")) | (F.col(a) > F.col(f"{a}_hi"))
+    free = cut_lineage(cells.withColumn("rim", rim).select("tile", "clump_id", *axes, "rim").join(clump, ["tile", "clump_id", *axes], "left_anti"), "free")
+    node = F.struct("tile", "clump_id", *axes)
+    edges = None
+    for a in axes:
+        step = free.select(node.alias("src"), "tile", "clump_id", *((F.col(b) + 1).alias(b) if b == a else F.col(b) for b in axes))
+        side = step.join(free, ["tile", "clump_id", *axes], "left_semi").select("src", node.alias("dst"))
+        edges = side if edges is None else edges.unionByName(side)
+    part = connected_components(edges)
+    free = free.select(node.alias("node"), "rim").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    outside = free.where("rim").select("component").distinct()
+    holes = free.join(outside, "component", "left_anti").select("node.*")
+    return labelled.select("tile", "clump_id", *axes, "idx").unionByName(holes.select("tile", "clump_id", *axes, voxel_index(shape).alias("idx")))
+
+
 def area_and_span(part: DataFrame, shape: Shape) -> DataFrame:
     """Per clump the number of distinct (x, y) and the number of channels its box has (1 in two dimensions)."""
     span = (F.max("v") - F.min("v") + 1) if "v" in shape else F.lit(1)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import FWHM
 from .graph import connected_components
 
 
+def touches(d_centre: Column, s1: Column, s2: Column, mult: float = 1.0) -> Column:
+    """Whether two clumps touch along one direction, clumps just in contact counting as touching."""
+    return ~((s1 + s2) * mult < d_centre)
+
+
 def overlap_pairs(catalog: DataFrame, mult: float = 0.8, tile: str | None = None) -> DataFrame:
     """(src, dst), src < dst, of clumps nearer on the sky than mult times their summed sigma lengths, and in velocity
     nearer than mult times their summed velocity sigmas.

@@ -332,3 +332,17 @@ def test_simulated_cubes_are_the_same_again(spark):
     shape = {"x": 30, "y": 30, "v": 16}
     first, again = (sorted(map(tuple, simulate.simulate_cubes(tiles, shape, 3, seed=5)[0].where("idx % 97 = 0").collect())) for _ in range(2))
     assert first == again and len(first) == 2 * -(-30 * 30 * 16 // 97)
+
+
+def test_holes_are_filled(spark):
+    a = np.ones((5, 6))
+    a[1, 1] = a[1, 2] = a[3, 4] = a[0, 5] = a[4, 0] = 0  # two holes, two dents
+    cube, shape = cube_of(spark, a)
+    lab = cube.where("intensity > 0").withColumn("clump_id", F.lit(1))
+    got = {r["idx"] for r in labels.fill_holes(lab, shape).collect()}
+    assert got == set(range(30)) - {5, 24}
+
+
+def test_coordinates_from_a_header():
+    w = wcs.Wcs.from_header({"NAXIS": 3, "CRVAL1": 10.0, "CDELT1": -0.01, "CDELT3": 200.0})
+    assert w.crval[0] == 10.0 and w.crval[1] == 0.75 and w.resolution == pytest.approx((36.0, 30.0, 0.2))
