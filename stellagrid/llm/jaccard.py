@@ -20,8 +20,13 @@ from .common import cut, small_side, text_or_empty
 WORDS = 5
 #: Similarity 80 / 100; the formulas below have it worked in.
 SIMILAR = 80
-#: Bits of a signature; buckets of the frequency sketch; entries of a bucket that meet in one tile at most.
-BITS, SKETCH, TILE = 256, 1 << 16, 2048
+#: Bits of a signature for each shingle, and of all signatures when tiles are compared; buckets of the frequency
+#: sketch; entries of a bucket that meet in one tile at most.
+BITS_EACH, BITS, SKETCH, TILE = 8, 1024, 1 << 16, 2048
+#: Rounds in which only best partners are tried, in buckets of over LARGE entries, before all pairs are.
+ROUNDS, LARGE = 1, 32
+#: Pairs that a task compares at least.
+PAIRS_A_TASK = 2000
 #: A sketch bucket with so many shingles above the mean is dealt to several tasks.
 SALT_AT = 50_000
 _STRETCH = 1 << 19
@@ -90,13 +95,31 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(s >> np.uint64(40)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).tobytes()
+def signature(s: np.ndarray, width: int | None = None) -> bytes:
+    """A bitmap of a set's hashes, BITS_EACH times as wide as the set is large, to a power of two, BITS at least."""
+    if width is None:
+        width = BITS
+        while width < min(1 << 17, BITS_EACH * len(s)):
+            width *= 2
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(s >> np.uint64(40)).astype(np.int64) & (width - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-SIGNED = "doc_id long, row_hash long, n_shingles long, node long, bits binary, bucket int, n long"
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the wider one folded to the other's width: no more than elements that differ."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    w, v = 8 * len(x), 8 * len(y)
+    while w > v:
+        w //= 2
+        a = (a >> w) | (a & ((1 << w) - 1))
+    while v > w:
+        v //= 2
+        b = (b >> v) | (b & ((1 << v) - 1))
+    return (a ^ b).bit_count()
+
+
+SIGNED = "doc_id long, row_hash long, n_shingles long, node long, bucket int, n long"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +133,6 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "row_hash": batch["row_hash"],
                 "n_shingles": [len(s) for s in sets],
                 "node": [_node(s) for s in sets],
-                "bits": [_bitmap(s) for s in sets],
                 "bucket": None,
                 "n": None,
             }
@@ -119,7 +141,13 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
     used = np.flatnonzero(seen)
     if len(used):
-        yield pd.DataFrame({"doc_id": None, "row_hash": None, "n_shingles": None, "node": None, "bits": None, "bucket": used, "n": seen[used]})
+        yield pd.DataFrame({"doc_id": None, "row_hash": None, "n_shingles": None, "node": None, "bucket": used, "n": seen[used]})
+
+
+def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch["text"]]
+        yield pd.DataFrame({"node": batch["node"], "n": [*map(len, sets)], "sig": [*map(signature, sets)], "bits": [signature(s, BITS) for s in sets]})
 
 
 ENTRY = "h long, salt int, pos int, n int, node long"
@@ -193,51 +221,113 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         band = np.floor(np.log(n) / np.log(1.25)).astype(np.int64)
         order = np.lexsort((node, band, run))
         h, salt, n, node, run, band, pos = h[order], salt[order], n[order], node[order], run[order], band[order], rows["pos"].to_numpy()[order]
+        # Salted buckets and the parts of a divided run meet later, so a lone entry there may have partners.
+        whole = rows["salted"].to_numpy()[order] | ((h == divided) if divided is not None else False) | goes_on
+        divided = h[-1] if goes_on or (divided is not None and h[-1] == divided) else None
         fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (node[1:] != node[:-1])))
-        h, salt, n, node, run, band, pos = (x[fresh] for x in (h, salt, n, node, run, band, pos))
-        sizes = np.bincount(run)
+        h, n, node, run, band, pos, whole = (x[fresh] for x in (h, n, node, run, band, pos, whole))
+        keep = whole | _has_partner(run, n, pos)
+        if not keep.any():
+            continue
+        h, n, node, run, band, pos = (x[keep] for x in (h, n, node, run, band, pos))
         heads = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (band[1:] != band[:-1]))))
         lengths = np.diff(np.concatenate((heads, [len(run)])))
         pivot = np.repeat(node[heads], lengths)
         near = np.concatenate(([False], (run[heads][1:] == run[heads][:-1]) & (band[heads][1:] == band[heads][:-1] + 1)))
         pivot[heads[near]] = node[heads[np.flatnonzero(near) - 1]]
-        keep = sizes[run] > 1
-        # Salted buckets and the parts of a divided run meet later, so a lone entry there may have partners.
-        salted = rows["salted"].to_numpy()[order][fresh]
-        keep |= salted | ((h == divided) if divided is not None else False) | goes_on
-        divided = h[-1] if goes_on or (divided is not None and h[-1] == divided) else None
-        if keep.any():
-            yield pd.DataFrame({"h": h[keep], "pos": pos[keep], "n": n[keep], "node": node[keep], "pivot": pivot[keep]})
-
-
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a tile that differ in label and pass the bounds of size, position and bit count."""
-    for rows, _ in _runs(batches, ["h", "c", "d"], 1 << 30):
-        h, c, d, own = (rows[x].to_numpy() for x in ("h", "c", "d", "own"))
-        n, pos, node, label = (rows[x].to_numpy().astype(np.int64) for x in ("n", "pos", "node", "label"))
-        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), BITS // 64)
-        edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
-        end = np.repeat(np.concatenate((edge[1:], [len(h)])), np.diff(np.concatenate((edge, [len(h)]))))
-        partners = end - np.arange(len(h)) - 1
-        total = np.concatenate(([0], np.cumsum(partners)))
-        at = 0
-        while at < len(h):  # about a million pairs at a time
-            to = max(at + 1, int(np.searchsorted(total, total[at] + 1_000_000, side="right")) - 1)
-            x = np.repeat(np.arange(at, to), partners[at:to])
-            y = x + 1 + np.arange(len(x)) - np.repeat(total[at:to] - total[at], partners[at:to])
-            at = to
-            ok = (label[x] != label[y]) & ((c[x] == d[x]) | (own[x] != own[y])) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
-            x, y = x[ok], y[ok]
-            t = needed(n[x], n[y])
-            ok = 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1) >= t
-            x, y, t = x[ok], y[ok], t[ok]
-            ok = (n[x] + n[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)) // 2 >= t
-            x, y = x[ok], y[ok]
+        yield pd.DataFrame({"h": h, "pos": pos, "n": n, "node": node, "pivot": pivot})
+
+
+def _has_partner(run: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which entries have another in their run that size and position allow; all of a run of over 64 entries do."""
+    sizes = np.bincount(run)
+    keep = sizes[run] > 64
+    small = np.flatnonzero((sizes[run] > 1) & ~keep)
+    if len(small):
+        r, a, i = run[small], n[small].astype(np.int64), pos[small].astype(np.int64)
+        end = np.searchsorted(r, r, side="right")
+        x, y = _index_pairs(0, len(r), end)
+        ok = _allowed(a[x], a[y], i[x], i[y])
+        keep[small[x[ok]]] = True
+        keep[small[y[ok]]] = True
+    return keep
+
+
+def _index_pairs(low: int, high: int, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (x, y) with low <= x < high and x < y < end[x]."""
+    x = np.arange(low, high)
+    partners = end[low:high] - x - 1
+    first = np.cumsum(partners) - partners
+    left = np.repeat(x, partners)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(first, partners)
+
+
+def _allowed(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b shingles whose first common one stands at places i and j can link."""
+    return (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (1 + np.minimum(a - i - 1, b - j - 1) >= needed(a, b))
+
+
+def _best(best: bool):
+    """Pairs of a tile that differ in label and pass the bounds of size, position and bit count.
+
+    With `best`, for each label only the pair with the most room to the bound.
+    """
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, _ in _runs(batches, ["h", "c", "d"], 1 << 30):
+            h, c, d, own = (rows[x].to_numpy() for x in ("h", "c", "d", "own"))
+            n, pos, node, label = (rows[x].to_numpy().astype(np.int64) for x in ("n", "pos", "node", "label"))
+            bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), BITS // 64)
+            edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
+            tile = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(h)]))))
+            end = np.searchsorted(tile, tile, side="right")
+            total = np.concatenate(([0], np.cumsum(end - np.arange(len(h)) - 1)))
+            at, found = 0, []
+            while at < len(h):  # about 100 000 pairs at a time
+                to = max(at + 1, int(np.searchsorted(total, total[at] + 100_000, side="right")) - 1)
+                x, y = _index_pairs(at, to, end)
+                at = to
+                ok = (label[x] != label[y]) & ((c[x] == d[x]) | (own[x] != own[y])) & _allowed(n[x], n[y], pos[x], pos[y])
+                x, y = x[ok], y[ok]
+                room = (n[x] + n[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)) // 2 - needed(n[x], n[y])
+                ok = room >= 0
+                found.append((x[ok], y[ok], room[ok]))
+            x, y, room = (np.concatenate(z) for z in zip(*found, strict=True))
+            if best and len(x):
+                who, which = np.concatenate((label[x], label[y])), np.concatenate((np.arange(len(x)), np.arange(len(x))))
+                order = np.lexsort((-room[which], who, tile[x[which]]))
+                where, who = tile[x[which]][order], who[order]
+                first = np.concatenate(([True], (who[1:] != who[:-1]) | (where[1:] != where[:-1])))
+                keep = np.unique(which[order][first])
+                x, y = x[keep], y[keep]
             if len(x):
-                yield pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+                yield pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}).drop_duplicates()
 
+    return pairs
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+
+def _bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that the bit counts of their signatures allow to link."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            t = needed(batch["na"], batch["nb"])
+            bits = np.fromiter(map(differing_bits, batch["sa"], batch["sb"]), dtype=np.int64, count=len(batch))
+            yield batch.loc[(batch["na"] + batch["nb"] - bits) // 2 >= t, ["a", "b"]]
+
+    left = signed.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    right = signed.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    sized = pairs.join(left, "a").join(right, "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    return sized.coalesce(1 + pairs.count() // PAIRS_A_TASK).mapInPandas(check, "a long, b long")
+
+
+def _texts(rows: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of nodes. places (node, doc_id, row_hash) says where each node's text stands."""
+    wanted = cut(places.join(nodes, "node", "left_semi"), "wanted")
+    return rows.join(small_side(wanted, F.lit(0)), ["doc_id", "row_hash"]).select("node", "text").dropDuplicates(["node"])
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link, by sorted-array intersection."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,9 +340,11 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(linked(s, shingle_set(ty)))
             yield batch.loc[ok, ["a", "b"]]
 
+    tasks = 1 + pairs.count() // PAIRS_A_TASK
+    texts = cut(_texts(rows, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).coalesce(tasks), "texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
+    return cut(pairs.join(left, "a").join(right, "b").coalesce(tasks).mapInPandas(check, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT) -> DataFrame:
@@ -260,11 +352,12 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
 
     1. Each text becomes a set of hashed shingles, a node. Equal sets are one node, so copies cost one row each.
     2. Sets send their rarest shingles to buckets. Where several meet, each is paired with the pivot of its size band;
-       the pairs are verified, and the links joined to components. Large groups of near copies end here, with a row a
-       member and bucket, not a pair of members.
-    3. Buckets that still hold several components are cut into tiles of bounded size, and there every pair of sets of
-       different components must fail the bounds of size, position or bit count, or is verified. So no link is lost
-       that could join two components.
+       pairs that their bitmaps allow are verified, and the links joined to components. So a group of near copies costs
+       a row a member and bucket, not a pair of members.
+    3. Buckets that still hold several components are cut into tiles of bounded size. For a few rounds every component
+       there is verified with the closest other one by bit count. At last every pair of sets of different components
+       must fail the bounds of size, position or bit count, or is verified. So no link is lost that could join two
+       components.
 
     Null or empty text has no shingles and its own doc_id as component. Rows without doc_id have a null component and
     link with nothing. Repeated rows of a doc_id get equal results if their texts are equal. An empty table gives none.
@@ -287,28 +380,32 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
     )
 
     ids = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    nodes = ids.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first("bits").alias("bits")).select("node", "first.doc_id", "first.row_hash", "bits")
-    wanted = nodes.join(active.select("node").distinct(), "node", "left_semi")
-    texts = cut(rows.join(wanted.select("node", "doc_id", "row_hash"), ["doc_id", "row_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
-
-    pairs = active.where(F.col("pivot") != F.col("node")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = cut(_verify(pairs, texts), "links")
-    first = connected_components(links, "a", "b")
-
-    named = active.join(first, "node", "left").select("h", "pos", "n", "node", F.coalesce("component", "node").alias("label"))
-    mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where(F.col("lo") < F.col("hi"))
-    k = F.ceil(F.col("size") / tile).cast("int")
-    own = F.pmod(F.xxhash64("node"), k).cast("int")
-    tiles = (
-        named.join(mixed.select("h", "size"), "h")
-        .join(nodes.select("node", "bits"), "node")
-        .select("h", "pos", "n", "node", "label", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
-        .select("h", "pos", "n", "node", "label", "bits", "own", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"))
-    )
-    rest = tiles.repartition("h", "c", "d").sortWithinPartitions("h", "c", "d").mapInPandas(_pairs, "a long, b long").distinct()
-    more = cut(_verify(rest.join(pairs, ["a", "b"], "left_anti"), texts), "links")
-    if not more.isEmpty():
-        first = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+    places = cut(ids.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("first")).join(active.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.row_hash"), "places")
+    found = rows.join(small_side(places, F.lit(0)), ["doc_id", "row_hash"]).select("node", "text")
+    bitmaps = cut(found.mapInPandas(_signatures, "node long, n int, sig binary, bits binary").dropDuplicates(["node"]), "bitmaps")
+
+    pairs = cut(active.where(F.col("pivot") != F.col("node")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    tried = cut(_bounded(pairs, bitmaps), "pairs")
+    first = connected_components(_verify(tried, rows, places), "a", "b")
+    for turn in range(ROUNDS + 1):
+        named = active.join(first, "node", "left").select("h", "pos", "n", "node", F.coalesce("component", "node").alias("label"))
+        mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > (LARGE if turn < ROUNDS else 1)))
+        k = F.ceil(F.col("size") / tile).cast("int")
+        own = F.pmod(F.xxhash64("node"), k).cast("int")
+        tiles = (
+            named.join(mixed.select("h", "size"), "h")
+            .join(bitmaps.select("node", "bits"), "node")
+            .select("h", "pos", "n", "node", "label", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
+            .select("h", "pos", "n", "node", "label", "bits", "own", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"))
+        )
+        close = tiles.repartition("h", "c", "d").sortWithinPartitions("h", "c", "d").mapInPandas(_best(turn < ROUNDS), "a long, b long").distinct()
+        new = cut(_bounded(cut(close.join(tried, ["a", "b"], "left_anti"), "pairs"), bitmaps), "pairs")
+        if new.isEmpty():
+            continue
+        tried = tried.unionByName(new)
+        links = _verify(new, rows, places)
+        if not links.isEmpty():
+            first = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
 
     labelled = sets.join(first, "node", "left").select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("label"))
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
@@ -320,6 +417,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Repeated rows of one doc_id and text are one document, and stay together.
     """
-    later = jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"))
+    later = jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("later_id"), F.col("row_hash").alias("later_hash"))
     later = small_side(cut(later.distinct(), "later"), F.lit(16))
-    return docs.join(later, (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64(text_or_empty()) == F.col("_row_hash")), "left_anti")
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.join(later, (docs["doc_id"] == later["later_id"]) & (F.xxhash64(text) == later["later_hash"]), "left_anti")
