@@ -127,3 +127,41 @@ WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_al
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
 FROM w JOIN reach ON reach.a = w.r JOIN w o ON o.r = reach.b LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
 """
+
+
+def _url_sql() -> str:
+    ranked = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for _, h, p in ranked]
+    rule = "CASE " + " ".join(f"{f} '{h}{p}'" for f, (_, h, p) in zip(fits, ranked, strict=True)) + " END"
+    verdict = "CASE " + " ".join(f"{f} '{v}'" for f, (v, _, _) in zip(fits, ranked, strict=True)) + " END"
+    levels = "".join(
+        f"""
+     s{k} AS (SELECT *, CASE WHEN regexp_matches(segs[{k + 1}], '[0-9]') THEN '*' ELSE segs[{k + 1}] END AS seg FROM t{k}),
+     w{k} AS (SELECT host, template FROM s{k} WHERE seg IS NOT NULL GROUP BY host, template HAVING count(DISTINCT seg) >= {urls.FANOUT}),
+     t{k + 1} AS (SELECT s.host, s.path, segs, labelled, blocked, CASE WHEN seg IS NULL THEN parent ELSE s.template END AS parent,
+             s.template || CASE WHEN seg IS NULL THEN '' WHEN w.host IS NOT NULL THEN '/*' ELSE '/' || seg END AS template
+             FROM s{k} s LEFT JOIN w{k} w ON w.host = s.host AND w.template = s.template),"""
+        for k in range(urls.DEPTH)
+    )
+    m = f"{urls.STRENGTH}::DOUBLE"
+    return f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+     r AS (SELECT *, {rule} AS rule, {verdict} AS said FROM p),
+     t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, '' AS parent, '' AS template
+            FROM r GROUP BY host, path),{levels}
+     tree AS (SELECT host, path, parent, template || CASE WHEN len(segs) > {urls.DEPTH} THEN '/**' ELSE '' END AS template, labelled, blocked FROM t{urls.DEPTH}),
+     leaf AS (SELECT host, parent, template, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(blocked) AS DOUBLE) AS blocked, (sum(blocked) + 1)::DOUBLE / (sum(labelled) + 2) AS share FROM tree GROUP BY ALL),
+     near AS (SELECT *, lag(share) OVER o AS ls, lag(labelled) OVER o AS ll FROM leaf WINDOW o AS (PARTITION BY host, parent ORDER BY share, template)),
+     apart AS (SELECT *, CASE WHEN share - ls > {urls.ALIKE}::DOUBLE * sqrt((share + ls) / 2 * (1 - (share + ls) / 2) * (1 / (labelled + 2) + 1 / (ll + 2))) THEN 1 ELSE 0 END AS gap FROM near),
+     branch AS (SELECT *, sum(gap) OVER (PARTITION BY host, parent ORDER BY share, template) AS b FROM apart),
+     merged AS (SELECT *, sum(labelled) OVER (PARTITION BY host, parent, b) AS bl, sum(blocked) OVER (PARTITION BY host, parent, b) AS bb,
+                       sum(labelled) OVER (PARTITION BY host) AS hl, sum(blocked) OVER (PARTITION BY host) AS hb FROM branch),
+     total AS (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) AS overall FROM leaf),
+     judged AS (SELECT host, template, (bb + {m} * (hb + {m} * overall) / (hl + {m})) / (bl + {m}) AS impurity FROM merged, total)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN j.impurity > {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r JOIN tree ON tree.host = r.host AND tree.path = r.path JOIN judged j ON j.host = tree.host AND j.template = tree.template
+"""
+
+
+SQL["op6_urls"] = _url_sql()
