@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_side
@@ -27,6 +29,10 @@ NAMED = re.compile(
     re.I,
 )
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
+# The block elements whose presence tells layouts apart.
+LAYOUT = r"<(article|aside|dl|footer|form|header|main|nav|ol|section|table|ul)[\s/>]"
+#: A page aligns with a wrapper if this share of both trees' nodes is matched; a text is template if more than that share of pages has it.
+ALIGNED, MOST = 0.5, 2 / 3
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -121,7 +127,7 @@ def text_of(nodes: list[Node], skip=lambda n: False) -> str:
 class Shape:
     """A tree in which like siblings in a row are one: what simple tree matching aligns."""
 
-    __slots__ = ("children", "nodes", "tag", "text")
+    __slots__ = ("children", "leaf", "nodes", "tag", "text")
 
     def __init__(self, nodes: list[Node], depth: int = 0):
         self.nodes, self.tag = nodes, f"{nodes[0].tag}.{nodes[0].name}"
@@ -134,6 +140,7 @@ class Shape:
                         groups[-1].append(c)
                     else:
                         groups.append([c])
+        self.leaf = not groups
         self.children = [Shape(g, depth + 1) for g in groups] if depth < 60 else []
 
     def walk(self) -> Iterator[Shape]:
@@ -168,48 +175,77 @@ def match(a, b) -> tuple[int, list[tuple]]:
 
 
 class Template:
-    """A wrapper's node: tag, whether its text is the same on all exemplars, and whether it holds the main text."""
+    """A wrapper's node: number, tag, hash of its text if that is template, and whether it holds the main text."""
 
-    __slots__ = ("children", "constant", "main", "tag")
+    __slots__ = ("children", "main", "own", "slot", "tag")
 
-    def __init__(self, spec: list):
-        self.tag, self.constant, self.main = spec[0], bool(spec[1]), bool(spec[2])
-        self.children = [Template(c) for c in spec[3]]
+    def __init__(self, spec: list, numbers: Iterator[int] | None = None):
+        numbers = count() if numbers is None else numbers
+        self.slot, self.tag, self.own, self.main = next(numbers), spec[0], spec[1], bool(spec[2])
+        self.children = [Template(c, numbers) for c in spec[3]]
 
+    def walk(self) -> Iterator[Template]:
+        yield self
+        for c in self.children:
+            yield from c.walk()
 
-def induce(pages: list[str]) -> str | None:
-    """The wrapper of pages of one host as JSON, or None where no slot varies.
+    def spec(self) -> list:
+        return [self.tag, self.own, int(self.main), [c.spec() for c in self.children]]
+
+
+def text_hash(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    The first page is aligned with each other one. A node whose own text is equal in all is constant, else a slot. The
-    main part is the innermost node outside boilerplate that holds most of the text of slots.
-    """
-    shapes = [Shape([parse(p)]) for p in pages]
-    base = shapes[0]
-    equal = {id(s): True for s in base.walk()}
-    for other in shapes[1:]:
-        partner = {id(a): b for a, b in match(base, other)[1]}
-        for s in base.walk():
-            b = partner.get(id(s))
-            equal[id(s)] &= b is not None and b.text == s.text
-    mass: dict[int, int] = {}
 
-    def weigh(s: Shape, dead: bool) -> int:
-        dead |= s.nodes[0].boilerplate
-        mass[id(s)] = sum(weigh(c, dead) for c in s.children) + (0 if dead or equal[id(s)] else len(s.text))
-        return mass[id(s)]
+def aligned(shape: Shape, wrapper: Template) -> list[tuple] | None:
+    """The pairs of a page's shape and a wrapper, or None where they align poorly."""
+    size, pairs = match(shape, wrapper)
+    nodes = sum(1 for _ in shape.walk()) + sum(1 for _ in wrapper.walk())
+    return pairs if 2 * size >= ALIGNED * nodes else None
 
-    if len(shapes) < 2 or not weigh(base, False):
+
+def structure(pages: list[str]) -> str | None:
+    """As JSON, the tree of the page that aligns best with the others; None for a single page. It holds no verdict."""
+    if len(pages) < 2:
         return None
-    main = base
-    while down := next((c for c in main.children if c.nodes[0].tag not in PROSE and 2 * mass[id(c)] > mass[id(base)]), None):
-        main = down
+    shapes = [Shape([parse(p)]) for p in pages]
+    base = max(shapes, key=lambda s: sum(match(s, t)[0] for t in shapes if t is not s))
 
     def spec(s: Shape) -> list:
-        return [s.tag, int(equal[id(s)]), int(s is main), [spec(c) for c in s.children]]
+        return [s.tag, None, 0, [spec(c) for c in s.children]]
 
     return json.dumps(spec(base))
 
 
+def judge(spec: str, pages: int, slots: dict[int, tuple[int, int, int, int]]) -> str:
+    """The wrapper of a structure, from all pages that align with it.
+
+    slots gives, by number, how many pages have the slot's commonest text, its hash and length, and the summed length of
+    all pages' texts. A text is template if more than MOST of the pages have it. The main part is the innermost node
+    outside boilerplate that holds most of the other text; where there is no other text, nothing is template.
+    """
+    base = Template(json.loads(spec))
+    mass: dict[int, int] = {}
+
+    def weigh(t: Template, dead: bool) -> int:
+        tag, _, name = t.tag.partition(".")
+        dead |= Node(tag, name).boilerplate
+        n, h, size, total = slots.get(t.slot, (0, 0, 0, 0))
+        t.own = h if n > 1 and n > MOST * pages else None
+        mass[t.slot] = sum(weigh(c, dead) for c in t.children) + (0 if dead else total - (0 if t.own is None else n * size))
+        return mass[t.slot]
+
+    if not weigh(base, False):
+        for t in base.walk():
+            t.own = None
+        return json.dumps(base.spec())
+    main = base
+    while down := next((c for c in main.children if c.tag.partition(".")[0] not in PROSE and 2 * mass[c.slot] > mass[base.slot]), None):
+        main = down
+    main.main = True
+    return json.dumps(base.spec())
+
+
 def semantic_main(page: Node) -> list[Node]:
     """The outermost article or main elements, else the body, else the page."""
     for wanted in (("article", "main"), ("body",)):
@@ -225,67 +261,158 @@ def semantic_main(page: Node) -> list[Node]:
     return [page]
 
 
-def extract(source: str | None, wrapper: Template | None) -> str:
-    """The page's main text: its part that aligns with the wrapper's main node, without template and boilerplate.
+def extract(source: str | None, *wrappers: Template | None) -> str:
+    """The page's main text: its part that aligns with the main node of the first wrapper it aligns with, without
+    template and boilerplate.
 
-    Where the page marks an article within or around that part, the mark decides. Constant text in the main part is
-    template unless it is prose (paragraphs, headings), since articles of a host may share paragraphs.
+    Where the page marks an article within or around that part, the mark decides. A leaf of the main part is template if
+    its own text is the template's, unless it is prose (paragraphs, headings), since articles of a host may share
+    paragraphs. A page that aligns with no wrapper keeps all its text outside boilerplate.
     """
     page = parse(source)
     roots, constant = semantic_main(page), set()
-    if wrapper is not None:
-        pairs = match(Shape([page]), wrapper)[1]
-        constant = {id(n) for a, b in pairs if b.constant and not b.children and a.text for n in a.nodes if n.tag not in PROSE and n.tag not in ("article", "main", "body")}
-        if not any(r.tag in ("article", "main") for r in roots):
-            roots = next((a.nodes for a, b in pairs if b.main), roots)
+    known = [w for w in wrappers if w is not None]
+    shape = Shape([page]) if known else None
+    pairs = next((x for w in known if (x := aligned(shape, w)) is not None), [])
+    for a, b in pairs:
+        if b.own is not None and a.leaf and a.text and text_hash(a.text) == b.own:
+            constant |= {id(n) for n in a.nodes if n.tag not in PROSE and n.tag not in ("article", "main", "body")}
+    if not any(r.tag in ("article", "main") for r in roots):
+        roots = next((a.nodes for a, b in pairs if b.main), roots)
     return text_of(roots, lambda n: id(n) in constant)
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
+SLOTS = "array<struct<slot: int, hash: long, size: int>>"
 
 
-def induce_wrappers(rows: DataFrame) -> DataFrame:
-    """(host, wrapper) of the hosts of rows (host, mark, html) that have one, from three pages each at most.
+def templates() -> Callable[[str | None], Template | None]:
+    """Wrappers from JSON, kept by a task while there are not too many."""
+    known: dict[str, Template] = {}
+
+    def get(spec: str | None) -> Template | None:
+        if not spec:
+            return None
+        if spec not in known:
+            if len(known) >= 2000:
+                known.clear()
+            known[spec] = Template(json.loads(spec))
+        return known[spec]
+
+    return get
+
+
+def structures(marks: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, structure) of each key of marks (key, mark) with two pages or more; rows (key, mark, html) has the pages.
 
     The exemplars are the pages with the least mark, the greatest, and the least that is not negative: three plain
-    aggregates of a hash, so a host with a third of all pages sends three numbers a task.
+    aggregates of a hash, so a host with a third of all pages sends three numbers a task. They give the tree to align
+    with, and decide nothing else.
     """
-    least = rows.groupBy("host").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min(F.when(F.col("mark") >= 0, F.col("mark"))).alias("c"))
-    chosen = cut(least.select("host", F.explode(F.array_distinct(F.array_compact(F.array("a", "b", "c")))).alias("mark")), "exemplars")
+    least = marks.groupBy(*key).agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min(F.when(F.col("mark") >= 0, F.col("mark"))).alias("c"))
+    chosen = cut(least.select(*key, F.explode(F.array_distinct(F.array_compact(F.array("a", "b", "c")))).alias("mark")), "exemplars")
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        found = structure(list(group.sort_values("mark")["html"]))
+        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in key}, "structure": [found]}).dropna()
 
-    def align(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper = induce(list(group.sort_values("mark")["html"]))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [wrapper]}).dropna()
+    picked = rows.select(*key, "mark", "html").join(small_side(chosen, sizes(key)), [*key, "mark"]).dropDuplicates([*key, "mark"])
+    return cut(picked.groupBy(*key).applyInPandas(choose, ", ".join(f"{k} string" for k in key) + ", structure string"), "structures")
 
-    picked = rows.select("host", "mark", "html").join(small_side(chosen, F.octet_length("host")), ["host", "mark"]).dropDuplicates(["host", "mark"])
-    return cut(picked.groupBy("host").applyInPandas(align, "host string, wrapper string"), "wrappers")
+
+def sizes(names: list[str]) -> Column:
+    return sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names[1:]), F.octet_length(names[0]))
+
+
+def tally(rows: DataFrame) -> DataFrame:
+    """(host, layout, mark, poor, slots) of each different page of rows (host, layout, mark, html, first, structure).
+
+    Every page is aligned with its structure, and slots are the numbers, text hashes and lengths of the nodes with text.
+    poor marks those that do not align. Pages that align with first, if there is one, are left out. Exact copies of a
+    page count once, so that they do not turn its text into template.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = templates()
+        for b in batches:
+            out = []
+            for host, layout, mark, source, first, spec in zip(b["host"], b["layout"], b["mark"], b["html"], b["first"], b["structure"], strict=True):
+                shape = Shape([parse(source)])
+                if first and aligned(shape, get(first)) is not None:
+                    continue
+                pairs = aligned(shape, get(spec))
+                out.append((host, layout, mark, pairs is None, [(t.slot, text_hash(a.text), len(a.text)) for a, t in pairs or () if a.text]))
+            yield pd.DataFrame(out, columns=["host", "layout", "mark", "poor", "slots"])
+
+    each = rows.select("host", "layout", "mark", "html", "first", "structure").mapInPandas(run, f"host string, layout string, mark long, poor boolean, slots {SLOTS}")
+    return cut(each.groupBy("host", "layout", "mark").agg(F.first("poor").alias("poor"), F.first("slots").alias("slots")), "tally")
+
+
+def judged(tallied: DataFrame, trees: DataFrame, key: list[str]) -> DataFrame:
+    """(key, wrapper) from the tally of all pages: page counts are summed by (key, slot, text hash), then by slot."""
+    good = tallied.where(~F.col("poor"))
+    pages = good.groupBy(*key).agg(F.count("*").alias("pages"))
+    texts = good.select(*key, F.explode("slots").alias("s")).groupBy(*key, "s.slot", "s.hash").agg(F.count("*").alias("n"), F.max("s.size").alias("size"))
+    slots = texts.groupBy(*key, "slot").agg(F.max(F.struct("n", "hash", "size")).alias("top"), F.sum(F.col("n") * F.col("size")).alias("mass"))
+    lists = slots.groupBy(*key).agg(F.collect_list(F.struct("slot", "top.n", "top.hash", "top.size", "mass")).alias("slots"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [judge(s, n, {x["slot"]: (x["n"], x["hash"], x["size"], x["mass"]) for x in (v if v is not None else ())}) for s, n, v in zip(b["structure"], b["pages"], b["slots"], strict=True)]
+            yield b[key].assign(wrapper=made)
+
+    joined = trees.join(pages, key).join(lists, key, "left").select(*key, "structure", "pages", "slots")
+    return cut(joined.mapInPandas(run, ", ".join(f"{k} string" for k in key) + ", wrapper string"), "wrappers")
+
+
+def induce_wrappers(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(host, wrapper), and (host, layout, second) for the pages that align poorly with their host's, or None.
+
+    rows has host, layout, mark and html. Each page is parsed once for its host's tree, and the pages of layouts where
+    some align poorly once more for the layout's.
+    """
+    none = F.lit(None).cast("string")
+    trees = structures(rows, rows, ["host"])
+    side = small_side(trees, sizes(["host", "structure"]))
+    tallied = tally(rows.join(side, "host").withColumn("first", none))
+    wrappers = judged(tallied, trees, ["host"])
+    poor = tallied.where("poor")
+    if poor.isEmpty():
+        return wrappers, None
+    key = ["host", "layout"]
+    second = structures(poor, rows, key)
+    both = cut(second.join(trees.withColumnRenamed("structure", "first"), "host"), "layouts")
+    again = tally(rows.join(small_side(both, sizes([*key, "first", "structure"])), key))
+    return wrappers, judged(again, second, key).withColumnRenamed("wrapper", "second")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html).
 
-    Three pages a host at most meet in a group, to be aligned. Exemplars and wrappers are broadcast to the pages if
-    their measured size is small; else they join by host, and as no aggregation follows, adaptive execution can split
-    a hot host.
+    Three pages a host at most meet in a group, to choose the tree that all pages of the host are aligned with; what is
+    template follows from counts over all of them. Pages that align poorly form layouts by the block elements they
+    contain, each with a tree and counts of its own. Exemplars and wrappers are broadcast to the pages if their measured
+    size is small; else they join by host, and as no aggregation follows, adaptive execution can split a hot host.
 
     Null or empty html has an empty text. Null urls, or urls without host, share a host of empty name. Hosts with one
-    page, or whose exemplars are equal, have no wrapper; there the page's own marks decide. Repeated rows each get
-    their row.
+    page, or whose pages are equal, have no wrapper; there the page's own marks decide. Repeated rows each get their
+    row.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    wrappers = induce_wrappers(rows.withColumn("mark", F.xxhash64("html")))
+    elements = F.regexp_extract_all(F.lower("html"), F.lit(LAYOUT), F.lit(1))
+    rows = rows.withColumns({"mark": F.xxhash64("html"), "layout": F.array_join(F.array_sort(F.array_distinct(elements)), " ")})
+    wrappers, second = induce_wrappers(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, Template] = {}
-        for batch in batches:
-            texts = []
-            for source, spec in zip(batch["html"], batch["wrapper"], strict=True):
-                if spec and spec not in known:
-                    if len(known) >= 2000:
-                        known.clear()
-                    known[spec] = Template(json.loads(spec))
-                texts.append(extract(source, known[spec] if spec else None))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [*map(len, texts)]})
-
-    return rows.join(small_side(wrappers, F.octet_length("host") + F.octet_length("wrapper")), "host", "left").select("page_id", "url", "html", "wrapper").mapInPandas(run, RESULT)
+        get = templates()
+        for b in batches:
+            texts = [extract(source, get(one), get(two)) for source, one, two in zip(b["html"], b["wrapper"], b["second"], strict=True)]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [*map(len, texts)]})
+
+    joined = rows.join(small_side(wrappers, sizes(["host", "wrapper"])), "host", "left")
+    if second is not None:
+        joined = joined.join(small_side(second, sizes(["host", "layout", "second"])), ["host", "layout"], "left")
+    else:
+        joined = joined.withColumn("second", F.lit(None).cast("string"))
+    return joined.select("page_id", "url", "html", "wrapper", "second").mapInPandas(run, RESULT)

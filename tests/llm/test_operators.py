@@ -362,6 +362,20 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_template_only_if_it_recurs(spark):
+    rows = []
+    for host in range(24):
+        for k in range(12):  # half of the pages share a slot's text: on some hosts all three exemplars do
+            slot = "Shared by half" if k % 2 else f"Own {host} {k}"
+            rows.append((f"http://h{host}.org/{k}", f"<article><div class=x>Page {host} {k}</div><section>{slot}</section><li>Always the same</li></article>", slot))
+    for k in range(9):  # a second layout, with a slot that a page of the first would not align with
+        rows.append((f"http://h0.org/b{k}", f"<main><table><tr><td><div>Cell {k}</div></td></tr></table><ol><li>Listed {k}</li></ol><section>Everywhere</section></main>", f"Listed {k}"))
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(df).collect()}
+    for i, (_, _, slot) in enumerate(rows):
+        assert slot in got[i] and "Always" not in got[i] and "Everywhere" not in got[i]
+
+
 def test_simple_tree_matching():
     a, b = (html.Shape([html.parse(x)]) for x in ("<div><p>x</p><ul><li>1</li></ul><span>q</span></div>", "<div><h1>t</h1><p>y</p><ul><li>2</li><li>3</li></ul></div>"))
     size, pairs = html.match(a, b)
