@@ -9,6 +9,8 @@ from .common import LOWER, UPPER, hash128, text_or_empty
 
 #: A block's share of a template's distinct words from which on it carries the template's label.
 THRESHOLD = 0.8
+#: Over lines, those words stand in a run of at most this many times the template's distinct words.
+SPAN = 2
 # The phrases of the base labels.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 # Short public license notices, by label.
@@ -33,6 +35,7 @@ TEMPLATES = {
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+BLANK = r"\n[ \t\r\x0B\x0C]*+\n"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -66,13 +69,15 @@ def frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs (doc_id, text).
 
-    A block is a line. A template of t distinct words matches a block that has at least ceil(threshold * t) of them.
+    A block is a line, or a paragraph (lines up to a blank one) if it has several. A template of t distinct words matches
+    a line that has at least ceil(threshold * t) of them, and a paragraph that has them within a run of SPAN * t words,
+    wherever its lines are broken; without the run, long paragraphs would have them by chance.
     The words are ordered by their frequency in docs, rarest first; the first t - ceil(threshold * t) + 1 words of a
     template are its prefix, one of which every matching block must have. So only documents with a prefix word are cut
     into blocks, and a block joins the templates on its prefix words. The length filter drops blocks with too few
     words, the positional filter those for which too few template words follow the first shared one; what is left is
-    counted exactly. The templates are a parameter, so the joined side is of fixed size. score is the greatest share
-    of a matching template, 0 if none matches.
+    counted exactly, in paragraphs run by run. The templates are a parameter, so the joined side is of fixed size. score
+    is the greatest share of a matching template, 0 if none matches.
 
     Null text counts as empty: no words, no places, null first_word and last_word, empty labels, score 0. Repeated
     rows each get their row.
@@ -94,21 +99,30 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, lis
     any_prefix = rf"(?i)(?<!{WORD})(?:{'|'.join(prefix_words)})(?!{WORD})"
     candidates = rows.where(F.col("text").rlike(any_prefix)).select("t1", "t2", "text").distinct()
     places = " (?:" + "|".join(sorted(PHRASES.values())) + ")(?= )"
+    block = F.col("block")
+    paragraphs = F.filter(F.split("text", BLANK, -1), lambda p: F.instr(F.trim(p), "\n") > 0)
+    kinds = F.array(F.struct(F.lit(False).alias("wrapped"), F.split("text", "\n", -1).alias("texts")), F.struct(F.lit(True).alias("wrapped"), paragraphs.alias("texts")))
     blocks = (
-        candidates.select("t1", "t2", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-        .where(F.col("block").rlike(any_prefix))
-        .select("t1", "t2", "line", F.array_distinct(F.split(F.trim(spaced(F.col("block"))), " ")).alias("words"))
+        candidates.select("t1", "t2", F.inline(kinds))
+        .select("t1", "t2", "wrapped", F.explode("texts").alias("block"))
+        .where(block.rlike(any_prefix))
+        .select("t1", "t2", "wrapped", F.split(F.trim(spaced(block)), " ").alias("run"))
+        .select("t1", "t2", F.array_distinct("run").alias("words"), F.when(F.col("wrapped"), F.col("run")).alias("run"))
     )
     shared = F.size(F.array_intersect("template_words", "words"))
     first = F.array_position("template_words", F.array_intersect("template_words", "words")[0])
+    starts = F.filter(F.sequence(F.lit(1), F.size("run")), lambda i: F.array_contains("template_words", F.element_at("run", i)))
+    runs = F.transform(starts, lambda i: F.size(F.array_intersect("template_words", F.slice("run", i, SPAN * F.size("template_words")))))
     matches = (
-        blocks.select("t1", "t2", "words", F.explode(F.array_intersect("words", F.array(*map(F.lit, prefix_words)))).alias("word"))
+        blocks.select("t1", "t2", "words", "run", F.explode(F.array_intersect("words", F.array(*map(F.lit, prefix_words)))).alias("word"))
         .join(F.broadcast(sides), "word")
         .where(F.size("words") >= F.col("need"))
         .where((F.col("at") == first - 1) & (F.size("template_words") - F.col("at") >= F.col("need")))
         .where(shared >= F.col("need"))
+        .select("t1", "t2", "label", "need", F.size("template_words").alias("t"), F.when(F.col("run").isNull(), shared).otherwise(F.array_max(runs)).alias("shared"))
+        .where(F.col("shared") >= F.col("need"))
         .groupBy("t1", "t2")
-        .agg(F.array_sort(F.collect_set("label")).alias("found"), F.max(shared / F.size("template_words")).alias("score"))
+        .agg(F.array_sort(F.collect_set("label")).alias("found"), F.max(F.col("shared") / F.col("t")).alias("score"))
     )
     # The phrases: places are looked for in the documents that have the word all phrases end in.
     s = F.when(F.col("text").rlike("(?i)license"), spaced(F.col("text")))

@@ -143,6 +143,25 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+NOTICES = {
+    "mit": "Copyright 2020 A. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in it without restriction.",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense as published by the Free Software Foundation.",
+    "mpl": "word " * 60 + "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0. " + "word " * 60,
+}
+
+
+def test_licenses_over_lines(spark):
+    apart = ["Released here.", "far " * 20 + "under", "far " * 20 + "the", "far " * 20 + "mit"]  # more words between than a run has
+    texts = [*NOTICES.values(), "\n".join(apart), NOTICES["bsd"].replace("without\n", "without\n \t\n"), "Released under\r\nthe MIT\r\nLicense."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, label in enumerate(NOTICES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= 0.8
+    assert got[4]["labels"] == got[5]["labels"] == "" and got[4]["score"] == got[5]["score"] == 0
+    assert got[6]["labels"] == "mit" and got[6]["score"] == 1
+
+
 # 4
 
 
