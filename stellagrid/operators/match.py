@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import FWHM, MatchParams
-from .graph import cut_lineage
+from .graph import connected_components, cut_lineage
 
 
 @dataclass
@@ -47,12 +48,31 @@ def candidate_pairs(truth: DataFrame, found: DataFrame, p: MatchParams) -> DataF
     return t.join(f, [f"c{k}" for k in axes]).select("i", "j", d2.alias("d2"), accept.alias("accept")).where(F.col("d2") <= reach * reach)
 
 
-def greedy_pairs(pairs: DataFrame, stop_on_first_reject: bool = True, rounds: int = 1000) -> DataFrame:
+#: Rounds that take mutually closest pairs only; what is left then are chains, which components take whole.
+ROUNDS = 8
+
+
+def _greedy(group: pd.DataFrame) -> pd.DataFrame:
+    """The greedy rule over the pairs of one component."""
+    group = group.sort_values(["d2", "i", "j"])
+    rows, cols, keep = set(), set(), []
+    for i, j in zip(group["i"], group["j"], strict=True):
+        free = i not in rows and j not in cols
+        keep.append(free)
+        if free:
+            rows.add(i)
+            cols.add(j)
+    return group[keep]
+
+
+def greedy_pairs(pairs: DataFrame, stop_on_first_reject: bool = True, rounds: int = ROUNDS) -> DataFrame:
     """(i, j, d2) that the greedy rule takes: again and again the closest pair of rows not used yet.
 
     A pair that is the closest for both its rows is one the rule takes, whatever it does elsewhere, so each round takes
-    all of these at once. With stop_on_first_reject what lies beyond the closest rejected pair does not count; without,
-    rejected pairs are passed over and use nothing up.
+    all of these at once. Where distances are equal or fall along a chain, a round takes one pair of the chain; so after
+    some rounds the pairs left are split into connected components, which cannot touch each other, and the rule runs
+    through each in one task. With stop_on_first_reject what lies beyond the closest rejected pair does not count;
+    without, rejected pairs are passed over and use nothing up.
     """
     left = cut_lineage(pairs if stop_on_first_reject else pairs.where("accept"), "pairs")
     taken = None
@@ -64,6 +84,14 @@ def greedy_pairs(pairs: DataFrame, stop_on_first_reject: bool = True, rounds: in
             break
         taken = now if taken is None else taken.unionByName(now)
         left = cut_lineage(left.join(now.select("i"), "i", "left_anti").join(now.select("j"), "j", "left_anti"), "pairs")
+    else:
+        if not left.isEmpty():
+            node = {"i": F.concat(F.lit("i"), F.col("i").cast("string")), "j": F.concat(F.lit("j"), F.col("j").cast("string"))}
+            parts = connected_components(left.select(node["i"].alias("src"), node["j"].alias("dst")))
+            grouped = left.withColumn("node", node["i"]).join(parts, "node").select("component", "i", "j", "d2", "accept")
+            rest = grouped.groupBy("component").applyInPandas(_greedy, grouped.schema).select("i", "j", "d2", "accept")
+            rest = cut_lineage(rest, "taken")
+            taken = rest if taken is None else taken.unionByName(rest)
     if taken is None:
         return pairs.select("i", "j", "d2").where(F.lit(False))
     if stop_on_first_reject:

@@ -208,6 +208,22 @@ def test_greedy_matching(spark, stop):
     assert out.miss.count() == 60 - len(want) and out.false.count() == 50 - len(want)
 
 
+@pytest.mark.parametrize("stop", [True, False])
+def test_greedy_matching_of_chains(spark, stop):
+    # equal distances, ordered by (d2, i, j): each round finds one pair that is mutually closest
+    chain = [(i, j, 1.0, not (stop and i == 1100)) for i in range(1200) for j in (i - 1, i) if j >= 0]
+    pairs = spark.createDataFrame(chain, "i long, j long, d2 double, accept boolean")
+    used, want = set(), []
+    for i, j, _, accept in chain:
+        if ("i", i) in used or ("j", j) in used:
+            continue
+        if stop and not accept:
+            break
+        used |= {("i", i), ("j", j)}
+        want.append((i, j))
+    assert sorted((r["i"], r["j"]) for r in match.greedy_pairs(pairs, stop).collect()) == want
+
+
 def test_matching_nothing(spark):
     truth = spark.createDataFrame([(1, 1.0, 1.0, 5.0, 5.0)], "ID long, Cen1 double, Cen2 double, Size1 double, Size2 double")
     found = spark.createDataFrame([(1, 90.0, 1.0)], "ID long, Cen1 double, Cen2 double")
