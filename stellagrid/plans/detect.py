@@ -83,16 +83,16 @@ def detect_tiled(cube: DataFrame, shape: Shape, p: DetectParams, step: int, halo
 
 def detect_multiscale(cube: DataFrame, shape: Shape, p: DetectParams, fine: DetectParams, o: FitParams = FitParams()) -> tuple[Detection, Detection, DataFrame | None]:
     """A detection on the cube; another on what a blur takes from it, with its own noise outside the first one's clumps;
-    and a joint fit of the clumps of detail to the cube. No fit if there is no detail."""
+    and joint fits of the overlapping clumps of detail to the cube. No fit if there is no detail."""
     coarse = detect(cube, shape, p)
     detail = cut_lineage(smooth.detail(cube, shape).select("tile", *shape, "idx", F.col("detail").alias("intensity")), "detail")
     rms = measure.off_mask_rms(detail, coarse.mask).agg(F.max("rms")).first()[0] or fine.rms
     small = detect(detail, shape, replace(fine, rms=rms))
     if small.catalog.isEmpty():
         return coarse, small, None
-    again = measure.regions(small.mask.drop("intensity").join(cube.select("tile", "idx", "intensity"), ["tile", "idx"]), shape)
-    one = again.select("ID", F.lit(1).alias("component"))
-    return coarse, small, fit.fit_clumps(grid.clump_points(cube, small.mask, shape), again, one, o)
+    again = cut_lineage(measure.regions(small.mask.drop("intensity").join(cube.select("tile", "idx", "intensity"), ["tile", "idx"]), shape), "again")
+    groups = cut_lineage(overlap.overlap_groups(again, o.overlap), "groups")
+    return coarse, small, fit.fit_clumps(grid.clump_points(cube, small.mask, shape), again, groups, o)
 
 
 def detect_log(p: DetectParams, shape: Shape, found: Detection) -> DataFrame:

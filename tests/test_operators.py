@@ -255,6 +255,17 @@ def test_slopes_are_the_models(spark):
         assert np.allclose(slopes[:, k], near, atol=1e-4)
 
 
+def test_multiscale_fits_groups_apart(spark):
+    y, x = np.mgrid[1:41, 1:41]
+    a = sum(9 * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / 4.5) for cx, cy in ((10, 10), (30, 29)))
+    cube, shape = cube_of(spark, a + 0.01 * np.sin(7 * x + 3 * y))
+    p = DetectParams(rms=1.0, noise_times=0.5, rms_times=1.0, min_area=4, sigma=0.6, remove_edge=False)
+    _, small, fitted = detect.detect_multiscale(cube, shape, p, p)
+    rows = fitted.collect()
+    assert len(rows) == small.catalog.count() >= 2 and len({r["component"] for r in rows}) == len(rows)
+    assert all(min(math.hypot(r["x0"] - cx, r["y0"] - cy) for r in rows) < 0.5 for cx, cy in ((10, 10), (30, 29)))
+
+
 def test_simulate_detect_match(spark):
     shape = {"x": 40, "y": 40, "v": 30}
     places = [(10, 10, 9), (29, 11, 21), (12, 28, 10), (29, 29, 20)]
