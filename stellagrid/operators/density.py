@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import cut_lineage
+from ..tables import cut_lineage
 from .grid import Shape
 
 

@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written to the folder that driver and executors share, and read back.
-
-    The folder is spark.checkpoint.dir; only a session without one (a test) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..tables import cut_lineage, drop
 
 #: Edges, or nodes, that a task of an iteration handles at least: small graphs run in few tasks.
 ROWS_A_TASK = 50_000
@@ -45,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     e = cut_lineage(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _mark(e)
     for _ in range(rounds):
-        tasks = 1 + seen[0] // ROWS_A_TASK
+        tasks, before = 1 + seen[0] // ROWS_A_TASK, e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
@@ -53,6 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         low = e.join(least, "u").coalesce(tasks)
         e = low.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = cut_lineage(e.distinct().coalesce(tasks), "edges")
+        drop(before)
         if (now := _mark(e)) == seen:
             break
         seen = now
@@ -70,12 +54,14 @@ def forest_roots(parents: DataFrame, node: str = "node", parent: str = "parent",
     parents has one row a node; a null parent, or the node itself, marks a root. Chains of length n take log2(n) rounds,
     each an equi-join on the parent. A parent without a row of its own counts as a root.
     """
-    up = cut_lineage(parents.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("root")), "parents")
+    table = up = cut_lineage(parents.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("root")), "parents")
     tasks = 1 + up.count() // ROWS_A_TASK
     for _ in range(rounds):
         jump = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
         new = cut_lineage(up.join(jump, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.coalesce("next", "root") != F.col("root")).alias("moved")).coalesce(tasks), "parents")
-        up = new.select("node", "root")
-        if new.where("moved").isEmpty():
+        done = new.where("moved").isEmpty()
+        drop(table)
+        table, up = new, new.select("node", "root")
+        if done:
             return up
     raise RuntimeError(f"no fixed point after {rounds} rounds: the parents have a cycle")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import cut_lineage
 from .density import neighbour_pairs
-from .graph import connected_components, cut_lineage, forest_roots
+from .graph import connected_components, forest_roots
 from .grid import Shape, voxel_index
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import FWHM, MatchParams
-from .graph import connected_components, cut_lineage
+from ..tables import cut_lineage
+from .graph import connected_components
 
 
 @dataclass

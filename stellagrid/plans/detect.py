@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import wcs
 from ..functions.model import fit_catalog
 from ..operators import density, fit, grid, labels, measure, mosaic, overlap, smooth
-from ..operators.graph import cut_lineage
 from ..operators.grid import Shape
 from ..params import DetectParams, FitParams
+from ..tables import cut_lineage
 
 
 @dataclass

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import model, wcs
 from ..operators import density, grid, labels, match, measure, mosaic, overlap, simulate, smooth
-from ..operators.graph import cut_lineage
 from ..params import DetectParams, MatchParams
+from ..tables import cut_lineage
 from . import detect
 
 SHAPE2 = {"x": 50, "y": 83}
