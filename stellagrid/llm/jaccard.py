@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, small_side, text_or_empty
+from .common import cut, run_hashes, small_side, text_or_empty
 
 WORDS = 5
 #: Similarity 80 / 100; the formulas below have it worked in.
@@ -31,50 +31,15 @@ PAIRS_A_TASK = 2000
 SALT_AT = 50_000
 _STRETCH = 1 << 19
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if name not in _powers or len(_powers[name]) < n:
-        with np.errstate(over="ignore"):
-            p = np.full(max(n, 1 << 14), base, dtype=np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers[name][:n]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _hashes(flat: bytes, k: int) -> np.ndarray:
-    """Hashes of all runs of k words of flat, whose words stand one space apart; of the whole if it has fewer."""
-    b = np.frombuffer(flat, dtype=np.uint8)
-    n = len(b)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[b] * _power("up", _P, n), out=sums[1:])
-    gaps = np.flatnonzero(b == 32)
-    starts = np.concatenate(([0], gaps + 1))
-    ends = np.concatenate((gaps, [n]))
-    m = max(1, len(starts) - k + 1)
-    first, last = starts[:m], ends[len(ends) - m :]
-    return _mix((sums[last] - sums[first]) * _power("down", _P_INVERSE, n + 1)[first] + (last - first).astype(np.uint64))
-
-
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of the runs of k words; of all words if there are fewer; nothing without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
     if len(text) <= _STRETCH:
-        return np.unique(_hashes(b" ".join(words), k))
+        return np.unique(run_hashes(b" ".join(words), k))
     step = _STRETCH // 8
-    return np.unique(np.concatenate([_hashes(b" ".join(words[i : i + step + k - 1]), k) for i in range(0, max(1, len(words) - k + 1), step)]))
+    return np.unique(np.concatenate([run_hashes(b" ".join(words[i : i + step + k - 1]), k) for i in range(0, max(1, len(words) - k + 1), step)]))
 
 
 def needed(a, b):
