@@ -94,20 +94,32 @@ FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN t ON w.r = t.r
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-_TEMPLATES = ", ".join(f"({k}, '{label}', {words!r})" for k, label, words in licenses.template_words(licenses.TEMPLATES))
+_LICENSES = ", ".join(
+    f"({t.number}, '{t.label}', {list(t.words)!r}, '{' '.join(t.must)}', {list(t.never)!r}::VARCHAR[], {t.need}, {t.span})" for t in licenses.prepare(licenses.TEMPLATES, licenses.THRESHOLD)
+)
 
 SQL["op3_licenses"] = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_LOWER.format("text")} AS low FROM documents),
-     w AS (SELECT doc_id, r, low, {_WORDS.format("low")} AS words FROM d),
+     w AS (SELECT doc_id, r, {_WORDS.format("low")} AS words FROM d),
      p AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM w),
      q AS (SELECT r, pos, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM p WINDOW o AS (PARTITION BY r ORDER BY pos)),
      b AS (SELECT r, pos, CASE WHEN word = 'mit' AND w2 = 'license' THEN 'mit' WHEN word = 'apache' AND w2 = 'license' THEN 'apache'
                               WHEN word = 'general' AND w2 = 'public' AND w3 = 'license' THEN 'gpl' END AS label FROM q),
      base AS (SELECT r, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM b WHERE label IS NOT NULL GROUP BY r),
-     t AS (SELECT * FROM (VALUES {_TEMPLATES}) t(k, label, tw)),
-     l AS (SELECT r, list_distinct({_WORDS.format("line")}) AS lw FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
-     m AS (SELECT r, label, len(list_intersect(tw, lw))::DOUBLE / len(tw) AS share FROM l, t WHERE len(list_intersect(tw, lw)) >= {licenses.THRESHOLD} * len(tw)),
-     found AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS score FROM m GROUP BY r)
+     t AS (SELECT * FROM (VALUES {_LICENSES}) t(k, label, tw, must, never, need, span)),
+     tk AS (SELECT k, unnest(tw) AS word FROM t),
+     nv AS (SELECT k, unnest(never) AS word FROM t),
+     par AS (SELECT r, generate_subscripts(ps, 1) AS par, unnest(ps) AS part FROM (SELECT r, string_split_regex(low, '\n[ \t\r\x0B\x0C]*\n') AS ps FROM d)),
+     pw AS (SELECT r, par, {_WORDS.format("part")} AS words FROM par),
+     few AS (SELECT r, par, k FROM (SELECT r, par, unnest(list_distinct(words)) AS word FROM pw) JOIN tk USING (word) JOIN t USING (k) GROUP BY r, par, k, need HAVING count(*) >= need),
+     occ AS (SELECT r, par, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM pw WHERE (r, par) IN (SELECT r, par FROM few)),
+     mine AS MATERIALIZED (SELECT r, par, k, pos, word FROM few JOIN occ USING (r, par) JOIN tk USING (k, word)),
+     bad AS (SELECT r, par, k, pos FROM few JOIN occ USING (r, par) JOIN nv USING (k, word)),
+     starts AS (SELECT m.r, m.par, m.k, m.pos AS s, least(m.pos + any_value(t.span), coalesce(min(bad.pos), m.pos + any_value(t.span))) AS e
+                FROM mine m JOIN t ON t.k = m.k LEFT JOIN bad ON bad.r = m.r AND bad.par = m.par AND bad.k = m.k AND bad.pos >= m.pos GROUP BY m.r, m.par, m.k, m.pos),
+     runs AS (SELECT s.r, s.k, s.par, s.s, s.e, list(DISTINCT m.word) AS got FROM starts s JOIN mine m ON m.r = s.r AND m.par = s.par AND m.k = s.k AND m.pos >= s.s AND m.pos < s.e GROUP BY ALL),
+     found AS (SELECT r, list(DISTINCT label) AS labels, max(len(got)::DOUBLE / len(tw)) AS score FROM runs JOIN t USING (k) JOIN pw USING (r, par)
+               WHERE len(got) >= need AND (must = '' OR contains(' ' || array_to_string(pw.words[s : e - 1], ' ') || ' ', ' ' || must || ' ')) GROUP BY r)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,

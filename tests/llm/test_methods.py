@@ -1,13 +1,76 @@
 """What each method promises beyond its result: joins that count once, filters that reject, wrappers that decide."""
 
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from stellagrid.llm import token_counts
+from stellagrid.llm import licenses, token_counts
 
-from .test_operators import WORD, docs, empty, library, rows_of, texts  # noqa: F401
+from .test_operators import WORD, brute_licenses, docs, empty, library, rows_of, texts  # noqa: F401
+
+
+# 3
+
+LINES = {
+    "Released under the ISC License.": "isc",
+    "Licensed under CC BY 4.0.": "cc-by",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    "This work is licensed under the GNU Affero General Public License, version 3.": "agpl,gpl",  # gpl by its phrase
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "gpl,lgpl",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "The weather is licensed to change under the public.": "",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "isc",
+    "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+    "nd is a word.\nLicensed under CC BY-NC 4.0. nd": "cc-by-nc",
+}
+
+
+def wrapped(text, width):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = ""
+        line += (" " if line else "") + w
+    return "\n".join([*out, line])
+
+
+def test_license_labels(spark):
+    mit = next(t for label, t, _, _ in reversed(licenses.TEMPLATES) if label == "mit" and "merge" in t)
+    long = "far " * 50_000  # a very long line, with the words of a notice far from one another
+    cases = [*LINES.items(), (wrapped(mit, 40), "mit"), (wrapped(mit, 11), "mit"), (long + "Released " + long + "under the MIT " + long + "license " + long, ""), (long + mit + " " + long, "mit")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for k, (text, labels) in enumerate(cases):
+        assert got[k]["labels"] == labels, text[:80]
+        found, score = brute_licenses(text)
+        assert found <= set(labels.split(",")) and got[k]["score"] == pytest.approx(score)
+
+
+def test_license_filters_reject_and_lose_nothing(spark):
+    """Length and positional filters leave fewer pairs than share a prefix word, and every pair that matches."""
+    r = random.Random(11)
+    known = licenses.prepare(licenses.TEMPLATES, 0.8)
+    rows = [(k, " ".join(r.sample(t.words, r.randint(1, len(t.words))))) for k in range(300) for t in [r.choice(known)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = sorted({w for t in known for w in (*t.words, *t.must, *t.never)})
+    order = {w: k for k, w in enumerate(words)}
+    sides, vocabulary, prefix = licenses._sides(spark, known, order)
+    texts = docs.select(F.col("doc_id").alias("t1"), F.lit(0).alias("t2"), "text")
+    blocks = licenses.blocks(texts, vocabulary, prefix).where("tile = 0")
+    shared = blocks.select("t1", "reach", F.explode("ranks").alias("rank")).join(sides, ["reach", "rank"]).select("t1", "template").distinct()
+    left = licenses.candidates(blocks, sides).select("t1", "template").distinct()
+    want = {(k, t.number) for k, text in rows for t in known if len(set(text.split()) & set(t.words)) >= t.need}
+    got = {tuple(x) for x in left.collect()}
+    assert want <= got and len(got) < shared.count()
+    # The positional filter alone rejects some that are long enough.
+    enough = {(k, t.number) for k, text in rows for t in known if len({w for w in text.split() if w in order}) >= t.need}
+    assert {tuple(x) for x in shared.collect()} & enough > got & enough
 
 
 # 10
