@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, hash128, text_or_empty
+from .common import WHITE, ascii_lower, cut, hash128, small_side, text_or_empty
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -28,22 +28,26 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def _kept(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(row, lines, dropped, kept): each row of docs as a struct, its lines, dropped positions, and lines kept."""
     lines = keyed_lines(docs, min_chars)
-    common = (
+    common = cut(
         lines.groupBy("h1", "h2")
         .agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "common_lines",
     )
-    dropped = (
-        lines.join(common, ["h1", "h2"])
+    # Broadcast if measured to be small; else a plain join of two tables, whose hot keys adaptive execution splits.
+    dropped = cut(
+        lines.join(small_side(common, F.lit(0)), ["h1", "h2"])
         .where(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id", "row_hash")
-        .agg(F.collect_set("pos").alias("dropped"))
+        .agg(F.collect_set("pos").alias("dropped")),
+        "dropped_lines",
     )
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_hash"), F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.split(text_or_empty(), "\n", -1).alias("lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.col("lines")[i]))
-    return rows.join(dropped, ["doc_id", "row_hash"], "left").select("row", "lines", "dropped", F.array_join(kept, "\n").alias("kept"))
+    side = small_side(dropped, 16 + 4 * F.size("dropped"))
+    return rows.join(side, ["doc_id", "row_hash"], "left").select("row", "lines", "dropped", F.array_join(kept, "\n").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -51,11 +55,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Lines are cut at "\\n", stripped, A-Z lower-cased and hashed to 128 bits; the documents of each hash are counted
     with partial aggregation on (hash, doc_id), so a line that a third of all documents hold is spread over all tasks.
-    Only hashes and positions are shuffled for that; the text moves once, to meet its list of dropped positions.
+    The hashes of common lines, which are few, then meet the lines again, in a broadcast where their measured size allows
+    it; so do the positions to drop and their documents. Beyond that size both are shuffled, and the text moves once.
 
     A line found in min_docs distinct documents loses all its places but those in the largest doc_id that holds it.
     Null text counts as one empty line. Rows without doc_id count nowhere and lose nothing. Repeated rows of a doc_id
-    are one document: each of them loses the same lines. An empty table gives no rows.
+    are one document: each of them loses the same lines. An empty table gives no rows. A long text is split where it is
+    read; a document's positions to drop are bounded by its own lines. There are no ties: doc_ids order the documents.
     """
     return _kept(docs.select("doc_id", "text"), min_chars, min_docs).select(
         "row.doc_id",
