@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from .common import cut, hash128, text_or_empty
 
 SHARDS = 16
-#: Groups are packed in so many bundles by hash. One with over 1 / WHOLE of a shard's share of any total is dealt into
-#: pieces of 1 / PIECES of a shard's share each.
-BUNDLES, WHOLE, PIECES = 16_384, 4, 64
-#: How much bytes, tokens and rows weigh in the dot product.
+#: Groups with more than 1 / SINGLE of any total are packed one by one; the tail of smaller ones in so many bundles by
+#: hash. A group with over 1 / WHOLE of a shard's share is dealt into pieces of 1 / PIECES of a shard's share each.
+SINGLE, BUNDLES, WHOLE, PIECES = 32_768, 16_384, 4, 64
+#: How much bytes, tokens and rows weigh in the dot product: the law is about bytes, tokens and rows follow closely.
 WEIGHTS = (10.0, 1.0, 1.0)
 
 
@@ -31,45 +32,50 @@ def pack(vectors: np.ndarray, shards: int = SHARDS, weights: tuple = WEIGHTS) ->
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, single: int = SINGLE, bundles: int = BUNDLES) -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard and slot of each row of docs (doc_id, text). The law is `bytes`.
 
-    Tokens are estimated as white-space separated words. Groups of equal texts keep together, but for the hot ones: a
-    group with over a quarter of a shard's share of bytes, tokens or rows is dealt by doc_id into pieces of a 64th of
-    such a share. There are 3 * 4 * shards such groups at most, whatever the input. All other
-    groups are summed into `bundles` bundles by hash. So what the driver packs is a table of fixed size, and the
-    shuffles before it carry partial sums. Slots are counted within bundles, whose places follow one another in their
-    shard; no task sorts a whole shard.
+    Tokens are estimated as words between white space. Groups of equal texts are packed one by one, largest first. Two
+    kinds are not: a group with over a quarter of a shard's share of bytes, tokens or rows is dealt by doc_id into
+    pieces of a 64th of such a share, and groups of at most 1 / `single` of every total, the tail of large inputs, are
+    summed into `bundles` bundles by hash first. So the driver packs a table of at most 3 * single + bundles +
+    6 * shards * PIECES rows of numbers, whatever the input, and the shuffles before it carry partial sums. Slots are
+    counted within units, whose places follow one another in their shard; no task sorts a whole shard.
 
     Null text has no bytes and no tokens. Rows with equal doc_id and text share a place in any order, and each get
-    their slot. Null doc_ids come first. An empty table gives no rows.
+    their slot. Null doc_ids come first. Groups of equal size are packed in the order of their hash; of shards with
+    equal dot products the first is taken. A long text is one group as any other. An empty table gives no rows.
     """
     spark = docs.sparkSession
     t = text_or_empty()
     h1, h2 = hash128(t)
     size = F.octet_length(t).cast("long") + 1
-    tokens = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    tokens = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
     rows = cut(docs.select("doc_id", size.alias("size"), tokens.alias("tokens"), F.crc32(t).alias("text_crc32"), h1.alias("h1"), h2.alias("h2")), "sizes")
     sums = (F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     total = [max(1, x or 0) for x in rows.agg(*sums).first()]
     share = F.greatest(*(F.col(c) / n for c, n in zip(("size", "tokens", "n"), total, strict=True)))
-    groups = rows.groupBy("h1", "h2").agg(*sums).select("h1", "h2", "n", share.alias("share")).where((F.col("share") > 1 / (shards * WHOLE)) & (F.col("n") > 1))
-    hot, at = [], bundles
-    for g1, g2, _, part in groups.orderBy("h1", "h2").collect():  # 3 * shards * WHOLE rows at most
-        k = int(np.ceil(part * shards * PIECES))
-        hot.append((g1, g2, at, k))
-        at += k
-    marked = rows.join(F.broadcast(spark.createDataFrame(hot, "h1 long, h2 long, first int, pieces int")), ["h1", "h2"], "left")
+    groups = cut(rows.groupBy("h1", "h2").agg(*sums).select("h1", "h2", "n", share.alias("share")).where(F.col("share") > 1 / single), "groups")
+    chosen = groups.orderBy("h1", "h2").toPandas()  # 3 * single rows at most
+    piece = (chosen["share"] > 1 / (shards * WHOLE)) & (chosen["n"] > 1)
+    chosen["pieces"] = np.where(piece, np.ceil(chosen["share"] * shards * PIECES), 1).astype(np.int32)
+    chosen["first"] = (bundles + chosen["pieces"].cumsum() - chosen["pieces"]).astype(np.int32)
+    known = spark.createDataFrame(chosen[["h1", "h2", "first", "pieces"]], "h1 long, h2 long, first int, pieces int")
+    marked = rows.join(F.broadcast(known), ["h1", "h2"], "left")
     unit = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.pmod("h1", F.lit(bundles)))
     dealt = marked.select("doc_id", "size", "tokens", "text_crc32", "h1", unit.cast("int").alias("unit"))
-    units = dealt.groupBy("unit").agg(*sums).orderBy("unit").collect()  # bundles + 6 * shards * PIECES rows at most
-    places, filled = [], [0] * shards
-    if units:
-        for u, s in zip(units, pack(np.array([u[1:] for u in units], dtype=float), shards), strict=True):
-            places.append((u["unit"], int(s), filled[s]))
-            filled[s] += u["n"]
+    units = dealt.groupBy("unit").agg(*sums).orderBy("unit").toPandas()  # a row for each of the units above
+    places = units[["unit"]].assign(shard=pack(units[["size", "tokens", "n"]].to_numpy(dtype=float), shards) if len(units) else np.zeros(0, np.int64))
+    places["first_slot"] = units["n"].groupby(places["shard"]).cumsum() - units["n"] if len(units) else pd.Series(dtype="int64")
     table = F.broadcast(spark.createDataFrame(places, "unit int, shard int, first_slot long"))
     order = W.partitionBy("unit").orderBy("doc_id", "h1")
     return dealt.join(table, "unit").select(
         "doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first_slot") + F.row_number().over(order) - 1).alias("slot")
     )
+
+
+def balance(sharded: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """shard, size, tokens and n (rows) of each shard, as shares of the mean shard."""
+    by = sharded.groupBy("shard").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    totals = by.agg(F.sum("size"), F.sum("tokens"), F.sum("n")).first()
+    return by.select("shard", *((F.col(c) * shards / (t or 1)).alias(c) for c, t in zip(("size", "tokens", "n"), totals, strict=True)))
