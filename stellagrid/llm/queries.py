@@ -150,9 +150,10 @@ def _url_sql() -> str:
         f"""
      s{k} AS (SELECT *, CASE WHEN regexp_matches(segs[{k + 1}], '[0-9]') THEN '*' ELSE segs[{k + 1}] END AS seg FROM t{k}),
      w{k} AS (SELECT host, template FROM s{k} WHERE seg IS NOT NULL GROUP BY host, template HAVING count(DISTINCT seg) >= {urls.FANOUT}),
-     t{k + 1} AS (SELECT s.host, s.path, segs, labelled, blocked, CASE WHEN seg IS NULL THEN parent ELSE s.template END AS parent,
+     u{k} AS (SELECT s.host, s.path, segs, labelled, blocked, branches, seg,
              s.template || CASE WHEN seg IS NULL THEN '' WHEN w.host IS NOT NULL THEN '/*' ELSE '/' || seg END AS template
-             FROM s{k} s LEFT JOIN w{k} w ON w.host = s.host AND w.template = s.template),"""
+             FROM s{k} s LEFT JOIN w{k} w ON w.host = s.host AND w.template = s.template),
+     t{k + 1} AS MATERIALIZED (SELECT host, path, segs, labelled, blocked, template, CASE WHEN seg IS NULL THEN branches ELSE list_append(branches, template) END AS branches FROM u{k}),"""
         for k in range(urls.DEPTH)
     )
     m = f"{urls.STRENGTH}::DOUBLE"
@@ -160,17 +161,24 @@ def _url_sql() -> str:
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
      r AS (SELECT *, {rule} AS rule, {verdict} AS said FROM p),
-     t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, '' AS parent, '' AS template
+     t0 AS (SELECT host, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, '' AS template, [''] AS branches
             FROM r GROUP BY host, path),{levels}
-     tree AS (SELECT host, path, parent, template || CASE WHEN len(segs) > {urls.DEPTH} THEN '/**' ELSE '' END AS template, labelled, blocked FROM t{urls.DEPTH}),
-     leaf AS (SELECT host, parent, template, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(blocked) AS DOUBLE) AS blocked, (sum(blocked) + 1)::DOUBLE / (sum(labelled) + 2) AS share FROM tree GROUP BY ALL),
-     near AS (SELECT *, lag(share) OVER o AS ls, lag(labelled) OVER o AS ll FROM leaf WINDOW o AS (PARTITION BY host, parent ORDER BY share, template)),
+     tree AS (SELECT host, path, labelled, blocked, CASE WHEN len(segs) > {urls.DEPTH} THEN template || '/**' ELSE template END AS template,
+                     CASE WHEN len(segs) > {urls.DEPTH} THEN list_append(branches, template || '/**') ELSE branches END AS branches FROM t{urls.DEPTH}),
+     leaf AS (SELECT host, template, branches, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tree GROUP BY ALL),
+     chain AS (SELECT host, labelled, blocked, generate_subscripts(branches, 1) AS level, unnest(branches) AS node, branches FROM leaf),
+     nodes AS (SELECT host, level, node, CASE WHEN level > 1 THEN branches[level - 1] END AS parent, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(blocked) AS DOUBLE) AS blocked FROM chain GROUP BY ALL),
+     shares AS (SELECT *, (blocked + 1) / (labelled + 2) AS share FROM nodes),
+     near AS (SELECT *, lag(share) OVER o AS ls, lag(labelled) OVER o AS ll FROM shares WINDOW o AS (PARTITION BY host, level, parent ORDER BY share, node)),
      apart AS (SELECT *, CASE WHEN share - ls > {urls.ALIKE}::DOUBLE * sqrt((share + ls) / 2 * (1 - (share + ls) / 2) * (1 / (labelled + 2) + 1 / (ll + 2))) THEN 1 ELSE 0 END AS gap FROM near),
-     branch AS (SELECT *, sum(gap) OVER (PARTITION BY host, parent ORDER BY share, template) AS b FROM apart),
-     merged AS (SELECT *, sum(labelled) OVER (PARTITION BY host, parent, b) AS bl, sum(blocked) OVER (PARTITION BY host, parent, b) AS bb,
-                       sum(labelled) OVER (PARTITION BY host) AS hl, sum(blocked) OVER (PARTITION BY host) AS hb FROM branch),
+     branch AS (SELECT *, sum(gap) OVER (PARTITION BY host, level, parent ORDER BY share, node) AS b FROM apart),
+     pooled AS (SELECT host, level, node, sum(labelled) OVER (PARTITION BY host, level, parent, b) AS al, sum(blocked) OVER (PARTITION BY host, level, parent, b) AS bad FROM branch),
      total AS (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) AS overall FROM leaf),
-     judged AS (SELECT host, template, (bb + {m} * (hb + {m} * overall) / (hl + {m})) / (bl + {m}) AS impurity FROM merged, total)
+     steps AS (SELECT c.host, leaf.template, list(struct_pack(al := al, bad := bad, x := 0::DOUBLE) ORDER BY c.level) AS steps
+               FROM leaf JOIN (SELECT host, template, generate_subscripts(branches, 1) AS level, unnest(branches) AS node FROM leaf) c ON c.host = leaf.host AND c.template = leaf.template
+               JOIN pooled ON pooled.host = c.host AND pooled.level = c.level AND pooled.node = c.node GROUP BY c.host, leaf.template),
+     judged AS (SELECT host, template, list_reduce(list_prepend(struct_pack(al := 0::DOUBLE, bad := 0::DOUBLE, x := overall::DOUBLE), steps),
+                lambda a, s: struct_pack(al := 0::DOUBLE, bad := 0::DOUBLE, x := (s.bad + {m} * a.x) / (s.al + {m}))).x AS impurity FROM steps, total)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN j.impurity > {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM r JOIN tree ON tree.host = r.host AND tree.path = r.path JOIN judged j ON j.host = tree.host AND j.template = tree.template
 """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut, small_side
 
 # Verdict, host and path prefix of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -39,54 +39,69 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def path_templates(paths: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
-    """paths (host, path, ...) with the parent and the template of each path; one row a distinct (host, path).
+    """paths (host, path, ...) with the branches of each path: its templates from the root, "", down to its own.
 
-    Level by level from the root, a segment becomes "*" if it has a digit, or if its parent, in the same host, has
-    fanout distinct segments or more below it. Only (host, parent, segment) counts are shuffled for that.
+    Level by level, a segment becomes "*" if it has a digit, or if its parent, in the same host, has fanout distinct
+    segments or more below it. Distinct segments are counted from partial sums; the parents with many are few, and join
+    in a broadcast if their measured size allows it, so that a host with a third of all paths stays spread.
     """
-    tree = paths.withColumns({"segments": F.filter(F.split("path", "/"), lambda s: s != ""), "template": F.lit(""), "parent": F.lit("")})
+    tree = paths.withColumns({"segments": F.filter(F.split("path", "/"), lambda s: s != ""), "template": F.lit(""), "branches": F.array(F.lit(""))})
     deepest = min(depth, tree.agg(F.max(F.size("segments"))).first()[0] or 0)
     for level in range(deepest):
         here = F.get("segments", F.lit(level))
         tree = tree.withColumn("segment", F.when(here.rlike("[0-9]"), F.lit("*")).otherwise(here))
         wide = (
             tree.where(F.col("segment").isNotNull())
-            .groupBy("host", F.col("template"))
+            .groupBy("host", "template")
             .agg(F.countDistinct("segment").alias("n"))
             .where(F.col("n") >= fanout)
             .select("host", "template", F.lit(True).alias("wide"))
         )
-        segment = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("wide"), F.lit("/*")).otherwise(F.concat(F.lit("/"), "segment"))
-        tree = tree.join(wide, ["host", "template"], "left").withColumns(
-            {"parent": F.when(F.col("segment").isNull(), F.col("parent")).otherwise(F.col("template")), "template": F.concat("template", segment)}
-        ).drop("wide", "segment")
-    return tree.withColumn("template", F.when(F.size("segments") > deepest, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+        wide = small_side(cut(wide, "wide"), F.octet_length("host") + F.octet_length("template"))
+        step = F.when(F.col("wide"), F.lit("*")).otherwise(F.col("segment"))
+        tree = (
+            tree.join(wide, ["host", "template"], "left")
+            .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
+            .withColumn("branches", F.when(F.col("segment").isNull(), F.col("branches")).otherwise(F.array_append("branches", F.col("template"))))
+            .drop("wide", "segment")
+        )
+    folded = F.size("segments") > deepest
+    return tree.withColumns(
+        {
+            "branches": F.when(folded, F.array_append("branches", F.concat("template", F.lit("/**")))).otherwise(F.col("branches")),
+            "template": F.when(folded, F.concat("template", F.lit("/**"))).otherwise(F.col("template")),
+        }
+    ).drop("segments")
 
 
 def judge_templates(tree: DataFrame, strength: float = STRENGTH, alike: float = ALIKE) -> DataFrame:
-    """(host, template, impurity) from tree (host, parent, template, n, labelled, blocked).
+    """(host, template, impurity) from tree (host, branches, template, labelled, blocked).
 
-    Siblings are ordered by their smoothed share of blocked pages; neighbours within `alike` standard errors become one
-    branch. A parent has fewer than FANOUT siblings, or one wildcard, so its window is small. A branch's share is
-    smoothed towards its host's, and that towards the share over all hosts.
+    Every branch of a host's tree, inner ones too, has the counts of all paths below it. Siblings are ordered by their
+    smoothed share of blocked pages; neighbours within `alike` standard errors become one, and pool their counts. A
+    parent has fewer than FANOUT named children, and a wildcard, so its window is small. The share of a template is
+    smoothed towards that of the merged branch above it, and so on up to the host and to the share over all hosts.
     """
-    leaf = tree.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    leaf = cut(tree.groupBy("host", "template", "branches").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "templates")
+    # Partial sums by branch: a task sends a branch of a hot host once.
+    chain = leaf.select("host", "labelled", "blocked", F.posexplode("branches").alias("level", "node"), F.col("branches").alias("b"))
+    parent = F.when(F.col("level") > 0, F.get("b", F.col("level") - 1)).otherwise(F.lit(None))
+    nodes = chain.select("host", "level", "node", parent.alias("parent"), "labelled", "blocked").groupBy("host", "level", "node", "parent").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     share = (F.col("blocked") + 1) / (F.col("labelled") + 2)
-    order = W.partitionBy("host", "parent").orderBy("share", "template")
-    error = F.sqrt((F.col("share") + F.lag("share").over(order)) / 2 * (1 - (F.col("share") + F.lag("share").over(order)) / 2) * (1 / (F.col("labelled") + 2) + 1 / (F.lag("labelled").over(order) + 2)))
+    order = W.partitionBy("host", "level", "parent").orderBy("share", "node")
+    mean = (F.col("share") + F.lag("share").over(order)) / 2
+    error = F.sqrt(mean * (1 - mean) * (1 / (F.col("labelled") + 2) + 1 / (F.lag("labelled").over(order) + 2)))
     apart = F.coalesce((F.col("share") - F.lag("share").over(order) > alike * error).cast("int"), F.lit(0))
-    branch = leaf.withColumn("share", share).withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
-    merged = branch.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"))
-    hosts = leaf.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
+    merged = nodes.withColumn("share", share).withColumn("apart", apart).withColumn("group", F.sum("apart").over(order))
+    group = W.partitionBy("host", "level", "parent", "group")
+    pooled = cut(merged.select("host", "level", "node", F.sum("labelled").over(group).alias("all"), F.sum("blocked").over(group).alias("bad")), "branches")
     total, bad = leaf.agg(F.sum("labelled"), F.sum("blocked")).first()
     overall = ((bad or 0) + 1) / ((total or 0) + 2)
-    by_host = (F.col("hb") + strength * overall) / (F.col("hl") + strength)
-    return (
-        branch.select("host", "parent", "template", "branch")
-        .join(merged, ["host", "parent", "branch"])
-        .join(hosts, "host")
-        .select("host", "template", ((F.col("bb") + strength * by_host) / (F.col("bl") + strength)).alias("impurity"))
-    )
+    side = small_side(pooled, F.octet_length("host") + F.octet_length("node") + 16)
+    path = leaf.select("host", "template", F.posexplode("branches").alias("level", "node")).join(side, ["host", "level", "node"])
+    steps = path.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "all", "bad"))).alias("steps"))
+    impurity = F.aggregate("steps", F.lit(overall), lambda above, s: (s["bad"] + F.lit(strength) * above) / (s["all"] + F.lit(strength)))
+    return steps.select("host", "template", impurity.alias("impurity"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, reject: float = REJECT) -> DataFrame:
@@ -98,12 +113,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
 
     A null url, or one without "://", has an empty host and path, which no rule with a host fits; such pages share one
     template. Hosts without any labelled page go by the share over all hosts. Repeated rows count, and each get a row.
+    Siblings of equal share become one branch. Long urls are taken whole; segments below DEPTH levels are one wildcard.
     """
     rules = RULES if rules is None else rules
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     paths = rows.groupBy("host", "path").agg(F.count("found.verdict").alias("labelled"), F.count_if(F.col("found.verdict") == "block").alias("blocked"))
-    tree = path_templates(paths)
-    judged = tree.select("host", "path", "template").join(judge_templates(tree), ["host", "template"])
+    tree = cut(path_templates(cut(paths, "paths")), "tree")
+    templates = cut(judge_templates(tree), "judged")
+    judged = tree.select("host", "path", "template").join(small_side(templates, F.octet_length("host") + F.octet_length("template")), ["host", "template"])
     verdict = F.coalesce("found.verdict", F.when(F.col("impurity") > reject, F.lit("block")).otherwise(F.lit("allow")))
     return rows.join(judged, ["host", "path"], "left").select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "template", "impurity")
