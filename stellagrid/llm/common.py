@@ -49,13 +49,12 @@ def small_side(df: DataFrame, row_bytes: Column, at_most_mb: float = 32) -> Data
     return F.broadcast(df) if size <= at_most_mb * 1_000_000 else df
 
 
-def filter_texts(docs: DataFrame, prepare: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
-    """The rows of docs whose text passes, with all columns as they are. prepare() runs in each task and gives the test."""
+def filter_texts(docs: DataFrame, passing: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs whose text passes, with all columns as they are. passing() says so of a list of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = prepare()
         for batch in batches:
-            yield batch.filter(pa.array([passes(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(passing(batch.column("text").to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

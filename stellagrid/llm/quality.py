@@ -55,9 +55,9 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > REPEAT_PERCENT * n_words
 
 
-def gram_buckets(text: str | None) -> np.ndarray:
+def gram_buckets(text: str | bytes | None) -> np.ndarray:
     """The bucket of each n-gram of bytes of the text."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+    b = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
     n = len(b) - GRAM + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
@@ -68,11 +68,18 @@ def gram_buckets(text: str | None) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.int64) % BUCKETS
 
 
-def _mean_ratio(text: str | None, ratio: np.ndarray) -> float:
+def stretches(text: str | None, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a text in stretches that overlap by GRAM - 1, so that every n-gram stands in exactly one."""
+    b = text.encode("utf-8", "surrogatepass") if text else b""
+    for at in range(0, len(b), step):
+        yield b[at : at + step + GRAM - 1]
+
+
+def mean_ratio(text: str | None, ratio: np.ndarray) -> float:
     """The mean over all n-grams of the text, a stretch of it at a time."""
-    total, n, step = 0.0, 0, 1 << 20
-    for at in range(0, len(text or ""), step):
-        g = gram_buckets(text[at : at + step])
+    total, n = 0.0, 0
+    for stretch in stretches(text):
+        g = gram_buckets(stretch)
         total, n = total + float(ratio[g].sum()), n + len(g)
     return total / n if n else 0.0
 
@@ -98,10 +105,10 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.
         raw, good, any_row = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), False
         for batch in batches:
             for text, g in zip(batch["text"], batch["good"], strict=True):
-                for at in range(0, len(text or ""), 1 << 20):
-                    counts = np.bincount(gram_buckets(text[at : at + (1 << 20)]), minlength=BUCKETS) if len(text) > 3000 else None
+                for stretch in stretches(text):
+                    counts = np.bincount(gram_buckets(stretch), minlength=BUCKETS) if len(stretch) > 3000 else None
                     if counts is None:
-                        buckets = gram_buckets(text)
+                        buckets = gram_buckets(stretch)
                         np.add.at(raw, buckets, 1)
                         if g is True:
                             np.add.at(good, buckets, 1)
@@ -131,7 +138,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
 
     kept is false if base_failed, else true if the mean log ratio of the text's hashed n-grams is at least threshold.
     Null or empty text has no words and fails. Without any trusted document the ratio is 0 throughout, and the base
-    rules alone decide. Repeated rows each count and each get their row.
+    rules alone decide. Repeated rows each count and each get their row. Long texts are taken in stretches that lose no
+    n-gram. A score equal to the threshold keeps the document.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, trusted))
 
@@ -140,7 +148,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
             out = pd.DataFrame([base_counts(t) for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
             out["doc_id"] = batch["doc_id"].array
             out["base_failed"] = [base_failed(n, r) for n, r in zip(out["n_words"], out["n_repeat_words"], strict=True)]
-            out["score"] = [_mean_ratio(t, ratio.value) for t in batch["text"]]
+            out["score"] = [mean_ratio(t, ratio.value) for t in batch["text"]]
             out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
             yield out
 
@@ -151,11 +159,8 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trust
     """The rows of docs that judge() keeps, with all their columns."""
     ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, trusted))
 
-    def prepare():
-        def passes(text: str | None) -> bool:
-            n_words, *_, n_repeat_words = base_counts(text)
-            return not base_failed(n_words, n_repeat_words) and _mean_ratio(text, ratio.value) >= threshold
-
-        return passes
+    def passes(text: str | None) -> bool:
+        n_words, *_, n_repeat_words = base_counts(text)
+        return not base_failed(n_words, n_repeat_words) and mean_ratio(text, ratio.value) >= threshold
 
-    return filter_texts(docs, prepare)
+    return filter_texts(docs, lambda texts: [passes(t) for t in texts])

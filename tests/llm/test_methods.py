@@ -6,9 +6,25 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stellagrid.llm import licenses, token_counts
+from stellagrid.llm import decontaminate, jaccard, licenses, shards, token_counts, urls
 
-from .test_operators import WORD, brute_licenses, docs, empty, library, rows_of, texts  # noqa: F401
+from .test_operators import WORD, brute_components, brute_hits, brute_licenses, docs, empty, library, rows_of, texts  # noqa: F401
+
+
+# 2
+
+
+def test_shards_balance_bytes_tokens_and_rows(spark, small):
+    """Small inputs are packed group by group; a small bound of single groups, as on large inputs, bundles the tail."""
+    d = spark.read.parquet(f"{small}/../sf0.01/documents.parquet").select("doc_id", "text")
+    for single, size, tokens in ((shards.SINGLE, 0.02, 0.05), (200, 0.02, 0.05)):
+        by = shards.balance(shards.shard(d, single=single)).collect()
+        assert len(by) == shards.SHARDS
+        assert max(r["size"] for r in by) - min(r["size"] for r in by) < size
+        assert max(r["tokens"] for r in by) - min(r["tokens"] for r in by) < tokens
+        assert max(r["n"] for r in by) - min(r["n"] for r in by) < 0.05
+    t = spark.createDataFrame([(1, None), (2, "a\tb\nc  d"), (3, " ")], "doc_id long, text string")
+    assert rows_of(shards.shard(t), "doc_id", "tokens") == [(1, 0), (2, 4), (3, 0)]
 
 
 # 3
@@ -73,6 +89,65 @@ def test_license_filters_reject_and_lose_nothing(spark):
     assert {tuple(x) for x in shared.collect()} & enough > got & enough
 
 
+# 4
+
+
+def test_windows_in_arrays():
+    """Random words of a small alphabet, so that blocks repeat, windows touch, and items of every length occur."""
+    r = random.Random(2)
+    word = lambda: r.choice("ab cd ef g".split())
+    prose = lambda n: " ".join(word() for _ in range(n))
+    for _ in range(60):
+        bench = [(k, prose(r.randint(1, 14))) for k in range(4)]
+        texts = [prose(r.randint(0, 200)) for _ in range(5)] + [None, "", " ".join([prose(3), bench[0][1], prose(20), bench[0][1]])]
+        found = decontaminate.search(decontaminate.tables(bench, 10), texts)
+        got = [(k, n, sum(b - a for a, b in spans), {str(bench[i][0]) for i in items}) for k, (n, spans, items) in enumerate(found)]
+        assert got == brute_hits(list(enumerate(texts)), bench)
+
+
+def test_pieces_of_a_long_text_lose_no_window(monkeypatch):
+    from stellagrid.llm import common
+
+    monkeypatch.setattr(common, "PIECE", 50)
+    text = " ".join(f"w{k}" for k in range(300))
+    bench = [(k, " ".join(f"w{k + j}" for j in range(10))) for k in range(0, 290, 7)]
+    found = decontaminate.search(decontaminate.tables(bench, 10), [text])
+    assert [(0, found[0][0], sum(b - a for a, b in found[0][1]), {str(bench[i][0]) for i in found[0][2]})] == brute_hits([(0, text)], bench)
+
+
+# 6
+
+
+def test_inner_branches_merge(spark):
+    """/en and /fr have alike shares: a branch below one of them that has no label of its own goes by both."""
+    rules = [("block", "x.net", "/en/a/1"), ("block", "x.net", "/fr/a/1"), ("allow", "x.net", "/it/a/1")]
+    rows = [(k, f"http://x.net/{lang}/a/1{k}") for lang in ("en", "fr", "it") for k in range(40)] + [(900, "http://x.net/en/b/c"), (901, "http://x.net/it/b/c")]
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).where("page_id >= 900").collect()}
+    assert got[900]["verdict"] == "block" and got[901]["verdict"] == "allow"
+    alone = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame([r for r in rows if "/fr/" not in r[1]], "page_id long, url string"), rules).where("page_id >= 900").collect()}
+    assert got[900]["impurity"] > alone[900]["impurity"]  # twice the evidence, as /fr is pooled with /en
+
+
+# 8
+
+
+@pytest.mark.parametrize("tile", [2, 5, 2048])
+def test_tiles_by_size_band_lose_no_link(spark, tile):
+    r = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows, k = [], 0
+    for _ in range(12):
+        base = [r.choice(vocabulary) for _ in range(r.choice([12, 30, 60]))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            rows.append((k, " ".join(w[: r.randint(len(w) - 8, len(w))])))
+            k += 1
+    got = rows_of(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows) and len({c for _, _, c in got}) < len(got)
+
+
 # 10
 
 

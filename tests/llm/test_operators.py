@@ -2,6 +2,7 @@
 columns whose names clash with the operators' own."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -187,28 +188,35 @@ def test_licenses_over_lines(spark):
 # 4
 
 
-@pytest.mark.parametrize("block_mb", [32, 0.0002])
-def test_decontaminate(docs, empty, spark, block_mb):
-    t = dict(texts())
-    w = decontaminate.words_of(t[20])
-    bench = [(1, " ".join(x.decode() for x in w[5:30])), (2, "one two"), (2, "x y z"), (3, None), (4, ""), (None, "the"), (5, "never " * 12), (10, " ".join(x.decode() for x in w[40:50]).upper())]
-    items = spark.createDataFrame(bench, "item_id long, text string")
+def brute_hits(rows, bench, window=10):
+    """(id, words, hit words, items found) of each row, window by window."""
     windows = defaultdict(set)
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
     for i, b in bench:
-        bw = decontaminate.words_of(b)
-        n = min(10, len(bw))
+        bw = split(b)
+        n = min(window, len(bw))
         for k in range(len(bw) - n + 1 if bw and i is not None else 0):
             windows[tuple(bw[k : k + n])].add(str(i))
-    want = []
-    for i, text in texts():
-        dw = decontaminate.words_of(text)
+    out = []
+    for i, text in rows:
+        dw = split(text)
         hit, found = set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(dw) - n + 1):
                 if (x := windows.get(tuple(dw[k : k + n]))):
                     hit |= set(range(k, k + n))
                     found |= x
-        want.append((i, len(dw), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+        out.append((i, len(dw), len(hit), found))
+    return out
+
+
+@pytest.mark.parametrize("block_mb", [32, 0.0002])
+def test_decontaminate(docs, empty, spark, block_mb):
+    t = dict(texts())
+    w = decontaminate.words_of(t[20])
+    bench = [(1, " ".join(x.decode() for x in w[5:30])), (2, "one two"), (2, "x y z"), (3, None), (4, ""), (None, "the"), (5, "never " * 12), (10, " ".join(x.decode() for x in w[40:50]).upper())]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    want = [(i, n, hit, len(found), sha(",".join(sorted(found))), hit > 0) for i, n, hit, found in brute_hits(texts(), bench)]
     got = rows_of(decontaminate.decontaminate(docs, items, block_mb=block_mb), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == sorted(want, key=repr) and any(r[5] for r in got)
     clean = decontaminate.keep_clean(docs, items, block_mb=block_mb)
@@ -295,6 +303,23 @@ def test_url_templates_learn_from_labels(spark):
 # 7
 
 
+def brute_scores(rows, good):
+    """The score of each row's text, n-gram by n-gram; good are the ids of trusted documents."""
+
+    def buckets(text):
+        b = (text or "").encode()
+        return [(int.from_bytes(b[k : k + 4], "big") * 2654435761 % (1 << 32)) >> 16 for k in range(len(b) - 3)]
+
+    raw, trusted = Counter(), Counter()
+    for i, t in rows:
+        raw.update(own := buckets(t))
+        if i in good:
+            trusted.update(own)
+    share = sum(trusted.values()) / max(1, sum(raw.values()))
+    ratio = {k: math.log((trusted[k] + 1) / (n * share + 1)) if trusted else 0.0 for k, n in raw.items()}
+    return [sum(map(ratio.__getitem__, own)) / len(own) if (own := buckets(t)) else 0.0 for _, t in rows]
+
+
 def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(20, 1, 0), (30, 1, None), (40, 1, 1), (None, 1, 0), (93, 0, 0), (999, 1, 0), (20, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.judge(docs, labels)
@@ -309,6 +334,8 @@ def test_quality(docs, empty, spark):
         want.append((i, len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in (t or "")), dup, len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)))
     assert got == sorted(want, key=repr)
     rows = out.collect()
+    scores = sorted(((i, round(s, 9)) for (i, _), s in zip(texts(), brute_scores(texts(), {20, 30, 999}), strict=True)), key=repr)
+    assert sorted(((r["doc_id"], round(r["score"], 9)) for r in rows), key=repr) == scores
     assert all(r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD) for r in rows)
     kept = quality.keep(docs, labels)
     assert kept.columns == docs.columns and rows_of(kept, "doc_id") == sorted(((r["doc_id"],) for r in rows if r["kept"]), key=repr)
