@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, run_hashes, small_side, text_or_empty
+from .common import cut, drop, run_hashes, small_side, text_or_empty
 
 WORDS = 5
 #: Similarity 80 / 100; the formulas below have it worked in.
@@ -25,8 +26,6 @@ SIMILAR = 80
 BITS_EACH, BITS, SKETCH, TILE = 8, 1024, 1 << 16, 2048
 #: Rounds in which only best partners are tried, in buckets of over LARGE entries, before all pairs are.
 ROUNDS, LARGE = 1, 32
-#: Pairs that a task compares at least.
-PAIRS_A_TASK = 2000
 #: A sketch bucket with so many shingles above the mean is dealt to several tasks.
 SALT_AT = 50_000
 _STRETCH = 1 << 19
@@ -136,7 +135,7 @@ def _entries(counts: np.ndarray, salt_at: int):
                 s = shingle_set(text)
                 if not len(s) or (node := _node(s)) in sent:
                     continue
-                if len(sent) < 1_000_000:
+                if len(sent) < 200_000:
                     sent.add(node)
                 n = len(s)
                 m = n - (4 * n + 4) // 5 + 1
@@ -239,11 +238,11 @@ def _best(best: bool):
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, _ in _runs(batches, ["h", "c", "d"], 1 << 30):
-            h, c, d, own = (rows[x].to_numpy() for x in ("h", "c", "d", "own"))
+        for rows, _ in _runs(batches, ["h", "lo", "c", "d"], 1 << 30):
+            h, lo, c, d, own = (rows[x].to_numpy() for x in ("h", "lo", "c", "d", "own"))
             n, pos, node, label = (rows[x].to_numpy().astype(np.int64) for x in ("n", "pos", "node", "label"))
             bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), BITS // 64)
-            edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
+            edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
             tile = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(h)]))))
             end = np.searchsorted(tile, tile, side="right")
             total = np.concatenate(([0], np.cumsum(end - np.arange(len(h)) - 1)))
@@ -272,7 +271,12 @@ def _best(best: bool):
 
 
 def _bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that the bit counts of their signatures allow to link."""
+    """The pairs (a, b) of nodes that the bit counts of their signatures allow to link.
+
+    Only the signatures of the pairs' own nodes go through a shuffle.
+    """
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    signed = signed.join(small_side(nodes, F.lit(0)), "node", "left_semi")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -283,7 +287,7 @@ def _bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     left = signed.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = signed.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     sized = pairs.join(left, "a").join(right, "b").where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
-    return sized.coalesce(1 + pairs.count() // PAIRS_A_TASK).mapInPandas(check, "a long, b long")
+    return sized.mapInPandas(check, "a long, b long")
 
 
 def _texts(rows: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -305,11 +309,52 @@ def _verify(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
                 ok.append(linked(s, shingle_set(ty)))
             yield batch.loc[ok, ["a", "b"]]
 
-    tasks = 1 + pairs.count() // PAIRS_A_TASK
-    texts = cut(_texts(rows, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).coalesce(tasks), "texts")
+    texts = cut(_texts(rows, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return cut(pairs.join(left, "a").join(right, "b").coalesce(tasks).mapInPandas(check, "a long, b long"), "links")
+    links = cut(pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long"), "links")
+    drop(texts)
+    return links
+
+
+def _tiles(named: DataFrame, tile: int, least: int) -> DataFrame:
+    """named (h, pos, n, node, label) dealt to cells (lo, c, d) in which entries of a bucket h meet, with own.
+
+    Linked sets lie in the same size band or in neighbouring ones. An entry stays only if its bucket has at least
+    `least` entries there and one of another label. A bucket of up to `tile` of them is one cell. In a larger one each
+    band is dealt by hash to pieces of about that size, and a cell is two pieces of a band (c <= d), or a piece of a
+    band and one of the next (d < 0): no cell has bands that are out of reach of one another. Two entries of a cell are
+    compared if it is a single piece, or if they differ in own.
+    """
+    named = named.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    per = named.groupBy("h", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"))
+    count = lambda d: F.ceil(F.coalesce(F.sum(F.when(F.col("o") == d, F.col("k"))), F.lit(0)) / tile).cast("int")
+    reach = (
+        per.select("h", near.alias("o"), "band", "lo", "hi", "k")
+        .withColumn("band", F.col("band") + F.col("o"))
+        .groupBy("h", "band")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("k").alias("near"), count(0).alias("same"), count(-1).alias("above"), count(1).alias("below"))
+        .where((F.col("lo") < F.col("hi")) & (F.col("near") > least) & (F.col("same") > 0))
+        .withColumn("size", F.sum("near").over(W.partitionBy("h")))
+    )
+    wanted = small_side(cut(reach.select("h", "band", "size", "same", "above", "below"), "bands"), F.lit(16))
+    own = F.pmod(F.xxhash64("node"), F.col("same")).cast("int")
+    none = F.expr("CAST(array() AS array<struct<lo:int,c:int,d:int,own:int>>)")
+
+    def cell(lo, c, d, who):
+        return F.struct(lo.cast("int").alias("lo"), c.cast("int").alias("c"), d.cast("int").alias("d"), who.cast("int").alias("own"))
+
+    def upto(k: str) -> Column:
+        return F.sequence(F.lit(0), F.col(k) - 1)
+
+    banded = F.concat(
+        F.transform(upto("same"), lambda q: cell(F.col("band"), F.least("mine", q), F.greatest("mine", q), F.col("mine"))),
+        F.when(F.col("above") > 0, F.transform(upto("above"), lambda q: cell(F.col("band"), F.col("mine"), -1 - q, F.lit(-1)))).otherwise(none),
+        F.when(F.col("below") > 0, F.transform(upto("below"), lambda q: cell(F.col("band") - 1, q, -1 - F.col("mine"), F.lit(-2)))).otherwise(none),
+    )
+    cells = F.when(F.col("size") <= tile, F.array(cell(F.lit(-1), F.lit(0), F.lit(0), F.lit(0)))).otherwise(banded)
+    return named.join(wanted, ["h", "band"]).withColumn("mine", own).select("h", "pos", "n", "node", "label", F.inline(cells))
 
 
 def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT) -> DataFrame:
@@ -319,13 +364,15 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
     2. Sets send their rarest shingles to buckets. Where several meet, each is paired with the pivot of its size band;
        pairs that their bitmaps allow are verified, and the links joined to components. So a group of near copies costs
        a row a member and bucket, not a pair of members.
-    3. Buckets that still hold several components are cut into tiles of bounded size. For a few rounds every component
-       there is verified with the closest other one by bit count. At last every pair of sets of different components
-       must fail the bounds of size, position or bit count, or is verified. So no link is lost that could join two
-       components.
+    3. Buckets that still hold several components within reach of one another are cut into tiles by size band. For a few
+       rounds every component there is verified with the closest other one by bit count. At last every pair of sets of
+       different components must fail the bounds of size, position or bit count, or is verified. So no link is lost
+       that could join two components.
 
     Null or empty text has no shingles and its own doc_id as component. Rows without doc_id have a null component and
     link with nothing. Repeated rows of a doc_id get equal results if their texts are equal. An empty table gives none.
+    Long texts are hashed in stretches; their sets are held by one task at a time. Ties between partners that are equally
+    close go to either, as every pair is tried at last.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_hash"), "text")
@@ -354,16 +401,8 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
     first = connected_components(_verify(tried, rows, places), "a", "b")
     for turn in range(ROUNDS + 1):
         named = active.join(first, "node", "left").select("h", "pos", "n", "node", F.coalesce("component", "node").alias("label"))
-        mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > (LARGE if turn < ROUNDS else 1)))
-        k = F.ceil(F.col("size") / tile).cast("int")
-        own = F.pmod(F.xxhash64("node"), k).cast("int")
-        tiles = (
-            named.join(mixed.select("h", "size"), "h")
-            .join(bitmaps.select("node", "bits"), "node")
-            .select("h", "pos", "n", "node", "label", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
-            .select("h", "pos", "n", "node", "label", "bits", "own", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"))
-        )
-        close = tiles.repartition("h", "c", "d").sortWithinPartitions("h", "c", "d").mapInPandas(_best(turn < ROUNDS), "a long, b long").distinct()
+        tiles = _tiles(named, tile, LARGE if turn < ROUNDS else 1).join(bitmaps.select("node", "bits"), "node")
+        close = tiles.repartition("h", "lo", "c", "d").sortWithinPartitions("h", "lo", "c", "d").mapInPandas(_best(turn < ROUNDS), "a long, b long").distinct()
         new = cut(_bounded(cut(close.join(tried, ["a", "b"], "left_anti"), "pairs"), bitmaps), "pairs")
         if new.isEmpty():
             continue
@@ -373,7 +412,9 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
             first = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
 
     labelled = sets.join(first, "node", "left").select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("label"))
-    least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"))
+    # A task sends a label once; labels of a single document need no join.
+    least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    least = small_side(cut(least.where(F.col("size") > 1).select("label", "least"), "least"), F.lit(0))
     return labelled.join(least, "label", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
