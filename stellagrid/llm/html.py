@@ -124,8 +124,18 @@ def text_of(nodes: list[Node], skip=lambda n: False) -> str:
     return " ".join(b for n in nodes for b in blocks(n, skip) if b)
 
 
+def form(n: Node) -> tuple:
+    """What siblings must have in common to be one slot: tag, name and, but for prose, the kinds of blocks they hold."""
+    kinds = () if n.tag in PROSE else frozenset(c.tag for c in n.children if isinstance(c, Node) and c.tag not in INLINE and c.tag not in RAW and c.tag not in VOID)
+    return n.tag, n.name, kinds
+
+
 class Shape:
-    """A tree in which like siblings in a row are one: what simple tree matching aligns."""
+    """A tree in which like siblings in a row are one: what simple tree matching aligns.
+
+    A menu, an advert and an article stay apart, even as siblings of one tag without names, since they hold other kinds
+    of blocks; the paragraphs of an article, or the items of a list, are one slot.
+    """
 
     __slots__ = ("children", "leaf", "nodes", "tag", "text")
 
@@ -136,7 +146,7 @@ class Shape:
         for n in nodes:
             for c in n.children:
                 if isinstance(c, Node) and c.tag not in RAW and c.tag not in VOID and not (c.tag in INLINE and n.tag in PROSE):
-                    if groups and groups[-1][0].tag == c.tag and groups[-1][0].name == c.name:
+                    if groups and form(groups[-1][0]) == form(c):
                         groups[-1].append(c)
                     else:
                         groups.append([c])
@@ -175,7 +185,7 @@ def match(a, b) -> tuple[int, list[tuple]]:
 
 
 class Template:
-    """A wrapper's node: number, tag, hash of its text if that is template, and whether it holds the main text."""
+    """A wrapper's node: number, tag and name, hash of its text if that is template, and whether it is of the main part."""
 
     __slots__ = ("children", "main", "own", "slot", "tag")
 
@@ -184,6 +194,10 @@ class Template:
         self.slot, self.tag, self.own, self.main = next(numbers), spec[0], spec[1], bool(spec[2])
         self.children = [Template(c, numbers) for c in spec[3]]
 
+    @property
+    def kind(self) -> str:
+        return self.tag.partition(".")[0]
+
     def walk(self) -> Iterator[Template]:
         yield self
         for c in self.children:
@@ -221,15 +235,17 @@ def judge(spec: str, pages: int, slots: dict[int, tuple[int, int, int, int]]) ->
     """The wrapper of a structure, from all pages that align with it.
 
     slots gives, by number, how many pages have the slot's commonest text, its hash and length, and the summed length of
-    all pages' texts. A text is template if more than MOST of the pages have it. The main part is the innermost node
-    outside boilerplate that holds most of the other text; where there is no other text, nothing is template.
+    all pages' texts. A text is template if more than MOST of the pages have it; all else varies. The main part is the
+    innermost node that holds most of the varying text outside links, with the headings and paragraphs that vary beside
+    it or beside a node around it. No class names are looked at, and of tags only those that never hold main text.
+    Where nothing varies, nothing is template. Of equal nodes the first counts.
     """
     base = Template(json.loads(spec))
     mass: dict[int, int] = {}
 
     def weigh(t: Template, dead: bool) -> int:
-        tag, _, name = t.tag.partition(".")
-        dead |= Node(tag, name).boilerplate
+        tag = t.kind
+        dead |= tag in BOILERPLATE or tag == "a"
         n, h, size, total = slots.get(t.slot, (0, 0, 0, 0))
         t.own = h if n > 1 and n > MOST * pages else None
         mass[t.slot] = sum(weigh(c, dead) for c in t.children) + (0 if dead else total - (0 if t.own is None else n * size))
@@ -240,14 +256,16 @@ def judge(spec: str, pages: int, slots: dict[int, tuple[int, int, int, int]]) ->
             t.own = None
         return json.dumps(base.spec())
     main = base
-    while down := next((c for c in main.children if c.tag.partition(".")[0] not in PROSE and 2 * mass[c.slot] > mass[base.slot]), None):
+    while down := next((c for c in main.children if c.kind not in PROSE and 2 * mass[c.slot] > mass[base.slot]), None):
+        for c in main.children:
+            c.main = c.kind in PROSE and mass[c.slot] > 0
         main = down
     main.main = True
     return json.dumps(base.spec())
 
 
-def semantic_main(page: Node) -> list[Node]:
-    """The outermost article or main elements, else the body, else the page."""
+def marked_main(page: Node) -> list[Node]:
+    """The outermost article or main elements, else the body, else the page: all there is to go by without a wrapper."""
     for wanted in (("article", "main"), ("body",)):
         found, stack = [], [page]
         while stack:
@@ -261,25 +279,48 @@ def semantic_main(page: Node) -> list[Node]:
     return [page]
 
 
+def main_part(page: Node, chosen: set[int]) -> list[Node]:
+    """The nodes of the page that the wrapper chose, by their ids, in page order; marked_main() if it chose none.
+
+    An article or main element that reaches beyond the chosen part, or divides it, corrects its edges; one that has
+    nothing to do with it, as a teaser, does not.
+    """
+    if not chosen:
+        return marked_main(page)
+    roots, edges, stack = [], [], [(page, None)]
+    while stack:  # mark: the outermost article or main element above
+        n, mark = stack.pop()
+        if mark is None and n.tag in ("article", "main"):
+            mark = n
+        if id(n) in chosen:
+            roots.append(n)
+            if mark is not None and mark is not n and not any(mark is e for e in edges):
+                edges.append(mark)
+            continue
+        stack += [(c, mark) for c in reversed(n.children) if isinstance(c, Node)]
+    if not edges and not any(n.tag in ("article", "main") for n in roots):
+        edges = [m for r in roots for m in marked_main(r) if m.tag in ("article", "main")]
+    return edges or roots
+
+
 def extract(source: str | None, *wrappers: Template | None) -> str:
-    """The page's main text: its part that aligns with the main node of the first wrapper it aligns with, without
+    """The page's main text: its part that aligns with the main nodes of the first wrapper it aligns with, without
     template and boilerplate.
 
-    Where the page marks an article within or around that part, the mark decides. A leaf of the main part is template if
-    its own text is the template's, unless it is prose (paragraphs, headings), since articles of a host may share
-    paragraphs. A page that aligns with no wrapper keeps all its text outside boilerplate.
+    A leaf of the main part is template if its own text is the template's, unless it is prose (paragraphs, headings),
+    since articles of a host may share paragraphs. A page that aligns with no wrapper goes by its own marks.
     """
     page = parse(source)
-    roots, constant = semantic_main(page), set()
+    chosen, constant = set(), set()
     known = [w for w in wrappers if w is not None]
     shape = Shape([page]) if known else None
     pairs = next((x for w in known if (x := aligned(shape, w)) is not None), [])
     for a, b in pairs:
         if b.own is not None and a.leaf and a.text and text_hash(a.text) == b.own:
             constant |= {id(n) for n in a.nodes if n.tag not in PROSE and n.tag not in ("article", "main", "body")}
-    if not any(r.tag in ("article", "main") for r in roots):
-        roots = next((a.nodes for a, b in pairs if b.main), roots)
-    return text_of(roots, lambda n: id(n) in constant)
+        if b.main:
+            chosen |= {id(n) for n in a.nodes}
+    return text_of(main_part(page, chosen), lambda n: id(n) in constant)
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -396,7 +437,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null or empty html has an empty text. Null urls, or urls without host, share a host of empty name. Hosts with one
     page, or whose pages are equal, have no wrapper; there the page's own marks decide. Repeated rows each get their
-    row.
+    row. A very long page is parsed in one task, as any other; elements nested deeper than 60 keep their text, but are
+    not aligned. Of nodes with equal text the first in the page counts.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))

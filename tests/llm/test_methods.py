@@ -1,12 +1,14 @@
 """What each method promises beyond its result: joins that count once, filters that reject, wrappers that decide."""
 
+import json
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from stellagrid.llm import decontaminate, jaccard, licenses, shards, token_counts, urls
+from stellagrid.llm import decontaminate, html, jaccard, licenses, shards, token_counts, urls
 
 from .test_operators import WORD, brute_components, brute_hits, brute_licenses, docs, empty, library, rows_of, texts  # noqa: F401
 
@@ -148,6 +150,54 @@ def test_tiles_by_size_band_lose_no_link(spark, tile):
     assert got == brute_components(rows) and len({c for _, _, c in got}) < len(got)
 
 
+# 9
+
+OPAQUE = {"<nav>": '<div class="k1">', "</nav>": "</div>", '<div class="ad">': '<div class="k2">', "<article>": '<div class="k3">', "</article>": "</div>", "<footer>": '<div class="k4">', "</footer>": "</div>"}
+
+
+def without_marks(source, names):
+    for tag, other in OPAQUE.items():
+        source = source.replace(tag, other if names else re.sub(" class=.*(?=>)", "", other))
+    return source
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_the_wrapper_decides_without_marks(spark, small, monkeypatch, names):
+    """No article, nav or footer, and no telling class names: what the aligned pages of a host vary in must do."""
+    pages = spark.read.parquet(f"{small}/../sf0.01/pages.parquet")
+    right = {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()}
+    bare = spark.createDataFrame([(r["page_id"], r["url"], without_marks(r["html"], names)) for r in pages.collect()], "page_id long, url string, html string")
+    host = lambda u: u.split("/")[2].lower()
+    per = Counter(host(r["url"]) for r in bare.collect())
+    got = [r for r in html.extract_pages(bare).collect() if per[host(r["url"])] >= 3]
+    wrong = [r["page_id"] for r in got if r["text"] != right[r["page_id"]]]
+    assert len(got) > 100 and not wrong
+    monkeypatch.setattr(html, "main_part", lambda page, chosen: html.marked_main(page))  # as without any wrapper
+    sources = {r["page_id"]: r["html"] for r in bare.collect()}
+    assert all(html.extract(sources[r["page_id"]]) != right[r["page_id"]] for r in got)
+
+
+def test_the_wrapper_chooses_where_marks_exist(spark, small):
+    """On hosts of the test tables with several pages the chosen part is the article: the wrapper found it by itself."""
+    pages = spark.read.parquet(f"{small}/../sf0.01/pages.parquet")
+    rows = pages.select("page_id", F.col("html"), F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("host"), F.lit("").alias("layout"), F.xxhash64("html").alias("mark"))
+    wrappers = {r["host"]: r["wrapper"] for r in html.induce_wrappers(rows)[0].collect()}
+    chosen = Counter()
+    for r in rows.collect():
+        if wrapper := wrappers.get(r["host"]):
+            page = html.parse(r["html"])
+            t = html.Template(json.loads(wrapper))
+            pairs = html.aligned(html.Shape([page]), t) or []
+            chosen[tuple(n.tag for a, b in pairs if b.main for n in a.nodes)] += 1
+    assert set(chosen) == {("article",)} and chosen[("article",)] > 150
+
+
+def test_teasers_are_not_the_main_part(spark):
+    rows = [(k, f"http://t.org/{k}", f"<body><div class=z><article>Teaser {k}</article></div><div class=q><h2>Head {k}</h2><p>{'Long text of the page ' * 5}{k}</p></div></body>") for k in range(5)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"].startswith(f"Head {r['page_id']} Long text") and "Teaser" not in r["text"] for r in got)
+
+
 # 10
 
 
