@@ -20,7 +20,7 @@ def resolution_of(header: dict) -> tuple[float, ...]:
 class Wcs:
     """Reference values, steps (degrees, metres a second) and reference pixels of longitude, latitude and velocity.
 
-    The native pole is the default one for a reference latitude of 0 or more.
+    The native longitude of the celestial pole is the default one: 0 for a reference latitude of 0 or more, else 180.
     """
 
     # The header template of survey cubes.
@@ -29,10 +29,6 @@ class Wcs:
     crpix: tuple[float, ...] = (181.0, 91.0, 1.0)
     resolution: tuple[float, ...] = (30.0, 30.0, 0.166)
 
-    def __post_init__(self):
-        if self.crval[1] < 0:
-            raise ValueError("a reference latitude below 0 has another native pole, which is not supported")
-
     @classmethod
     def from_header(cls, header: dict) -> Wcs:
         """From the cards of a FITS header; a velocity axis that is missing is the template's."""
@@ -47,8 +43,15 @@ class Wcs:
     @property
     def pole(self) -> tuple[float, float]:
         """Declination and right ascension of the native pole, in radians."""
+        if self.crval[1] < 0:
+            return math.radians(90.0 + self.crval[1]), math.radians(self.crval[0])
         return math.radians(90.0 - self.crval[1]), math.radians(self.crval[0] - 180.0)
 
+    @property
+    def turn(self) -> float:
+        """-1 where native longitudes count from the other side of the pole, that is by 180 degrees; else 1."""
+        return -1.0 if self.crval[1] < 0 else 1.0
+
     @property
     def velocity_unit(self) -> float:
         return 1000.0 if abs(self.cdelt[2]) > 10 else 1.0
@@ -59,8 +62,9 @@ def sky(p1: Column, p2: Column, w: Wcs) -> tuple[Column, Column]:
     d, a = w.pole
     x = F.radians((p1 - w.crpix[0]) * w.cdelt[0])
     y = F.radians((p2 - w.crpix[1]) * w.cdelt[1])
-    lat = F.asin(F.sin(y) * math.sin(d) + F.cos(y) * math.cos(d) * F.cos(x))
-    lon = F.lit(a) + F.atan2(-F.cos(y) * F.sin(x), F.sin(y) * math.cos(d) - F.cos(y) * math.sin(d) * F.cos(x))
+    sin_x, cos_x = (F.sin(x), F.cos(x)) if w.turn > 0 else (-F.sin(x), -F.cos(x))
+    lat = F.asin(F.sin(y) * math.sin(d) + F.cos(y) * math.cos(d) * cos_x)
+    lon = F.lit(a) + F.atan2(-F.cos(y) * sin_x, F.sin(y) * math.cos(d) - F.cos(y) * math.sin(d) * cos_x)
     return F.pmod(F.degrees(lon), F.lit(360.0)), F.degrees(lat)
 
 
@@ -68,7 +72,7 @@ def pixel(lon: Column, lat: Column, w: Wcs) -> tuple[Column, Column]:
     """1-based pixel places of longitude and latitude in degrees."""
     d, a = w.pole
     l, b = F.radians(lon) - a, F.radians(lat)
-    x = F.atan2(-F.cos(b) * F.sin(l), F.sin(b) * math.cos(d) - F.cos(b) * math.sin(d) * F.cos(l))
+    x = F.atan2(-F.cos(b) * F.sin(l) * w.turn, (F.sin(b) * math.cos(d) - F.cos(b) * math.sin(d) * F.cos(l)) * w.turn)
     y = F.asin(F.sin(b) * math.sin(d) + F.cos(b) * math.cos(d) * F.cos(l))
     return F.degrees(x) / w.cdelt[0] + w.crpix[0], F.degrees(y) / w.cdelt[1] + w.crpix[1]
 
@@ -118,6 +122,26 @@ def to_pixel(catalog: DataFrame, w: Wcs) -> DataFrame:
     return catalog.withColumns(new)
 
 
+def fit_to_pixel(catalog: DataFrame, w: Wcs) -> DataFrame:
+    """A fitted catalogue in world coordinates as pixels: the inverse of fit_to_world, but that ID and Flux stay as they
+    are, the latter as Sum."""
+    cube = "Velocity" in catalog.columns
+    x, y = pixel(F.col("Galactic_Longitude"), F.col("Galactic_Latitude"), w)
+    return catalog.select(
+        "ID",
+        x.alias("Cen1"),
+        y.alias("Cen2"),
+        *([((F.col("Velocity") * 1000.0 - w.crval[2]) / w.cdelt[2] + w.crpix[2]).alias("Cen3")] if cube else []),
+        (F.col("Size_major") / w.resolution[0]).alias("Size1"),
+        (F.col("Size_minor") / w.resolution[1]).alias("Size2"),
+        *([(F.col("Size_velocity") / w.resolution[2]).alias("Size3")] if cube else []),
+        "Theta",
+        "Peak",
+        F.col("Flux").alias("Sum"),
+        *(c for c in ("Flux_SNR", "Peak_SNR", "Success", "Cost") if c in catalog.columns),
+    )
+
+
 def fit_to_world(catalog: DataFrame, w: Wcs, prefix: str = "MWISP") -> DataFrame:
     """A fitted pixel catalogue in world coordinates; Flux is Sum times the last resolution."""
     cube = "Cen3" in catalog.columns

@@ -10,25 +10,40 @@ from pyspark.sql import functions as F
 
 from ..tables import cut_lineage
 from .grid import Shape
+from .rank import ranked
 
 
-def offsets(axes: list[str], r: int) -> list[tuple[int, ...]]:
-    return [o for o in product(range(-r, r + 1), repeat=len(axes)) if any(o)]
+#: Edge of the blocks in which neighbours meet.
+BLOCK = 32
 
 
-def neighbour_pairs(left: DataFrame, right: DataFrame, shape: Shape, r: int, carry: tuple[str, ...] = ("rho",)) -> DataFrame:
-    """Every voxel of left with every voxel of right in the box of half-width r around it.
+def neighbour_pairs(left: DataFrame, right: DataFrame, shape: Shape, r: int | dict[str, int], carry: tuple[str, ...] = ("rho",)) -> DataFrame:
+    """Every voxel of left with every voxel of right in the box of half-width r (one for all axes, or each axis its own).
 
-    A box on the lattice is a fixed set of offsets, so the range join is an equi-join on coordinates. Columns of right
-    have the prefix n_; d2 is the squared distance.
+    Voxels are dealt to blocks of BLOCK places an axis, those of right also to the neighbouring blocks that their box
+    reaches: that halo is all that is copied before the shuffle. Probes to the places around a voxel are made after it,
+    and find what stands there within their block. Columns of right have the prefix n_; d2 is the squared distance.
     """
     axes = list(shape)
-    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(axes, o, strict=True))) for o in offsets(axes, r)))
-    probes = left.select("tile", *axes, "idx", *carry, F.explode(steps).alias("o")).select(
-        "tile", *axes, "idx", *carry, *((F.col(a) + F.col(f"o.d{a}")).alias(f"n_{a}") for a in axes), sum(F.col(f"o.d{a}") * F.col(f"o.d{a}") for a in axes).alias("d2")
+    reach = {a: r if isinstance(r, int) else r[a] for a in axes}
+    around = [o for o in product(*(range(-reach[a], reach[a] + 1) for a in axes)) if any(o)]
+    step = lambda o: F.struct(*(F.lit(d).alias(a) for a, d in zip(axes, o, strict=True)))
+    block = lambda a, d: F.greatest(F.floor((F.col(a) - 1 + d) / BLOCK), F.lit(0)).cast("int")
+    own = left.select("tile", *axes, *(block(a, 0).alias(f"b_{a}") for a in axes), F.struct("idx", *carry).alias("probe"))
+    there = right.select("tile", *axes, F.struct("idx", *carry).alias("there"))
+    for a in axes:
+        there = there.withColumn(f"b_{a}", F.explode(F.sequence(block(a, -reach[a]), block(a, reach[a]))))
+    blocks = ["tile", *(f"b_{a}" for a in axes)]
+    both = own.unionByName(there, allowMissingColumns=True).repartition(*blocks)
+    steps = F.when(F.col("probe").isNotNull(), F.array(*map(step, around))).otherwise(F.array(step([0] * len(axes))))
+    d2 = sum(F.col(f"o.{a}") * F.col(f"o.{a}") for a in axes)
+    placed = both.select(*blocks, *axes, "probe", "there", F.explode(steps).alias("o")).select(
+        *blocks, *axes, "probe", "there", *((F.col(a) + F.col(f"o.{a}")).alias(f"n_{a}") for a in axes), d2.alias("d2")
+    )
+    found = placed.withColumn("there", F.max("there").over(W.partitionBy(*blocks, *(f"n_{a}" for a in axes)))).where(F.col("probe").isNotNull() & F.col("there").isNotNull())
+    return found.select(
+        "tile", *axes, "probe.idx", *(f"probe.{c}" for c in carry), *(f"n_{a}" for a in axes), "d2", F.col("there.idx").alias("n_idx"), *(F.col(f"there.{c}").alias(f"n_{c}") for c in carry)
     )
-    there = right.select("tile", *(F.col(a).alias(f"n_{a}") for a in axes), F.col("idx").alias("n_idx"), *(F.col(c).alias(f"n_{c}") for c in carry))
-    return probes.join(there, ["tile", *(f"n_{a}" for a in axes)])
 
 
 def _nearest(left: DataFrame, bright: DataFrame, shape: Shape, r: int) -> DataFrame:
@@ -58,7 +73,8 @@ def nearest_higher(bright: DataFrame, shape: Shape, reach: int = 4) -> DataFrame
 
 
 def density_rank(bright: DataFrame) -> DataFrame:
-    return bright.withColumn("rank", F.row_number().over(W.partitionBy("tile").orderBy(F.desc("rho"), "idx")).cast("long"))
+    """bright with each voxel's rank in its tile, the densest first."""
+    return ranked(bright, ["tile"], [F.desc("rho"), F.col("idx")], "rank")
 
 
 def centres(linked: DataFrame, rho_min, delta_min: int = 4) -> DataFrame:

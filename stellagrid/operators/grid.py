@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.wcs import Wcs, sky, velocity
+
 Shape = dict[str, int]
 
 
@@ -29,17 +31,26 @@ def voxel_index(shape: Shape) -> Column:
 
 
 def dense_grid(voxels: DataFrame, shape: Shape) -> DataFrame:
-    """All voxels of each tile, missing, null and NaN intensities being 0, with their index."""
-    size = reduce(lambda a, b: a * b, shape.values())
-    cells = voxels.select("tile").distinct().select("tile", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell"))
+    """All voxels of each tile, missing, null and NaN intensities being 0, with their index. Voxels outside are dropped.
+
+    What is shuffled is a row for each line of the first axis, and the voxels there are; both are dealt by line, and a
+    line is filled where it arrives. So one tile of any size is spread over all tasks.
+    """
+    first, *others = shape
+    inside = reduce(lambda a, b: a & b, (F.col(axis).between(1, n) for axis, n in shape.items()))
+    lines = reduce(lambda a, b: a * b, (shape[axis] for axis in others), 1)
     step, place = 1, []
-    for axis, n in shape.items():
-        place.append(((F.col("cell") / step).cast("int") % n + 1).cast("int").alias(axis) if step == 1 else (F.floor(F.col("cell") / step) % n + 1).cast("int").alias(axis))
-        step *= n
+    for axis in others:
+        place.append((F.floor(F.col("line") / step) % shape[axis] + 1).cast("int").alias(axis))
+        step *= shape[axis]
+    empty = voxels.select("tile").distinct().select("tile", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line")).select("tile", *place)
+    dealt = empty.unionByName(voxels.where(inside).select("tile", *shape, "intensity"), allowMissingColumns=True).repartition("tile", *others)
+    cells = F.when(F.col(first).isNull(), F.sequence(F.lit(1), F.lit(shape[first]))).otherwise(F.array(F.col(first).cast("int")))
+    filled = dealt.withColumn(first, F.explode(cells)).groupBy("tile", *shape).agg(F.max("intensity").alias("intensity"))
     value = F.coalesce(F.col("intensity"), F.lit(0))
     if dict(voxels.dtypes)["intensity"] in ("double", "float"):
         value = F.nanvl(value, F.lit(0.0))
-    return cells.select("tile", *place).join(voxels, ["tile", *shape], "left").select("tile", *shape, voxel_index(shape).alias("idx"), value.alias("intensity"))
+    return filled.select("tile", *shape, voxel_index(shape).alias("idx"), value.alias("intensity"))
 
 
 def nan_to_zero(voxels: DataFrame) -> DataFrame:
@@ -54,6 +65,35 @@ def subcube(voxels: DataFrame, shape: Shape, **ranges: tuple[int, int]) -> DataF
     return voxels.where(keep)
 
 
+def world_places(voxels: DataFrame, w: Wcs) -> DataFrame:
+    """voxels with lon, lat (degrees) and, of a cube, vel (km/s) of their places."""
+    lon, lat = sky(F.col("x"), F.col("y"), w)
+    return voxels.withColumns({"lon": lon, "lat": lat, **({"vel": velocity(F.col("v"), w)} if "v" in voxels.columns else {})})
+
+
+def world_subcube(voxels: DataFrame, w: Wcs, **ranges: tuple[float, float]) -> DataFrame:
+    """The voxels whose places lie within closed ranges of lon, lat and vel. A bound beyond the cube is the cube's end."""
+    placed = world_places(voxels, w)
+    keep = reduce(lambda a, b: a & b, (F.col(name).between(low, high) for name, (low, high) in ranges.items()), F.lit(True))
+    return placed.where(keep).select(*voxels.columns)
+
+
+def world_ranges(voxels: DataFrame, w: Wcs, **ranges: tuple[float, float]) -> DataFrame:
+    """One row a range: axis, low and high held within the cube's extremes, and whether either bound was moved."""
+    placed = world_places(voxels, w)
+    ends = placed.agg(*(f(n).alias(f"{n}_{f.__name__}") for n in ranges for f in (F.min, F.max)))
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(n).alias("axis"), F.greatest(F.lit(float(low)), F.col(f"{n}_min")).alias("low"), F.least(F.lit(float(high)), F.col(f"{n}_max")).alias("high"),
+                ((F.col(f"{n}_min") > low) | (F.col(f"{n}_max") < high)).alias("moved"),
+            )
+            for n, (low, high) in ranges.items()
+        )
+    )
+    return ends.select(F.inline(rows))
+
+
 def projections(voxels: DataFrame, axes: tuple[str, ...] = ("x", "y", "v")) -> DataFrame:
     """Integrated maps onto all coordinate planes in one pass: plane, the axes (null where summed over), total."""
     planes = [(a, b) for k, a in enumerate(axes) for b in axes[k + 1 :]]
@@ -96,6 +136,37 @@ def clump_spectra(voxels: DataFrame, labelled: DataFrame, shape: Shape) -> DataF
     return inside.join(mine, ["tile", "clump_id", *shape], "left").groupBy("tile", "clump_id", "v").agg(F.avg(F.when(F.col("mine"), F.col("intensity")).otherwise(0)).alias("mean"))
 
 
+def peak_spectra(voxels: DataFrame, catalog: DataFrame, shape: Shape, v_len: int = 30) -> DataFrame:
+    """Per clump (tile, ID, Peak1..3) the spectrum at its peak's place: clump_id, v and peak, missing voxels being 0.
+
+    Channels reach v_len below and above the peak, without the last, and end before the cube's last one.
+    """
+    low, high = F.greatest(F.col("Peak3").cast("int") - v_len, F.lit(0)) + 1, F.least(F.col("Peak3").cast("int") + v_len, F.lit(shape["v"] - 1))
+    wanted = catalog.where(low <= high).select("tile", F.col("ID").alias("clump_id"), F.col("Peak1").cast("int").alias("x"), F.col("Peak2").cast("int").alias("y"), F.explode(F.sequence(low, high)).alias("v"))
+    return wanted.join(voxels.select("tile", *shape, "intensity"), ["tile", *shape], "left").select("tile", "clump_id", "v", F.coalesce("intensity", F.lit(0)).alias("peak"))
+
+
+def sized_boxes(catalog: DataFrame, shape: Shape, times: float = 1.5) -> DataFrame:
+    """Per clump the box of `times` sizes around its centre: Size1 along x, the mean of Size1 and Size2 along y and v."""
+    mean = (F.col("Size1") + F.col("Size2")) / 2
+    ends = {}
+    for k, (axis, n) in enumerate(shape.items(), 1):
+        reach = times * (F.col("Size1") if axis == "x" else mean)
+        ends |= {f"{axis}_lo": F.greatest((F.col(f"Cen{k}") - 1 - reach).cast("int"), F.lit(0)) + 1, f"{axis}_hi": F.least((F.col(f"Cen{k}") + reach).cast("int"), F.lit(n))}
+    return catalog.select("tile", F.col("ID").alias("clump_id"), *(e.alias(name) for name, e in ends.items()))
+
+
+def world_axes(catalog: DataFrame, boxes: DataFrame, w: Wcs, per_degree: float = 120.0) -> DataFrame:
+    """Per clump the world coordinates at which its box begins and ends, by steps of a pixel from its centre."""
+    lon, lat = sky(F.col("Cen1"), F.col("Cen2"), w)
+    steps = {"x": ("lon", lon, "Cen1", 1 / per_degree), "y": ("lat", lat, "Cen2", 1 / per_degree)}
+    if "v_lo" in boxes.columns:
+        steps["v"] = ("vel", velocity(F.col("Cen3"), w), "Cen3", w.resolution[2])
+    joined = catalog.withColumnRenamed("ID", "clump_id").join(boxes, ["tile", "clump_id"])
+    ends = [e for axis, (name, at, cen, step) in steps.items() for e in ((at - (F.col(cen) - F.col(f"{axis}_lo") + 1) * step).alias(f"{name}_lo"), (at + (F.col(f"{axis}_hi") - F.col(cen)) * step).alias(f"{name}_hi"))]
+    return joined.select("tile", "clump_id", *ends)
+
+
 def clump_points(voxels: DataFrame, labelled: DataFrame, shape: Shape) -> DataFrame:
     """One row a voxel of a clump: what a fit takes."""
     return voxels.join(labelled.select("tile", "clump_id", *shape), ["tile", *shape]).select("tile", "clump_id", *shape, "intensity")

@@ -28,16 +28,15 @@ def propagate(linked: DataFrame, centre: DataFrame) -> DataFrame:
 def cut_boundaries(labelled: DataFrame, gradmin: float = 0.01) -> DataFrame:
     """The voxels of each cluster with a steep way up, or denser than the mean of those; clusters without any go.
 
-    grad is -1 where there is no denser neighbour. Labels are renumbered without gaps.
+    grad is -1 where there is no denser neighbour. Labels are renumbered without gaps. Spans and means are aggregates of
+    one row a cluster, joined back to the voxels: no task sorts a cluster.
     """
-    own = W.partitionBy("tile", "clump_id")
-    grad = F.coalesce("grad", F.lit(-1.0))
-    span = F.max("rho").over(own) - F.min("rho").over(own)
-    steep = grad / F.when(span == 0, 1).otherwise(span) > gradmin
-    marked = labelled.where(F.col("clump_id").isNotNull()).withColumn("steep", steep)
-    mean = F.avg(F.when(F.col("steep"), F.col("rho"))).over(own)
-    kept = marked.withColumn("mean", mean).where(F.col("mean").isNotNull() & (F.col("steep") | (F.col("rho") > F.col("mean")))).drop("steep", "mean")
-    return renumber(kept)
+    named = labelled.where(F.col("clump_id").isNotNull())
+    span = named.groupBy("tile", "clump_id").agg((F.max("rho") - F.min("rho")).alias("span"))
+    steep = F.coalesce("grad", F.lit(-1.0)) / F.when(F.col("span") == 0, 1).otherwise(F.col("span")) > gradmin
+    marked = named.join(span, ["tile", "clump_id"]).withColumn("steep", steep).drop("span")
+    mean = marked.where("steep").groupBy("tile", "clump_id").agg(F.avg("rho").alias("mean"))
+    return renumber(marked.join(mean, ["tile", "clump_id"]).where(F.col("steep") | (F.col("rho") > F.col("mean"))).drop("steep", "mean"))
 
 
 def renumber(labelled: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..params import FWHM
 from .grid import Shape
+from .rank import median
 
 
 def regions(labelled: DataFrame, shape: Shape) -> DataFrame:
     """One row a clump: ID, Peak1.., Cen1.., Size1.., Peak, Sum, Volume. One aggregation with partial sums.
 
     Moments are taken about a fixed place near each clump's own coordinates only through raw sums of small integers,
-    so they cancel little. Of equal peaks the one with the least idx counts.
+    so they cancel little. Of equal peaks the one with the least idx counts. A clump whose intensities sum to 0 has no
+    centre: its Cen and Size are null.
     """
     i, axes = F.col("intensity"), list(shape)
     top = F.max(F.struct(i, (-F.col("idx")).alias("o"), *axes))
@@ -25,8 +27,9 @@ def regions(labelled: DataFrame, shape: Shape) -> DataFrame:
         *(F.sum(i * F.col(a)).alias(f"s_{a}") for a in axes),
         *(F.sum(i * F.col(a) * F.col(a)).alias(f"q_{a}") for a in axes),
     )
-    cen = {a: F.col(f"s_{a}") / F.col("Sum") for a in axes}
-    size = {a: FWHM * F.sqrt(F.greatest(F.col(f"q_{a}") / F.col("Sum") - cen[a] * cen[a], F.lit(0.0))) for a in axes}
+    cen = {a: F.try_divide(F.col(f"s_{a}"), F.col("Sum")) for a in axes}
+    spread = {a: F.try_divide(F.col(f"q_{a}"), F.col("Sum")) - cen[a] * cen[a] for a in axes}
+    size = {a: F.when(spread[a].isNotNull(), FWHM * F.sqrt(F.greatest(spread[a], F.lit(0.0)))) for a in axes}
     return sums.select(
         "tile",
         "ID",
@@ -84,8 +87,7 @@ def background_rms(spark_or_voxels, header: dict | None = None, key: str = "RMS"
     if header and key in header:
         return float(header[key])
     if noise_map is not None:
-        value = F.coalesce(F.nanvl(F.col("intensity").cast("double"), F.lit(0.0)), F.lit(0.0))
-        return noise_map.agg(F.median(value)).first()[0]
+        return median(noise_map, "intensity")
     return given
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.model import gaussian
 from .grid import Shape, voxel_index
+from .rank import ranked
 
 COMPONENT = "tile string, ID int, A double, x0 double, y0 double, v0 double, s1 double, s2 double, s3 double, angle double, theta double"
 
@@ -115,8 +116,15 @@ def inject(voxels: DataFrame, components: DataFrame, shape: Shape) -> DataFrame:
     return voxels.select("tile", *shape, "intensity").unionByName(render(components, shape)).groupBy("tile", *shape).agg(F.sum("intensity").alias("intensity"))
 
 
-def random_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(n)
+def shuffled(key: str, seed: int) -> Column:
+    """A random order that belongs to the rows: it is the same in another partitioning, or when a task runs again."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+
+
+def random_rows(df: DataFrame, n: int, seed: int = 0, key: str | None = None) -> DataFrame:
+    """n rows, random but the same for the same seed; key (the first column) tells rows apart. Fewer rows are all taken."""
+    key = key or df.columns[0]
+    return df.orderBy(shuffled(key, seed), key).limit(n)
 
 
 def core_sample(spark, number: int, sigma: float, scale: float, seed: int = 0) -> DataFrame:
@@ -134,6 +142,11 @@ def lognormal_fit(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.stddev_pop(x).alias("sigma"), F.exp(F.avg(x)).alias("scale"), F.count(x).alias("n"))
 
 
+def lognormal_density(x: Column, sigma: float, scale: float) -> Column:
+    z = F.log(x / scale) / sigma
+    return F.exp(-z * z / 2) / (x * sigma * math.sqrt(2 * math.pi))
+
+
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, n) of equal bins between least and greatest value, the last one closed; empty bins have no row."""
     lo, hi = df.agg(F.min(column), F.max(column)).first()
@@ -161,18 +174,15 @@ def stratified_quota(pool: DataFrame, wanted: DataFrame, column: str, interval:
     return share.join(there, "stratum").select("stratum", "share", F.ceil(F.col("share") * n).cast("long").alias("quota"), "available")
 
 
-def stratified_resample(pool: DataFrame, wanted: DataFrame, column: str, interval: float, n: int, seed: int = 0) -> DataFrame:
+def stratified_resample(pool: DataFrame, wanted: DataFrame, column: str, interval: float, n: int, seed: int = 0, key: str | None = None) -> DataFrame:
     """A sample of pool with the strata of wanted; rows of a short stratum repeat, empty strata are left out.
 
-    Within a stratum rows are ranked in random order in salted parts; a part's share of the quota follows its size, so no
-    task ranks a whole stratum.
+    Within a stratum rows are ranked in the random order of their keys (the first column), which tell rows apart; no task
+    ranks a whole stratum.
     """
+    key = key or pool.columns[0]
     quota = stratified_quota(pool, wanted, column, interval, n)
     times = F.ceil(F.col("quota") / F.col("available")).cast("int")
-    salted = pool.withColumn("stratum", F.floor(F.col(column) / interval)).withColumn("_salt", F.floor(F.rand(seed) * 64).cast("int"))
-    sizes = salted.groupBy("stratum", "_salt").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(W.partitionBy("stratum").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(W.partitionBy("stratum", "_salt").orderBy(F.rand(seed + 1))) + F.col("_before")
-    ranked = salted.join(sizes.withColumn("_before", before), ["stratum", "_salt"]).withColumn("_rank", rank).join(F.broadcast(quota), "stratum")
-    each = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+    strata = pool.withColumn("stratum", F.floor(F.col(column) / interval)).join(F.broadcast(quota.select("stratum", "quota", "available")), "stratum").withColumn("_order", shuffled(key, seed))
+    each = ranked(strata, ["stratum"], [F.col("_order"), F.col(key)], "_rank").withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
     return each.where((F.col("_copy") - 1) * F.col("available") + F.col("_rank") <= F.col("quota")).select(*pool.columns)

@@ -90,7 +90,7 @@ def detect_multiscale(cube: DataFrame, shape: Shape, p: DetectParams, fine: Dete
     small = detect(detail, shape, replace(fine, rms=rms))
     if small.catalog.isEmpty():
         return coarse, small, None
-    again = cut_lineage(measure.regions(small.mask.drop("intensity").join(cube.select("tile", "idx", "intensity"), ["tile", "idx"]), shape), "again")
+    again = cut_lineage(measure.regions(small.mask.drop("intensity").join(cube.select("tile", "idx", "intensity"), ["tile", "idx"]), shape).where(F.col("Cen1").isNotNull()), "again")
     groups = cut_lineage(overlap.overlap_groups(again, o.overlap), "groups")
     return coarse, small, fit.fit_clumps(grid.clump_points(cube, small.mask, shape), again, groups, o)
 

@@ -148,9 +148,9 @@ b AS (SELECT g.x, g.y, any_value(g.i) AS i, sum(a.w * b.w * h.i) AS g FROM grid2
 SELECT x, y, round(g, 6) AS blurred, round(i - g, 6) AS detail FROM b"""
 SQL["difference_of_gaussians"] = (
     f"WITH {GRID2}, "
-    + ", ".join(f"{kernel(f'k{n}', gaussian_kernel(0.4 * 1.05**n))}, {clamped(f'g{n}', f'k{n}')}" for n in range(4))
+    + ", ".join(f"{kernel(f'k{n}', gaussian_kernel(0.4 * 1.05**n))}, {clamped(f'g{n}', f'k{n}')}" for n in range(16))
     + " "
-    + " UNION ALL ".join(f"SELECT a.x, a.y, {n + 1} AS level, round(b.g - a.g, 6) AS difference FROM g{n} a JOIN g{n + 1} b ON a.x = b.x AND a.y = b.y" for n in range(3))
+    + " UNION ALL ".join(f"SELECT a.x, a.y, {n + 1} AS level, round(b.g - a.g, 6) AS difference FROM g{n} a JOIN g{n + 1} b ON a.x = b.x AND a.y = b.y" for n in range(15))
 )
 SQL["background_rms_median"] = "SELECT round(median(coalesce(CASE WHEN isnan(value) THEN 0 ELSE value END, 0)), 6) AS rms FROM events"
 SQL["offmask_rms"] = f"WITH RECURSIVE {CLUSTER} SELECT round(sqrt(avg(i * i)), 6) AS rms FROM grid2 WHERE idx NOT IN (SELECT idx FROM clu)"
@@ -240,8 +240,9 @@ SQL["fit_cost"] = f"WITH {CAT3}, r AS (SELECT id % 10 AS k, peak * exp(-(1 / (2
 
 MATCH = f"""t AS (SELECT c_custkey AS i, {place("c_custkey", 7919, 11801)} AS x, {place("c_custkey", 104729, 11801)} AS y, {place("c_custkey", 1299709, 6801)} AS v,
     3.5::DOUBLE + c_custkey % 4 AS s1, 3.5::DOUBLE + c_custkey % 3 AS s2, 3.5::DOUBLE + c_custkey % 5 AS s3 FROM customer),
-f AS (SELECT s_suppkey AS j, {place("s_suppkey", 7919, 11801)} + CAST(s_suppkey * 7 % 15 - 7 AS DOUBLE) / 10 AS x, {place("s_suppkey", 104729, 11801)} + CAST(s_suppkey * 11 % 15 - 7 AS DOUBLE) / 10 AS y,
-    {place("s_suppkey", 1299709, 6801)} + CAST(s_suppkey * 13 % 15 - 7 AS DOUBLE) / 10 AS v FROM supplier),
+far AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 4 THEN 500.0::DOUBLE ELSE 0.0::DOUBLE END AS e FROM supplier),
+f AS (SELECT s_suppkey AS j, {place("s_suppkey", 7919, 11801)} + CAST(s_suppkey * 7 % 15 - 7 AS DOUBLE) / 10 + e AS x, {place("s_suppkey", 104729, 11801)} + CAST(s_suppkey * 11 % 15 - 7 AS DOUBLE) / 10 + e AS y,
+    {place("s_suppkey", 1299709, 6801)} + CAST(s_suppkey * 13 % 15 - 7 AS DOUBLE) / 10 + e AS v FROM far),
 q AS (SELECT i, j, (t.x - f.x) * (t.x - f.x) + (t.y - f.y) * (t.y - f.y) + (t.v - f.v) * (t.v - f.v) AS d2,
     abs(t.x - f.x) <= least(2, s1 / {F2}) AND abs(t.y - f.y) <= least(2, s2 / {F2}) AND abs(t.v - f.v) <= least(2, s3 / {F2}) AS ok FROM t, f),
 c AS (SELECT row_number() OVER (ORDER BY d2, i, j) AS n, * FROM q WHERE d2 <= 12.000001::DOUBLE),
@@ -259,19 +260,73 @@ SELECT m AS matched, nt AS n_truth, nf AS n_found, round(m / nf, 6) AS precision
 SQL["separability"] = f"""WITH {CAT3}, c AS (SELECT id, c1 AS x, c2 AS y, c3 AS v, s1 / 4 AS s, s3 / 4 AS sv FROM cat)
 SELECT id AS ID FROM c a WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.id % 2 = 0 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < a.s + b.s AND abs(a.v - b.v) < a.sv + b.sv)"""
 SQL["render_model"] = f"""WITH {CAT3}, g AS (SELECT id, 't' || (id % 4) AS tile, peak AS a, c1, c2, c3, s1 / {F2} AS s1, s2 / {F2} AS s2, s3 / {F2} AS s3 FROM cat),
-h AS (SELECT *, ceil(greatest(s1, s2)) AS w FROM g), gx AS (SELECT *, unnest(range(CAST(greatest(floor(c1) - w, 1) AS BIGINT), CAST(least(ceil(c1) + w, 120) AS BIGINT) + 1)) AS x FROM h),
+h AS (SELECT *, ceil(greatest(s1, s2) * 4) AS w FROM g), gx AS (SELECT *, unnest(range(CAST(greatest(floor(c1) - w, 1) AS BIGINT), CAST(least(ceil(c1) + w, 120) AS BIGINT) + 1)) AS x FROM h),
 gy AS (SELECT *, unnest(range(CAST(greatest(floor(c2) - w, 1) AS BIGINT), CAST(least(ceil(c2) + w, 120) AS BIGINT) + 1)) AS y FROM gx),
-gv AS (SELECT *, unnest(range(CAST(greatest(floor(c3) - ceil(s3), 1) AS BIGINT), CAST(least(ceil(c3) + ceil(s3), 70) AS BIGINT) + 1)) AS v FROM gy),
+gv AS (SELECT *, unnest(range(CAST(greatest(floor(c3) - ceil(s3 * 4), 1) AS BIGINT), CAST(least(ceil(c3) + ceil(s3 * 4), 70) AS BIGINT) + 1)) AS v FROM gy),
 m AS (SELECT tile, x, y, v, sum(a * exp(-((x - c1) * (x - c1) / (2 * s1 * s1) + (y - c2) * (y - c2) / (2 * s2 * s2) + (v - c3) * (v - c3) / (2 * s3 * s3)))) AS m FROM gv GROUP BY ALL)
 SELECT tile, v, count(*) AS n, round(sum(m), 4) AS total FROM m GROUP BY tile, v"""
 SQL["lognormal_fit"] = "SELECT round(stddev_pop(ln(l_extendedprice)), 6) AS sigma, round(exp(avg(ln(l_extendedprice))), 6) AS scale, count(*) AS n FROM lineitem WHERE l_extendedprice > 0"
 HIST = "r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), h AS (SELECT CAST(least(floor((l_extendedprice - lo) / (hi - lo) * 25), 24) AS BIGINT) AS bin, count(*) AS n FROM lineitem, r GROUP BY ALL)"
 SQL["histogram"] = f"WITH {HIST} SELECT bin, n FROM h"
-SQL["rank_correlation"] = f"WITH {HIST}, k AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS a, rank() OVER (ORDER BY -bin) AS b FROM h) SELECT round(corr(a, b), 6) AS rho FROM k"
-SQL["stratified_quota"] = """WITH w AS (SELECT floor(o_totalprice / 20000) AS s, count(*) AS c FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), n AS (SELECT sum(c) AS n FROM w),
+SQL["rank_correlation"] = f"""WITH {HIST}, f AS (SELECT stddev_pop(ln(l_extendedprice)) AS sigma, avg(ln(l_extendedprice)) AS mu FROM lineitem WHERE l_extendedprice > 0),
+x AS (SELECT n, CAST(lo + (bin + 0.5) * (hi - lo) / 25 AS DOUBLE) AS x FROM h, r), d AS (SELECT n, exp(-(ln(x) - mu) * (ln(x) - mu) / (2 * sigma * sigma)) / (x * sigma * sqrt(2 * pi())) AS p FROM x, f),
+k AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS b FROM d) SELECT round(corr(a, b), 6) AS rho FROM k"""
+SQL["stratified_quota"] = """WITH w AS (SELECT floor(l_extendedprice * 4 / 20000) AS s, count(*) AS c FROM lineitem GROUP BY ALL), n AS (SELECT sum(c) AS n FROM w),
 p AS (SELECT floor(o_totalprice / 20000) AS s, count(*) AS a FROM orders GROUP BY ALL)
 SELECT CAST(w.s AS BIGINT) AS stratum, CAST(ceil(c / n * 1000) AS BIGINT) AS quota, a AS available, round(c / n, 6) AS share FROM w JOIN p ON p.s = w.s, n"""
 SQL["clump_spectrum"] = f"""WITH {GRID3}, l AS (SELECT *, (x - 1) // 10 + 1 AS clump_id FROM grid3 WHERE i > 3),
 b AS (SELECT clump_id, greatest(min(x) - 1, 1) AS xl, least(max(x) + 1, 50) AS xh, greatest(min(y) - 1, 1) AS yl, least(max(y) + 1, 11) AS yh, greatest(min(v) - 1, 1) AS vl, least(max(v) + 1, 28) AS vh FROM l GROUP BY clump_id)
 SELECT b.clump_id, g.v, round(avg(CASE WHEN l.idx IS NOT NULL THEN g.i ELSE 0 END), 6) AS mean
 FROM b JOIN grid3 g ON g.x BETWEEN xl AND xh AND g.y BETWEEN yl AND yh AND g.v BETWEEN vl AND vh LEFT JOIN l ON l.idx = g.idx AND l.clump_id = b.clump_id GROUP BY ALL"""
+SQL["random_sample"] = "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':0'), o_orderkey LIMIT 100"
+SQL["stratified_resample"] = """WITH w AS (SELECT floor(l_extendedprice * 4 / 20000) AS s, count(*) AS c FROM lineitem GROUP BY ALL), n AS (SELECT sum(c) AS n FROM w),
+p AS (SELECT floor(o_totalprice / 20000) AS s, count(*) AS a FROM orders GROUP BY ALL), q AS (SELECT w.s, CAST(ceil(c / n * 1000) AS BIGINT) AS quota, a FROM w JOIN p ON p.s = w.s, n),
+k AS (SELECT o.*, quota, a, row_number() OVER (PARTITION BY q.s ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':0'), o_orderkey) AS rank FROM orders o JOIN q ON floor(o_totalprice / 20000) = q.s),
+e AS (SELECT *, unnest(range(1, CAST(ceil(quota / a) AS BIGINT) + 1)) AS copy FROM k)
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, round(CAST(o_totalprice AS DOUBLE), 6) AS o_totalprice FROM e WHERE (copy - 1) * a + rank <= quota"""
+
+# A southern header, from unit vectors: of the reference point, east and north of it.
+
+
+def vectors(p1: str, p2: str, lon0: float, lat0: float, crpix: tuple) -> tuple[str, str]:
+    a, d = math.radians(lon0), math.radians(lat0)
+    out, east, north = (math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d)), (-math.sin(a), math.cos(a), 0.0), (-math.sin(d) * math.cos(a), -math.sin(d) * math.sin(a), math.cos(d))
+    x = f"radians(({p1} - {crpix[0]!r}::DOUBLE) * {_w.cdelt[0]!r}::DOUBLE)"
+    y = f"radians(({p2} - {crpix[1]!r}::DOUBLE) * {_w.cdelt[1]!r}::DOUBLE)"
+    at = [f"(cos({y}) * cos({x}) * {o!r}::DOUBLE + cos({y}) * sin({x}) * {e!r}::DOUBLE + sin({y}) * {n!r}::DOUBLE)" for o, e, n in zip(out, east, north, strict=True)]
+    return f"(degrees(atan2({at[1]}, {at[0]})) + 720) % 360", f"degrees(asin({at[2]}))"
+
+
+_south = lambda p1, p2: vectors(p1, p2, 30.0, -1.25, (20.0, 6.0))
+_sl, _sb = _south("x", "y")
+SOUTH3 = f"{CUBE3}, s AS (SELECT *, {_sl} AS lon, {_sb} AS lat, (12000 + (v - 4) * {_w.cdelt[2]!r}::DOUBLE) / 1000 AS vel FROM cube3)"
+SQL["world_range_filter"] = f"WITH {SOUTH3} SELECT x, y, v, i AS intensity FROM s WHERE lon BETWEEN 29.904 AND 30.096 AND lat BETWEEN -9 AND -1.24 AND vel BETWEEN 12.1 AND 99"
+SQL["world_range_clamp"] = f"""WITH {SOUTH3}, e AS (SELECT min(lon) AS l0, max(lon) AS l1, min(lat) AS b0, max(lat) AS b1, min(vel) AS v0, max(vel) AS v1 FROM s)
+SELECT 'lon' AS axis, round(greatest(29.904, l0), 6) AS low, round(least(30.096, l1), 6) AS high, l0 > 29.904 OR l1 < 30.096 AS moved FROM e
+UNION ALL SELECT 'lat', round(greatest(-9, b0), 6), round(least(-1.24, b1), 6), b0 > -9 OR b1 < -1.24 FROM e UNION ALL SELECT 'vel', round(greatest(12.1, v0), 6), round(least(99, v1), 6), v0 > 12.1 OR v1 < 99 FROM e"""
+_s = _south("c1", "c2")
+SQL["pix2world_south"] = f"WITH {CAT3} SELECT id AS ID, {r6(lon=_s[0], lat=_s[1], x='c1', y='c2')} FROM cat"
+SQL["peak_spectrum"] = f"""WITH {GRID3}, p AS (SELECT p_partkey AS id, 1 + p_partkey * 7 % 50 AS x, 1 + p_partkey * 3 % 11 AS y, 1 + p_partkey * 5 % 28 AS z FROM part),
+c AS (SELECT *, unnest(range(greatest(z - 6, 0) + 1, least(z + 6, 27) + 1)) AS v FROM p) SELECT c.id AS clump_id, c.v, g.i AS peak FROM c JOIN grid3 g ON g.x = c.x AND g.y = c.y AND g.v = c.v"""
+SQL["fit_world2pix"] = f"WITH {CAT3} SELECT id AS k, {r6(Cen1='c1', Cen2='c2', Cen3='c3', Size1='s1', Size2='s2', Size3='s3', Theta='id % 180', Peak='peak', Sum='total * 0.166::DOUBLE', Flux_SNR='id / 7')} FROM cat"
+SQL["fit_world_rounded"] = f"""WITH {CAT3} SELECT id AS k, {r6(Galactic_Longitude=f"round_even({_c[0]}, 3)", Galactic_Latitude=f"round_even({_c[1]}, 3)", Size_major="round_even(s1 * 30, 0)", Size_minor="round_even(s2 * 30, 0)", Theta="id % 180", Peak="round_even(peak, 1)")} FROM cat"""
+_mean = "(s1 + s2) / 2"
+BOXES = ", ".join(
+    f"CAST(greatest(trunc({c} - 1 - 1.5::DOUBLE * {s}), 0) AS BIGINT) + 1 AS {a}_lo, CAST(least(trunc({c} + 1.5::DOUBLE * {s}), {n}) AS BIGINT) AS {a}_hi"
+    for a, c, s, n in (("x", "c1", "s1", 120), ("y", "c2", f"({_mean})", 120), ("v", "c3", f"({_mean})", 70))
+)
+SQL["sized_boxes"] = f"WITH {CAT3} SELECT id AS clump_id, {BOXES} FROM cat"
+SQL["world_axes"] = f"""WITH {CAT3}, b AS (SELECT *, {BOXES}, {_c[0]} AS lon, {_c[1]} AS lat, {speed("c3")} AS vel FROM cat)
+SELECT id AS clump_id, {r6(lon_lo="lon - (c1 - x_lo + 1) / 120", lon_hi="lon + (x_hi - c1) / 120", lat_lo="lat - (c2 - y_lo + 1) / 120", lat_hi="lat + (y_hi - c2) / 120", vel_lo="vel - (c3 - v_lo + 1) * 0.166::DOUBLE", vel_hi="vel + (v_hi - c3) * 0.166::DOUBLE")} FROM b"""
+SQL["neighbour_box"] = f"""WITH {CUBE3}, b AS (SELECT *, CAST(((v - 1) * 11 + y - 1) * 50 + x - 1 AS BIGINT) AS idx FROM cube3 WHERE i > 4)
+SELECT a.idx, count(*) AS n, CAST(sum(b.i) AS BIGINT) AS total, CAST(sum((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.v - b.v) ** 2) AS BIGINT) AS d2
+FROM b a JOIN b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.v - b.v) <= 1 AND a.idx <> b.idx GROUP BY a.idx"""
+SQL["fill_holes"] = f"""WITH RECURSIVE {CUBE2}, c AS (SELECT x, y, (y - 1) // 10 AS k FROM cube2 WHERE i > 12),
+box AS (SELECT k, min(x) - 1 AS xl, max(x) + 1 AS xh, min(y) - 1 AS yl, max(y) + 1 AS yh FROM c GROUP BY k),
+cell AS (SELECT k, xl, xh, yl, yh, x, unnest(range(yl, yh + 1)) AS y FROM (SELECT *, unnest(range(xl, xh + 1)) AS x FROM box)),
+free AS (SELECT * FROM cell WHERE (k, x, y) NOT IN (SELECT k, x, y FROM c)),
+out AS (SELECT k, x, y FROM free WHERE x IN (xl, xh) OR y IN (yl, yh) UNION SELECT f.k, f.x, f.y FROM out o JOIN free f ON f.k = o.k AND abs(f.x - o.x) + abs(f.y - o.y) = 1)
+SELECT CAST(k AS BIGINT) AS clump_id, CAST((y - 1) * 50 + x - 1 AS BIGINT) AS idx FROM (SELECT k, x, y FROM c UNION ALL SELECT k, x, y FROM free WHERE (k, x, y) NOT IN (SELECT k, x, y FROM out))"""
+SQL["mosaic_masks"] = f"""WITH {CUBE2}, l AS (SELECT x, y, (y - 1) // 20 AS ky, (x - 1) // 20 AS kx, x % 3 + 1 AS id FROM cube2 WHERE i > 12),
+n AS (SELECT ky, kx, id, row_number() OVER (ORDER BY ky, kx, id) AS m FROM (SELECT DISTINCT ky, kx, id FROM l WHERE id <> 2))
+SELECT CAST((y - 1) * 50 + x - 1 AS BIGINT) AS idx, m AS clump_id FROM l JOIN n USING (ky, kx, id)"""

@@ -120,10 +120,11 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections near the true places of the suppliers' keys."""
+    """Detections near the true places of the suppliers' keys; every ninth is far from all of them."""
     k = F.col("s_suppkey")
+    far = F.when(k % 9 == 4, F.lit(500.0)).otherwise(F.lit(0.0))
     return table(spark, sf_dir, "supplier").select(
-        k.alias("ID"), *((1 + (k * a % m) / 100.0 + (k * b % 15 - 7) / 10.0).alias(f"Cen{i}") for i, (a, m, b) in enumerate(((7919, 11801, 7), (104729, 11801, 11), (1299709, 6801, 13)), 1))
+        k.alias("ID"), *((1 + (k * a % m) / 100.0 + (k * b % 15 - 7) / 10.0 + far).alias(f"Cen{i}") for i, (a, m, b) in enumerate(((7919, 11801, 7), (104729, 11801, 11), (1299709, 6801, 13)), 1))
     )
 
 
@@ -227,14 +228,15 @@ def detail_residual(spark, sf_dir):
 
 @query
 def difference_of_gaussians(spark, sf_dir):
-    d = smooth.differences_of_gaussians(grid2(spark, sf_dir), SHAPE2, levels=3)
+    d = smooth.differences_of_gaussians(grid2(spark, sf_dir), SHAPE2)
     return d.select(*longs("x", "y", "level"), *r6("difference"))
 
 
 @query
 def background_rms_median(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("value").alias("intensity"))
-    return e.agg(F.round(F.median(F.coalesce(F.nanvl("intensity", F.lit(0.0)), F.lit(0.0))), 6).alias("rms"))
+    rms = measure.background_rms(None, noise_map=e)
+    return spark.createDataFrame([(None if rms is None else round(rms, 6),)], "rms double")
 
 
 @query
@@ -507,7 +509,7 @@ def separability(spark, sf_dir):
 @query
 def render_model(spark, sf_dir):
     c = model.initial_guess(catalog3(spark, sf_dir)).withColumn("tile", F.concat(F.lit("t"), F.col("ID") % 4))
-    return simulate.render(c, {"x": 120, "y": 120, "v": 70}, reach=1.0).groupBy("tile", "v").agg(F.round(F.sum("intensity"), 4).alias("total"), F.count("*").alias("n")).select("tile", *longs("v", "n"), "total")
+    return simulate.render(c, {"x": 120, "y": 120, "v": 70}).groupBy("tile", "v").agg(F.round(F.sum("intensity"), 4).alias("total"), F.count("*").alias("n")).select("tile", *longs("v", "n"), "total")
 
 
 @query
@@ -523,24 +525,31 @@ def histogram(spark, sf_dir):
 @query
 def rank_correlation(spark, sf_dir):
     h = simulate.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 25)
-    return simulate.spearman(h.withColumns({"a": F.col("n").cast("double"), "b": -F.col("bin").cast("double")}), "a", "b").select(*r6("rho"))
+    low, high = table(spark, sf_dir, "lineitem").agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    fit = simulate.lognormal_fit(table(spark, sf_dir, "lineitem"), "l_extendedprice").first()
+    middle = float(low) + (F.col("bin") + 0.5) * (float(high) - float(low)) / 25
+    return simulate.spearman(h.withColumns({"a": F.col("n").cast("double"), "b": simulate.lognormal_density(middle, fit["sigma"], fit["scale"])}), "a", "b").select(*r6("rho"))
+
+
+def _prices(spark, sf_dir) -> DataFrame:
+    """Another distribution of prices: that of line items, scaled to orders."""
+    return table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") * 4).alias("o_totalprice"))
 
 
 @query
 def stratified_quota(spark, sf_dir):
-    q = simulate.stratified_quota(table(spark, sf_dir, "orders"), table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0), "o_totalprice", 20000.0, 1000)
+    q = simulate.stratified_quota(table(spark, sf_dir, "orders"), _prices(spark, sf_dir), "o_totalprice", 20000.0, 1000)
     return q.select(*longs("stratum", "quota", "available"), *r6("share"))
 
 
 @query
 def stratified_resample(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return simulate.stratified_resample(orders, orders.where(F.col("o_orderkey") % 3 == 0), "o_totalprice", 20000.0, 1000).select("o_orderkey", "o_totalprice")
+    return simulate.stratified_resample(table(spark, sf_dir, "orders"), _prices(spark, sf_dir), "o_totalprice", 20000.0, 1000).select(*longs("o_orderkey"), *r6("o_totalprice"))
 
 
 @query
 def random_sample(spark, sf_dir):
-    return simulate.random_rows(table(spark, sf_dir, "orders"), 100).select("o_orderkey")
+    return simulate.random_rows(table(spark, sf_dir, "orders"), 100).select(*longs("o_orderkey"))
 
 
 @query
@@ -587,3 +596,93 @@ def multiscale_detect(spark, sf_dir):
     fine = DetectParams(rms=1.0, noise_times=0.3, rms_times=0.8, min_area=4, sigma=0.6, remove_edge=False)
     _, small, fits = detect.detect_multiscale(g, SHAPE2, p, fine)
     return small.catalog.select("ID", "Peak1", "Peak2", "Volume") if fits is None else fits
+
+
+# World ranges, spectra at peaks, boxes by size, and what else works on them.
+
+#: A header whose reference pixel lies in the cube, south of the equator.
+SOUTH = wcs.Wcs(crval=(30.0, -1.25, 12000.0), crpix=(20.0, 6.0, 4.0))
+RANGES = {"lon": (29.904, 30.096), "lat": (-9.0, -1.24), "vel": (12.1, 99.0)}
+
+
+@query
+def world_range_filter(spark, sf_dir):
+    return grid.world_subcube(cube3(spark, sf_dir), SOUTH, **RANGES).select(*longs("x", "y", "v", "intensity"))
+
+
+@query
+def world_range_clamp(spark, sf_dir):
+    return grid.world_ranges(cube3(spark, sf_dir), SOUTH, **RANGES).select("axis", *r6("low", "high"), "moved")
+
+
+@query
+def pix2world_south(spark, sf_dir):
+    """Places of a southern header, and the way back."""
+    c = catalog3(spark, sf_dir).select("ID", "Cen1", "Cen2")
+    lon, lat = wcs.sky(F.col("Cen1"), F.col("Cen2"), SOUTH)
+    placed = c.select("ID", lon.alias("lon"), lat.alias("lat"))
+    x, y = wcs.pixel(F.col("lon"), F.col("lat"), SOUTH)
+    return placed.select(*longs("ID"), *r6("lon", "lat"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query
+def peak_spectrum(spark, sf_dir):
+    k = F.col("p_partkey")
+    peaks = table(spark, sf_dir, "part").select(F.lit("t0").alias("tile"), k.alias("ID"), (1 + k * 7 % 50).alias("Peak1"), (1 + k * 3 % 11).alias("Peak2"), (1 + k * 5 % 28).alias("Peak3"))
+    return grid.peak_spectra(grid3(spark, sf_dir), peaks, SHAPE3, 6).select(*longs("clump_id", "v", "peak"))
+
+
+def _world_fits(spark, sf_dir) -> DataFrame:
+    c = catalog3(spark, sf_dir).withColumns({"Theta": (F.col("ID") % 180).cast("double"), "Flux_SNR": F.col("ID") / 7.0, "Peak_SNR": F.col("ID") / 11.0, "Cost": F.col("ID").cast("double")})
+    return wcs.fit_to_world(c, wcs.Wcs())
+
+
+@query
+def fit_world2pix(spark, sf_dir):
+    p = wcs.fit_to_pixel(_world_fits(spark, sf_dir), wcs.Wcs())
+    return p.select(F.col("Cost").cast("long").alias("k"), *r6("Cen1", "Cen2", "Cen3", "Size1", "Size2", "Size3", "Theta", "Peak", "Sum", "Flux_SNR"))
+
+
+@query
+def fit_world_rounded(spark, sf_dir):
+    # The world places are irrational; a thousandth is far coarser than what engines differ by.
+    r = measure.rounded(_world_fits(spark, sf_dir), measure.FIT_WORLD_DECIMALS)
+    return r.select(F.col("Cost").cast("long").alias("k"), *r6("Galactic_Longitude", "Galactic_Latitude", "Size_major", "Size_minor", "Theta", "Peak"))
+
+
+@query
+def sized_boxes(spark, sf_dir):
+    c = catalog3(spark, sf_dir).withColumn("tile", F.lit("t0"))
+    return grid.sized_boxes(c, {"x": 120, "y": 120, "v": 70}).select(*longs("clump_id", "x_lo", "x_hi", "y_lo", "y_hi", "v_lo", "v_hi"))
+
+
+@query
+def world_axes(spark, sf_dir):
+    c = catalog3(spark, sf_dir).withColumn("tile", F.lit("t0"))
+    a = grid.world_axes(c, grid.sized_boxes(c, {"x": 120, "y": 120, "v": 70}), wcs.Wcs())
+    return a.select(*longs("clump_id"), *r6("lon_lo", "lon_hi", "lat_lo", "lat_hi", "vel_lo", "vel_hi"))
+
+
+@query
+def neighbour_box(spark, sf_dir):
+    """Neighbours in a box that is wider in x and y than in v."""
+    c = cube3(spark, sf_dir).withColumn("idx", grid.voxel_index(SHAPE3)).where(F.col("intensity") > 4)
+    near = density.neighbour_pairs(c, c, SHAPE3, {"x": 2, "y": 2, "v": 1}, ("intensity",))
+    return near.groupBy("idx").agg(F.count("*").alias("n"), F.sum("n_intensity").alias("total"), F.sum("d2").alias("d2")).select(*longs("idx", "n", "total", "d2"))
+
+
+@query
+def fill_holes(spark, sf_dir):
+    """The holes of bright places in ten stripes of the cube."""
+    c = cube2(spark, sf_dir).withColumn("idx", grid.voxel_index(SHAPE2))
+    stripes = c.where(F.col("intensity") > 12).withColumn("clump_id", F.floor((F.col("y") - 1) / 10))
+    return labels.fill_holes(stripes, SHAPE2).select(*longs("clump_id", "idx"))
+
+
+@query
+def mosaic_masks(spark, sf_dir):
+    """Bright places of tiles as one mask, numbered over all tiles."""
+    parts = mosaic.split(cube2(spark, sf_dir).drop("tile"), SHAPE2, 20, 0).withColumn("idx", grid.voxel_index(SHAPE2))
+    lab = parts.where(F.col("intensity") > 12).withColumn("clump_id", F.col("x") % 3 + 1)
+    kept = lab.where(F.col("clump_id") != 2).select("tile", F.col("clump_id").alias("ID")).distinct()
+    return mosaic.merge_masks(lab, kept).select(*longs("idx", "clump_id"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.measure import PIXEL_DECIMALS, rounded
+from ..operators.match import MatchResult
+from ..operators.measure import FIT_WORLD_DECIMALS, PIXEL_DECIMALS, rounded
 
 
 def sniff_delimiter(line: str) -> str:
@@ -46,8 +47,34 @@ def write_catalog(catalog: DataFrame, path: str, round_columns: bool = True) ->
     out.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def write_fit_world(catalog: DataFrame, path: str) -> None:
+    """A fitted catalogue in world coordinates, rounded column by column."""
+    rounded(catalog, FIT_WORLD_DECIMALS).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def write_matches(result: MatchResult, folder: str, suffix: str) -> None:
+    """Match, Miss and False as three tables of the folder, named after the suffix of what was matched."""
+    for name, table in (("Match", result.match), ("Miss", result.miss), ("False", result.false)):
+        table.write.mode("overwrite").csv(f"{folder}/{name}_{suffix}", sep="\t", header=True)
+
+
+def write_fit_groups(fits: DataFrame, path: str) -> None:
+    """Fits as one table with a folder for each group of overlapping clumps (component)."""
+    fits.write.mode("overwrite").partitionBy("component").csv(path, header=True)
+
+
+def collect_fit_groups(spark: SparkSession, path: str) -> DataFrame:
+    """All groups that write_fit_groups wrote, or a folder of such files, as one table in the order of ID."""
+    return spark.read.csv(path, header=True, inferSchema=True).orderBy("ID")
+
+
+def write_spaced(catalog: DataFrame, path: str) -> None:
+    """Space-separated text with a header."""
+    catalog.write.mode("overwrite").csv(path, sep=" ", header=True)
+
+
 def write_fixed_width(catalog: DataFrame, path: str, width: int = 14) -> None:
-    out = catalog.select(F.concat(*(F.lpad(F.col(c).cast("string"), width) for c in catalog.columns)).alias("value"))
+    out = catalog.select(F.concat(*(F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), width, " ") for c in catalog.columns)).alias("value"))
     out.write.mode("overwrite").text(path)
 
 

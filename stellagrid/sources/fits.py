@@ -2,7 +2,8 @@
 
 Reading: spark.dataSource.register(FitsSource); spark.read.format("fits").load(path) gives one row a voxel, and
 .option("what", "header") one row a header card. A partition is a block of planes of the slowest axis, read by seeking,
-so a cube of any size is spread over tasks and none holds it whole.
+so a cube of any size is spread over tasks and none holds it whole. It opens files that driver and workers see as local
+ones; read_fits() reads through Spark's own file systems.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK, CARD = 2880, 80
@@ -147,20 +150,89 @@ def card(key: str, value) -> str:
 
 
 def write_fits(voxels: DataFrame, shape: dict[str, int], path: str, header: dict | None = None, integer: bool = False) -> None:
-    """One tile's voxels as a FITS image; missing voxels are 0. Rows stream to the driver in order of idx, a partition
-    at a time, and go straight to the file, so that no memory holds the cube."""
+    """One tile's voxels as a FITS image on the driver's disk; missing voxels are 0.
+
+    Tasks put whole planes of the slowest axis into bytes; these stream to the driver in order, a plane at a time, and go
+    straight to the file, so that no memory holds the cube.
+    """
     cards = [("SIMPLE", True), ("BITPIX", 32 if integer else -64), ("NAXIS", len(shape))]
     cards += [(f"NAXIS{k}", n) for k, n in enumerate(shape.values(), 1)] + list((header or {}).items())
     text = "".join(card(*c) for c in cards) + "END".ljust(CARD)
     kind = np.dtype(">i4" if integer else ">f8")
-    size = math.prod(shape.values())
+    planes = list(shape.values())[-1]
+    plane = math.prod(shape.values()) // planes
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(plane, dtype=kind)
+        out[group["idx"].to_numpy() % plane] = group["intensity"].to_numpy()
+        return pd.DataFrame({"plane": [int(group["idx"].iloc[0] // plane)], "data": [out.tobytes()]})
+
+    packed = voxels.select("idx", "intensity").groupBy(F.floor(F.col("idx") / plane)).applyInPandas(pack, "plane long, data binary").orderBy("plane")
     with open(path, "wb") as f:
         f.write(text.encode("ascii").ljust(-(-len(text) // BLOCK) * BLOCK))
         at = 0
-        for idx, value in voxels.select("idx", "intensity").orderBy("idx").toLocalIterator():
-            if idx > at:
-                f.write(bytes(int(idx - at) * kind.itemsize))
-            f.write(np.array([value], dtype=kind).tobytes())
-            at = idx + 1
-        f.write(bytes((size - at) * kind.itemsize))
-        f.write(bytes(-size * kind.itemsize % BLOCK))
+        for number, data in packed.toLocalIterator():
+            f.write(bytes((number - at) * plane * kind.itemsize))
+            f.write(data)
+            at = number + 1
+        f.write(bytes((planes - at) * plane * kind.itemsize))
+        f.write(bytes(-planes * plane * kind.itemsize % BLOCK))
+
+
+def write_mask(mask: DataFrame, shape: dict[str, int], path: str, header: dict | None = None) -> None:
+    """A mask (idx, clump_id) as an integer FITS image, 0 off all clumps."""
+    write_fits(mask.select("idx", F.col("clump_id").alias("intensity")), shape, path, header, integer=True)
+
+
+def read_fits(spark: SparkSession, path: str, tile: str = "t0") -> tuple[dict[str, object], DataFrame]:
+    """(header, voxels) of a FITS image at any path that Spark's file systems can open.
+
+    The file is read as numbered blocks of 2880 bytes, split among tasks as any large file is; each block gives the
+    voxels whose samples it holds. The driver reads the first blocks, up to the END card.
+    """
+    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(BLOCK)}
+    blocks = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf
+    )
+    header: dict[str, object] = {}
+    count = 0
+    while not header:
+        count += 8
+        first = blocks.filter(lambda b, n=count: b[0] < n).sortByKey().values().map(bytes).collect()
+        data = b"".join(first)
+        end = next((k for k in range(0, len(data), CARD) if data[k : k + CARD].rstrip() == b"END"), None)
+        if end is not None:
+            for k in range(0, end, CARD):
+                if (parsed := parse_card(data[k : k + CARD].decode("ascii", "replace"))) and parsed[0] not in ("HISTORY", "COMMENT"):
+                    header.setdefault(*parsed)
+            break
+        if len(first) < count:
+            raise ValueError(f"no END card: {path}")
+    begin = end // BLOCK + 1
+    kind = np.dtype(TYPES[int(header["BITPIX"])])
+    shape = [n for n in (int(header[f"NAXIS{k}"]) for k in range(1, int(header["NAXIS"]) + 1)) if n > 1] or [1]
+    if len(shape) not in (2, 3):
+        raise ValueError(f"a cube has 2 or 3 axes, not {len(shape)}: {path}")
+    size, each = math.prod(shape), BLOCK // kind.itemsize
+    scale, zero, blank = float(header.get("BSCALE", 1)), float(header.get("BZERO", 0)), header.get("BLANK")
+
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, block in zip(batch.column("number").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                at = (number - begin) * each
+                raw = np.frombuffer(block, dtype=kind)[: max(0, size - at)]
+                values = raw.astype(np.float64) * scale + zero
+                if blank is not None and kind.kind in "iu":
+                    values[raw == int(blank)] = np.nan
+                idx = at + np.arange(len(values))
+                x, y, v = idx % shape[0] + 1, idx // shape[0] % shape[1] + 1, idx // (shape[0] * shape[1]) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([tile] * len(idx), pa.string()), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)),
+                        pa.array(v.astype(np.int32)) if len(shape) == 3 else pa.nulls(len(idx), pa.int32()), pa.array(idx), pa.array(np.nan_to_num(values, nan=0.0)),
+                    ],
+                    names=["tile", "x", "y", "v", "idx", "intensity"],
+                )
+
+    rows = spark.createDataFrame(blocks.filter(lambda b: b[0] >= begin), "number long, data binary")
+    return header, rows.mapInArrow(samples, "tile string, x int, y int, v int, idx long, intensity double")
