@@ -23,7 +23,7 @@ WORDS = 5
 SIMILAR = 80
 #: Bits of a signature for each shingle, and of all signatures when tiles are compared; buckets of the frequency
 #: sketch; entries of a bucket that meet in one tile at most.
-BITS_EACH, BITS, SKETCH, TILE = 8, 1024, 1 << 16, 2048
+BITS_EACH, BITS, SKETCH, TILE = 8, 1024, 1 << 16, 512
 #: Rounds in which only best partners are tried, in buckets of over LARGE entries, before all pairs are.
 ROUNDS, LARGE = 1, 32
 #: A sketch bucket with so many shingles above the mean is dealt to several tasks.

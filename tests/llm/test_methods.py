@@ -133,7 +133,7 @@ def test_inner_branches_merge(spark):
 # 8
 
 
-@pytest.mark.parametrize("tile", [2, 5, 2048])
+@pytest.mark.parametrize("tile", [2, 5, 512])
 def test_tiles_by_size_band_lose_no_link(spark, tile):
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(400)]
