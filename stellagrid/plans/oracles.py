@@ -330,3 +330,32 @@ SELECT CAST(k AS BIGINT) AS clump_id, CAST((y - 1) * 50 + x - 1 AS BIGINT) AS id
 SQL["mosaic_masks"] = f"""WITH {CUBE2}, l AS (SELECT x, y, (y - 1) // 20 AS ky, (x - 1) // 20 AS kx, x % 3 + 1 AS id FROM cube2 WHERE i > 12),
 n AS (SELECT ky, kx, id, row_number() OVER (ORDER BY ky, kx, id) AS m FROM (SELECT DISTINCT ky, kx, id FROM l WHERE id <> 2))
 SELECT CAST((y - 1) * 50 + x - 1 AS BIGINT) AS idx, m AS clump_id FROM l JOIN n USING (ky, kx, id)"""
+
+# Detection on the cubes of all blocks of suppliers: the chain above, tile by tile.
+SQL["detect_suppliers"] = f"""WITH RECURSIVE cube AS (SELECT (l_suppkey - 1) // 25 AS t, CAST(l_quantity AS INT) AS x, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS y, count(*) AS i FROM lineitem GROUP BY ALL),
+g AS (SELECT t.t, a.x, b.y, CAST((b.y - 1) * 50 + a.x - 1 AS BIGINT) AS idx, coalesce(c.i, 0) AS i FROM (SELECT DISTINCT t FROM cube) t, range(1, 51) a(x), range(1, 84) b(y) LEFT JOIN cube c ON c.t = t.t AND c.x = a.x AND c.y = b.y),
+k3 AS (SELECT * FROM (VALUES (-1, 1), (0, 2), (1, 1)) t(d, w)),
+rho AS (SELECT g.t, g.x, g.y, g.idx, any_value(g.i) AS i, CAST(sum(a.w * b.w * h.i) AS BIGINT) AS rho FROM g, k3 a, k3 b, g h
+        WHERE h.t = g.t AND h.x = least(50, greatest(1, g.x + a.d)) AND h.y = least(83, greatest(1, g.y + b.d)) GROUP BY g.t, g.x, g.y, g.idx),
+lev AS (SELECT CAST(sum(rho) AS DOUBLE) / count(*) AS mean, CAST(sum(rho * rho) AS DOUBLE) / count(*) AS sq FROM rho), thr AS (SELECT mean, mean + sqrt(sq - mean * mean) AS top FROM lev),
+bright AS (SELECT rho.* FROM rho, thr WHERE rho.rho > thr.mean),
+o1 AS (SELECT dx, dy FROM range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx <> 0 OR dy <> 0), o4 AS (SELECT dx, dy FROM range(-4, 5) a(dx), range(-4, 5) b(dy) WHERE dx <> 0 OR dy <> 0),
+p1 AS (SELECT a.t, a.idx, b.idx AS pidx, b.rho AS prho, dx * dx + dy * dy AS d2, b.x AS bx, b.y AS byy FROM bright a, o1, bright b
+       WHERE b.t = a.t AND b.x = a.x + dx AND b.y = a.y + dy AND (b.rho > a.rho OR (b.rho = a.rho AND b.idx < a.idx))),
+n1 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY t, idx ORDER BY d2, bx DESC, byy DESC) = 1),
+p4 AS (SELECT a.t, a.idx, b.idx AS pidx, b.rho AS prho, dx * dx + dy * dy AS d2, b.x AS bx, b.y AS byy FROM (SELECT * FROM bright WHERE (t, idx) NOT IN (SELECT t, idx FROM n1)) a, o4, bright b
+       WHERE b.t = a.t AND b.x = a.x + dx AND b.y = a.y + dy AND (b.rho > a.rho OR (b.rho = a.rho AND b.idx < a.idx))),
+n4 AS (SELECT * FROM p4 QUALIFY row_number() OVER (PARTITION BY t, idx ORDER BY d2, bx DESC, byy DESC) = 1),
+link AS (SELECT b.*, n.pidx AS parent, n.d2, (n.prho - b.rho) / sqrt(n.d2) AS grad FROM bright b LEFT JOIN (SELECT * FROM n1 UNION ALL SELECT * FROM n4) n ON n.t = b.t AND n.idx = b.idx),
+cen AS (SELECT t, idx, row_number() OVER (PARTITION BY t ORDER BY idx) AS clump_id FROM link, thr WHERE rho > top AND (parent IS NULL OR d2 > 16)),
+par AS (SELECT l.t, l.idx, CASE WHEN c.idx IS NULL THEN l.parent END AS parent FROM link l LEFT JOIN cen c ON c.t = l.t AND c.idx = l.idx),
+root AS (SELECT t, idx, idx AS root FROM par WHERE parent IS NULL UNION ALL SELECT p.t, p.idx, r.root FROM par p JOIN root r ON p.t = r.t AND p.parent = r.idx),
+lab AS (SELECT l.*, c.clump_id FROM link l JOIN root r ON r.t = l.t AND r.idx = l.idx JOIN cen c ON c.t = r.t AND c.idx = r.root),
+span AS (SELECT t, clump_id, max(rho) - min(rho) AS s FROM lab GROUP BY ALL),
+st AS (SELECT lab.*, coalesce(lab.grad, -1) / (CASE WHEN s = 0 THEN 1 ELSE s END) > 0.01 AS steep FROM lab JOIN span ON span.t = lab.t AND span.clump_id = lab.clump_id),
+mean AS (SELECT t, clump_id, avg(rho) AS m FROM st WHERE steep GROUP BY ALL),
+clu AS (SELECT st.t, x, y, idx, i, dense_rank() OVER (PARTITION BY st.t ORDER BY st.clump_id) AS clump_id FROM st JOIN mean ON mean.t = st.t AND mean.clump_id = st.clump_id WHERE steep OR rho > m),
+cat AS (SELECT t, clump_id, arg_max(x, (i, -idx)) AS p1, arg_max(y, (i, -idx)) AS p2, max(i) AS peak, CAST(sum(i) AS BIGINT) AS total, count(*) AS volume, nullif(sum(i), 0)::DOUBLE AS m,
+               sum(i * x)::DOUBLE AS sx, sum(i * y)::DOUBLE AS sy, sum(i * x * x)::DOUBLE AS qx, sum(i * y * y)::DOUBLE AS qy FROM clu GROUP BY t, clump_id)
+SELECT format('s{{:05d}}', t) AS tile, clump_id AS ID, p1 AS Peak1, p2 AS Peak2, {r6(Cen1="sx / m", Cen2="sy / m", Size1="2.3548::DOUBLE * sqrt(greatest(qx / m - (sx / m) * (sx / m), 0))", Size2="2.3548::DOUBLE * sqrt(greatest(qy / m - (sy / m) * (sy / m), 0))")},
+       peak AS Peak, total AS Sum, volume AS Volume FROM cat"""

@@ -72,11 +72,19 @@ def levels(rho: DataFrame) -> tuple[float, float]:
     return mean, mean + math.sqrt(q / n - mean * mean)
 
 
+def supplier_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-dimensional cube of each block of 25 suppliers, smoothed: as many tiles as the tables have blocks."""
+    month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
+    block = F.format_string("s%05d", F.floor((F.col("l_suppkey") - 1) / 25))
+    cubes = grid.voxelize(table(spark, sf_dir, "lineitem"), {"x": F.col("l_quantity"), "y": month}, F.count("*"), block)
+    return smooth.binomial(grid.dense_grid(cubes, SHAPE2), SHAPE2)
+
+
 class Found:
-    """The steps of detection on the two-dimensional cube, each made when asked for."""
+    """The steps of detection on two-dimensional cubes, each made when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.rho = cut_lineage(rho2(spark, sf_dir), "rho")
+    def __init__(self, spark: SparkSession, sf_dir: str, cubes=rho2):
+        self.rho = cut_lineage(cubes(spark, sf_dir), "rho")
         self.noise, self.rho_min = levels(self.rho)
         self.bright = self.rho.where(F.col("rho") > self.noise)
 
@@ -138,6 +146,13 @@ def detect_2d(spark, sf_dir):
     return c.select(*longs("ID", "Peak1", "Peak2"), *r6("Cen1", "Cen2", "Size1", "Size2"), *longs("Peak", "Sum", "Volume"))
 
 
+@query
+def detect_suppliers(spark, sf_dir):
+    """The whole detection on the cubes of all blocks of suppliers at once."""
+    c = Found(spark, sf_dir, supplier_cubes).catalog()
+    return c.select("tile", *longs("ID", "Peak1", "Peak2"), *r6("Cen1", "Cen2", "Size1", "Size2"), *longs("Peak", "Sum", "Volume"))
+
+
 @query
 def voxelize_2d(spark, sf_dir):
     return cube2(spark, sf_dir).select(*longs("x", "y", "intensity"))
@@ -561,8 +576,8 @@ def clump_spectrum(spark, sf_dir):
 
 @query
 def simulate_cube(spark, sf_dir):
-    """A cube of placed clumps for each nation, its components read back by detection-free sums."""
-    tiles = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("tile"))
+    """A cube of placed clumps for each block of ten suppliers, its components read back by detection-free sums."""
+    tiles = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.floor(F.col("s_suppkey") / 10)).alias("tile")).distinct()
     shape = {"x": 40, "y": 40, "v": 24}
     voxels, components = simulate.simulate_cubes(tiles, shape, 4)
     totals = voxels.groupBy("tile").agg(F.sum("intensity").alias("total"), F.max("intensity").alias("top"))
