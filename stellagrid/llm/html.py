@@ -143,13 +143,15 @@ class Shape:
         self.nodes, self.tag = nodes, f"{nodes[0].tag}.{nodes[0].name}"
         self.text = "\n".join(squeeze(c) for n in nodes for c in n.children if isinstance(c, str) and not c.isspace())
         groups: list[list[Node]] = []
+        last = None
         for n in nodes:
             for c in n.children:
                 if isinstance(c, Node) and c.tag not in RAW and c.tag not in VOID and not (c.tag in INLINE and n.tag in PROSE):
-                    if groups and form(groups[-1][0]) == form(c):
+                    if (this := form(c)) == last:
                         groups[-1].append(c)
                     else:
                         groups.append([c])
+                    last = this
         self.leaf = not groups
         self.children = [Shape(g, depth + 1) for g in groups] if depth < 60 else []
 
