@@ -332,7 +332,7 @@ n AS (SELECT ky, kx, id, row_number() OVER (ORDER BY ky, kx, id) AS m FROM (SELE
 SELECT CAST((y - 1) * 50 + x - 1 AS BIGINT) AS idx, m AS clump_id FROM l JOIN n USING (ky, kx, id)"""
 
 # Detection on the cubes of all blocks of suppliers: the chain above, tile by tile.
-SQL["detect_suppliers"] = f"""WITH RECURSIVE cube AS (SELECT (l_suppkey - 1) // 25 AS t, CAST(l_quantity AS INT) AS x, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS y, count(*) AS i FROM lineitem GROUP BY ALL),
+SQL["detect_suppliers"] = f"""WITH RECURSIVE cube AS (SELECT l_suppkey // 25 AS t, CAST(l_quantity AS INT) AS x, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS y, count(*) AS i FROM lineitem GROUP BY ALL),
 g AS (SELECT t.t, a.x, b.y, CAST((b.y - 1) * 50 + a.x - 1 AS BIGINT) AS idx, coalesce(c.i, 0) AS i FROM (SELECT DISTINCT t FROM cube) t, range(1, 51) a(x), range(1, 84) b(y) LEFT JOIN cube c ON c.t = t.t AND c.x = a.x AND c.y = b.y),
 k3 AS (SELECT * FROM (VALUES (-1, 1), (0, 2), (1, 1)) t(d, w)),
 rho AS (SELECT g.t, g.x, g.y, g.idx, any_value(g.i) AS i, CAST(sum(a.w * b.w * h.i) AS BIGINT) AS rho FROM g, k3 a, k3 b, g h

@@ -75,7 +75,7 @@ def levels(rho: DataFrame) -> tuple[float, float]:
 def supplier_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-dimensional cube of each block of 25 suppliers, smoothed: as many tiles as the tables have blocks."""
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
-    block = F.format_string("s%05d", F.floor((F.col("l_suppkey") - 1) / 25))
+    block = F.format_string("s%05d", F.floor(F.col("l_suppkey") / 25))
     cubes = grid.voxelize(table(spark, sf_dir, "lineitem"), {"x": F.col("l_quantity"), "y": month}, F.count("*"), block)
     return smooth.binomial(grid.dense_grid(cubes, SHAPE2), SHAPE2)
 
