@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,12 @@ def bounds(guess: DataFrame, p: FitParams = FitParams()) -> DataFrame:
     return guess.withColumns(new)
 
 
+def in_bounds(bounded: DataFrame) -> Column:
+    """Whether every parameter of bounds() lies within its closed bounds."""
+    names = [c[:-3] for c in bounded.columns if c.endswith("_lo")]
+    return reduce(lambda a, b: a & b, (F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")) for n in names), F.lit(True))
+
+
 def model_volume(fits: DataFrame, rms: float) -> DataFrame:
     """(ID, Volume): the points of each model's unit grid over three sigma at which it is at least rms."""
     cube = "v0" in fits.columns

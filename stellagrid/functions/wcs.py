@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +95,13 @@ def clump_name(lon: Column, lat: Column, vel: Column | None = None, prefix: str
     return F.concat(*out, *([] if vel is None else [_signed(vel, decimals[2], decimals[2] + 3)]))
 
 
-def to_world(catalog: DataFrame, w: Wcs, prefix: str = "MWISP") -> DataFrame:
-    """A pixel catalogue in world coordinates: places in degrees and km/s, sizes times the resolution, ID the name."""
+def to_world(catalog: DataFrame, w: Wcs, prefix: str = "MWISP", keep_id: bool = False) -> DataFrame:
+    """A pixel catalogue in world coordinates: places in degrees and km/s, sizes times the resolution, ID the name.
+
+    With keep_id the pixel catalogue's ID stays as PixelID, which joins the two catalogues.
+    """
+    if keep_id:
+        catalog = catalog.withColumn("PixelID", F.col("ID"))
     cube = "Cen3" in catalog.columns
     new: dict[str, Column] = {}
     for kind in ("Peak", "Cen"):
@@ -122,6 +127,18 @@ def to_pixel(catalog: DataFrame, w: Wcs) -> DataFrame:
     return catalog.withColumns(new)
 
 
+def to_world_fixed(catalog: DataFrame, w: Wcs) -> DataFrame:
+    """As to_world, with the usual resolution whatever the header says, velocities always in m/s before, no Angle, and
+    another prefix in two dimensions."""
+    cube = "Cen3" in catalog.columns
+    plain = catalog.drop("Angle")
+    if not cube:
+        return to_world(plain, replace(w, resolution=Wcs().resolution), "MWSIP")
+    speed = {f"{kind}3": (F.lit(w.crval[2]) + (F.col(f"{kind}3") - w.crpix[2]) * w.cdelt[2]) / 1000.0 for kind in ("Peak", "Cen")}
+    out = to_world(plain.withColumns({f"_{k}": e for k, e in speed.items()}), replace(w, resolution=Wcs().resolution))
+    return out.withColumns({**{k: F.col(f"_{k}") for k in speed}, "ID": clump_name(F.col("Cen1"), F.col("Cen2"), F.col("_Cen3"))}).drop(*(f"_{k}" for k in speed))
+
+
 def fit_to_pixel(catalog: DataFrame, w: Wcs) -> DataFrame:
     """A fitted catalogue in world coordinates as pixels: the inverse of fit_to_world, but that ID and Flux stay as they
     are, the latter as Sum."""

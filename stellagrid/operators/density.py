@@ -77,6 +77,16 @@ def density_rank(bright: DataFrame) -> DataFrame:
     return ranked(bright, ["tile"], [F.desc("rho"), F.col("idx")], "rank")
 
 
+def decision_graph(linked: DataFrame, delta_min: int = 4) -> DataFrame:
+    """tile, idx, rho, delta and parent of every voxel: the distance of its denser neighbour, to choose centres by.
+
+    A voxel without one is its own parent, farther than delta_min and than all others of its tile.
+    """
+    widest = linked.groupBy("tile").agg(F.sqrt(F.max("d2")).alias("widest"))
+    alone = F.greatest(F.coalesce("widest", F.lit(0.0)), F.lit(delta_min + 0.001))
+    return linked.join(widest, "tile").select("tile", "idx", "rho", F.coalesce(F.sqrt("d2"), alone).alias("delta"), F.coalesce("parent", "idx").alias("parent"))
+
+
 def centres(linked: DataFrame, rho_min, delta_min: int = 4) -> DataFrame:
     """(tile, idx, clump_id) of the voxels over rho_min whose denser neighbour is over delta_min away or missing."""
     far = F.col("parent").isNull() | (F.col("d2") > delta_min * delta_min)

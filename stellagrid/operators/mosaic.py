@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -75,3 +76,9 @@ def merge_masks(labelled: DataFrame, kept: DataFrame) -> DataFrame:
     start = counts.withColumn("before", before).select("tile", "before")
     numbered = kept.join(start, "tile").select("tile", F.col("ID").alias("clump_id"), (F.col("before") + F.row_number().over(W.partitionBy("tile").orderBy("ID"))).alias("mosaic_id"))
     return labelled.join(numbered, ["tile", "clump_id"]).drop("clump_id").withColumnRenamed("mosaic_id", "clump_id")
+
+
+def stack(parts: list[DataFrame], column: str, step: float) -> DataFrame:
+    """Parts one above the other: the k-th part's column grows by k * step."""
+    moved = [p.withColumn(column, (F.col(column) + k * step).cast(dict(p.dtypes)[column])) for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, moved)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.model import gaussian
 from .grid import Shape, voxel_index
 from .rank import ranked
 
@@ -80,11 +79,22 @@ def render(components: DataFrame, shape: Shape, reach: float = 4.0, threshold: f
     def ticks(place: str, half: Column, n: int) -> Column:
         return F.explode(F.sequence(F.greatest(F.floor(place) - half, F.lit(1)).cast("int"), F.least(F.ceil(place) + half, F.lit(n)).cast("int")))
 
-    grid = components.where((c("x0") + wide >= 1) & (c("x0") - wide <= shape["x"])).withColumn("x", ticks("x0", wide, shape["x"])).withColumn("y", ticks("y0", wide, shape["y"]))
+    c2, n2, both = F.cos("theta") * F.cos("theta"), F.sin("theta") * F.sin("theta"), F.sin(2 * c("theta"))
+    # What depends on the component alone is worked out once, and what depends on x and y once a column.
+    known = components.withColumns(
+        {
+            "_xx": c2 / (2 * c("s1") * c("s1")) + n2 / (2 * c("s2") * c("s2")),
+            "_yy": n2 / (2 * c("s1") * c("s1")) + c2 / (2 * c("s2") * c("s2")),
+            "_xy": both / (2 * c("s2") * c("s2")) - both / (2 * c("s1") * c("s1")),
+        }
+    )
+    grid = known.where((c("x0") + wide >= 1) & (c("x0") - wide <= shape["x"])).withColumn("x", ticks("x0", wide, shape["x"])).withColumn("y", ticks("y0", wide, shape["y"]))
+    dx, dy = c("x") - c("x0"), c("y") - c("y0")
+    grid = grid.withColumn("m", c("A") * F.exp(-(dx * dx * c("_xx") + dy * dy * c("_yy") + dx * dy * c("_xy"))))
     if cube:
         grid = grid.withColumn("v", ticks("v0", F.ceil(c("s3") * reach), shape["v"]))
-    value = gaussian(c("x"), c("y"), c("v") if cube else None, c("A"), c("x0"), c("y0"), c("s1"), c("s2"), c("theta"), *((c("v0"), c("s3")) if cube else ()))
-    return grid.select("tile", *shape, value.alias("m")).where(c("m") > threshold).groupBy("tile", *shape).agg(F.sum("m").alias("intensity"))
+        grid = grid.withColumn("m", c("m") * F.exp(-(c("v") - c("v0")) * (c("v") - c("v0")) / (2 * c("s3") * c("s3"))))
+    return grid.select("tile", *shape, "m").where(c("m") > threshold).groupBy("tile", *shape).agg(F.sum("m").alias("intensity"))
 
 
 def model_sums(components: DataFrame, shape: Shape, least: float = 0.01) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -53,3 +55,20 @@ class MatchParams:
 
 #: Fixed value: full width at half maximum of a Gaussian of unit sigma.
 FWHM = 2.3548
+
+
+def read_config(spark: SparkSession, path: str) -> dict[str, str]:
+    """The entries of a flat YAML file (key: value), without comments; a missing file is an error."""
+    out = {}
+    for (line,) in spark.read.text(path).collect():  # a configuration of some lines
+        key, sign, value = line.split(" #")[0].partition(":")
+        if sign and not key.lstrip().startswith("#"):
+            out[key.strip()] = value.strip().strip("'\"")
+    return out
+
+
+def from_config(kind: type, config: dict[str, str]):
+    """Parameters of a kind (DetectParams and the like) from entries of the same names; others are left as they are."""
+    said = {f.name: config[f.name] for f in fields(kind) if f.name in config}
+    value = lambda old, text: None if text in ("", "null", "None") else text.lower() in ("true", "yes", "1") if isinstance(old, bool) else type(old)(text) if old is not None else float(text)
+    return kind(**{k: value(getattr(kind(), k), v) for k, v in said.items()})

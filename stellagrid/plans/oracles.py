@@ -359,3 +359,12 @@ cat AS (SELECT t, clump_id, arg_max(x, (i, -idx)) AS p1, arg_max(y, (i, -idx)) A
                sum(i * x)::DOUBLE AS sx, sum(i * y)::DOUBLE AS sy, sum(i * x * x)::DOUBLE AS qx, sum(i * y * y)::DOUBLE AS qy FROM clu GROUP BY t, clump_id)
 SELECT format('s{{:05d}}', t) AS tile, clump_id AS ID, p1 AS Peak1, p2 AS Peak2, {r6(Cen1="sx / m", Cen2="sy / m", Size1="2.3548::DOUBLE * sqrt(greatest(qx / m - (sx / m) * (sx / m), 0))", Size2="2.3548::DOUBLE * sqrt(greatest(qy / m - (sy / m) * (sy / m), 0))")},
        peak AS Peak, total AS Sum, volume AS Volume FROM cat"""
+SQL["decision_graph"] = f"""WITH {LINK}, w AS (SELECT greatest(coalesce(sqrt(max(d2)), 0), 4.001::DOUBLE) AS far FROM link)
+SELECT idx, rho, coalesce(parent, idx) AS parent, round(coalesce(sqrt(d2), far), 6) AS delta FROM link, w"""
+SQL["fit_in_bounds"] = f"""WITH {CAT3}, g AS (SELECT *, s1 / {F2} AS g1, s2 / {F2} AS g2, s3 / {F2} AS g3, s1 / {F2} * (id % 3 + 0.25::DOUBLE) AS t FROM cat)
+SELECT id AS ID, abs(id % 5 - 2) <= g1 AND t >= least(g1 * 0.5, 1) AND t <= g1 * 1.5 AND g2 >= least(g2 * 0.5, 1) AND g3 >= least(g3 * 0.5, 1)
+       AND peak >= greatest(peak - 3, 0.69::DOUBLE) AS inside FROM g"""
+SQL["catalog_names"] = f"""WITH {CAT3} SELECT id AS ID, CAST(5 + 7 + 7 + 8 AS BIGINT) - 1 AS letters, {r6(Cen1='c1', lon=_c[0])} FROM cat"""
+SQL["pix2world_fixed"] = f"WITH {CAT3} SELECT id AS k, {r6(Cen1=_c[0], Cen3=speed('c3'), Size1='s1 * 30', Size3='s3 * 0.166::DOUBLE')} FROM cat"
+SQL["mosaic_rows"] = f"WITH {CUBE2} SELECT x, y, i AS intensity FROM cube2"
+SQL["detect_log"] = f"""WITH RECURSIVE {MEASURE} SELECT '{{''x'': 50, ''y'': 83}}' AS shape, '2.0' AS rms, '4' AS delta_min, 'adaptive' AS sigma, count(*) AS clumps FROM cat"""

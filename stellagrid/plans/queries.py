@@ -701,3 +701,47 @@ def mosaic_masks(spark, sf_dir):
     lab = parts.where(F.col("intensity") > 12).withColumn("clump_id", F.col("x") % 3 + 1)
     kept = lab.where(F.col("clump_id") != 2).select("tile", F.col("clump_id").alias("ID")).distinct()
     return mosaic.merge_masks(lab, kept).select(*longs("idx", "clump_id"))
+
+
+@query
+def decision_graph(spark, sf_dir):
+    return density.decision_graph(Found(spark, sf_dir).linked(), 4).select(*longs("idx", "rho", "parent"), *r6("delta"))
+
+
+@query
+def fit_in_bounds(spark, sf_dir):
+    """Which of the fits lie within the bounds of their start values."""
+    b = model.bounds(model.initial_guess(catalog3(spark, sf_dir)))
+    moved = b.withColumns({"x0": F.col("x0") + (F.col("ID") % 5 - 2), "s1": F.col("s1") * (F.col("ID") % 3 + 0.25)})
+    return moved.select(*longs("ID"), model.in_bounds(moved).alias("inside"))
+
+
+@query
+def catalog_names(spark, sf_dir):
+    """The pixel catalogue with the names its clumps have in the world catalogue, joined by ID."""
+    c = catalog3(spark, sf_dir)
+    w = wcs.to_world(c, wcs.Wcs(), keep_id=True).select(F.col("PixelID").alias("ID"), F.col("Cen1").alias("lon"), F.length("ID").alias("letters"))
+    return c.join(w, "ID").select(*longs("ID", "letters"), *r6("Cen1", "lon"))
+
+
+@query
+def pix2world_fixed(spark, sf_dir):
+    """World coordinates with the usual resolution, whatever the header says."""
+    w = wcs.to_world_fixed(catalog3(spark, sf_dir).withColumn("k", F.col("ID")), wcs.Wcs(resolution=(7.0, 7.0, 7.0)))
+    return w.select(*longs("k"), *r6("Cen1", "Cen3", "Size1", "Size3"))
+
+
+@query
+def mosaic_rows(spark, sf_dir):
+    """The cubes of the two halves of the months, and both above each other."""
+    c = cube2(spark, sf_dir).select("x", "y", "intensity")
+    low, high = c.where(F.col("y") <= 41), c.where(F.col("y") > 41).withColumn("y", F.col("y") - 41)
+    return mosaic.stack([low, high], "y", 41).select(*longs("x", "y", "intensity"))
+
+
+@query
+def detect_log(spark, sf_dir):
+    """The log of a detection: its parameters and counts, without the date."""
+    f = Found(spark, sf_dir)
+    p = DetectParams(rms=2.0)
+    return detect.detect_log(p, SHAPE2, detect.Detection(f.clusters(), f.catalog(), f.rho)).select("shape", "rms", "delta_min", "sigma", *longs("clumps"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grid import Shape
 from ..operators.match import MatchResult
-from ..operators.measure import FIT_WORLD_DECIMALS, PIXEL_DECIMALS, rounded
+from ..operators.measure import FIT_WORLD_DECIMALS, PIXEL_DECIMALS, in_core, rounded
 
 
 def sniff_delimiter(line: str) -> str:
@@ -14,21 +15,22 @@ def sniff_delimiter(line: str) -> str:
     return next((d for d in ("\t", ",", " ") if d in line.strip()), "\t")
 
 
-def read_catalog(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A catalogue file, or a folder of such, with typed columns (doubles, and strings where a value is no number).
+def read_catalog(spark: SparkSession, path: str, schema: str | None = None, names: str | None = None) -> DataFrame:
+    """A catalogue file, or a folder of such (those whose names match a pattern), with typed columns (doubles, and strings where a value is no number).
 
     The header line decides the delimiter; a column without a name is a row number and is left out. Runs of spaces are
     one delimiter.
     """
-    head = spark.read.text(path).limit(1).collect()
+    files = {"pathGlobFilter": names} if names else {}
+    head = spark.read.options(**files).text(path).limit(1).collect()
     line = head[0][0] if head else ""
     delimiter = sniff_delimiter(line)
     if delimiter != " ":
-        df = spark.read.csv(path, sep=delimiter, header=True, schema=schema, inferSchema=schema is None, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        df = spark.read.options(**files).csv(path, sep=delimiter, header=True, schema=schema, inferSchema=schema is None, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
         return df.drop(*(c for c in df.columns if c.startswith("_c") or c.startswith("Unnamed")))
     names = line.split()
     fields = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where((F.trim("value") != "") & (F.trim("value") != line.strip()))
+    rows = spark.read.options(**files).text(path).where((F.trim("value") != "") & (F.trim("value") != line.strip()))
     return rows.select(*(F.coalesce(F.get(fields, F.lit(k)).try_cast("double")).alias(n) for k, n in enumerate(names)))
 
 
@@ -47,6 +49,11 @@ def write_catalog(catalog: DataFrame, path: str, round_columns: bool = True) ->
     out.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def write_local_catalog(catalog: DataFrame, path: str, shape: Shape, edges: tuple[tuple[float, float], ...]) -> None:
+    """The clumps of the core alone, as write_catalog writes them."""
+    write_catalog(catalog.where(in_core(shape, edges)), path)
+
+
 def write_fit_world(catalog: DataFrame, path: str) -> None:
     """A fitted catalogue in world coordinates, rounded column by column."""
     rounded(catalog, FIT_WORLD_DECIMALS).write.mode("overwrite").csv(path, sep="\t", header=True)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.grid import subcube, voxel_index
+
 BLOCK, CARD = 2880, 80
 #: The sample types of the format.
 TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -179,6 +181,19 @@ def write_fits(voxels: DataFrame, shape: dict[str, int], path: str, header: dict
         f.write(bytes(-planes * plane * kind.itemsize % BLOCK))
 
 
+def write_subcube(voxels: DataFrame, shape: dict[str, int], path: str, header: dict | None = None, **ranges: tuple[int, int]) -> dict[str, int]:
+    """The voxels within closed pixel ranges as a FITS image of their own, its reference pixels moved; gives its shape."""
+    ends = {a: (max(1, ranges.get(a, (1, n))[0]), min(n, ranges.get(a, (1, n))[1])) for a, n in shape.items()}
+    small = {a: high - low + 1 for a, (low, high) in ends.items()}
+    moved = subcube(voxels, shape, **ends).withColumns({a: F.col(a) - low + 1 for a, (low, _) in ends.items()})
+    cards = dict(header or {})
+    for k, (low, _) in enumerate(ends.values(), 1):
+        if f"CRPIX{k}" in cards:
+            cards[f"CRPIX{k}"] = float(cards[f"CRPIX{k}"]) - low + 1
+    write_fits(moved.withColumn("idx", voxel_index(small)), small, path, cards)
+    return small
+
+
 def write_mask(mask: DataFrame, shape: dict[str, int], path: str, header: dict | None = None) -> None:
     """A mask (idx, clump_id) as an integer FITS image, 0 off all clumps."""
     write_fits(mask.select("idx", F.col("clump_id").alias("intensity")), shape, path, header, integer=True)

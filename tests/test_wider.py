@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from stellagrid import tables
+from stellagrid import params, tables
 from stellagrid.functions import wcs
 from stellagrid.operators import density, grid, match, measure, rank, simulate
 from stellagrid.params import MatchParams
@@ -131,3 +131,45 @@ def test_cut_tables_can_be_dropped(spark):
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(t.cut_path).count()
     assert Row(id=1) in tables.cut_lineage(spark.range(3)).collect()
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("# detection\nrms: 0.5\ndelta_min: 6  # voxels\nsigma: 0.8\nremove_edge: false\nid_prefix: 'XY'\ndata_name: /a/b.fits\n")
+    config = params.read_config(spark, str(tmp_path / "c.yaml"))
+    p = params.from_config(params.DetectParams, config)
+    assert (p.rms, p.delta_min, p.sigma, p.remove_edge, p.id_prefix, p.min_area) == (0.5, 6, 0.8, False, "XY", 25) and config["data_name"] == "/a/b.fits"
+    with pytest.raises(Exception):  # noqa: B017
+        params.read_config(spark, str(tmp_path / "none.yaml"))
+
+
+def test_subcubes_are_written_with_their_header(spark, tmp_path):
+    shape = {"x": 6, "y": 5, "v": 4}
+    voxels = spark.range(120).select(F.lit("t").alias("tile"), (F.col("id") % 6 + 1).alias("x"), (F.floor(F.col("id") / 6) % 5 + 1).alias("y"), (F.floor(F.col("id") / 30) + 1).alias("v"), F.col("id").cast("double").alias("intensity"))
+    small = fits.write_subcube(voxels, shape, str(tmp_path / "s.fits"), {"CRPIX1": 3.0, "CRPIX2": 3.0}, x=(2, 99), v=(-4, 2))
+    header, back = fits.read_fits(spark, str(tmp_path / "s.fits"))
+    assert small == {"x": 5, "y": 5, "v": 2} and (header["CRPIX1"], header["CRPIX2"]) == (2.0, 3.0)
+    assert {(r["x"], r["y"], r["v"]): r["intensity"] for r in back.collect()} == {(r["x"] - 1, r["y"], r["v"]): r["intensity"] for r in voxels.where("x >= 2 and v <= 2").collect()}
+
+
+def test_folders_by_name_and_local_catalogues(spark, tmp_path):
+    c = spark.createDataFrame([(1, 2.0, 5.0), (2, 5.0, 5.0)], "ID long, Cen1 double, Cen2 double")
+    catalog.write_local_catalog(c, str(tmp_path / "loc"), {"x": 10, "y": 10}, ((3, 3), (3, 3)))
+    assert [r["ID"] for r in catalog.read_catalog(spark, str(tmp_path / "loc")).collect()] == [2]
+    for k, name in enumerate(("fit_001.csv", "fit_002.csv", "other.txt")):
+        (tmp_path / name).write_text(f"ID,A\n{k},1.5\n")
+    assert sorted(r["ID"] for r in catalog.read_catalog(spark, str(tmp_path), names="fit_*.csv").collect()) == [0, 1]
+
+
+def test_peak_spectra_end_with_the_cube(spark):
+    cube = spark.createDataFrame([("t", 2, 3, v, float(v)) for v in range(1, 9) if v != 4], "tile string, x int, y int, v int, intensity double")
+    peaks = spark.createDataFrame([("t", 1, 2, 3, 2), ("t", 2, 2, 3, 7)], "tile string, ID int, Peak1 int, Peak2 int, Peak3 int")
+    got = sorted((r["clump_id"], r["v"], r["peak"]) for r in grid.peak_spectra(cube, peaks, {"x": 4, "y": 4, "v": 8}, 3).collect())
+    assert got == [(1, v, 0.0 if v == 4 else float(v)) for v in range(1, 6)] + [(2, v, float(v)) for v in range(5, 8)]
+
+
+def test_sized_boxes_hold_within_the_cube(spark):
+    c = spark.createDataFrame([("t", 1, 2.0, 10.0, 4.0, 2.0)], "tile string, ID int, Cen1 double, Cen2 double, Size1 double, Size2 double")
+    box = grid.sized_boxes(c, {"x": 20, "y": 12}).first()
+    assert (box["x_lo"], box["x_hi"], box["y_lo"], box["y_hi"]) == (1, 8, 5, 12)
+    ends = grid.world_axes(c, grid.sized_boxes(c, {"x": 20, "y": 12}), wcs.Wcs()).first()
+    assert ends["lon_hi"] - ends["lon_lo"] == pytest.approx(8 / 120) and ends["lat_hi"] - ends["lat_lo"] == pytest.approx(8 / 120)
