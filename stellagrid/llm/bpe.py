@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Texts of more code points are cut into leaves of LEAF code points each.
 LONG, LEAF = 16_384, 8_192
@@ -136,6 +136,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, long: int = LONG, leaf: i
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

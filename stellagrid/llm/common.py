@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..tables import cut_lineage as cut
 from ..tables import drop
 
-__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "cut", "drop", "filter_texts", "hash128", "pieces", "run_hashes", "small_side", "table", "text_or_empty", "word_hashes"]
+__all__ = ["LOWER", "UPPER", "WHITE", "ascii_lower", "cut", "drop", "filter_texts", "hash128", "pieces", "run_hashes", "small_batches", "small_side", "table", "text_or_empty", "word_hashes"]
 
 #: The white space that the operators strip or split at, and the two ASCII alphabets.
 WHITE = " \t\n\x0b\x0c\r"
@@ -26,6 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once. Spark's default of 10,000 rows is 30 MB of whole texts and more, several times
+#: over in the worker and beside the heap of the executor.
+ROWS_A_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch to ROWS_A_BATCH; a lower setting stays. It holds when the result is computed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ROWS_A_BATCH:
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; lower() does just that for pure ASCII, and quickly."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -51,6 +64,7 @@ def small_side(df: DataFrame, row_bytes: Column, at_most_mb: float = 32) -> Data
 
 def filter_texts(docs: DataFrame, passing: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows of docs whose text passes, with all columns as they are. passing() says so of a list of texts."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, hash128, pieces, text_or_empty
+from .common import filter_texts, hash128, pieces, small_batches, text_or_empty
 
 WINDOW = 10
 #: At most so many MB of test text are searched for at once; more is searched for block by block. The tables of a block
@@ -233,6 +233,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     count for each of them. Repeated rows of docs each get a row. Long texts are searched in pieces that overlap by a
     window.
     """
+    small_batches(docs.sparkSession)
     blocks = list(_blocks(benchmark, window, block_mb))
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     if len(blocks) == 1:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, small_batches, small_side
 
 # Element names of the HTML standard, by what they do here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -442,6 +442,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     row. A very long page is parsed in one task, as any other; elements nested deeper than 60 keep their text, but are
     not aligned. Of nodes with equal text the first in the page counts.
     """
+    small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     elements = F.regexp_extract_all(F.lower("html"), F.lit(LAYOUT), F.lit(1))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, drop, run_hashes, small_side, text_or_empty
+from .common import cut, drop, run_hashes, small_batches, small_side, text_or_empty
 
 WORDS = 5
 #: Similarity 80 / 100; the formulas below have it worked in.
@@ -374,7 +374,7 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
     Long texts are hashed in stretches; their sets are held by one task at a time. Ties between partners that are equally
     close go to either, as every pair is tried at last.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("row_hash"), "text")
     signed = cut(rows.mapInPandas(_sign, SIGNED), "signed")
     sets = signed.where(F.col("bucket").isNull())

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts
+from .common import filter_texts, small_batches
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -99,6 +99,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.
     Each task adds up its own texts and sends one row a bucket, so the shuffle has tasks x BUCKETS small rows and the
     driver gets BUCKETS sums, whatever the corpus. The broadcast side has at most `trusted` ids.
     """
+    small_batches(docs.sparkSession)
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, trusted).withColumn("good", F.lit(True))), "doc_id", "left")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, word_hashes
+from .common import cut, pieces, small_batches, word_hashes
 
 LIMIT = 2048
 #: So many distinct pre-tokens does a task hold before it sends their counts on.
@@ -160,6 +160,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, common: i
     Null text counts as empty: 0 bytes, 0 tokens. Repeated rows each get their row; an empty table gives none. Ties of
     frequency stay on the same side of the broadcast's bound.
     """
+    small_batches(docs.sparkSession)
     table = cut(count_pretokens(distinct_pretokens(docs), vocabulary), "pretokens")
     least = least_common(table, common)
     first = cut(frequencies(docs, table, least), "frequencies")
