@@ -150,13 +150,25 @@ def _entries(counts: np.ndarray, salt_at: int):
     return emit
 
 
+def _gathered(batches: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Batches of short rows, put together to about so many."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str], at_most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
     """Rows sorted by keys in pieces of whole runs of equal keys, and whether the last run goes on in the next piece.
 
     Only a run of over at_most rows is divided.
     """
     rest = None
-    for batch in batches:
+    for batch in _gathered(batches):
         if not len(batch):
             continue
         if rest is not None and len(rest):
