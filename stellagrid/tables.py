@@ -29,11 +29,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df, written to the shared folder and read back."""
+def cut_lineage(df: DataFrame, name: str = "cut", by: tuple = ()) -> DataFrame:
+    """df, written to the shared folder and read back; rows that differ in the columns `by` lie in different files."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.cut_path = path
     return table
