@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, licenses, line_dedup, quality, shards, token_counts, urls
+from . import bpe, conversations, decontaminate, html, jaccard, licenses, line_dedup, quality, shards, token_counts, urls
 from .common import table
 
 
@@ -53,7 +53,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_shards, op3_licenses, op4_decontaminate, op5_bpe, op6_urls, op7_quality, op8_jaccard, op9_html, op10_token_counts)}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+TEXT_QUERIES = (op1_line_dedup, op2_shards, op3_licenses, op4_decontaminate, op5_bpe, op6_urls, op7_quality, op8_jaccard, op9_html, op10_token_counts, op13_conversations)
+QUERIES = {f.__name__: f for f in TEXT_QUERIES}
 
 SQL: dict[str, str] = {}
 
@@ -185,3 +190,43 @@ FROM r JOIN tree ON tree.host = r.host AND tree.path = r.path JOIN judged j ON j
 
 
 SQL["op6_urls"] = _url_sql()
+
+
+#: One edit by state: what a row of initial `r` and fault `f` may become, as (state before, state after, cost, letter). The
+#: walk inserts up to two rows before each edit and after the last one; k counts rows.
+SQL["op13_conversations"] = r"""
+WITH RECURSIVE src AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+     crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(list_transform(string_split(key, ''), lambda ch: ascii(ch)::UBIGINT), lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))),
+                    lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1::UBIGINT) * 3988292384::UBIGINT)), 4294967295::UBIGINT) % 20 AS kind FROM src),
+     hurt AS (SELECT id, conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                     CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, CASE WHEN kind = 3 THEN 2 ELSE 1 END AS copies FROM crc WHERE kind <> 0),
+     r0 AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM (SELECT *, unnest(range(copies)) FROM hurt)),
+     r1 AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+                   left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM r0),
+     r AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM r1),
+     ins AS (SELECT * FROM (VALUES ('', '', 0, ''), ('', 'u', 1, 'I'), ('', 'a', 2, 'II'), ('s', 's', 0, ''), ('s', 'u', 1, 'I'), ('s', 'a', 2, 'II'),
+                                   ('u', 'u', 0, ''), ('u', 'a', 1, 'I'), ('u', 'u', 2, 'II'), ('a', 'a', 0, ''), ('a', 'u', 1, 'I'), ('a', 'a', 2, 'II')) t(p, q, n, letters)),
+     edit AS (SELECT conv_id, k, p, q, cost, letter FROM (
+                SELECT conv_id, k, p, p AS q, 4 AS cost, 'D' AS letter FROM r, (VALUES (''), ('s'), ('u'), ('a')) t(p)
+                UNION ALL SELECT conv_id, k, p, q, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R' FROM r, (VALUES ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')) t(p, q) WHERE fault NOT IN ('blank', 'duplicate')
+                UNION ALL SELECT conv_id, k, p, q, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'K' FROM r, (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')) t(p, q) WHERE i = q AND fault NOT IN ('blank', 'duplicate'))),
+     step AS MATERIALIZED (SELECT conv_id, k, ins.p, edit.q, min(struct_pack(cost := 3 * n + cost, token := letters || letter)) AS best FROM edit JOIN ins ON ins.q = edit.p GROUP BY ALL),
+     walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, '' AS state, struct_pack(cost := 0, audit := '') AS way FROM r
+              UNION ALL
+              SELECT walk.conv_id, walk.k + 1, step.q, min(struct_pack(cost := way.cost + best.cost, audit := way.audit || best.token))
+              FROM walk JOIN step ON step.conv_id IS NOT DISTINCT FROM walk.conv_id AND step.k = walk.k + 1 AND step.p = walk.state GROUP BY walk.conv_id, walk.k, step.q),
+     n AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (k > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+     done AS (SELECT n.conv_id, n.n, min(struct_pack(cost := way.cost + 3 * t.more, audit := way.audit || repeat('I', t.more))) AS way
+              FROM walk JOIN n ON n.conv_id IS NOT DISTINCT FROM walk.conv_id AND n.n = walk.k JOIN (VALUES ('', 0), ('s', 2), ('u', 1), ('a', 0)) t(state, more) ON t.state = walk.state GROUP BY n.conv_id, n.n),
+     letters AS (SELECT conv_id, unnest(string_split(way.audit, '')) AS x, generate_subscripts(string_split(way.audit, ''), 1) AS nth FROM done WHERE way.audit <> ''),
+     placed AS (SELECT *, count(*) FILTER (x <> 'I') OVER (PARTITION BY conv_id ORDER BY nth) AS k FROM letters),
+     shown AS (SELECT placed.conv_id, nth, x, role, text, x = 'K' AND left(role, 1) = 's' AS sys, sum(CASE WHEN x = 'D' OR (x = 'K' AND left(role, 1) = 's') THEN 0 ELSE 1 END) OVER (PARTITION BY placed.conv_id ORDER BY nth) AS turn_no
+               FROM placed LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM placed.conv_id AND r.k = placed.k AND placed.x <> 'I'),
+     text_of AS (SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN turn_no % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY nth) AS t FROM shown WHERE x <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(done.way.cost, 0) AS BIGINT) AS cost, coalesce(done.way.audit, '') AS audit, sha256(coalesce(text_of.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN text_of ON text_of.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
