@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, html, jaccard, licenses, line_dedup, quality, shards, token_counts, urls
+from . import bpe, codebooks, conversations, decontaminate, html, jaccard, licenses, line_dedup, quality, shards, token_counts, urls
 from .common import table
 
 
@@ -53,11 +53,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digests(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
-TEXT_QUERIES = (op1_line_dedup, op2_shards, op3_licenses, op4_decontaminate, op5_bpe, op6_urls, op7_quality, op8_jaccard, op9_html, op10_token_counts, op13_conversations)
+TEXT_QUERIES = (op1_line_dedup, op2_shards, op3_licenses, op4_decontaminate, op5_bpe, op6_urls, op7_quality, op8_jaccard, op9_html, op10_token_counts, op12_codebooks, op13_conversations)
 QUERIES = {f.__name__: f for f in TEXT_QUERIES}
 
 SQL: dict[str, str] = {}
@@ -230,3 +234,30 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN text_of ON text_of.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+
+def _codebook_sql() -> str:
+    """Six rounds of assignment and means, then the codes; vectors have a multiple of eight components here."""
+    nearest = "SELECT b.pos, p.row, p.part, min(struct_pack(far := list_sum(list_transform(list_zip(p.part, b.part), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), entry := b.entry)) AS best FROM p JOIN b{0} b ON b.pos = p.pos GROUP BY b.pos, p.row, p.part"
+    rounds = "".join(
+        f"""
+     a{k} AS MATERIALIZED ({nearest.format(k)}),
+     m{k} AS (SELECT pos, best.entry AS entry, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS c FROM (SELECT pos, best, unnest(part) AS x, generate_subscripts(part, 1) AS k FROM a{k}) GROUP BY ALL),
+     n{k} AS (SELECT pos, entry, list((s - ((s % c) + c) % c) // c ORDER BY k) AS part FROM m{k} GROUP BY ALL),
+     b{k + 1} AS MATERIALIZED (SELECT b.pos, b.entry, coalesce(n.part, b.part) AS part FROM b{k} b LEFT JOIN n{k} n ON n.pos = b.pos AND n.entry = b.entry),"""
+        for k in range(6)
+    )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 4096) AS BIGINT)) AS ints FROM embeddings
+           WHERE embedding IS NOT NULL AND coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))), 0) = 0),
+     p AS MATERIALIZED (SELECT pos, row, ints[pos * (len(ints) // 8) + 1 : (pos + 1) * (len(ints) // 8)] AS part FROM v, (SELECT unnest(range(8)) AS pos)),
+     s AS (SELECT vec_id, min(ints) AS ints, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v GROUP BY vec_id ORDER BY vec_id LIMIT 16),
+     b0 AS MATERIALIZED (SELECT pos, entry, ints[pos * (len(ints) // 8) + 1 : (pos + 1) * (len(ints) // 8)] AS part FROM s, (SELECT unnest(range(8)) AS pos)),{rounds}
+     last AS ({nearest.format(6)}),
+     codes AS (SELECT row, string_agg(lpad(lower(to_hex(best.entry)), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM last GROUP BY row),
+     sha AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) AS h FROM b6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN codes USING (row), sha
+"""
+
+
+SQL["op12_codebooks"] = _codebook_sql()
