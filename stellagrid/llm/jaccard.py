@@ -369,6 +369,15 @@ def _tiles(named: DataFrame, tile: int, least: int) -> DataFrame:
     return named.join(wanted, ["h", "band"]).withColumn("mine", own).select("h", "pos", "n", "node", "label", F.inline(cells))
 
 
+def least_ids(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, row_hash, n_shingles and component_id of every row of sets. found (node, component) has the nodes with links."""
+    labelled = sets.join(found, "node", "left").select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("label"))
+    # A task sends a label once; labels of a single document need no join.
+    least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    least = small_side(cut(least.where(F.col("size") > 1).select("label", "least"), "least"), F.lit(0))
+    return labelled.join(least, "label", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT) -> DataFrame:
     """doc_id, row_hash, n_shingles and component_id of each row of docs (doc_id, text); row_hash is its text's.
 
@@ -423,11 +432,7 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
         if not links.isEmpty():
             first = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
 
-    labelled = sets.join(first, "node", "left").select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("label"))
-    # A task sends a label once; labels of a single document need no join.
-    least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
-    least = small_side(cut(least.where(F.col("size") > 1).select("label", "least"), "least"), F.lit(0))
-    return labelled.join(least, "label", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return least_ids(sets, first)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codebooks, conversations, decontaminate, html, jaccard, licenses, line_dedup, quality, shards, token_counts, urls
+from . import bpe, codebooks, conversations, decontaminate, html, jaccard, licenses, line_dedup, minhash, quality, shards, token_counts, urls
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.encode_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digests(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
-TEXT_QUERIES = (op1_line_dedup, op2_shards, op3_licenses, op4_decontaminate, op5_bpe, op6_urls, op7_quality, op8_jaccard, op9_html, op10_token_counts, op12_codebooks, op13_conversations)
+TEXT_QUERIES = (op1_line_dedup, op2_shards, op3_licenses, op4_decontaminate, op5_bpe, op6_urls, op7_quality, op8_jaccard, op9_html, op10_token_counts, op11_minhash, op12_codebooks, op13_conversations)
 QUERIES = {f.__name__: f for f in TEXT_QUERIES}
 
 SQL: dict[str, str] = {}
@@ -136,20 +140,25 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS
 FROM w LEFT JOIN base ON base.r = w.r LEFT JOIN found ON found.r = w.r
 """
 
-SQL["op8_jaccard"] = f"""
+def _components_sql(words: int, similar: int, more: str = "") -> str:
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
-     s AS (SELECT DISTINCT r, array_to_string(words[i : i + 4], ' ') AS shingle
-           FROM (SELECT r, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)),
+     s AS (SELECT DISTINCT r, array_to_string(words[i : i + {words - 1}], ' ') AS shingle
+           FROM (SELECT r, words, unnest(range(1, greatest(1, len(words) - {words - 1}) + 1)) AS i FROM w WHERE len(words) > 0)),
      n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
      c AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
-     e AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= {jaccard.SIMILAR} * (x.n + y.n - common)),
+     e AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= {similar} * (x.n + y.n - common)),
      sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
      reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.b)
-SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id{more}
 FROM w JOIN reach ON reach.a = w.r JOIN w o ON o.r = reach.b LEFT JOIN n ON n.r = w.r GROUP BY w.r, w.doc_id
 """
 
 
+SQL["op8_jaccard"] = _components_sql(5, 80)
+SQL["op11_minhash"] = _components_sql(3, 85, ", w.doc_id = min(o.doc_id) AS kept")
+
+
 def _url_sql() -> str:
     ranked = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for _, h, p in ranked]
