@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..params import FWHM, FitParams
+from ..params import FWHM, FitParams, tile_keys
 
 #: Fixed value: the share of a Gaussian within three sigma.
 WITHIN_3 = math.erf(3 / math.sqrt(2))
@@ -36,7 +36,7 @@ def initial_guess(catalog: DataFrame) -> DataFrame:
     """Start parameters of a fit from a pixel catalogue: sigmas from FWHM sizes, no rotation."""
     cube = "Cen3" in catalog.columns
     return catalog.select(
-        "ID", F.col("Peak").alias("A"), F.col("Cen1").alias("x0"), F.col("Cen2").alias("y0"), (F.col("Size1") / FWHM).alias("s1"), (F.col("Size2") / FWHM).alias("s2"), F.lit(0.0).alias("theta"),
+        *tile_keys(catalog), "ID", F.col("Peak").alias("A"), F.col("Cen1").alias("x0"), F.col("Cen2").alias("y0"), (F.col("Size1") / FWHM).alias("s1"), (F.col("Size2") / FWHM).alias("s2"), F.lit(0.0).alias("theta"),
         *([F.col("Cen3").alias("v0"), (F.col("Size3") / FWHM).alias("s3")] if cube else []),
     )
 
@@ -59,7 +59,7 @@ def in_bounds(bounded: DataFrame) -> Column:
 
 
 def model_volume(fits: DataFrame, rms: float) -> DataFrame:
-    """(ID, Volume): the points of each model's unit grid over three sigma at which it is at least rms."""
+    """(ID, Volume), after tile if fits have one: the points of each model's unit grid over three sigma at which it is at least rms."""
     cube = "v0" in fits.columns
 
     def ticks(place: str, sigma: str) -> Column:
@@ -71,7 +71,7 @@ def model_volume(fits: DataFrame, rms: float) -> DataFrame:
         grid = grid.withColumn("gv", F.explode(ticks("v0", "s3")))
     c = F.col
     value = gaussian(c("gx"), c("gy"), c("gv") if cube else None, c("A"), c("x0"), c("y0"), c("s1"), c("s2"), c("theta"), *((c("v0"), c("s3")) if cube else ()))
-    return grid.groupBy("ID").agg(F.count_if(value >= rms).alias("Volume"))
+    return grid.groupBy(*tile_keys(fits), "ID").agg(F.count_if(value >= rms).alias("Volume"))
 
 
 def fit_catalog(fits: DataFrame, rms: float) -> DataFrame:
@@ -81,9 +81,10 @@ def fit_catalog(fits: DataFrame, rms: float) -> DataFrame:
     total = flux(c("A"), c("s1"), c("s2"), *([c("s3")] if cube else []))
     snr = F.when(c("Volume") > 0, c("_flux") / (rms * F.sqrt("Volume"))).otherwise(c("_flux") / rms)
     angle, swap = F.pmod(F.degrees("theta"), F.lit(180.0)), c("s1") < c("s2")
-    made = fits.join(model_volume(fits, rms), "ID", "left").fillna(0, ["Volume"]).withColumn("_flux", total)
+    keys = tile_keys(fits)
+    made = fits.join(model_volume(fits, rms), [*keys, "ID"], "left").fillna(0, ["Volume"]).withColumn("_flux", total)
     return made.select(
-        "ID", c("x0").alias("Cen1"), c("y0").alias("Cen2"), *([c("v0").alias("Cen3")] if cube else []),
+        *keys, "ID", c("x0").alias("Cen1"), c("y0").alias("Cen2"), *([c("v0").alias("Cen3")] if cube else []),
         (FWHM * F.greatest("s1", "s2")).alias("Size1"), (FWHM * F.least("s1", "s2")).alias("Size2"), *([(FWHM * c("s3")).alias("Size3")] if cube else []),
         F.when(swap, F.pmod(angle + 90, F.lit(180.0))).otherwise(angle).alias("Theta"), c("A").alias("Peak"), c("_flux").alias("Sum"), snr.alias("Flux_SNR"), (c("A") / rms).alias("Peak_SNR"),
         *(k for k in ("Success", "Cost") if k in fits.columns),

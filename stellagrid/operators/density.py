@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,15 +48,15 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, shape: Shape, r: int | di
 
 def _nearest(left: DataFrame, bright: DataFrame, shape: Shape, r: int) -> DataFrame:
     higher = (F.col("n_rho") > F.col("rho")) | ((F.col("n_rho") == F.col("rho")) & (F.col("n_idx") < F.col("idx")))
+    return _best(neighbour_pairs(left, bright, shape, r).where(higher), shape)
+
+
+def _best(pairs: DataFrame, shape: Shape) -> DataFrame:
+    """(tile, idx, parent, d2, grad) of the nearest of each voxel's partners in pairs."""
     key = F.struct(F.col("d2"), *((-F.col(f"n_{a}")).alias(f"k_{a}") for a in shape))
     best = F.min(F.struct(key.alias("key"), F.col("n_idx"), F.col("n_rho")))
-    return (
-        neighbour_pairs(left, bright, shape, r)
-        .where(higher)
-        .groupBy("tile", "idx", "rho")
-        .agg(best.alias("b"))
-        .select("tile", "idx", F.col("b.n_idx").alias("parent"), F.col("b.key.d2").alias("d2"), ((F.col("b.n_rho") - F.col("rho")) / F.sqrt(F.col("b.key.d2"))).alias("grad"))
-    )
+    grad = (F.col("b.n_rho") - F.col("rho")) / F.sqrt(F.col("b.key.d2"))
+    return pairs.groupBy("tile", "idx", "rho").agg(best.alias("b")).select("tile", "idx", F.col("b.n_idx").alias("parent"), F.col("b.key.d2").alias("d2"), grad.alias("grad"))
 
 
 def nearest_higher(bright: DataFrame, shape: Shape, reach: int = 4) -> DataFrame:
@@ -72,6 +72,71 @@ def nearest_higher(bright: DataFrame, shape: Shape, reach: int = 4) -> DataFrame
     return bright.join(near.unionByName(far), ["tile", "idx"], "left")
 
 
+#: Edge of the smallest blocks of a pyramid, and how many blocks of a level a block of the next one has along an axis.
+LEAF, FAN = 8, 4
+
+
+def _levels(shape: Shape) -> int:
+    """The level at which one block holds the cube."""
+    top = 0
+    while LEAF * FAN**top < max(shape.values()):
+        top += 1
+    return top
+
+
+def _block(a: str, level: int) -> Column:
+    return F.floor((F.col(a) - 1) / (LEAF * FAN**level)).cast("int")
+
+
+def pyramid(bright: DataFrame, shape: Shape) -> DataFrame:
+    """(tile, level, b_x, b_y, ..., top): the densest voxel of every block of every level that has any. One aggregation."""
+    top = F.max(F.struct("rho", (-F.col("idx")).alias("order"), *shape)).alias("top")
+    leaves = bright.groupBy("tile", *(_block(a, 0).alias(f"b_{a}") for a in shape)).agg(top)
+    up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_levels(shape)))))
+    wide = F.pow(F.lit(FAN), F.col("level"))
+    return up.groupBy("tile", "level", *(F.floor(F.col(f"b_{a}") / wide).cast("int").alias(f"b_{a}") for a in shape)).agg(F.max("top").alias("top"))
+
+
+def farther_higher(peaks: DataFrame, bright: DataFrame, shape: Shape) -> DataFrame:
+    """(tile, idx, parent, d2, grad): the nearest denser voxel of each of peaks, however far it is; none for a tile's densest.
+
+    A pyramid of the densest voxels of blocks is searched from its top. A block stays for a peak if its densest voxel is
+    denser than the peak and the block lies no farther than the nearest of the densest voxels that the peak has met on
+    this level; its own blocks are looked at next. So near blocks come before far ones and whole regions without a denser
+    voxel are left out at once. Voxels of the smallest blocks that stay are compared at last, with ties as in
+    nearest_higher(). Every level is a join on (tile, block) and an aggregation by peak.
+    """
+    axes = list(shape)
+    blocks = [f"b_{a}" for a in axes]
+    levels = cut_lineage(pyramid(bright, shape), "pyramid")
+    found = peaks.select("tile", *axes, "idx", "rho").withColumns({b: F.lit(0) for b in blocks})
+    denser = (F.col("top.rho") > F.col("rho")) | ((F.col("top.rho") == F.col("rho")) & (-F.col("top.order") < F.col("idx")))
+    square = lambda terms: sum((t * t for t in terms[1:]), terms[0] * terms[0])
+    for level in range(_levels(shape), -1, -1):
+        side = LEAF * FAN**level
+        here = levels.where(F.col("level") == level).select("tile", *blocks, "top", *(F.floor(F.col(b) / FAN).cast("int").alias(f"up_{b}") for b in blocks))
+        above = found.select("tile", *axes, "idx", "rho", *(F.col(b).alias(f"up_{b}") for b in blocks))
+        near = square([F.greatest(F.col(b) * side + 1 - F.col(a), F.col(a) - (F.col(b) + 1) * side, F.lit(0)).cast("long") for a, b in zip(axes, blocks, strict=True)])
+        there = square([(F.col(f"top.{a}") - F.col(a)).cast("long") for a in axes])
+        met = above.join(here, ["tile", *(f"up_{b}" for b in blocks)]).where(denser).withColumns({"near": near, "there": there})
+        least = F.min("there").over(W.partitionBy("tile", "idx"))
+        found = cut_lineage(met.withColumn("least", least).where(F.col("near") <= F.col("least")).select("tile", *axes, "idx", "rho", *blocks), "found")
+    voxels = bright.select("tile", *(_block(a, 0).alias(f"b_{a}") for a in axes), *(F.col(a).alias(f"n_{a}") for a in axes), F.col("idx").alias("n_idx"), F.col("rho").alias("n_rho"))
+    higher = (F.col("n_rho") > F.col("rho")) | ((F.col("n_rho") == F.col("rho")) & (F.col("n_idx") < F.col("idx")))
+    d2 = square([(F.col(f"n_{a}") - F.col(a)).cast("long") for a in axes])
+    return _best(found.join(voxels, ["tile", *blocks]).where(higher).withColumn("d2", d2), shape)
+
+
+def nearest_higher_anywhere(bright: DataFrame, shape: Shape, reach: int = 4) -> DataFrame:
+    """As nearest_higher(), but voxels without a denser one in the box look on through the whole tile. Only the densest
+    voxel of a tile has no parent."""
+    linked = cut_lineage(nearest_higher(bright, shape, reach), "linked")
+    alone = linked.where(F.col("parent").isNull()).select("tile", *shape, "idx", "rho")
+    far = farther_higher(alone, bright, shape)
+    rest = alone.join(far, ["tile", "idx"], "left").select(*linked.columns)
+    return linked.where(F.col("parent").isNotNull()).unionByName(rest)
+
+
 def density_rank(bright: DataFrame) -> DataFrame:
     """bright with each voxel's rank in its tile, the densest first."""
     return ranked(bright, ["tile"], [F.desc("rho"), F.col("idx")], "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import bounds, initial_guess
-from ..params import FitParams
+from ..params import FitParams, tile_keys
 
 #: Sigmas are held above this.
 LEAST_SIGMA = 0.1
@@ -93,32 +93,32 @@ def fit_group(start: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.n
 
 
 def fit_clumps(points: DataFrame, catalog: DataFrame, groups: DataFrame, o: FitParams = FitParams()) -> DataFrame:
-    """(component, ID, parameters, Success, Cost) of each clump of catalog.
+    """(component, ID, parameters, Success, Cost) of each clump of catalog, after tile if it has tiles.
 
-    points are voxels (clump_id, axes, intensity), groups gives each ID its component. A component's voxels and start
-    values meet in one task: a component is as large as a chain of overlapping clumps. Values that are null or NaN do
-    not count.
+    points are voxels (clump_id, axes, intensity), groups gives each ID its component; with tiles, all three have them,
+    and a component is one of its tile. A component's voxels and start values meet in one task: a component is as large
+    as a chain of overlapping clumps. Values that are null or NaN do not count.
     """
-    ndim = 3 if "Cen3" in catalog.columns else 2
+    ndim, keys = 3 if "Cen3" in catalog.columns else 2, tile_keys(catalog)
     names, axes = NAMES[ndim], ["x", "y", "v"][:ndim]
     b = bounds(initial_guess(catalog), o)
     numbers = [*names, *(f"{n}_lo" for n in names), *(f"{n}_hi" for n in names)]
-    starts = b.join(groups, "ID").select("component", F.col("ID").cast("long").alias("ID"), F.array(*(F.col(n).cast("double") for n in numbers)).alias("start"), F.lit(None).cast("array<double>").alias("place"), F.lit(None).cast("double").alias("value"))
+    starts = b.join(groups, [*keys, "ID"]).select(*keys, "component", F.col("ID").cast("long").alias("ID"), F.array(*(F.col(n).cast("double") for n in numbers)).alias("start"), F.lit(None).cast("array<double>").alias("place"), F.lit(None).cast("double").alias("value"))
     value = F.col("intensity").cast("double")
-    good = points.where(value.isNotNull() & ~F.isnan(value)).join(groups.withColumnRenamed("ID", "clump_id"), "clump_id")
-    voxels = good.select("component", F.lit(None).cast("long").alias("ID"), F.lit(None).cast("array<double>").alias("start"), F.array(*(F.col(a).cast("double") for a in axes)).alias("place"), value.alias("value"))
+    good = points.where(value.isNotNull() & ~F.isnan(value)).join(groups.withColumnRenamed("ID", "clump_id"), [*keys, "clump_id"])
+    voxels = good.select(*keys, "component", F.lit(None).cast("long").alias("ID"), F.lit(None).cast("array<double>").alias("start"), F.array(*(F.col(a).cast("double") for a in axes)).alias("place"), value.alias("value"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         head, body = group[group["start"].notna()].sort_values("ID"), group[group["place"].notna()]
-        columns = ["component", "ID", *names, "Success", "Cost"]
+        columns = [*keys, "component", "ID", *names, "Success", "Cost"]
         if not len(head) or not len(body):
             return pd.DataFrame(columns=columns)
         table = np.array(head["start"].tolist())
         k = len(names)
         p, ok, rms = fit_group(table[:, :k], table[:, k : 2 * k], table[:, 2 * k :], np.array(body["place"].tolist()), body["value"].to_numpy(), o)
         out = pd.DataFrame(p, columns=names)
-        return out.assign(component=head["component"].to_numpy(), ID=head["ID"].to_numpy(), Success=ok, Cost=rms)[columns]
+        return out.assign(**{c: head[c].to_numpy() for c in (*keys, "component", "ID")}, Success=ok, Cost=rms)[columns]
 
-    kind = dict(groups.dtypes)["component"]
-    schema = f"component {kind}, ID long, " + ", ".join(f"{n} double" for n in names) + ", Success boolean, Cost double"
-    return starts.unionByName(voxels).groupBy("component").applyInPandas(run, schema)
+    kinds = dict(catalog.dtypes) | dict(groups.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "component")) + ", ID long, " + ", ".join(f"{n} double" for n in names) + ", Success boolean, Cost double"
+    return starts.unionByName(voxels).groupBy(*keys, "component").applyInPandas(run, schema)

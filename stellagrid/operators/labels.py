@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..tables import cut_lineage
-from .density import neighbour_pairs
 from .graph import connected_components, forest_roots
 from .grid import Shape, voxel_index
 
@@ -45,13 +48,93 @@ def renumber(labelled: DataFrame) -> DataFrame:
     return labelled.join(new, ["tile", "clump_id"]).drop("clump_id").withColumnRenamed("new_id", "clump_id")
 
 
+#: Lines a block has along each axis but x.
+LINES = 16
+
+
+def runs(labelled: DataFrame, shape: Shape) -> DataFrame:
+    """labelled with `run`: the least idx of the voxels of its clump that stand next to one another along x with it."""
+    _, *others = shape
+    line = W.partitionBy("tile", "clump_id", *others)
+    island = F.col("x") - F.row_number().over(line.orderBy("x"))
+    return labelled.withColumn("_island", island).withColumn("run", F.min("idx").over(W.partitionBy("tile", "clump_id", *others, "_island"))).drop("_island")
+
+
+def _united(axes: list[str]):
+    """The runs of a block, each with the least idx of the runs of the block that it is connected with."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        places = rows[axes].to_numpy(dtype=np.int64)
+        lo, hi, clump = (rows[c].to_numpy(dtype=np.int64) for c in ("lo", "hi", "clump_id"))
+        order = np.lexsort((lo, *places.T[::-1], clump))
+        places, lo, hi, clump, idx = places[order], lo[order], hi[order], clump[order], rows["run"].to_numpy(dtype=np.int64)[order]
+        lines, which = np.unique(np.column_stack((clump, places)), axis=0, return_inverse=True)
+        which = which.ravel()
+        starts = np.searchsorted(which, np.arange(len(lines) + 1))
+        number = {tuple(line): k for k, line in enumerate(lines.tolist())}
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for step in [(1,)] if len(axes) == 1 else [(1, 0), (-1, 1), (0, 1), (1, 1)]:
+            for k, line in enumerate(lines.tolist()):
+                other = number.get((line[0], *(p + d for p, d in zip(line[1:], step, strict=True))))
+                if other is None:
+                    continue
+                a, b = np.arange(starts[k], starts[k + 1]), slice(starts[other], starts[other + 1])
+                first, last = np.searchsorted(hi[b], lo[a] - 1, side="left"), np.searchsorted(lo[b], hi[a] + 1, side="right")
+                n = np.maximum(last - first, 0)
+                left = np.repeat(a, n)
+                ends.append((left, np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()) + starts[other]))
+        root = np.arange(len(rows))
+        if ends:
+            a, b = (np.concatenate(e) for e in zip(*ends, strict=True))
+            while len(a):  # hang the greater root on the smaller one, and shorten the ways
+                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                np.minimum.at(root, high, low)
+                while (root[root] != root).any():
+                    root = root[root]
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, idx)
+        out = rows.iloc[order].copy()
+        out["part"] = least[root]
+        return out
+
+    return run
+
+
+def _touching(united: DataFrame, axes: list[str]) -> DataFrame:
+    """(src, dst) of parts of neighbouring blocks with runs that touch. Only runs of lines at the edge of a block are looked at."""
+    edge = reduce(lambda p, q: p | q, (((F.col(a) - 1) % LINES).isin(0, LINES - 1) for a in axes))
+    node = F.struct("tile", F.col("part").alias("idx"))
+    rim = cut_lineage(united.where(edge).select("tile", "clump_id", *axes, "lo", "hi", node.alias("node"), *(F.floor((F.col(a) - 1) / LINES).alias(f"b_{a}") for a in axes)), "rim")
+    steps = [(1,)] if len(axes) == 1 else [(1, 0), (-1, 1), (0, 1), (1, 1)]
+    other = F.explode(F.array(*(F.struct(*((F.col(a) + d).alias(a) for a, d in zip(axes, step, strict=True))) for step in steps)))
+    looks = rim.withColumn("o", other).select("tile", "clump_id", *(F.col(f"o.{a}").alias(a) for a in axes), F.col("lo").alias("l"), F.col("hi").alias("h"), F.col("node").alias("src"), *(F.col(f"b_{a}").alias(f"c_{a}") for a in axes))
+    crosses = reduce(lambda p, q: p | q, (F.col(f"b_{a}") != F.col(f"c_{a}") for a in axes))
+    met = looks.join(rim, ["tile", "clump_id", *axes]).where(crosses & (F.col("l") <= F.col("hi") + 1) & (F.col("lo") <= F.col("h") + 1))
+    return met.select("src", F.col("node").alias("dst")).distinct()
+
+
 def parts(labelled: DataFrame, shape: Shape) -> DataFrame:
-    """labelled with `part`: the least idx of the voxel's connected part of its clump, all neighbours touching."""
-    carried = labelled.select("tile", *shape, "idx", "clump_id")
-    touching = neighbour_pairs(carried, carried, shape, 1, ("clump_id",)).where((F.col("clump_id") == F.col("n_clump_id")) & (F.col("idx") > F.col("n_idx")))
-    found = connected_components(touching.select(F.struct("tile", "idx").alias("src"), F.struct("tile", F.col("n_idx").alias("idx")).alias("dst")))
-    named = found.select("node.tile", "node.idx", F.col("component.idx").alias("part"))
-    return labelled.join(named, ["tile", "idx"], "left").withColumn("part", F.coalesce("part", "idx"))
+    """labelled with `part`: the least idx of the voxel's connected part of its clump, all neighbours touching. A voxel of
+    no clump is a part of its own.
+
+    Voxels next to one another along x are one run. Runs are dealt to blocks of LINES lines an axis and united there, in
+    a task; parts of different blocks meet where runs at their edges touch, and those links alone go through the rounds
+    of connected components.
+    """
+    _, *others = shape
+    named = labelled.where(F.col("clump_id").isNotNull()).select("tile", *shape, "idx", "clump_id")
+    marked = cut_lineage(runs(named, shape), "runs")
+    lines = marked.groupBy("tile", "clump_id", *others, "run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    blocks = [F.floor((F.col(a) - 1) / LINES).alias(f"_{a}") for a in others]
+    kinds = dict(lines.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in lines.columns) + ", part long"
+    united = cut_lineage(lines.groupBy("tile", *blocks).applyInPandas(_united(others), schema), "united")
+    found = connected_components(_touching(united, others)).select("node.tile", F.col("node.idx").alias("part"), F.col("component.idx").alias("whole"))
+    named = united.select("tile", "clump_id", "run", "part").join(found, ["tile", "part"], "left").select("tile", "clump_id", "run", F.coalesce("whole", "part").alias("part"))
+    places = marked.select("tile", "clump_id", "idx", "run").join(named, ["tile", "clump_id", "run"]).select("tile", "idx", "part")
+    return labelled.join(places, ["tile", "idx"], "left").withColumn("part", F.coalesce("part", "idx"))
 
 
 def largest_part(labelled: DataFrame, shape: Shape) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import cut_lineage
+from .graph import connected_components
 from .grid import Shape
 
 
@@ -71,11 +73,45 @@ def merge_masks(labelled: DataFrame, kept: DataFrame) -> DataFrame:
 
     Numbers come from the catalogue of clumps, never from voxels: a count a tile, added up, then a rank within the tile.
     """
+    numbered = _numbers(kept).select("tile", F.col("ID").alias("clump_id"), "mosaic_id")
+    return labelled.join(numbered, ["tile", "clump_id"]).drop("clump_id").withColumnRenamed("mosaic_id", "clump_id")
+
+
+def _numbers(kept: DataFrame) -> DataFrame:
+    """kept (tile, ID) with mosaic_id, without gaps over all tiles."""
     counts = kept.groupBy("tile").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("tile").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     start = counts.withColumn("before", before).select("tile", "before")
-    numbered = kept.join(start, "tile").select("tile", F.col("ID").alias("clump_id"), (F.col("before") + F.row_number().over(W.partitionBy("tile").orderBy("ID"))).alias("mosaic_id"))
-    return labelled.join(numbered, ["tile", "clump_id"]).drop("clump_id").withColumnRenamed("mosaic_id", "clump_id")
+    return kept.join(start, "tile").select("tile", "ID", (F.col("before") + F.row_number().over(W.partitionBy("tile").orderBy("ID"))).alias("mosaic_id"))
+
+
+def seam_labels(labelled: DataFrame, shared: int = 1) -> DataFrame:
+    """(tile, clump_id, mosaic_id): one number for all labels that are the same clump, told by the voxels they share.
+
+    labelled (tile, clump_id, idx) are masks of tiles with halos, idx the place in the field. Two labels of different
+    tiles are one clump if at least `shared` places have both, and so on along chains of them. A place has a label a tile
+    at most, so the pairs at a place are as few as the tiles that reach it. Numbers have no gaps; they follow the least
+    (tile, label) of each clump, and are made of a count a tile and a rank within it.
+    """
+    label = F.struct("tile", "clump_id")
+    names = labelled.select(label.alias("label")).distinct()
+    met = labelled.select("idx", label.alias("label")).groupBy("idx").agg(F.sort_array(F.collect_set("label")).alias("s")).where(F.size("s") > 1)
+    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
+    links = met.select(F.inline(pairs)).groupBy("src", "dst").agg(F.count("*").alias("n")).where((F.col("n") >= shared) & (F.col("src.tile") != F.col("dst.tile")))
+    found = connected_components(links).select(F.col("node").alias("label"), F.col("component").alias("root"))
+    rooted = cut_lineage(names.join(found, "label", "left").select("label", F.coalesce("root", "label").alias("root")), "rooted")
+    roots = rooted.select("root").distinct().select("root.tile", F.col("root.clump_id").alias("ID"))
+    return rooted.join(_numbers(roots).select(F.struct("tile", F.col("ID").alias("clump_id")).alias("root"), "mosaic_id"), "root").select("label.tile", "label.clump_id", "mosaic_id")
+
+
+def reconcile_masks(labelled: DataFrame, shared: int = 1) -> DataFrame:
+    """(idx, mosaic_id) of the field: masks of tiles put together, a clump that lies across a seam being one.
+
+    Where labels that are not one clump claim the same place (they share fewer than `shared` places), the least number
+    has it.
+    """
+    named = labelled.select("tile", "clump_id", "idx").join(seam_labels(labelled, shared), ["tile", "clump_id"])
+    return named.groupBy("idx").agg(F.min("mosaic_id").alias("mosaic_id"))
 
 
 def stack(parts: list[DataFrame], column: str, step: float) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..params import FWHM
+from ..params import FWHM, tile_keys
 from .graph import connected_components
 
 
@@ -14,33 +16,48 @@ def touches(d_centre: Column, s1: Column, s2: Column, mult: float = 1.0) -> Colu
     return ~((s1 + s2) * mult < d_centre)
 
 
-def overlap_pairs(catalog: DataFrame, mult: float = 0.8, tile: str | None = None) -> DataFrame:
+def overlap_pairs(catalog: DataFrame, mult: float = 0.8) -> DataFrame:
     """(src, dst), src < dst, of clumps nearer on the sky than mult times their summed sigma lengths, and in velocity
-    nearer than mult times their summed velocity sigmas.
+    nearer than mult times their summed velocity sigmas. A catalogue with tiles gives (tile, src, dst): clumps of
+    different tiles do not meet. Clumps whose place or size is null or NaN overlap nothing.
 
-    The theta join runs over sky cells as wide as the greatest reach two clumps can have: a clump is in its own cell
-    and looks into the nine around it, so the join is an equi-join on cells.
+    Clumps are classed by size, each class twice as wide as the one before, with sky cells as wide as the greatest reach
+    of two of its clumps. A clump stands in one cell of its own class and looks into the nine around its place in the
+    cells of its own and every greater class, so that the theta join is an equi-join on cells and a clump as wide as the
+    field does not make one cell of it.
     """
-    cube = "Cen3" in catalog.columns
+    cube, keys = "Cen3" in catalog.columns, tile_keys(catalog)
     s = catalog.select(
-        *([F.col(tile).alias("tile")] if tile else [F.lit("t0").alias("tile")]), F.col("ID").alias("id"), F.col("Cen1").alias("x"), F.col("Cen2").alias("y"),
+        *keys, F.col("ID").alias("id"), F.col("Cen1").alias("x"), F.col("Cen2").alias("y"),
         (F.sqrt(F.col("Size1") * F.col("Size1") + F.col("Size2") * F.col("Size2")) / FWHM).alias("s"),
         *([F.col("Cen3").alias("v"), (F.col("Size3") / FWHM).alias("sv")] if cube else []),
     )
-    longest = s.agg(F.max("s")).first()[0] or 1.0
-    cell = 2 * longest * mult + 1e-9
-    near = s.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    s = s.where((F.col("s") >= 0) & ~F.isnan("s")).withColumn("class", F.ceil(F.log2(F.greatest("s", F.lit(1e-6)))).cast("int"))
+    classes = sorted(r[0] for r in s.select("class").distinct().collect())  # powers of two between the sizes
+    if not classes:
+        classes = [0]
+    # A hair wider than the reach, against the rounding of log2.
+    cell = lambda c: F.floor(c / (F.pow(F.lit(2.0), F.col("grid")) * (2 * mult * (1 + 1e-9))))
+    near = s.withColumn("grid", F.col("class")).withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
     step = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    probe = near.withColumn("cx", F.explode(F.transform(step, lambda k: F.col("cx") + k))).withColumn("cy", F.explode(F.transform(step, lambda k: F.col("cy") + k)))
+    looks = s.withColumn("grid", F.explode(F.filter(F.array(*map(F.lit, classes)), lambda g: g >= F.col("class"))))
+    probe = looks.withColumn("cx", F.explode(F.transform(step, lambda k: cell(F.col("x")) + k))).withColumn("cy", F.explode(F.transform(step, lambda k: cell(F.col("y")) + k)))
     a, b = probe.alias("a"), near.alias("b")
     touch = (F.col("a.s") + F.col("b.s")) * mult > F.sqrt((F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y")))
     if cube:
         touch &= (F.col("a.sv") + F.col("b.sv")) * mult > F.abs(F.col("a.v") - F.col("b.v"))
-    same = (F.col("a.tile") == F.col("b.tile")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-    return a.join(b, same & (F.col("a.id") < F.col("b.id")) & touch).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "grid", "cx", "cy")))
+    once = (F.col("a.class") < F.col("b.class")) | (F.col("a.id") < F.col("b.id"))
+    ends = F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")
+    return a.join(b, same & once & touch).select(*(F.col(f"a.{c}") for c in keys), *ends)
 
 
 def overlap_groups(catalog: DataFrame, mult: float = 0.8) -> DataFrame:
-    """(ID, component): the least ID that chains of overlaps lead to, the clump's own if it overlaps none."""
-    found = connected_components(overlap_pairs(catalog, mult)).withColumnRenamed("node", "ID")
-    return catalog.select("ID").join(found, "ID", "left").select("ID", F.coalesce("component", "ID").alias("component"))
+    """(ID, component), after tile if the catalogue has tiles: the least ID that chains of overlaps within a tile lead to,
+    the clump's own if it overlaps none."""
+    keys = tile_keys(catalog)
+    pairs = overlap_pairs(catalog, mult)
+    node = lambda c: F.struct(*keys, F.col(c).alias("ID"))
+    found = connected_components(pairs.select(node("src").alias("src"), node("dst").alias("dst")))
+    named = found.select("node.*", F.col("component.ID").alias("component"))
+    return catalog.select(*keys, "ID").join(named, [*keys, "ID"], "left").select(*keys, "ID", F.coalesce("component", "ID").alias("component"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,7 @@ class DetectParams:
     rms_times: float = 5.0
     sigma: float | None = None  # None: adaptive density
     remove_edge: bool = True
+    anywhere: bool = False  # look for denser voxels beyond delta_min, through the whole tile
     id_prefix: str = "MWISP"
 
     @property
@@ -57,6 +58,11 @@ class MatchParams:
 FWHM = 2.3548
 
 
+def tile_keys(df: DataFrame) -> list[str]:
+    """The key of a catalogue's tile, if it has one: IDs are numbers within it."""
+    return ["tile"] if "tile" in df.columns else []
+
+
 def read_config(spark: SparkSession, path: str) -> dict[str, str]:
     """The entries of a flat YAML file (key: value), without comments; a missing file is an error."""
     out = {}

@@ -39,7 +39,8 @@ def detect(cube: DataFrame, shape: Shape, p: DetectParams) -> Detection:
     come from the whole label, the mask and the test of size from its largest connected part.
     """
     rho = cut_lineage(smoothed(cube, shape, p), "density")
-    linked = cut_lineage(density.nearest_higher(rho.where(F.col("rho") > p.noise), shape, p.delta_min), "linked")
+    link = density.nearest_higher_anywhere if p.anywhere else density.nearest_higher
+    linked = cut_lineage(link(rho.where(F.col("rho") > p.noise), shape, p.delta_min), "linked")
     centre = density.centres(linked, p.rho_min, p.delta_min)
     named = cut_lineage(labels.propagate(linked, centre), "labels")
     clusters = cut_lineage(labels.cut_boundaries(named, p.gradmin).join(rho.select("tile", "idx", "intensity"), ["tile", "idx"]), "clusters")
@@ -59,13 +60,38 @@ def detect(cube: DataFrame, shape: Shape, p: DetectParams) -> Detection:
 
 
 def detect_and_fit(cube: DataFrame, shape: Shape, p: DetectParams, o: FitParams = FitParams()) -> tuple[Detection, DataFrame]:
-    """A detection, and the fitted catalogue of its clumps. One tile; for many, tell their IDs apart first."""
+    """A detection, and the fitted catalogue of its clumps, every tile by itself."""
     found = detect(cube, shape, p)
     groups = cut_lineage(overlap.overlap_groups(found.catalog, o.overlap), "groups")
     fits = fit.fit_clumps(grid.clump_points(cube, found.mask, shape), found.catalog, groups, o)
     return found, fit_catalog(cut_lineage(fits, "fits"), p.rms)
 
 
+def detect_fit_tiled(cube: DataFrame, shape: Shape, p: DetectParams, step: int, halo: int, o: FitParams = FitParams(), world: wcs.Wcs | None = None) -> tuple[DataFrame, DataFrame]:
+    """The catalogue of one field and the fits of its clumps, found and fitted tile by tile, with (tile, ID) as the key.
+
+    A clump belongs to the tile that owns its centre as it was found: a fit may move the centre over a seam, and would
+    then be in both tiles or in neither. A tile fits the groups of overlapping clumps that have one of its own, with the
+    members in its halo, which are left out of the result. So the field is fitted once, a tile's fits are as large as a
+    tile, and results are those of the whole field where a halo holds the groups that lie across a seam.
+    """
+    parts = cut_lineage(mosaic.split(cube.drop("tile"), shape, step, halo), "tiles")
+    found = detect(parts, shape, replace(p, remove_edge=False))
+    tiles = mosaic.tile_table(cube.sparkSession, mosaic.tiling(shape, step, halo))
+    own = mosaic.owned(found.catalog, tiles)
+    if p.remove_edge:
+        own = own.where(~measure.touches_edge(shape))
+    own = cut_lineage(own, "owned")
+    groups = cut_lineage(overlap.overlap_groups(found.catalog, o.overlap), "groups")
+    needed = groups.join(own.select("tile", "ID"), ["tile", "ID"], "left_semi").select("tile", "component").distinct()
+    groups = cut_lineage(groups.join(needed, ["tile", "component"], "left_semi"), "groups")
+    fits = cut_lineage(fit.fit_clumps(grid.clump_points(parts, found.mask, shape), found.catalog, groups, o), "fits")
+    fitted = fit_catalog(fits.join(own.select("tile", F.col("ID").cast("long").alias("ID")), ["tile", "ID"], "left_semi"), p.rms)
+    if world:
+        return wcs.to_world(own, world, p.id_prefix), wcs.fit_to_world(fitted, world, p.id_prefix)
+    return own, fitted
+
+
 def detect_tiled(cube: DataFrame, shape: Shape, p: DetectParams, step: int, halo: int, world: wcs.Wcs | None = None) -> DataFrame:
     """The catalogue of one field found tile by tile, each clump by the tile that owns its centre.
 

@@ -368,3 +368,51 @@ SQL["catalog_names"] = f"""WITH {CAT3} SELECT id AS ID, CAST(5 + 7 + 7 + 8 AS BI
 SQL["pix2world_fixed"] = f"WITH {CAT3} SELECT id AS k, {r6(Cen1=_c[0], Cen3=speed('c3'), Size1='s1 * 30', Size3='s3 * 0.166::DOUBLE')} FROM cat"
 SQL["mosaic_rows"] = f"WITH {CUBE2} SELECT x, y, i AS intensity FROM cube2"
 SQL["detect_log"] = f"""WITH RECURSIVE {MEASURE} SELECT '{{''x'': 50, ''y'': 83}}' AS shape, '2.0' AS rms, '4' AS delta_min, 'adaptive' AS sigma, count(*) AS clumps FROM cat"""
+
+
+SQL["overlap_tiles"] = f"""WITH RECURSIVE {CAT3}, s AS (SELECT 't' || id % 4 AS tile, id // 4 AS id, c1 AS x, c2 AS y, c3 AS v,
+     sqrt(power(s1 * CASE WHEN id % 97 = 5 THEN 20 ELSE 1 END, 2) + s2 * s2) / 2.3548::DOUBLE AS s, s3 / 2.3548::DOUBLE AS sv FROM cat),
+e AS (SELECT a.tile, a.id AS a, b.id AS b FROM s a JOIN s b ON a.tile = b.tile AND a.id <> b.id
+      WHERE (a.s + b.s) * 0.4::DOUBLE > sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AND (a.sv + b.sv) * 0.4::DOUBLE > abs(a.v - b.v)),
+reach AS (SELECT tile, id AS a, id AS b FROM s UNION SELECT r.tile, r.a, e.b FROM reach r JOIN e ON e.tile = r.tile AND e.a = r.b)
+SELECT tile, a AS ID, min(b) AS component FROM reach GROUP BY tile, a"""
+
+SQL["nearest_higher_anywhere"] = f"""WITH {LINK}, alone AS (SELECT * FROM link WHERE parent IS NULL),
+far AS (SELECT a.idx, b.idx AS parent, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, b.rho AS prho FROM alone a JOIN bright b ON b.rho > a.rho OR (b.rho = a.rho AND b.idx < a.idx)
+        QUALIFY row_number() OVER (PARTITION BY a.idx ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.x DESC, b.y DESC) = 1)
+SELECT l.idx, l.rho, coalesce(l.parent, f.parent) AS parent, coalesce(l.d2, f.d2) AS d2, round(CAST(coalesce(l.grad, (f.prho - l.rho) / sqrt(f.d2)) AS DOUBLE), 6) AS grad FROM link l LEFT JOIN far f ON f.idx = l.idx"""
+
+#: Tiles are numbers here, and get their names at last.
+SUPPLIERS = """blocks AS (SELECT l_suppkey // 25 AS tile, CAST(l_quantity AS INT) AS x, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS y, count(*) AS i FROM lineitem GROUP BY ALL)"""
+SQL["decision_graph_anywhere"] = f"""WITH {SUPPLIERS}, cells AS (SELECT t.tile, a.x, b.y, (b.y - 1) * 50 + a.x - 1 AS idx, coalesce(c.i, 0) AS i
+     FROM (SELECT DISTINCT tile FROM blocks) t, range(1, 51) a(x), range(1, 84) b(y) LEFT JOIN blocks c ON c.tile = t.tile AND c.x = a.x AND c.y = b.y),
+k3 AS (SELECT * FROM (VALUES (-1, 1), (0, 2), (1, 1)) t(d, w)),
+rho AS (SELECT g.tile, g.x, g.y, g.idx, CAST(sum(a.w * b.w * h.i) AS BIGINT) AS rho FROM cells g, k3 a, k3 b, cells h
+        WHERE h.tile = g.tile AND h.x = least(50, greatest(1, g.x + a.d)) AND h.y = least(83, greatest(1, g.y + b.d)) GROUP BY ALL),
+bright AS (SELECT * FROM rho WHERE rho > (SELECT CAST(sum(rho) AS DOUBLE) / count(*) FROM rho)),
+o4 AS (SELECT dx, dy FROM range(-4, 5) a(dx), range(-4, 5) b(dy) WHERE dx <> 0 OR dy <> 0),
+p4 AS (SELECT a.tile, a.idx, b.idx AS parent, dx * dx + dy * dy AS d2, b.x AS bx, b.y AS byy FROM bright a, o4, bright b
+       WHERE b.tile = a.tile AND b.x = a.x + dx AND b.y = a.y + dy AND (b.rho > a.rho OR (b.rho = a.rho AND b.idx < a.idx))),
+n4 AS (SELECT * FROM p4 QUALIFY row_number() OVER (PARTITION BY tile, idx ORDER BY greatest(abs(bx - (idx % 50 + 1)), abs(byy - (idx // 50 + 1))) > 1, d2, bx DESC, byy DESC) = 1),
+alone AS (SELECT * FROM bright a WHERE NOT EXISTS (SELECT 1 FROM n4 WHERE n4.tile = a.tile AND n4.idx = a.idx)),
+far AS (SELECT a.tile, a.idx, b.idx AS parent, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM alone a JOIN bright b ON b.tile = a.tile AND (b.rho > a.rho OR (b.rho = a.rho AND b.idx < a.idx))
+        QUALIFY row_number() OVER (PARTITION BY a.tile, a.idx ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.x DESC, b.y DESC) = 1),
+link AS (SELECT b.tile, b.idx, b.rho, n.parent, n.d2 FROM bright b LEFT JOIN (SELECT tile, idx, parent, d2 FROM n4 UNION ALL SELECT * FROM far) n ON n.tile = b.tile AND n.idx = b.idx),
+wide AS (SELECT tile, sqrt(max(d2)) AS w FROM link GROUP BY tile)
+SELECT 's' || lpad(CAST(link.tile AS VARCHAR), 5, '0') AS tile, idx, rho, coalesce(parent, idx) AS parent, round(CAST(coalesce(sqrt(d2), greatest(coalesce(w, 0.0), 4.001)) AS DOUBLE), 6) AS delta FROM link JOIN wide ON wide.tile = link.tile"""
+
+SQL["connected_parts"] = f"""WITH RECURSIVE {SUPPLIERS}, lab AS (SELECT tile, x, y, (y - 1) * 50 + x - 1 AS idx, i % 2 AS clump_id FROM blocks WHERE i > 5),
+near AS (SELECT a.tile, a.clump_id, a.idx AS a, b.idx AS b FROM lab a JOIN lab b ON a.tile = b.tile AND a.clump_id = b.clump_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT tile, clump_id, idx AS a, idx AS b FROM lab UNION SELECT r.tile, r.clump_id, r.a, n.b FROM reach r JOIN near n ON n.tile = r.tile AND n.clump_id = r.clump_id AND n.a = r.b)
+SELECT 's' || lpad(CAST(tile AS VARCHAR), 5, '0') AS tile, idx, clump_id, part FROM (SELECT tile, a AS idx, clump_id, min(b) AS part FROM reach GROUP BY ALL)"""
+
+SQL["reconcile_masks"] = f"""WITH RECURSIVE {RHO2}, cells AS (SELECT x, y, idx FROM rho, thr WHERE rho.rho > thr.top),
+tiled AS (SELECT ky * 1000 + kx AS tile, x, y, idx FROM cells, range(5) a(ky), range(3) b(kx)
+          WHERE ky BETWEEN greatest(0, floor((y - 6) / 20)) AND least(4, floor((y + 4) / 20)) AND kx BETWEEN greatest(0, floor((x - 6) / 20)) AND least(2, floor((x + 4) / 20))),
+near AS (SELECT a.tile, a.idx AS a, b.idx AS b FROM tiled a JOIN tiled b ON a.tile = b.tile AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach AS (SELECT tile, idx AS a, idx AS b FROM tiled UNION SELECT r.tile, r.a, n.b FROM reach r JOIN near n ON n.tile = r.tile AND n.a = r.b),
+lab AS (SELECT tile, a AS idx, min(b) AS clump FROM reach GROUP BY tile, a),
+e AS (SELECT DISTINCT a.tile AS t1, a.clump AS c1, b.tile AS t2, b.clump AS c2 FROM lab a JOIN lab b ON a.idx = b.idx),
+whole AS (SELECT t1 AS tile, c1 AS clump, t1 AS t, c1 AS c FROM e UNION SELECT w.tile, w.clump, e.t2, e.c2 FROM whole w JOIN e ON e.t1 = w.t AND e.c1 = w.c),
+root AS (SELECT tile, clump, min(struct_pack(t := t, c := c)) AS r FROM whole GROUP BY tile, clump)
+SELECT lab.idx, CAST(min(n) AS BIGINT) AS mosaic_id FROM lab JOIN (SELECT tile, clump, dense_rank() OVER (ORDER BY r) AS n FROM root) k ON k.tile = lab.tile AND k.clump = lab.clump GROUP BY lab.idx"""

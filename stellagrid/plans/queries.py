@@ -474,7 +474,24 @@ def multi_gauss_fit(spark, sf_dir):
     mean, sd = g.agg(F.avg("intensity"), F.stddev_pop("intensity")).first()
     p = DetectParams(rms=sd, noise_times=mean / sd, rms_times=(mean + 0.3 * sd) / sd, min_area=4, min_span=2, sigma=0.8, remove_edge=False)
     _, fitted = detect.detect_and_fit(g, SHAPE3, p)
-    return fitted
+    return fitted.drop("tile")
+
+
+@query
+def detect_fit_tiled(spark, sf_dir):
+    """Detection and joint fits tile by tile on the three-dimensional cube."""
+    g = grid3(spark, sf_dir).withColumn("intensity", F.col("intensity").cast("double"))
+    mean, sd = g.agg(F.avg("intensity"), F.stddev_pop("intensity")).first()
+    p = DetectParams(rms=sd, noise_times=mean / sd, rms_times=(mean + 0.3 * sd) / sd, min_area=4, min_span=2, sigma=0.8, remove_edge=False)
+    return detect.detect_fit_tiled(g, SHAPE3, p, 25, 12)[1]
+
+
+@query
+def overlap_tiles(spark, sf_dir):
+    """Groups of overlapping clumps in each of four tiles whose IDs are the same numbers, with a few clumps as wide as a tile."""
+    k = F.col("ID")
+    c = catalog3(spark, sf_dir).withColumns({"tile": F.concat(F.lit("t"), k % 4), "ID": F.floor(k / 4), "Size1": F.col("Size1") * F.when(k % 97 == 5, 20).otherwise(1)})
+    return overlap.overlap_groups(c, 0.4).select("tile", *longs("ID", "component"))
 
 
 @query
@@ -610,7 +627,7 @@ def multiscale_detect(spark, sf_dir):
     p = DetectParams(rms=sd, noise_times=mean / sd, rms_times=(mean + 0.5 * sd) / sd, min_area=9, sigma=0.8, remove_edge=False)
     fine = DetectParams(rms=1.0, noise_times=0.3, rms_times=0.8, min_area=4, sigma=0.6, remove_edge=False)
     _, small, fits = detect.detect_multiscale(g, SHAPE2, p, fine)
-    return small.catalog.select("ID", "Peak1", "Peak2", "Volume") if fits is None else fits
+    return small.catalog.select("ID", "Peak1", "Peak2", "Volume") if fits is None else fits.drop("tile")
 
 
 # World ranges, spectra at peaks, boxes by size, and what else works on them.
@@ -745,3 +762,39 @@ def detect_log(spark, sf_dir):
     f = Found(spark, sf_dir)
     p = DetectParams(rms=2.0)
     return detect.detect_log(p, SHAPE2, detect.Detection(f.clusters(), f.catalog(), f.rho)).select("shape", "rms", "delta_min", "sigma", *longs("clumps"))
+
+
+# Denser voxels anywhere, parts by runs, and masks across seams.
+
+
+@query
+def nearest_higher_anywhere(spark, sf_dir):
+    """The nearest denser voxel of every bright one, however far."""
+    b = Found(spark, sf_dir).bright
+    return density.nearest_higher_anywhere(b, SHAPE2, 4).select(*longs("idx", "rho", "parent", "d2"), *r6("grad"))
+
+
+@query
+def decision_graph_anywhere(spark, sf_dir):
+    """Distances to choose centres by, exact for all voxels but a tile's densest."""
+    linked = density.nearest_higher_anywhere(Found(spark, sf_dir, supplier_cubes).bright, SHAPE2, 4)
+    return density.decision_graph(linked, 4).select("tile", *longs("idx", "rho", "parent"), *r6("delta"))
+
+
+@query
+def connected_parts(spark, sf_dir):
+    """Connected parts of the well-filled cells of every block of suppliers, even and odd counts apart."""
+    month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
+    block = F.format_string("s%05d", F.floor(F.col("l_suppkey") / 25))
+    cubes = grid.voxelize(table(spark, sf_dir, "lineitem"), {"x": F.col("l_quantity"), "y": month}, F.count("*"), block).withColumn("idx", grid.voxel_index(SHAPE2))
+    lab = cubes.where(F.col("intensity") > 5).withColumn("clump_id", F.col("intensity") % 2)
+    return labels.parts(lab, SHAPE2).select("tile", *longs("idx", "clump_id", "part"))
+
+
+@query
+def reconcile_masks(spark, sf_dir):
+    """Connected parts found in overlapping tiles as one mask of the field."""
+    f = Found(spark, sf_dir)
+    cells = f.rho.where(F.col("rho") > f.rho_min).select("x", "y", "idx").withColumn("clump_id", F.lit(1))
+    found = labels.parts(mosaic.split(cells, SHAPE2, 20, 5), SHAPE2)
+    return mosaic.reconcile_masks(found.select("tile", "idx", F.col("part").alias("clump_id"))).select(*longs("idx", "mosaic_id"))
