@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,26 @@ from .test_operators import WORD, brute_components, brute_hits, brute_licenses,
 # 2
 
 
+def test_shards_of_many_small_groups(spark):
+    """50,000 groups, a hot one and a large one: dealt to tasks, the balance is that of placing one by one."""
+    r = np.random.default_rng(3)
+    lengths = np.minimum(4000, 5 + r.pareto(1.3, 50_000) * 60).astype(int)
+    rows = spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "doc_id long, n int").repartition(6)
+    word = F.when(F.col("doc_id") % 3 == 0, F.lit("ab ")).otherwise(F.lit("longer word "))
+    docs = rows.withColumn("w", word).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.expr("left(repeat(w, n), n)")).alias("text"))
+    docs = docs.unionByName(spark.range(10**6, 10**6 + 9000).select(F.col("id").alias("doc_id"), F.lit("a copy of one text").alias("text"))).unionByName(spark.createDataFrame([(-1, "z " * 30_000)], "doc_id long, text string"))
+    got = shards.shard(docs, in_task=5000)
+    by = shards.balance(got).collect()
+    assert len(by) == shards.SHARDS
+    for b in by:
+        assert abs(b["size"] - 1) < 0.002 and abs(b["tokens"] - 1) < 0.002 and abs(b["n"] - 1) < 0.002, b
+    one = shards.balance(shards.shard(docs, single=1 << 40)).collect()  # all at the driver, one after the other
+    worst = lambda bs, c: max(abs(b[c] - 1) for b in bs)
+    assert all(worst(by, c) < worst(one, c) + 0.002 for c in ("size", "tokens", "n"))
+    slots = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()
+    assert all(s["n"] == s["d"] == s["hi"] + 1 and s["lo"] == 0 for s in slots) and sum(s["n"] for s in slots) == 59_001
+
+
 def test_shards_balance_bytes_tokens_and_rows(spark, small):
     """Small inputs are packed group by group; a small bound of single groups, as on large inputs, bundles the tail."""
     d = spark.read.parquet(f"{small}/../sf0.01/documents.parquet").select("doc_id", "text")
