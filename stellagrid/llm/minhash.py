@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import cut, drop, small_side, text_or_empty
-from .jaccard import _index_pairs, _node, _runs, _tiles, least_ids, shingle_set
+from .jaccard import BITS, _index_pairs, _node, _runs, _tiles, least_ids, shingle_set, signature
 
 WORDS, SIMILAR = 3, 85
 BANDS, ROWS, LOW = 32, 5, 2
@@ -94,7 +94,7 @@ def equal_lanes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 SIG = [f"s{k}" for k in range(PACKED)]
-SIGNED = "doc_id long, row_hash long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in SIG) + ", bands array<long>"
+SIGNED = "doc_id long, row_hash long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in SIG) + ", bits binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +104,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.zeros(PACKED, np.int64)
         sigs = np.stack([none if m is None else packed(m).view(np.int64) for m in lows]) if lows else np.zeros((0, PACKED), np.int64)
         out = {"doc_id": batch["doc_id"], "row_hash": batch["row_hash"], "n_shingles": [len(s) for s in sets], "node": [_node(s) for s in sets]}
-        yield pd.DataFrame(out | {c: sigs[:, k] for k, c in enumerate(SIG)} | {"bands": [None if m is None else bands(m).view(np.int64) for m in lows]})
+        yield pd.DataFrame(out | {c: sigs[:, k] for k, c in enumerate(SIG)} | {"bits": [signature(s, BITS) for s in sets], "bands": [None if m is None else bands(m).view(np.int64) for m in lows]})
 
 
 def _similar(na: Column | str, nb: Column | str) -> Column:
@@ -159,13 +159,19 @@ def confirm(pairs: DataFrame, rows: DataFrame, places: DataFrame, partners: int
 
 
 def _close(best: bool):
-    """Pairs of a tile that differ in label, can link by size and have LEAST equal lanes; if `best`, the closest of each label."""
+    """Pairs of a tile that differ in label, can link by size, have LEAST equal lanes, and bitmaps of all their shingles that
+    differ in no more bits than elements of a link may; if `best`, the closest of each label.
+
+    The bitmaps lose no link. They leave out most pairs whose similarity is below that of a link by less than the lanes
+    can tell, of which a large group of near copies has as many as it has pairs.
+    """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, _ in _runs(batches, ["h", "lo", "c", "d"], 1 << 30):
             h, lo, c, d, own = (rows[x].to_numpy() for x in ("h", "lo", "c", "d", "own"))
             n, node, label = (rows[x].to_numpy().astype(np.int64) for x in ("n", "node", "label"))
             sig = np.stack([rows[x].to_numpy().astype(np.int64) for x in SIG], axis=1).view(np.uint64)
+            bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), BITS // 64)
             edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
             tile = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(h)]))))
             end = np.searchsorted(tile, tile, side="right")
@@ -179,6 +185,9 @@ def _close(best: bool):
                 x, y = x[ok], y[ok]
                 equal = equal_lanes(sig[x], sig[y])
                 ok = equal >= LEAST
+                x, y, equal = x[ok], y[ok], equal[ok]
+                common = (n[x] + n[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)) // 2
+                ok = (100 + SIMILAR) * common >= SIMILAR * (n[x] + n[y])
                 found.append((x[ok], y[ok], equal[ok]))
             x, y, equal = (np.concatenate(z) for z in zip(*found, strict=True))
             if best and len(x):
@@ -216,7 +225,7 @@ def minhash_components(docs: DataFrame, tile: int = TILE, partners: int = PARTNE
     pivots = cut(entries.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") < F.col("last")).select("h", "pivot"), "pivots")
     active = cut(entries.join(small_side(pivots, F.lit(16)), "h").distinct(), "active")
     nodes = small_side(cut(active.select("node").distinct(), "nodes"), F.lit(8))
-    marks = cut(used.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in SIG)), "marks")
+    marks = cut(used.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*SIG, "bits"))), "marks")
     places = marks.select("node", "first.doc_id", "first.row_hash")
 
     shared = active.where(F.col("pivot") != F.col("node")).groupBy("node", "pivot").agg(F.count("*").alias("k"))
@@ -226,7 +235,7 @@ def minhash_components(docs: DataFrame, tile: int = TILE, partners: int = PARTNE
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for best in (True, False):
         named = active.join(found, "node", "left").select("h", F.lit(0).alias("pos"), "n", "node", F.coalesce("component", "node").alias("label"))
-        tiles = _tiles(named, tile, LARGE if best else 1).join(marks.select("node", *SIG), "node")
+        tiles = _tiles(named, tile, LARGE if best else 1).join(marks.select("node", *SIG, "bits"), "node")
         close = tiles.repartition("h", "lo", "c", "d").sortWithinPartitions("h", "lo", "c", "d").mapInPandas(_close(best), "a long, b long").distinct()
         new = cut(close.join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
