@@ -26,17 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that go to a Python worker at once. Spark's default of 10,000 rows is 30 MB of whole texts and more, several times
-#: over in the worker and beside the heap of the executor.
-ROWS_A_BATCH = 1000
+#: Bytes that go to a Python worker at once. Spark's default of 64 MB stands several times over in a worker, beside the heap
+#: of its executor.
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows a batch to ROWS_A_BATCH; a lower setting stays. It holds when the result is computed."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > ROWS_A_BATCH:
-        spark.conf.set(name, str(ROWS_A_BATCH))
+    """Lower the session's bytes a batch to BATCH_BYTES; a lower setting stays. It holds when the result is computed.
+
+    It bounds what a worker holds, whatever the length of texts, and leaves batches of short rows as they are.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = _bytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
 
 
 def ascii_lower(c: Column) -> Column:

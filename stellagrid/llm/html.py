@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,19 @@ INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s s
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+LINKS = RAW | set("a button".split())
 BOILERPLATE = RAW | set("nav header footer aside form button select input dialog menu head title".split())
-# Class, id and role words by which pages name what is not main text.
+# Class, id and role words by which pages name what is not main text, and those of them that also name
+# parts of an article.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|menu|nav\w*|newsletter|notice|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])",
     re.I,
 )
+FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|comments?|consent|cookies?|disqus|menu|nav\w*|newsletter|popup|promo\w*|replies|sidebar|sponsor\w*|subscribe|widget)(?:$|[\s_-])",
+    re.I,
+)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 # The block elements whose presence tells layouts apart.
 LAYOUT = r"<(article|aside|dl|footer|form|header|main|nav|ol|section|table|ul)[\s/>]"
@@ -46,6 +54,29 @@ class Node:
     def boilerplate(self) -> bool:
         return self.tag in BOILERPLATE or bool(self.name and NAMED.search(self.name))
 
+    @property
+    def foreign(self) -> bool:
+        """Boilerplate even inside an article: a header there is the article's if it has a heading, and words that also
+        name parts of articles (post-header, related-work, notice, social) count only for what is nothing but links."""
+        if self.tag == "header":
+            return not _holds(self, lambda n: n.tag in HEADINGS)
+        if self.tag in BOILERPLATE or bool(self.name and FOREIGN.search(self.name)):
+            return True
+        return bool(self.name and NAMED.search(self.name)) and not _holds(self, lambda n: any(isinstance(c, str) and not c.isspace() for c in n.children), LINKS)
+
+
+def _holds(top: Node, wanted: Callable[[Node], bool], but: set[str] | frozenset[str] = frozenset()) -> bool:
+    """Whether top or a node under it, outside elements of the kinds `but`, is wanted."""
+    stack = [top]
+    while stack:
+        n = stack.pop()
+        if n.tag in but:
+            continue
+        if wanted(n):
+            return True
+        stack += [c for c in n.children if isinstance(c, Node)]
+    return False
+
 
 def parse(source: str | None) -> Node:
     """A tree of the page. Missing end tags are supplied, stray ones ignored; raw elements keep no text."""
@@ -90,8 +121,9 @@ def squeeze(s: str) -> str:
     return " ".join(html.unescape(s).split())
 
 
-def blocks(node: Node, skip=lambda n: False) -> Iterator[str]:
-    """The texts of the blocks under node, without boilerplate and what skip() names. Not recursive."""
+def blocks(node: Node, skip=lambda n: False, sure: bool = False) -> Iterator[str]:
+    """The texts of the blocks under node, without boilerplate and what skip() names; only without what is foreign to an
+    article if node is `sure` to be one. Not recursive."""
     held: list[str] = []
     stack: list = [iter((node,))]
     ends: list[bool] = [False]
@@ -104,7 +136,7 @@ def blocks(node: Node, skip=lambda n: False) -> Iterator[str]:
                 held.clear()
         elif isinstance(child, str):
             held.append(child)
-        elif child is not node and (child.boilerplate or skip(child)):
+        elif child is not node and ((child.foreign if sure else child.boilerplate) or skip(child)):
             if child.tag not in INLINE:
                 yield squeeze("".join(held))
                 held.clear()
@@ -120,8 +152,8 @@ def blocks(node: Node, skip=lambda n: False) -> Iterator[str]:
     yield squeeze("".join(held))
 
 
-def text_of(nodes: list[Node], skip=lambda n: False) -> str:
-    return " ".join(b for n in nodes for b in blocks(n, skip) if b)
+def text_of(nodes: list[Node], skip=lambda n: False, sure: bool = False) -> str:
+    return " ".join(b for n in nodes for b in blocks(n, skip, sure) if b)
 
 
 def form(n: Node) -> tuple:
@@ -137,7 +169,7 @@ class Shape:
     of blocks; the paragraphs of an article, or the items of a list, are one slot.
     """
 
-    __slots__ = ("children", "leaf", "nodes", "tag", "text")
+    __slots__ = ("children", "count", "leaf", "nodes", "sig", "tag", "text")
 
     def __init__(self, nodes: list[Node], depth: int = 0):
         self.nodes, self.tag = nodes, f"{nodes[0].tag}.{nodes[0].name}"
@@ -154,6 +186,7 @@ class Shape:
                     last = this
         self.leaf = not groups
         self.children = [Shape(g, depth + 1) for g in groups] if depth < 60 else []
+        self.sig, self.count = signed(self)
 
     def walk(self) -> Iterator[Shape]:
         yield self
@@ -161,40 +194,120 @@ class Shape:
             yield from c.walk()
 
 
-def match(a, b) -> tuple[int, list[tuple]]:
+def signed(node) -> tuple[int, int]:
+    """A hash of the tree under a node, equal for equal trees, and its number of nodes."""
+    return hash((node.tag, *(c.sig for c in node.children))), 1 + sum(c.count for c in node.children)
+
+
+#: Entries of a matrix of sizes that are held at once; longer lists are divided.
+HELD = 1 << 20
+
+
+def _weight(a, b, known: dict) -> int:
+    """The size of the largest match of two trees."""
+    if a.tag != b.tag:
+        return 0
+    if a.sig == b.sig:
+        return a.count
+    if (key := (a.sig, b.sig)) not in known:
+        m, n, same = _same_ends(a.children, b.children)
+        known[key] = 1 + same + (int(_rows(a.children[m[0] : m[1]], b.children[n[0] : n[1]], known)[-1]) if m[0] < m[1] and n[0] < n[1] else 0)
+    return known[key]
+
+
+def _same_ends(x: list, y: list) -> tuple[tuple[int, int], tuple[int, int], int]:
+    """What is left of two lists without their equal beginnings and ends, and how many nodes those have.
+
+    Equal trees at the same end of both lists are matched in some largest match.
+    """
+    i, same, m, n = 0, 0, len(x), len(y)
+    while i < m and i < n and x[i].sig == y[i].sig:
+        same += x[i].count
+        i += 1
+    while m > i and n > i and x[m - 1].sig == y[n - 1].sig:
+        same += x[m - 1].count
+        m, n = m - 1, n - 1
+    return (i, m), (i, n), same
+
+
+def _rows(x: list, y: list, known: dict, every: bool = False, back: bool = False) -> np.ndarray:
+    """The sizes of the largest matches of all of x with each beginning of y, or of each beginning of x too (`every`);
+    with `back`, of endings. Trees of equal form are weighed once, and a row is worked out at once."""
+    x, y = (x[::-1], y[::-1]) if back else (x, y)
+    kinds_x, kinds_y = {c.sig: c for c in x}, {c.sig: c for c in y}
+    place = {sig: k for k, sig in enumerate(kinds_y)}
+    which = np.fromiter((place[c.sig] for c in y), np.int64, len(y))
+    weights = {sig: np.fromiter((_weight(a, b, known) for b in kinds_y.values()), np.int32, len(kinds_y)) for sig, a in kinds_x.items()}
+    if len(weights) * len(y) <= HELD:
+        weights = {sig: w[which] for sig, w in weights.items()}
+        of = weights.__getitem__
+    else:
+        of = lambda sig: weights[sig][which]
+    row = np.zeros(len(y) + 1, np.int32)
+    rows = [row]
+    for a in x:
+        new = np.zeros_like(row)
+        np.add(row[:-1], of(a.sig), out=new[1:])
+        np.maximum(new, row, out=new)
+        row = np.maximum.accumulate(new)
+        if every:
+            rows.append(row)
+    return np.stack(rows) if every else row
+
+
+def _together(x: list, y: list, known: dict) -> list[tuple[int, int]]:
+    """The places of a largest match of two lists of trees. Long lists are divided where the sizes of the matches before
+    and after add up to the most, so that no matrix of them is held."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, m, j, n = todo.pop()
+        (p, m1), (_, n1), _ = _same_ends(x[i:m], y[j:n])
+        out += [(i + k, j + k) for k in range(p)]
+        out += [(i + m1 + k, j + n1 + k) for k in range(m - i - m1)]
+        i, m, j, n = i + p, i + m1, j + p, j + n1
+        if i >= m or j >= n:
+            continue
+        if (m - i) * (n - j) <= HELD or m - i == 1:
+            size = _rows(x[i:m], y[j:n], known, every=True)
+            a, b = m - i, n - j
+            while a and b:
+                if size[a][b] == size[a - 1][b]:
+                    a -= 1
+                elif size[a][b] == size[a][b - 1]:
+                    b -= 1
+                else:
+                    a, b = a - 1, b - 1
+                    out.append((i + a, j + b))
+            continue
+        middle = (i + m) // 2
+        split = j + int((_rows(x[i:middle], y[j:n], known) + _rows(x[middle:m], y[j:n], known, back=True)[::-1]).argmax())
+        todo += [(i, middle, j, split), (middle, m, split, n)]
+    return out
+
+
+def match(a, b, known: dict | None = None) -> tuple[int, list[tuple]]:
     """Simple tree matching: the size of the largest order- and level-keeping match of two trees, and its node pairs."""
     if a.tag != b.tag:
         return 0, []
-    m, n = len(a.children), len(b.children)
-    size = [[0] * (n + 1) for _ in range(m + 1)]
-    found = {}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            w, pairs = match(a.children[i - 1], b.children[j - 1])
-            if w:
-                found[i, j] = w, pairs
-            size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + w)
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if size[i][j] == size[i - 1][j]:
-            i -= 1
-        elif size[i][j] == size[i][j - 1]:
-            j -= 1
-        else:
-            pairs += found[i, j][1]
-            i, j = i - 1, j - 1
-    return size[m][n] + 1, pairs
+    if a.sig == b.sig:
+        return a.count, list(zip(a.walk(), b.walk(), strict=True))
+    known = {} if known is None else known
+    pairs = [(a, b)]
+    for i, j in _together(a.children, b.children, known):
+        pairs += match(a.children[i], b.children[j], known)[1]
+    return _weight(a, b, known), pairs
 
 
 class Template:
     """A wrapper's node: number, tag and name, hash of its text if that is template, and whether it is of the main part."""
 
-    __slots__ = ("children", "main", "own", "slot", "tag")
+    __slots__ = ("children", "count", "main", "own", "sig", "slot", "tag")
 
     def __init__(self, spec: list, numbers: Iterator[int] | None = None):
         numbers = count() if numbers is None else numbers
         self.slot, self.tag, self.own, self.main = next(numbers), spec[0], spec[1], bool(spec[2])
         self.children = [Template(c, numbers) for c in spec[3]]
+        self.sig, self.count = signed(self)
 
     @property
     def kind(self) -> str:
@@ -216,8 +329,7 @@ def text_hash(s: str) -> int:
 def aligned(shape: Shape, wrapper: Template) -> list[tuple] | None:
     """The pairs of a page's shape and a wrapper, or None where they align poorly."""
     size, pairs = match(shape, wrapper)
-    nodes = sum(1 for _ in shape.walk()) + sum(1 for _ in wrapper.walk())
-    return pairs if 2 * size >= ALIGNED * nodes else None
+    return pairs if 2 * size >= ALIGNED * (shape.count + wrapper.count) else None
 
 
 def structure(pages: list[str]) -> str | None:
@@ -285,24 +397,26 @@ def main_part(page: Node, chosen: set[int]) -> list[Node]:
     """The nodes of the page that the wrapper chose, by their ids, in page order; marked_main() if it chose none.
 
     An article or main element that reaches beyond the chosen part, or divides it, corrects its edges; one that has
-    nothing to do with it, as a teaser, does not.
+    nothing to do with it, as a teaser, does not. What the wrapper chose outside of it, as a headline before it, stays.
     """
     if not chosen:
         return marked_main(page)
-    roots, edges, stack = [], [], [(page, None)]
+    parts, roots, stack = [], [], [(page, None)]
     while stack:  # mark: the outermost article or main element above
         n, mark = stack.pop()
         if mark is None and n.tag in ("article", "main"):
             mark = n
         if id(n) in chosen:
+            part = n if mark is None else mark
+            if not any(part is p for p in parts[-1:]) and not any(part is p for p in parts if p is mark):
+                parts.append(part)
             roots.append(n)
-            if mark is not None and mark is not n and not any(mark is e for e in edges):
-                edges.append(mark)
             continue
         stack += [(c, mark) for c in reversed(n.children) if isinstance(c, Node)]
-    if not edges and not any(n.tag in ("article", "main") for n in roots):
-        edges = [m for r in roots for m in marked_main(r) if m.tag in ("article", "main")]
-    return edges or roots
+    if not any(p.tag in ("article", "main") for p in parts):
+        edges = {id(r): marks for r in roots if (marks := [m for m in marked_main(r) if m.tag in ("article", "main")])}
+        parts = [m for p in parts for m in edges.get(id(p), [p] if p.tag in PROSE or not edges else [])]
+    return parts
 
 
 def extract(source: str | None, *wrappers: Template | None) -> str:
@@ -322,7 +436,8 @@ def extract(source: str | None, *wrappers: Template | None) -> str:
             constant |= {id(n) for n in a.nodes if n.tag not in PROSE and n.tag not in ("article", "main", "body")}
         if b.main:
             chosen |= {id(n) for n in a.nodes}
-    return text_of(main_part(page, chosen), lambda n: id(n) in constant)
+    parts = main_part(page, chosen)
+    return text_of(parts, lambda n: id(n) in constant, bool(chosen) or any(n.tag in ("article", "main") for n in parts))
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -439,8 +554,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null or empty html has an empty text. Null urls, or urls without host, share a host of empty name. Hosts with one
     page, or whose pages are equal, have no wrapper; there the page's own marks decide. Repeated rows each get their
-    row. A very long page is parsed in one task, as any other; elements nested deeper than 60 keep their text, but are
-    not aligned. Of nodes with equal text the first in the page counts.
+    row. A very long page is parsed in one task, as any other, and lists of any length are aligned in memory that does not
+    grow with their product; elements nested deeper than 60 keep their text, but are not aligned. Of nodes with equal text
+    the first in the page counts. An empty table gives no rows. Other columns are left aside.
     """
     small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))

@@ -7,7 +7,7 @@ and b shingles link if they share at least t = ceil(4 (a + b) / 9), which is a J
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ SIMILAR = 80
 #: Bits of a signature for each shingle, and of all signatures when tiles are compared; buckets of the frequency
 #: sketch; entries of a bucket that meet in one tile at most.
 BITS_EACH, BITS, SKETCH, TILE = 8, 1024, 1 << 16, 2048
+#: Partners of one set that a task compares with it at most.
+PARTNERS = 2000
 #: Rounds in which only best partners are tried, in buckets of over LARGE entries, before all pairs are.
 ROUNDS, LARGE = 1, 32
 #: A sketch bucket with so many shingles above the mean is dealt to several tasks.
@@ -302,31 +304,38 @@ def _bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return sized.mapInPandas(check, "a long, b long")
 
 
-def _texts(rows: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of nodes. places (node, doc_id, row_hash) says where each node's text stands."""
-    wanted = cut(places.join(nodes, "node", "left_semi"), "wanted")
-    return rows.join(small_side(wanted, F.lit(0)), ["doc_id", "row_hash"]).select("node", "text").dropDuplicates(["node"])
+def _compare(words: int, link: Callable):
+    """Sorted by leader, each leader's text before those of its partners: one set is held besides a batch."""
 
-
-def _verify(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link, by sorted-array intersection."""
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead, s = None, None
         for batch in batches:
-            last, s = None, None
             ok = []
-            for x, tx, ty in zip(batch["a"], batch["ta"], batch["tb"], strict=True):
-                if x != last:
-                    last, s = x, shingle_set(tx)
-                ok.append(linked(s, shingle_set(ty)))
+            for a, kind, text in zip(batch["a"], batch["kind"], batch["text"], strict=True):
+                if kind == 0:
+                    if a != lead:
+                        lead, s = a, shingle_set(text, words)
+                    ok.append(False)
+                else:
+                    ok.append(link(s, shingle_set(text, words)))
             yield batch.loc[ok, ["a", "b"]]
 
-    texts = cut(_texts(rows, places, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    links = cut(pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long"), "links")
-    drop(texts)
-    return links
+    return run
+
+
+def confirm(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int = WORDS, link: Callable = linked, partners: int = PARTNERS) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets link, by sorted-array intersection.
+
+    places (node, doc_id, row_hash) says where each node's text stands. A leader's text is sent once for every `partners`
+    of its partners, a partner's text once a pair. They meet sorted, the leader first, so that a task holds one set
+    besides a batch, whatever number of partners a leader has.
+    """
+    leaders = small_side(cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / partners).cast("int").alias("salts")), "leaders"), F.lit(16))
+    dealt = pairs.join(leaders, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "b", F.col("b").alias("node"))
+    heads = leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), F.col("a").alias("node"))
+    sent = cut(dealt.unionByName(heads).join(places, "node").drop("node"), "sent")
+    texts = rows.join(small_side(sent, F.lit(48)), ["doc_id", "row_hash"]).select("a", "salt", "kind", "b", "text")
+    return cut(texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInPandas(_compare(words, link), "a long, b long").distinct(), "links")
 
 
 def _tiles(named: DataFrame, tile: int, least: int) -> DataFrame:
@@ -382,9 +391,9 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
     """doc_id, row_hash, n_shingles and component_id of each row of docs (doc_id, text); row_hash is its text's.
 
     1. Each text becomes a set of hashed shingles, a node. Equal sets are one node, so copies cost one row each.
-    2. Sets send their rarest shingles to buckets. Where several meet, each is paired with the pivot of its size band;
-       pairs that their bitmaps allow are verified, and the links joined to components. So a group of near copies costs
-       a row a member and bucket, not a pair of members.
+    2. Sets send their rarest shingles to buckets, which have a pivot for each size band. Every set is paired with the
+       pivot that it shares most buckets with; pairs that their bitmaps allow are verified, and the links joined to
+       components. So a group of near copies costs a text a member, not a pair of members.
     3. Buckets that still hold several components within reach of one another are cut into tiles by size band. For a few
        rounds every component there is verified with the closest other one by bit count. At last every pair of sets of
        different components must fail the bounds of size, position or bit count, or is verified. So no link is lost
@@ -417,9 +426,11 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
     found = rows.join(small_side(places, F.lit(0)), ["doc_id", "row_hash"]).select("node", "text")
     bitmaps = cut(found.mapInPandas(_signatures, "node long, n int, sig binary, bits binary").dropDuplicates(["node"]), "bitmaps")
 
-    pairs = cut(active.where(F.col("pivot") != F.col("node")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    shared = active.where(F.col("pivot") != F.col("node")).groupBy("node", "pivot").agg(F.count("*").alias("k"))
+    pairs = cut(shared.groupBy("node").agg(F.max(F.struct("k", "pivot"))["pivot"].alias("a")).select("a", F.col("node").alias("b")), "pairs")
     tried = cut(_bounded(pairs, bitmaps), "pairs")
-    first = connected_components(_verify(tried, rows, places), "a", "b")
+    first = connected_components(confirm(tried, rows, places), "a", "b")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in range(ROUNDS + 1):
         named = active.join(first, "node", "left").select("h", "pos", "n", "node", F.coalesce("component", "node").alias("label"))
         tiles = _tiles(named, tile, LARGE if turn < ROUNDS else 1).join(bitmaps.select("node", "bits"), "node")
@@ -428,10 +439,11 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, salt_at: int = SALT_AT
         if new.isEmpty():
             continue
         tried = tried.unionByName(new)
-        links = _verify(new, rows, places)
+        links = confirm(new, rows, places)
         if not links.isEmpty():
             first = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
 
+    drop(active, bitmaps)
     return least_ids(sets, first)
 
 

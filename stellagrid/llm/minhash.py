@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import cut, drop, small_side, text_or_empty
-from .jaccard import BITS, _index_pairs, _node, _runs, _tiles, least_ids, shingle_set, signature
+from .jaccard import BITS, PARTNERS, _index_pairs, _node, _runs, _tiles, confirm, least_ids, shingle_set, signature
 
 WORDS, SIMILAR = 3, 85
 BANDS, ROWS, LOW = 32, 5, 2
 MINIMA = BANDS * ROWS
 LANES = 64 // LOW
 PACKED = MINIMA // LANES
-#: Entries of a bucket that meet in one tile at most; partners of one set that a task compares with it at most.
-TILE, PARTNERS = 2048, 2000
+#: Entries of a bucket that meet in one tile at most.
+TILE = 2048
 #: Buckets of over LARGE entries first try only the closest partner of each component.
 LARGE = 32
 
@@ -129,41 +129,13 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return (100 + SIMILAR) * int((both[1:] == both[:-1]).sum()) >= SIMILAR * (len(x) + len(y))
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted by leader, each leader's text before those of its partners: a set a leader is held."""
-    lead, s = None, None
-    for batch in batches:
-        ok = []
-        for a, kind, text in zip(batch["a"], batch["kind"], batch["text"], strict=True):
-            if kind == 0:
-                if a != lead:
-                    lead, s = a, shingle_set(text, WORDS)
-                ok.append(False)
-            else:
-                ok.append(linked(s, shingle_set(text, WORDS)))
-        yield batch.loc[ok, ["a", "b"]]
-
-
-def confirm(pairs: DataFrame, rows: DataFrame, places: DataFrame, partners: int = PARTNERS) -> DataFrame:
-    """The pairs (a, b) whose full sets link. places (node, doc_id, row_hash) says where each node's text stands.
-
-    A leader's text is sent once for every `partners` of its partners, a partner's text once a pair. They meet sorted, the
-    leader first, so that a task holds one set besides a batch, whatever number of partners a leader has.
-    """
-    leaders = small_side(cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / partners).cast("int").alias("salts")), "leaders"), F.lit(16))
-    dealt = pairs.join(leaders, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "b", F.col("b").alias("node"))
-    heads = leaders.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), F.col("a").alias("node"))
-    sent = cut(dealt.unionByName(heads).join(places, "node").drop("node"), "sent")
-    texts = rows.join(small_side(sent, F.lit(48)), ["doc_id", "row_hash"]).select("a", "salt", "kind", "b", "text")
-    return cut(texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInPandas(_compare, "a long, b long").distinct(), "links")
-
-
 def _close(best: bool):
     """Pairs of a tile that differ in label, can link by size, have LEAST equal lanes, and bitmaps of all their shingles that
     differ in no more bits than elements of a link may; if `best`, the closest of each label.
 
     The bitmaps lose no link. They leave out most pairs whose similarity is below that of a link by less than the lanes
-    can tell, of which a large group of near copies has as many as it has pairs.
+    can tell, of which a large group of near copies has as many as it has pairs. Without `best`, a pair comes from the
+    first of the buckets that it shares: there are no other bounds, so it meets in all of them.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +144,7 @@ def _close(best: bool):
             n, node, label = (rows[x].to_numpy().astype(np.int64) for x in ("n", "node", "label"))
             sig = np.stack([rows[x].to_numpy().astype(np.int64) for x in SIG], axis=1).view(np.uint64)
             bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), BITS // 64)
+            keys = None if best else np.array(rows["bands"].tolist(), dtype=np.int64)
             edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))))
             tile = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(h)]))))
             end = np.searchsorted(tile, tile, side="right")
@@ -188,6 +161,9 @@ def _close(best: bool):
                 x, y, equal = x[ok], y[ok], equal[ok]
                 common = (n[x] + n[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)) // 2
                 ok = (100 + SIMILAR) * common >= SIMILAR * (n[x] + n[y])
+                if not best:
+                    first = (keys[x] == keys[y]).argmax(axis=1)
+                    ok &= keys[x, first] == h[x]
                 found.append((x[ok], y[ok], equal[ok]))
             x, y, equal = (np.concatenate(z) for z in zip(*found, strict=True))
             if best and len(x):
@@ -225,23 +201,23 @@ def minhash_components(docs: DataFrame, tile: int = TILE, partners: int = PARTNE
     pivots = cut(entries.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") < F.col("last")).select("h", "pivot"), "pivots")
     active = cut(entries.join(small_side(pivots, F.lit(16)), "h").distinct(), "active")
     nodes = small_side(cut(active.select("node").distinct(), "nodes"), F.lit(8))
-    marks = cut(used.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*SIG, "bits"))), "marks")
+    marks = cut(used.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*SIG, "bits", "bands"))), "marks")
     places = marks.select("node", "first.doc_id", "first.row_hash")
 
     shared = active.where(F.col("pivot") != F.col("node")).groupBy("node", "pivot").agg(F.count("*").alias("k"))
     pairs = cut(shared.groupBy("node").agg(F.max(F.struct("k", "pivot"))["pivot"].alias("a")).select("a", F.col("node").alias("b")), "pairs")
     tried = cut(_likely(pairs, marks), "pairs")
-    found = connected_components(confirm(tried, rows, places, partners), "a", "b")
+    found = connected_components(confirm(tried, rows, places, WORDS, linked, partners), "a", "b")
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for best in (True, False):
         named = active.join(found, "node", "left").select("h", F.lit(0).alias("pos"), "n", "node", F.coalesce("component", "node").alias("label"))
-        tiles = _tiles(named, tile, LARGE if best else 1).join(marks.select("node", *SIG, "bits"), "node")
+        tiles = _tiles(named, tile, LARGE if best else 1).join(marks.select("node", *SIG, "bits", *([] if best else ["bands"])), "node")
         close = tiles.repartition("h", "lo", "c", "d").sortWithinPartitions("h", "lo", "c", "d").mapInPandas(_close(best), "a long, b long").distinct()
         new = cut(close.join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
         tried = tried.unionByName(new)
-        links = confirm(new, rows, places, partners)
+        links = confirm(new, rows, places, WORDS, linked, partners)
         if not links.isEmpty():
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
     out = least_ids(signed.select("doc_id", "row_hash", "n_shingles", "node"), found)

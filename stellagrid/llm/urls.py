@@ -10,7 +10,8 @@ from .common import ascii_lower, cut, small_side
 
 # Verdict, host and path prefix of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: A tree node with so many distinct child segments has variable ones; segments below DEPTH levels are one wildcard.
+#: A tree node with so many distinct child segments has variable ones; below DEPTH levels a path that shares its branch with
+#: no other one is one wildcard from there on.
 FANOUT, DEPTH = 10, 6
 #: Labelled pages that the smoothing counts as much as; standard errors within which sibling branches are alike.
 STRENGTH, ALIKE = 5.0, 2.0
@@ -46,8 +47,12 @@ def path_templates(paths: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -
     in a broadcast if their measured size allows it, so that a host with a third of all paths stays spread.
     """
     tree = paths.withColumns({"segments": F.filter(F.split("path", "/"), lambda s: s != ""), "template": F.lit(""), "branches": F.array(F.lit(""))})
-    deepest = min(depth, tree.agg(F.max(F.size("segments"))).first()[0] or 0)
+    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(deepest):
+        if level >= depth:
+            tree, more = _folded(tree, level)
+            if not more:
+                break
         here = F.get("segments", F.lit(level))
         tree = tree.withColumn("segment", F.when(here.rlike("[0-9]"), F.lit("*")).otherwise(here))
         wide = (
@@ -65,13 +70,28 @@ def path_templates(paths: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -
             .withColumn("branches", F.when(F.col("segment").isNull(), F.col("branches")).otherwise(F.array_append("branches", F.col("template"))))
             .drop("wide", "segment")
         )
-    folded = F.size("segments") > deepest
-    return tree.withColumns(
+    return tree.drop("segments")
+
+
+def _folded(tree: DataFrame, level: int) -> tuple[DataFrame, bool]:
+    """tree, with the rest of every path that is the only one to go on below its branch as one wildcard, and whether any
+    others go on.
+
+    No verdict hangs on such a chain: all its branches have the counts of its one path, which a rule either fits, and
+    then judges, or does not, and then no branch of the chain has a labelled page.
+    """
+    on = F.size("segments") > level
+    tree = cut(tree, "tree")
+    many = cut(tree.where(on).groupBy("host", "template").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("host", "template", F.lit(True).alias("many")), "many")
+    fold, rest = on & F.col("many").isNull(), F.concat("template", F.lit("/**"))
+    done = tree.join(small_side(many, F.octet_length("host") + F.octet_length("template")), ["host", "template"], "left").withColumns(
         {
-            "branches": F.when(folded, F.array_append("branches", F.concat("template", F.lit("/**")))).otherwise(F.col("branches")),
-            "template": F.when(folded, F.concat("template", F.lit("/**"))).otherwise(F.col("template")),
+            "segments": F.when(fold, F.slice("segments", 1, level)).otherwise(F.col("segments")),
+            "branches": F.when(fold, F.array_append("branches", rest)).otherwise(F.col("branches")),
+            "template": F.when(fold, rest).otherwise(F.col("template")),
         }
-    ).drop("segments")
+    )
+    return done.drop("many"), not many.isEmpty()
 
 
 def judge_templates(tree: DataFrame, strength: float = STRENGTH, alike: float = ALIKE) -> DataFrame:
@@ -113,7 +133,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
 
     A null url, or one without "://", has an empty host and path, which no rule with a host fits; such pages share one
     template. Hosts without any labelled page go by the share over all hosts. Repeated rows count, and each get a row.
-    Siblings of equal share become one branch. Long urls are taken whole; segments below DEPTH levels are one wildcard.
+    Siblings of equal share become one branch. Long urls are taken whole: the tree is as deep as different paths of a host go together, with
+    a round a level, and what is left of a path alone is one wildcard, which no verdict hangs on. An empty table gives
+    no rows. Other columns are left aside.
     """
     rules = RULES if rules is None else rules
     host, path = host_of(F.col("url")), path_of(F.col("url"))
