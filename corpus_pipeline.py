@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stellagrid.llm import bpe, decontaminate, jaccard, line_dedup, quality
-from stellagrid.llm.common import cut, table
+from stellagrid.llm.common import cut, drop, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage over the documents that all others keep.
+
+    Each stage's documents are written as Parquet in the folder of spark.checkpoint.dir and deleted when the next one's
+    are. Null, empty and repeated rows are what the stages make of them: the quality rules reject texts that are null,
+    empty or too short. An empty table gives no rows. Further columns of documents pass through all stages but the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
