@@ -5,14 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import FWHM, MatchParams
-from ..tables import cut_lineage
-from .graph import connected_components
+from ..tables import cut_lineage, drop
 
 
 @dataclass
@@ -49,21 +47,38 @@ def candidate_pairs(truth: DataFrame, found: DataFrame, p: MatchParams) -> DataF
     return t.join(f, [f"c{k}" for k in axes]).select("i", "j", d2.alias("d2"), accept.alias("accept")).where(F.col("d2") <= reach * reach)
 
 
-#: Rounds that take mutually closest pairs only; what is left then are chains, which components take whole.
+#: Rounds that take mutually closest pairs only; what is left then are chains.
 ROUNDS = 8
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """The greedy rule over the pairs of one component."""
-    group = group.sort_values(["d2", "i", "j"])
-    rows, cols, keep = set(), set(), []
-    for i, j in zip(group["i"], group["j"], strict=True):
-        free = i not in rows and j not in cols
-        keep.append(free)
-        if free:
-            rows.add(i)
-            cols.add(j)
-    return group[keep]
+def _chained(left: DataFrame) -> DataFrame:
+    """(i, j, d2, accept) of the pairs that the greedy rule takes for certain, whatever else it does.
+
+    A pair with no closer one at either of its rows is taken. One with a single closer pair is taken exactly if that one
+    is not, and so on along the chain of closer pairs, until a pair that is taken or one with several closer ones, of
+    which nothing is known yet. Chains are shortened by pointer jumping that keeps the parity of what it skips, so that
+    a chain of any length takes as many steps as the logarithm of its length.
+    """
+    key, pair = F.struct("d2", "i", "j"), F.struct("i", "j")
+    by_i, by_j = W.partitionBy("i").orderBy("d2", "j"), W.partitionBy("j").orderBy("d2", "i")
+    seen = left.withColumns({"ri": F.row_number().over(by_i), "rj": F.row_number().over(by_j), "pj": F.lag("j").over(by_i), "pi": F.lag("i").over(by_j)})
+    closer = F.when(F.col("ri") == 2, F.struct("i", F.col("pj").alias("j"))).otherwise(F.struct(F.col("pi").alias("i"), "j"))
+    single = F.col("ri") + F.col("rj") == 3
+    up = F.when(single, closer).otherwise(pair)
+    ways = cut_lineage(seen.select(pair.alias("node"), up.alias("up"), single.alias("odd"), (F.col("ri") + F.col("rj") == 2).alias("sure"), key.alias("key"), "accept"), "ways")
+    # Of the pair that up points to: where that one points, and whether it is taken for certain.
+    jump = ways.select("node", "up", "odd")
+    while True:
+        above = jump.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("odd").alias("more"))
+        new = cut_lineage(jump.join(above, "up").select("node", F.col("next").alias("up"), (F.col("odd") != F.col("more")).alias("odd"), (F.col("next") != F.col("up")).alias("moved")), "ways")
+        drop(jump)
+        done = new.where("moved").isEmpty()
+        jump = new
+        if done:
+            break
+    sure = ways.where("sure").select(F.col("node").alias("up"))
+    taken = jump.join(sure, "up", "left_semi").where(~F.col("odd")).select("node")
+    return ways.join(taken, "node", "left_semi").select("node.i", "node.j", "key.d2", "accept")
 
 
 def greedy_pairs(pairs: DataFrame, stop_on_first_reject: bool = True, rounds: int = ROUNDS) -> DataFrame:
@@ -71,28 +86,25 @@ def greedy_pairs(pairs: DataFrame, stop_on_first_reject: bool = True, rounds: in
 
     A pair that is the closest for both its rows is one the rule takes, whatever it does elsewhere, so each round takes
     all of these at once. Where distances are equal or fall along a chain, a round takes one pair of the chain; so after
-    some rounds the pairs left are split into connected components, which cannot touch each other, and the rule runs
-    through each in one task. With stop_on_first_reject what lies beyond the closest rejected pair does not count;
-    without, rejected pairs are passed over and use nothing up.
+    some rounds all that chains decide is taken too (see _chained). No round brings more than the pairs of one row
+    together. With stop_on_first_reject what lies beyond the closest rejected pair does not count; without, rejected
+    pairs are passed over and use nothing up.
     """
     left = cut_lineage(pairs if stop_on_first_reject else pairs.where("accept"), "pairs")
-    taken = None
-    for _ in range(rounds):
-        key = F.struct("d2", "i", "j")
-        best = left.withColumns({"bi": F.min(key).over(W.partitionBy("i")), "bj": F.min(key).over(W.partitionBy("j"))})
-        now = cut_lineage(best.where((F.col("bi") == key) & (F.col("bj") == key)).select("i", "j", "d2", "accept"), "taken")
+    taken, turn = None, 0
+    while True:
+        if turn < rounds:
+            key = F.struct("d2", "i", "j")
+            best = left.withColumns({"bi": F.min(key).over(W.partitionBy("i")), "bj": F.min(key).over(W.partitionBy("j"))})
+            now = best.where((F.col("bi") == key) & (F.col("bj") == key)).select("i", "j", "d2", "accept")
+        else:
+            now = _chained(left)
+        now, turn = cut_lineage(now, "taken"), turn + 1
         if now.isEmpty():
             break
         taken = now if taken is None else taken.unionByName(now)
-        left = cut_lineage(left.join(now.select("i"), "i", "left_anti").join(now.select("j"), "j", "left_anti"), "pairs")
-    else:
-        if not left.isEmpty():
-            node = {"i": F.concat(F.lit("i"), F.col("i").cast("string")), "j": F.concat(F.lit("j"), F.col("j").cast("string"))}
-            parts = connected_components(left.select(node["i"].alias("src"), node["j"].alias("dst")))
-            grouped = left.withColumn("node", node["i"]).join(parts, "node").select("component", "i", "j", "d2", "accept")
-            rest = grouped.groupBy("component").applyInPandas(_greedy, grouped.schema).select("i", "j", "d2", "accept")
-            rest = cut_lineage(rest, "taken")
-            taken = rest if taken is None else taken.unionByName(rest)
+        before, left = left, cut_lineage(left.join(now.select("i"), "i", "left_anti").join(now.select("j"), "j", "left_anti"), "pairs")
+        drop(before)
     if taken is None:
         return pairs.select("i", "j", "d2").where(F.lit(False))
     if stop_on_first_reject:

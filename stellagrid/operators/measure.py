@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +14,16 @@ from .grid import Shape
 from .rank import median
 
 
-def regions(labelled: DataFrame, shape: Shape) -> DataFrame:
-    """One row a clump: ID, Peak1.., Cen1.., Size1.., Peak, Sum, Volume. One aggregation with partial sums.
+#: States of clumps that a task keeps before it sends them on.
+STATES = 20_000
+
+
+def regions(labelled: DataFrame, shape: Shape, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row a clump: ID, Peak1.., Cen1.., Size1.., Peak, Sum, Volume, and what `extra` names. One aggregation with partial
+    sums.
+
+    extra has aggregates of further measures by name, over the columns of labelled (intensity, the axes and others);
+    they are worked out in the same pass. For measures that no aggregate of Spark gives, see merged_regions().
 
     Moments are taken about a fixed place near each clump's own coordinates only through raw sums of small integers,
     so they cancel little. Of equal peaks the one with the least idx counts. A clump whose intensities sum to 0 has no
@@ -26,6 +38,7 @@ def regions(labelled: DataFrame, shape: Shape) -> DataFrame:
         top.alias("top"),
         *(F.sum(i * F.col(a)).alias(f"s_{a}") for a in axes),
         *(F.sum(i * F.col(a) * F.col(a)).alias(f"q_{a}") for a in axes),
+        *(c.alias(n) for n, c in (extra or {}).items()),
     )
     cen = {a: F.try_divide(F.col(f"s_{a}"), F.col("Sum")) for a in axes}
     spread = {a: F.try_divide(F.col(f"q_{a}"), F.col("Sum")) - cen[a] * cen[a] for a in axes}
@@ -39,9 +52,44 @@ def regions(labelled: DataFrame, shape: Shape) -> DataFrame:
         "Peak",
         "Sum",
         "Volume",
+        *(extra or {}),
     )
 
 
+def merged_regions(labelled: DataFrame, start: Callable[[pd.DataFrame], dict], merge: Callable[[dict, dict], dict], finish: Callable[[dict], dict], state: str, result: str) -> DataFrame:
+    """(tile, ID) and the columns `result` of each clump: a measure in Python that is made of mergeable states.
+
+    start() makes a state of some voxels of a clump, merge() one of two, finish() the result; a state's entries are the
+    columns `state`. A task keeps a state a clump and sends it on when it has many or ends, so what meets of a clump is
+    as many states as tasks and fillings, never its voxels. Order and grouping of merges are not defined.
+    """
+    names = [c.strip().split(" ")[0] for c in state.split(",")]
+    tile, clump = (dict(labelled.dtypes)[c] for c in ("tile", "clump_id"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, dict] = {}
+
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame([{"tile": t, "clump_id": c} | s for (t, c), s in held.items()], columns=["tile", "clump_id", *names])
+            held.clear()
+            return made
+
+        for batch in batches:
+            for who, voxels in batch.groupby(["tile", "clump_id"], sort=False):
+                new = start(voxels)
+                held[who] = merge(held[who], new) if who in held else new
+            if len(held) > STATES:
+                yield out()
+        yield out()
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        states = group[names].to_dict("records")
+        return pd.DataFrame([{"tile": group["tile"].iloc[0], "ID": group["clump_id"].iloc[0]} | finish(reduce(merge, states))])
+
+    states = labelled.where(F.col("clump_id").isNotNull()).mapInPandas(partial, f"tile {tile}, clump_id {clump}, {state}")
+    return states.groupBy("tile", "clump_id").applyInPandas(whole, f"tile {tile}, ID {clump}, {result}")
+
+
 def orientation(labelled: DataFrame) -> DataFrame:
     """Per clump the angle, in degrees, of its footprint on the sky, each (x, y) counting once."""
     foot = labelled.select("tile", "clump_id", "x", "y").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from ..functions.model import fit_catalog
 from ..operators import density, fit, grid, labels, measure, mosaic, overlap, smooth
 from ..operators.grid import Shape
 from ..params import DetectParams, FitParams
-from ..tables import cut_lineage
+from ..tables import cut_lineage, kept
 
 
 @dataclass
@@ -31,14 +33,35 @@ def smoothed(cube: DataFrame, shape: Shape, p: DetectParams) -> DataFrame:
     return smooth.smooth(cube.withColumn("intensity", F.col("intensity").cast("double")), shape, {a: kernel for a in shape})
 
 
-def detect(cube: DataFrame, shape: Shape, p: DetectParams) -> Detection:
+def fingerprint(cube: DataFrame, shape: Shape, p: DetectParams, header: dict | None = None) -> str:
+    """A name for the density of a cube: of all its voxels, its header and the kernels, whatever order the rows are in.
+
+    Voxels go into two sums of 64-bit hashes and a count: one pass over the cube, without a shuffle of it.
+    """
+    columns = ["tile", *shape, "intensity"]
+    whole = "decimal(38,0)"
+    sums = cube.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(seed), *(F.col(c).cast("double") if c == "intensity" else F.col(c) for c in columns)).cast(whole)) for seed in (1, 2))).first()
+    kernels = [smooth.gaussian_kernel(p.sigma)] if p.sigma is not None else [smooth.gaussian_kernel(s) for s in smooth.SCALES]
+    said = [list(shape.items()), [str(x) for x in sums], kernels, sorted((str(k), str(v)) for k, v in (header or {}).items())]
+    return hashlib.sha256(json.dumps(said).encode()).hexdigest()
+
+
+def kept_density(cube: DataFrame, shape: Shape, p: DetectParams, folder: str, header: dict | None = None) -> tuple[DataFrame, bool]:
+    """The smoothed cube from a folder of densities, made and put there if it is not known yet; and whether it was."""
+    return kept(cube.sparkSession, folder, f"density-{fingerprint(cube, shape, p, header)}", lambda: smoothed(cube, shape, p))
+
+
+def detect(cube: DataFrame, shape: Shape, p: DetectParams, densities: str | None = None, header: dict | None = None) -> Detection:
     """Clumps of a dense cube (tile, axes, idx, intensity), every tile by itself.
 
+    densities is a folder in which densities are kept: a cube that was smoothed with the same kernels before, by this or
+    another session, is not smoothed again. Changed voxels, headers or kernels have another density.
+
     Smoothing, then the density peak clustering of the voxels above the noise: nearest denser neighbours, centres,
     labels down the parent forest, boundaries by gradient, measures of whole labels, and tests of size and edge. Moments
     come from the whole label, the mask and the test of size from its largest connected part.
     """
-    rho = cut_lineage(smoothed(cube, shape, p), "density")
+    rho = kept_density(cube, shape, p, densities, header)[0] if densities else cut_lineage(smoothed(cube, shape, p), "density")
     link = density.nearest_higher_anywhere if p.anywhere else density.nearest_higher
     linked = cut_lineage(link(rho.where(F.col("rho") > p.noise), shape, p.delta_min), "linked")
     centre = density.centres(linked, p.rho_min, p.delta_min)

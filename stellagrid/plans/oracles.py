@@ -416,3 +416,15 @@ e AS (SELECT DISTINCT a.tile AS t1, a.clump AS c1, b.tile AS t2, b.clump AS c2 F
 whole AS (SELECT t1 AS tile, c1 AS clump, t1 AS t, c1 AS c FROM e UNION SELECT w.tile, w.clump, e.t2, e.c2 FROM whole w JOIN e ON e.t1 = w.t AND e.c1 = w.c),
 root AS (SELECT tile, clump, min(struct_pack(t := t, c := c)) AS r FROM whole GROUP BY tile, clump)
 SELECT lab.idx, CAST(min(n) AS BIGINT) AS mosaic_id FROM lab JOIN (SELECT tile, clump, dense_rank() OVER (ORDER BY r) AS n FROM root) k ON k.tile = lab.tile AND k.clump = lab.clump GROUP BY lab.idx"""
+
+SQL["region_extras"] = f"""WITH RECURSIVE {CLUSTER} SELECT clump_id AS ID, count(*) AS Volume, CAST(sum(i * i) AS BIGINT) AS Squares, min(i) AS Least, count(*) FILTER (rho > (SELECT top FROM thr)) AS Bright,
+       round(sum(i * x)::DOUBLE / sum(i), 6) AS Cen1 FROM clu GROUP BY clump_id"""
+
+#: Both lie at odd and even places of a line, a step apart: place s is next to f = s - 1 and f = s; in the order of distance, s
+#: and f, s takes s - 1 if there is one and the supplier before has left it, else s.
+SQL["match_lattice"] = """WITH RECURSIVE n AS (SELECT (SELECT max(s_suppkey) FROM supplier) AS s, (SELECT max(c_custkey) FROM customer) AS c),
+line AS (SELECT s_suppkey AS s, EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey - 1) AS lower, EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey) AS same FROM supplier),
+walk AS (SELECT -1::BIGINT AS s, NULL::BIGINT AS f, false AS used UNION ALL
+         SELECT walk.s + 1, CASE WHEN l.s IS NULL THEN NULL WHEN l.lower AND NOT walk.used THEN l.s - 1 WHEN l.same THEN l.s END, coalesce(NOT (l.lower AND NOT walk.used) AND l.same, false)
+         FROM walk CROSS JOIN n LEFT JOIN line l ON l.s = walk.s + 1 WHERE walk.s < n.s)
+SELECT s AS s_ID, f AS f_ID, 1.0::DOUBLE AS distance FROM walk WHERE f IS NOT NULL"""

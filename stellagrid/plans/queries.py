@@ -798,3 +798,22 @@ def reconcile_masks(spark, sf_dir):
     cells = f.rho.where(F.col("rho") > f.rho_min).select("x", "y", "idx").withColumn("clump_id", F.lit(1))
     found = labels.parts(mosaic.split(cells, SHAPE2, 20, 5), SHAPE2)
     return mosaic.reconcile_masks(found.select("tile", "idx", F.col("part").alias("clump_id"))).select(*longs("idx", "mosaic_id"))
+
+
+@query
+def region_extras(spark, sf_dir):
+    """Clumps with further measures of the same pass: squares, the faintest voxel, voxels well above the noise."""
+    f = Found(spark, sf_dir)
+    i = F.col("intensity")
+    c = measure.regions(f.clusters(), SHAPE2, {"Squares": F.sum(i * i), "Least": F.min(i), "Bright": F.count_if(F.col("rho") > f.rho_min)})
+    return c.select(*longs("ID", "Volume", "Squares", "Least", "Bright"), *r6("Cen1"))
+
+
+@query
+def match_lattice(spark, sf_dir):
+    """Suppliers' places on a line against customers' places between them: chains of equal distances."""
+    k = F.col("s_suppkey")
+    t = table(spark, sf_dir, "supplier").select(k.alias("ID"), (2.0 * k).alias("Cen1"), F.lit(1.0).alias("Cen2"), F.lit(9.0).alias("Size1"), F.lit(9.0).alias("Size2"))
+    c = F.col("c_custkey")
+    f = table(spark, sf_dir, "customer").select(c.alias("ID"), (2.0 * c + 1).alias("Cen1"), F.lit(1.0).alias("Cen2"))
+    return match.match_catalogs(t, f, MatchParams()).match.select(*longs("s_ID", "f_ID"), *r6("distance"))

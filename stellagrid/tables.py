@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,27 @@ def drop(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def kept(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The table `key` of a folder, and whether it was there. If not, it is made and written, and appears when it is whole.
+
+    A table is whole if Spark's writer has marked it so. Two sessions that make the same one at a time both may; one stays.
+    """
+    path = f"{folder.rstrip('/')}/{key}"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(place(f"{path}/_SUCCESS")):
+        return spark.read.parquet(path), True
+    draft = f"{path}.{uuid.uuid4().hex}"
+    made = make()
+    made.write.parquet(draft)
+    if not fs.exists(place(f"{path}/_SUCCESS")):
+        _delete(spark, path)  # what was left unfinished there
+        fs.rename(place(draft), place(path))
+    for rest in (draft, f"{path}/{draft.rsplit('/', 1)[-1]}"):  # where another session was faster
+        _delete(spark, rest)
+    return spark.read.schema(made.schema).parquet(path), False
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has cut: call it when the results are written."""
     _delete(spark, _own_dir(spark))
