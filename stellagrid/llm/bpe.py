@@ -133,6 +133,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, long: int = LONG, leaf: i
     of copies of one text are encoded once. The leaves' ids then meet by text, and are joined pairwise.
 
     Null text counts as empty: no tokens, and the digests of nothing. Repeated rows each get their row.
+    An empty table gives no rows. Other columns are left aside.
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())

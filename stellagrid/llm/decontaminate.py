@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     Null or empty texts have no words and no hits. Items without words or without an id find nothing; rows of one
     item_id are one item. An item of fewer than `window` words is a single window. Windows that several items have
     count for each of them. Repeated rows of docs each get a row. Long texts are searched in pieces that overlap by a
-    window.
+    window. An empty table gives no rows, an empty benchmark no hits. Other columns are left aside.
     """
     small_batches(docs.sparkSession)
     blocks = list(_blocks(benchmark, window, block_mb))

@@ -218,7 +218,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[st
     frequencies that go to the driver, are of fixed size.
 
     Null text counts as empty: no words, no places, null first_word and last_word, empty labels, score 0. Repeated
-    rows each get their row; equal texts are searched once. Long texts are searched tile by tile, in any task.
+    rows each get their row; equal texts are searched once. Long texts are searched tile by tile, in any task. An empty table gives
+    no rows. Other columns are left aside.
     """
     spark = docs.sparkSession
     known = prepare(TEMPLATES if templates is None else templates, threshold)

@@ -140,7 +140,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trus
     kept is false if base_failed, else true if the mean log ratio of the text's hashed n-grams is at least threshold.
     Null or empty text has no words and fails. Without any trusted document the ratio is 0 throughout, and the base
     rules alone decide. Repeated rows each count and each get their row. Long texts are taken in stretches that lose no
-    n-gram. A score equal to the threshold keeps the document.
+    n-gram. A score equal to the threshold keeps the document. An empty table gives no rows.
+    Other columns are left aside.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, trusted))
 
