@@ -59,7 +59,7 @@ def fit_group(start: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.n
     def cost(q: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         m, s = model_and_slopes(q, places)
         r = (m.sum(axis=0) - values) * weight
-        return float(o.soft_scale**2 * (np.sqrt(1 + (r / o.soft_scale) ** 2) - 1).sum()), r, s
+        return float((r**2 / (1 + np.sqrt(1 + (r / o.soft_scale) ** 2))).sum()), r, s  # the loss, where 1 + r^2 is 1 as well
 
     now, r, s = cost(p)
     damping, done = 1e-3, False

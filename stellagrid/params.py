@@ -43,6 +43,7 @@ class FitParams:
     weight_power: float = 4.0
     soft_scale: float = 0.1
     max_steps: int = 100
+    task_mb: float = 256.0  # slopes that one task may hold; larger groups of clumps are fitted by blocks
 
 
 @dataclass(frozen=True)

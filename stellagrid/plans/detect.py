@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wcs
 from ..functions.model import fit_catalog
-from ..operators import density, fit, grid, labels, measure, mosaic, overlap, smooth
+from ..operators import density, grid, labels, measure, mosaic, overlap, smooth, spread_fit
 from ..operators.grid import Shape
 from ..params import DetectParams, FitParams
 from ..tables import cut_lineage, kept
@@ -86,7 +86,7 @@ def detect_and_fit(cube: DataFrame, shape: Shape, p: DetectParams, o: FitParams
     """A detection, and the fitted catalogue of its clumps, every tile by itself."""
     found = detect(cube, shape, p)
     groups = cut_lineage(overlap.overlap_groups(found.catalog, o.overlap), "groups")
-    fits = fit.fit_clumps(grid.clump_points(cube, found.mask, shape), found.catalog, groups, o)
+    fits = spread_fit.fit_any(grid.clump_points(cube, found.mask, shape), found.catalog, groups, o)
     return found, fit_catalog(cut_lineage(fits, "fits"), p.rms)
 
 
@@ -108,7 +108,7 @@ def detect_fit_tiled(cube: DataFrame, shape: Shape, p: DetectParams, step: int,
     groups = cut_lineage(overlap.overlap_groups(found.catalog, o.overlap), "groups")
     needed = groups.join(own.select("tile", "ID"), ["tile", "ID"], "left_semi").select("tile", "component").distinct()
     groups = cut_lineage(groups.join(needed, ["tile", "component"], "left_semi"), "groups")
-    fits = cut_lineage(fit.fit_clumps(grid.clump_points(parts, found.mask, shape), found.catalog, groups, o), "fits")
+    fits = cut_lineage(spread_fit.fit_any(grid.clump_points(parts, found.mask, shape), found.catalog, groups, o), "fits")
     fitted = fit_catalog(fits.join(own.select("tile", F.col("ID").cast("long").alias("ID")), ["tile", "ID"], "left_semi"), p.rms)
     if world:
         return wcs.to_world(own, world, p.id_prefix), wcs.fit_to_world(fitted, world, p.id_prefix)
@@ -141,7 +141,7 @@ def detect_multiscale(cube: DataFrame, shape: Shape, p: DetectParams, fine: Dete
         return coarse, small, None
     again = cut_lineage(measure.regions(small.mask.drop("intensity").join(cube.select("tile", "idx", "intensity"), ["tile", "idx"]), shape).where(F.col("Cen1").isNotNull()), "again")
     groups = cut_lineage(overlap.overlap_groups(again, o.overlap), "groups")
-    return coarse, small, fit.fit_clumps(grid.clump_points(cube, small.mask, shape), again, groups, o)
+    return coarse, small, spread_fit.fit_any(grid.clump_points(cube, small.mask, shape), again, groups, o)
 
 
 def detect_log(p: DetectParams, shape: Shape, found: Detection) -> DataFrame:
