@@ -21,6 +21,8 @@ EDGE = {2: 16, 3: 8}
 REACH = 6.0
 #: Blocks of voxels a task evaluates at least.
 BLOCKS_A_TASK = 500
+#: Turns of conjugate gradients a step takes at most: what they leave is left to the next step, the cost falls all the same.
+CG_TURNS = 200
 #: A pair's part of the normal equations is left out of a block where it is smaller than this share of both clumps' own.
 SMALL_PAIR = 1e-9
 #: What the state of a component holds after the parameters of each of its clumps.
@@ -50,8 +52,8 @@ def _solve(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, own: np.ndarr
 
     x, r = np.zeros_like(slope), -slope * s
     z = np.einsum("nab,nb->na", near, r)
-    d, rz, enough = z, (r * z).sum(), 1e-20 * (r * r).sum()
-    for _ in range(2000):
+    d, rz, enough = z, (r * z).sum(), 1e-12 * (r * r).sum()
+    for _ in range(CG_TURNS):
         hd = times(d)
         if rz <= 0 or (curve := (d * hd).sum()) <= 0:
             break
