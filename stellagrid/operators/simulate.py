@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,37 +71,105 @@ def place_clumps(tiles: DataFrame, shape: Shape, number: int, seed: int = 0, tri
     return tiles.select("tile").distinct().groupBy("tile").applyInPandas(place, COMPONENT)
 
 
-def render(components: DataFrame, shape: Shape, reach: float = 4.0, threshold: float = 0.0) -> DataFrame:
-    """(tile, axes, intensity): the sum of all components' models, each over `reach` sigmas around its centre."""
-    cube = "v" in shape
+#: Edge of the blocks of voxels in which models are summed.
+BLOCK = 64
+
+
+def _boxes(components: DataFrame, shape: Shape, reach: float) -> DataFrame:
+    """A row for each component and block of BLOCK places an axis that its box of `reach` sigmas meets: tile, b_<axis>, the
+    box's ends <axis>_lo and <axis>_hi, and what the model needs."""
     c = F.col
     wide = F.ceil(F.greatest("s1", "s2") * reach)
+    half = {"x": wide, "y": wide, "v": F.ceil(c("s3") * reach) if "v" in shape else None}
+    c2, n2, both = F.cos("theta") * F.cos("theta"), F.sin("theta") * F.sin("theta"), F.sin(2 * c("theta"))
+    ends = {f"{a}_lo": F.greatest(F.floor(f"{a}0") - half[a], F.lit(1)).cast("int") for a in shape} | {f"{a}_hi": F.least(F.ceil(f"{a}0") + half[a], F.lit(n)).cast("int") for a, n in shape.items()}
+    known = components.where((c("x0") + wide >= 1) & (c("x0") - wide <= shape["x"])).select(
+        "tile", c("A").cast("double"), *(c(f"{a}0").cast("double") for a in shape),
+        (c2 / (2 * c("s1") * c("s1")) + n2 / (2 * c("s2") * c("s2"))).alias("xx"),
+        (n2 / (2 * c("s1") * c("s1")) + c2 / (2 * c("s2") * c("s2"))).alias("yy"),
+        (both / (2 * c("s2") * c("s2")) - both / (2 * c("s1") * c("s1"))).alias("xy"),
+        *([(2 * c("s3") * c("s3")).alias("vv")] if "v" in shape else []),
+        *(e.alias(n) for n, e in ends.items()),
+    )
+    for a in shape:
+        known = known.where(c(f"{a}_lo") <= c(f"{a}_hi")).withColumn(f"b_{a}", F.explode(F.sequence(F.floor((c(f"{a}_lo") - 1) / BLOCK).cast("int"), F.floor((c(f"{a}_hi") - 1) / BLOCK).cast("int"))))
+    return known
 
-    def ticks(place: str, half: Column, n: int) -> Column:
-        return F.explode(F.sequence(F.greatest(F.floor(place) - half, F.lit(1)).cast("int"), F.least(F.ceil(place) + half, F.lit(n)).cast("int")))
 
-    c2, n2, both = F.cos("theta") * F.cos("theta"), F.sin("theta") * F.sin("theta"), F.sin(2 * c("theta"))
-    # What depends on the component alone is worked out once, and what depends on x and y once a column.
-    known = components.withColumns(
-        {
-            "_xx": c2 / (2 * c("s1") * c("s1")) + n2 / (2 * c("s2") * c("s2")),
-            "_yy": n2 / (2 * c("s1") * c("s1")) + c2 / (2 * c("s2") * c("s2")),
-            "_xy": both / (2 * c("s2") * c("s2")) - both / (2 * c("s1") * c("s1")),
-        }
-    )
-    grid = known.where((c("x0") + wide >= 1) & (c("x0") - wide <= shape["x"])).withColumn("x", ticks("x0", wide, shape["x"])).withColumn("y", ticks("y0", wide, shape["y"]))
-    dx, dy = c("x") - c("x0"), c("y") - c("y0")
-    grid = grid.withColumn("m", c("A") * F.exp(-(dx * dx * c("_xx") + dy * dy * c("_yy") + dx * dy * c("_xy"))))
-    if cube:
-        grid = grid.withColumn("v", ticks("v0", F.ceil(c("s3") * reach), shape["v"]))
-        grid = grid.withColumn("m", c("m") * F.exp(-(c("v") - c("v0")) * (c("v") - c("v0")) / (2 * c("s3") * c("s3"))))
-    return grid.select("tile", *shape, "m").where(c("m") > threshold).groupBy("tile", *shape).agg(F.sum("m").alias("intensity"))
+def _summed(boxes: DataFrame, shape: Shape, threshold: float, dense: bool) -> DataFrame:
+    """(tile, axes, intensity): the models of boxes, sorted by tile and block within their partitions, summed in a block at
+    a time; a block that lies in several partitions gives rows of each. dense: also the voxels that no model reaches."""
+    axes, others = list(shape), [a for a in shape if a != "x"]
+    cube = "v" in shape
+
+    def planes(who: tuple, total: np.ndarray, hit: np.ndarray) -> Iterator[dict]:
+        """A row for each place along y: what the others begin at, and the voxels as positions from there."""
+        origin = {a: b * BLOCK + 1 for a, b in zip(axes, who[1:], strict=True)}
+        for p in range(len(total)):
+            if len(at := np.flatnonzero(hit[p])):
+                yield {"tile": who[0], **origin, "y": origin["y"] + p, "w": total.shape[-1], "at": at.astype(np.int32), "ms": total[p].ravel()[at]}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, ready = None, []
+        for batch in batches:
+            columns = [batch[n].tolist() for n in ("tile", *(f"b_{a}" for a in axes))]
+            numbers = {n: batch[n].to_numpy() for n in batch.columns if n != "tile" and not n.startswith("b_")}
+            for k, who in enumerate(zip(*columns, strict=True)):
+                if held is None or held[0] != who:
+                    if held is not None:
+                        ready.extend(planes(held[0], *held[2:]))
+                    if len(ready) > 200:
+                        yield pd.DataFrame(ready)
+                        ready = []
+                    block = dict(zip(axes, who[1:], strict=True))
+                    size = [min(BLOCK, shape[a] - block[a] * BLOCK) for a in (*others, "x")]
+                    held = (who, block, np.zeros(size), np.full(size, dense))
+                block, total, hit = held[1:]
+                if numbers["A"][k] != numbers["A"][k]:  # no component, but a block to be filled
+                    continue
+                first = {a: max(int(numbers[f"{a}_lo"][k]) - block[a] * BLOCK - 1, 0) for a in axes}
+                last = {a: min(int(numbers[f"{a}_hi"][k]) - block[a] * BLOCK, total.shape[(*others, "x").index(a)]) for a in axes}
+                d = {a: np.arange(first[a], last[a]) + (block[a] * BLOCK + 1 - numbers[f"{a}0"][k]) for a in axes}
+                dx, dy = d["x"][None, :], d["y"][:, None]
+                m = numbers["A"][k] * np.exp(-(dx * dx * numbers["xx"][k] + dy * dy * numbers["yy"][k] + dx * dy * numbers["xy"][k]))
+                if cube:
+                    m = m[:, None, :] * np.exp(-d["v"] * d["v"] / numbers["vv"][k])[None, :, None]
+                box = tuple(slice(first[a], last[a]) for a in (*others, "x"))
+                if m.min() > threshold:
+                    total[box] += m
+                    hit[box] = True
+                else:
+                    total[box] += np.where(m > threshold, m, 0.0)
+                    hit[box] |= m > threshold
+        if held is not None:
+            ready.extend(planes(held[0], *held[2:]))
+        if ready:
+            yield pd.DataFrame(ready)
+
+    kind = dict(boxes.dtypes)["tile"]
+    made = boxes.mapInPandas(run, f"tile {kind}, {', '.join(f'{a} int' for a in axes)}, w int, at array<int>, ms array<double>")
+    moved = {"x": F.col("x") + F.col("at") % F.col("w")} | ({"v": F.col("v") + F.floor(F.col("at") / F.col("w")).cast("int")} if cube else {})
+    return made.select("tile", *axes, "w", F.inline(F.arrays_zip("at", "ms"))).select("tile", *(moved.get(a, F.col(a)).alias(a) for a in axes), F.col("ms").alias("intensity"))
+
+
+def render(components: DataFrame, shape: Shape, reach: float = 4.0, threshold: float = 0.0) -> DataFrame:
+    """(tile, axes, intensity): the sum of all components' models, each over `reach` sigmas around its centre.
+
+    What is shuffled are components and sums, never a component's voxels: components are dealt evenly, in the order of
+    their blocks, and a task sums those of a block in an array; what tasks have of the same block is added at last.
+    Components with missing values add nothing.
+    """
+    blocks = ["tile", *(f"b_{a}" for a in shape)]
+    boxes = _boxes(components, shape, reach).where(~F.isnan("A"))
+    dealt = boxes.repartitionByRange(*blocks, F.xxhash64(*boxes.columns)).sortWithinPartitions(*blocks)
+    return _summed(dealt, shape, threshold, False).groupBy("tile", *shape).agg(F.sum("intensity").alias("intensity"))
 
 
 def model_sums(components: DataFrame, shape: Shape, least: float = 0.01) -> DataFrame:
     """Per component the sum of its model over the cube, and the number of voxels where it exceeds `least`."""
-    each = render(components.withColumn("tile", F.struct("tile", "ID")), shape)
-    return each.groupBy("tile.tile", "tile.ID").agg(F.sum("intensity").alias("Sum"), F.count_if(F.col("intensity") > least).alias("Volume"))
+    named = components.withColumns({"_of": F.struct("tile", "ID"), "tile": F.to_json(F.struct("tile", "ID"))})
+    each = render(named, shape).groupBy("tile").agg(F.sum("intensity").alias("Sum"), F.count_if(F.col("intensity") > least).alias("Volume"))
+    return named.select("tile", "_of").distinct().join(each, "tile").select("_of.tile", "_of.ID", "Sum", "Volume")
 
 
 def simulate_cubes(tiles: DataFrame, shape: Shape, number: int, noise: float = 0.23, seed: int = 0) -> tuple[DataFrame, DataFrame]:
