@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import cut_lineage
 from .grid import Shape, voxel_index
 from .rank import ranked
 
@@ -39,6 +40,10 @@ def separable_from(candidates: DataFrame, placed: DataFrame) -> DataFrame:
     return own.join(there, bad, "left_anti").drop("cx", "cy")
 
 
+#: Tiles whose clumps a task places, and voxels of dense cubes that it makes: their rows say little of the work in them.
+TILES_A_TASK, VOXELS_A_TASK = 50, 2_000_000
+
+
 def place_clumps(tiles: DataFrame, shape: Shape, number: int, seed: int = 0, tries: int = 2000) -> DataFrame:
     """Clumps of each tile of tiles (tile), drawn until `number` are placed apart from one another (see COMPONENT).
 
@@ -68,7 +73,8 @@ def place_clumps(tiles: DataFrame, shape: Shape, number: int, seed: int = 0, tri
                 return pd.DataFrame(rows, columns=[c.split()[0] for c in COMPONENT.split(", ")])
         raise ValueError(f"{number} clumps do not fit into tile {tile}")
 
-    return tiles.select("tile").distinct().groupBy("tile").applyInPandas(place, COMPONENT)
+    names = cut_lineage(tiles.select("tile").distinct(), "tiles")
+    return names.repartition(1 + names.count() // TILES_A_TASK, "tile").groupBy("tile").applyInPandas(place, COMPONENT)
 
 
 #: Edge of the blocks of voxels in which models are summed.
@@ -177,16 +183,17 @@ def simulate_cubes(tiles: DataFrame, shape: Shape, number: int, noise: float = 0
 
     The noise of a voxel depends on its tile and index alone, so a recomputed task makes the same cube.
     """
-    components = place_clumps(tiles, shape, number, seed)
-    size = math.prod(shape.values())
-    step, place = 1, []
-    for axis, n in shape.items():
-        place.append((F.floor(F.col("cell") / step) % n + 1).cast("int").alias(axis))
-        step *= n
-    cells = tiles.select("tile").distinct().select("tile", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell")).select("tile", *place)
+    components = cut_lineage(place_clumps(tiles, shape, number, seed), "components")
+    blocks = ["tile", *(f"b_{a}" for a in shape)]
+    empty = tiles.select("tile").distinct().withColumn("A", F.lit(float("nan")))
+    for a, n in shape.items():
+        empty = empty.withColumn(f"b_{a}", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BLOCK))))
+    # Each block is whole in its partition, as a tile has few clumps: its sums need no further shuffle.
+    tasks = 1 + components.count() // max(number, 1) * math.prod(shape.values()) // VOXELS_A_TASK
+    boxes = _boxes(components, shape, 4.0).unionByName(empty, allowMissingColumns=True).repartition(tasks, *blocks).sortWithinPartitions(*blocks)
     unit = [(F.pmod(F.xxhash64("tile", voxel_index(shape), F.lit(seed + k)), F.lit((1 << 52) - 1)) + 1) / float(1 << 52) for k in (1, 2)]
     normal = F.sqrt(-2 * F.log(unit[0])) * F.cos(2 * math.pi * unit[1])
-    voxels = cells.join(render(components, shape), ["tile", *shape], "left").select("tile", *shape, voxel_index(shape).alias("idx"), (F.coalesce("intensity", F.lit(0.0)) + noise * normal).alias("intensity"))
+    voxels = _summed(boxes, shape, 0.0, True).select("tile", *shape, voxel_index(shape).alias("idx"), (F.col("intensity") + noise * normal).alias("intensity"))
     return voxels, components
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from stellagrid.operators import simulate
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
 def test_models_are_summed_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simulate, "BLOCK", 7)
     shape = {"x": 20, "y": 17, "v": 9}
@@ -28,3 +32,15 @@ def test_models_are_summed_in_blocks(spark, monkeypatch):
     got = {tuple(r)[:4]: r["intensity"] for r in made.select("tile", "x", "y", "v", "intensity").collect()}
     assert got.keys() == want.keys()  # the clump beyond the cube's end has no voxel
     assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_simulated_cubes_join_no_voxels(spark, monkeypatch):
+    monkeypatch.setattr(simulate, "BLOCK", 16)
+    shape = {"x": 30, "y": 24, "v": 20}
+    tiles = spark.createDataFrame([("p",), ("q",)], "tile string")
+    voxels, components = simulate.simulate_cubes(tiles, shape, 2, noise=0.0)
+    assert "Join" not in _plan(voxels)
+    model = simulate.render(components, shape).withColumnRenamed("intensity", "model")
+    both = voxels.join(model, ["tile", "x", "y", "v"], "full").select(F.count("*"), F.count_distinct("tile", "idx"), F.max(F.abs(F.col("intensity") - F.coalesce("model", F.lit(0.0)))), F.count("intensity"))
+    n, places, off, full = both.first()
+    assert n == places == full == 2 * 30 * 24 * 20 and off < 1e-12
