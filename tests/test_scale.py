@@ -7,7 +7,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from stellagrid.operators import simulate
+from stellagrid.operators import overlap, simulate
+from stellagrid.params import FWHM
 
 
 def _plan(df) -> str:
@@ -44,3 +45,24 @@ def test_simulated_cubes_join_no_voxels(spark, monkeypatch):
     both = voxels.join(model, ["tile", "x", "y", "v"], "full").select(F.count("*"), F.count_distinct("tile", "idx"), F.max(F.abs(F.col("intensity") - F.coalesce("model", F.lit(0.0)))), F.count("intensity"))
     n, places, off, full = both.first()
     assert n == places == full == 2 * 30 * 24 * 20 and off < 1e-12
+
+
+def _crowd(spark, n: int):
+    """Two crowds in a tile, a chain between, a clump as wide as the field in another tile, and clumps that overlap nothing."""
+    rows = [("a", k, (k * 7 % 31) / 10.0, (k * 11 % 29) / 10.0, 2.0 + k % 2, 2.0, 5.0 + k % 3 / 10, 2.0) for k in range(1, n)]
+    rows += [("a", n + k, 60 + (k * 7 % 31) / 10.0, (k * 11 % 29) / 10.0, 2.0 + k % 2, 2.0, 5.0, 2.0) for k in range(1, n)]
+    rows += [("a", 3 * n + k, 4.0 + 1.5 * k, 1.0, 2.0, 2.0, 5.0, 2.0) for k in range(40)]
+    rows += [("b", 1, 50.0, 50.0, 300.0, 300.0, 5.0, 300.0), ("b", 2, 0.0, 0.0, 1.0, 1.0, 9.0, 1.0), ("b", 3, 500.0, 0.0, 1.0, 1.0, 9.0, 1.0), ("b", 4, 0.0, 0.0, 1.0, 1.0, 9.0, float("nan"))]
+    return spark.createDataFrame(rows, "tile string, ID long, Cen1 double, Cen2 double, Size1 double, Size2 double, Cen3 double, Size3 double")
+
+
+def test_pairs_of_a_crowd_are_not_broadcast(spark):
+    c = _crowd(spark, 30)
+    pairs = overlap.overlap_pairs(c)
+    assert "Broadcast" not in _plan(pairs)
+    rows = [r.asDict() for r in c.collect()]
+    near = lambda a, b: ((a["s"] + b["s"]) * 0.8 > math.hypot(a["Cen1"] - b["Cen1"], a["Cen2"] - b["Cen2"])) and (a["Size3"] + b["Size3"]) / FWHM * 0.8 > abs(a["Cen3"] - b["Cen3"])
+    for r in rows:
+        r["s"] = math.hypot(r["Size1"], r["Size2"]) / FWHM
+    want = sorted((a["tile"], a["ID"], b["ID"]) for a in rows for b in rows if a["tile"] == b["tile"] and a["ID"] < b["ID"] and near(a, b))
+    assert sorted(map(tuple, pairs.collect())) == want  # a clump with a NaN size overlaps nothing
