@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import FWHM, tile_keys
+from ..tables import cut_lineage
 from .graph import connected_components
 
 
@@ -108,10 +109,39 @@ def overlap_pairs(catalog: DataFrame, mult: float = 0.8) -> DataFrame:
 
 def overlap_groups(catalog: DataFrame, mult: float = 0.8) -> DataFrame:
     """(ID, component), after tile if the catalogue has tiles: the least ID that chains of overlaps within a tile lead to,
-    the clump's own if it overlaps none."""
+    the clump's own if it overlaps none.
+
+    Not all pairs are made, for in a crowd they grow as the square of the clumps. One clump of each of a grid of boxes,
+    for each class of size, is its marker. Markers that touch are grouped, and every clump joins the group of one marker that it touches. What is
+    then missing are links between groups, and one end of each lies outside its tile's largest group: the clumps
+    outside, few where clumps are dense, look for all that they touch, and groups so linked are united.
+    """
     keys = tile_keys(catalog)
-    pairs = overlap_pairs(catalog, mult)
+    cells = _Cells(catalog, mult)
+    clumps = cells.clumps = cut_lineage(cells.clumps.where(F.col("id").isNotNull()), "clumps")
+    if not cells.rows:
+        return catalog.select(*keys, "ID", F.col("ID").alias("component"))
     node = lambda c: F.struct(*keys, F.col(c).alias("ID"))
-    found = connected_components(pairs.select(node("src").alias("src"), node("dst").alias("dst")))
-    named = found.select("node.*", F.col("component.ID").alias("component"))
-    return catalog.select(*keys, "ID").join(named, [*keys, "ID"], "left").select(*keys, "ID", F.coalesce("component", "ID").alias("component"))
+    boxes = cells.boxes(clumps, 2)
+    top = F.max(F.struct("s", *(c for c in clumps.columns if c not in ("s", *keys)))).alias("m")
+    markers = cut_lineage(boxes.groupBy(*keys, "grid", *cells.axes).agg(top).select(*keys, "m.*").select(*clumps.columns), "markers")
+    marked = markers.select(*keys, F.col("id").alias("a"), F.lit(True).alias("marker"))
+    met = cells.links(clumps, markers)
+    first = cut_lineage(met.groupBy(*keys, "a").agg(F.min("b").alias("b")), "first")
+    among = cells.links(markers, markers).where(F.col("a") < F.col("b"))
+    found = connected_components(among.select(node("a").alias("src"), node("b").alias("dst")))
+    group = found.select("node.*", F.col("component.ID").alias("group")).withColumnRenamed("ID", "b")
+    # A marker is in its own group, another clump in that of the marker it touches.
+    own = marked.withColumn("m", F.col("a")).unionByName(first.join(marked, [*keys, "a"], "left_anti").select(*keys, "a", F.col("b").alias("m"), F.lit(False).alias("marker")))
+    named = own.join(group.withColumnRenamed("b", "m"), [*keys, "m"], "left").select(*keys, F.col("a").alias("id"), F.coalesce("group", "m").alias("group"))
+    grouped = cut_lineage(clumps.join(named.hint("merge"), [*keys, "id"], "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+    sizes = grouped.groupBy(*keys, "group").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    largest = sizes.groupBy(*keys).agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
+    rest = grouped.join(largest, keys) if keys else grouped.crossJoin(largest)
+    rest = cut_lineage(rest.where(F.col("group") != F.col("largest")).drop("largest"), "rest")
+    bridges = cells.links(rest, grouped, ["group"]).where(F.col("a_group") != F.col("b_group")).select(*keys, "a_group", "b_group").distinct()
+    united = connected_components(bridges.select(node("a_group").alias("src"), node("b_group").alias("dst"))).select("node.*", F.col("component.ID").alias("whole")).withColumnRenamed("ID", "group")
+    whole = sizes.join(united, [*keys, "group"], "left").withColumn("whole", F.coalesce("whole", "group"))
+    names = whole.join(whole.groupBy(*keys, "whole").agg(F.min("least").alias("component")), [*keys, "whole"]).select(*keys, "group", "component")
+    named = grouped.select(*keys, "id", "group").join(names, [*keys, "group"]).select(*keys, F.col("id").alias("ID"), "component")
+    return catalog.select(*keys, "ID").join(named.hint("merge"), [*keys, "ID"], "left").select(*keys, "ID", F.coalesce("component", "ID").alias("component"))

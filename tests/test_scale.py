@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from stellagrid.operators import overlap, simulate
+from stellagrid.operators import graph, overlap, simulate
 from stellagrid.params import FWHM
 
 
@@ -66,3 +66,13 @@ def test_pairs_of_a_crowd_are_not_broadcast(spark):
         r["s"] = math.hypot(r["Size1"], r["Size2"]) / FWHM
     want = sorted((a["tile"], a["ID"], b["ID"]) for a in rows for b in rows if a["tile"] == b["tile"] and a["ID"] < b["ID"] and near(a, b))
     assert sorted(map(tuple, pairs.collect())) == want  # a clump with a NaN size overlaps nothing
+
+
+def test_groups_of_a_crowd_make_few_links(spark, monkeypatch):
+    n, seen = 200, []
+    real = graph.connected_components
+    monkeypatch.setattr(overlap, "connected_components", lambda e, *a, **k: seen.append(e.count()) or real(e, *a, **k))
+    got = {(r["tile"], r["ID"]): r["component"] for r in overlap.overlap_groups(_crowd(spark, n)).collect()}
+    assert {c for (t, _), c in got.items() if t == "a"} == {1}
+    assert [got["b", k] for k in (1, 2, 3, 4)] == [1, 1, 3, 4]
+    assert sum(seen) < n * n / 4  # the crowds have about n * n pairs
