@@ -124,10 +124,12 @@ def rounded(catalog: DataFrame, decimals: dict[str, int]) -> DataFrame:
     return catalog.withColumns({c: F.bround(c, d) for c, d in decimals.items() if c in catalog.columns})
 
 
-def detect_counts(catalog: DataFrame, shape: Shape, edges: tuple[tuple[float, float], ...]) -> DataFrame:
-    """Clumps found, clear of the edge, and of those in the core."""
+def detect_counts(catalog: DataFrame, shape: Shape, edges: tuple[tuple[float, float], ...], tiles: DataFrame | None = None) -> DataFrame:
+    """Clumps found, clear of the edge, and of those in the core. tiles (tile): the tiles that were searched, each of which
+    has a row; without them a tile in which nothing is found has none."""
     clear = ~touches_edge(shape)
-    return catalog.groupBy("tile").agg(F.count("*").alias("found"), F.count_if(clear).alias("clear"), F.count_if(clear & in_core(shape, edges)).alias("core"))
+    counts = catalog.groupBy("tile").agg(F.count("*").alias("found"), F.count_if(clear).alias("clear"), F.count_if(clear & in_core(shape, edges)).alias("core"))
+    return counts if tiles is None else tiles.select("tile").distinct().join(counts, "tile", "left").fillna(0, ["found", "clear", "core"])
 
 
 def background_rms(spark_or_voxels, header: dict | None = None, key: str = "RMS", noise_map: DataFrame | None = None, given: float | None = None) -> float | None:

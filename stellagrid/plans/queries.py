@@ -68,6 +68,8 @@ def rho2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def levels(rho: DataFrame) -> tuple[float, float]:
     """Mean, and mean plus one standard deviation, from exact integer sums."""
     n, s, q = rho.agg(F.count("*"), F.sum("rho"), F.sum(F.col("rho") * F.col("rho"))).first()
+    if not n:
+        return 0.0, 0.0
     mean = s / n
     return mean, mean + math.sqrt(q / n - mean * mean)
 
@@ -352,7 +354,8 @@ def local_region(spark, sf_dir):
 
 @query
 def detect_counts(spark, sf_dir):
-    return measure.detect_counts(Found(spark, sf_dir).catalog(), SHAPE2, EDGES).select(*longs("found", "clear", "core"))
+    tiles = spark.range(1).select(F.lit("t0").alias("tile"))
+    return measure.detect_counts(Found(spark, sf_dir).catalog(), SHAPE2, EDGES, tiles).select(*longs("found", "clear", "core"))
 
 
 @query

@@ -7,8 +7,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from stellagrid.operators import graph, overlap, simulate
+from stellagrid.operators import graph, measure, overlap, simulate
 from stellagrid.params import FWHM
+from stellagrid.plans import queries
 
 
 def _plan(df) -> str:
@@ -76,3 +77,15 @@ def test_groups_of_a_crowd_make_few_links(spark, monkeypatch):
     assert {c for (t, _), c in got.items() if t == "a"} == {1}
     assert [got["b", k] for k in (1, 2, 3, 4)] == [1, 1, 3, 4]
     assert sum(seen) < n * n / 4  # the crowds have about n * n pairs
+
+
+def test_a_tile_without_clumps_counts_nothing(spark):
+    catalog = spark.createDataFrame([("a", 1, 9, 9, 9.0, 9.0, 1.0, 1.0)], "tile string, ID int, Peak1 int, Peak2 int, Cen1 double, Cen2 double, Size1 double, Size2 double")
+    tiles = spark.createDataFrame([("a",), ("b",)], "tile string")
+    got = measure.detect_counts(catalog, {"x": 50, "y": 83}, ((3, 3), (3, 3)), tiles)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1, 1), ("b", 0, 0, 0)]
+
+
+def test_counts_of_a_cube_without_clumps(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in queries.detect_counts(spark, str(tmp_path)).collect()] == [(0, 0, 0)]
