@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +60,51 @@ def in_bounds(bounded: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, (F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")) for n in names), F.lit(True))
 
 
-def model_volume(fits: DataFrame, rms: float) -> DataFrame:
-    """(ID, Volume), after tile if fits have one: the points of each model's unit grid over three sigma at which it is at least rms."""
+#: Points of unit grids that are held at a time, and fits whose grids a task goes through, about.
+POINTS, FITS_A_TASK = 1_000_000, 20_000
+
+
+def _volume(rms: float, cube: bool):
+    """The points of each row's unit grid, from -3 sigma by steps of 1 below 3 sigma, at which its model is at least rms."""
+
+    @F.pandas_udf("long")
+    def volume(a: pd.Series, s1: pd.Series, s2: pd.Series, s3: pd.Series, theta: pd.Series) -> pd.Series:
+        a, s1, s2, s3, theta = (c.to_numpy(dtype=float) for c in (a, s1, s2, s3, theta))
+        out = np.zeros(len(a), dtype=np.int64)
+        whole = np.flatnonzero(np.isfinite(a) & (np.minimum(s1, s2) > 0) & np.isfinite(s1 + s2 + theta) & (not cube or np.isfinite(s3) & (s3 > 0)))
+        n = np.column_stack([np.ceil(6 * s)[whole] for s in (s1, s2, s3 if cube else np.full(len(s3), 1 / 6))]).astype(np.int64)
+        kinds, which = np.unique(n, axis=0, return_inverse=True)
+        for kind, (nx, ny, nv) in enumerate(kinds.tolist()):
+            same = whole[which.ravel() == kind]
+            lines = max(1, min(ny, POINTS // nx))
+            for at in np.array_split(same, 1 + len(same) * nx * lines // POINTS):
+                c2, n2, sin2 = np.cos(theta[at]) ** 2, np.sin(theta[at]) ** 2, np.sin(2 * theta[at])
+                one, two = 2 * s1[at] ** 2, 2 * s2[at] ** 2
+                xx, yy, xy = ((q[:, None, None]) for q in (c2 / one + n2 / two, n2 / one + c2 / two, sin2 / two - sin2 / one))
+                dx = (np.arange(nx)[None, :] - 3 * s1[at, None])[:, None, :]
+                for y in range(0, ny, lines):
+                    dy = (np.arange(y, min(y + lines, ny))[None, :] - 3 * s2[at, None])[:, :, None]
+                    plane = dx * dx * xx + dy * dy * yy + dx * dy * xy
+                    for v in range(nv):
+                        q = plane if not cube else plane + ((v - 3 * s3[at]) ** 2 / (2 * s3[at] ** 2))[:, None, None]
+                        out[at] += (a[at, None, None] * np.exp(-q) >= rms).sum(axis=(1, 2))
+        return pd.Series(out)
+
+    return volume
+
+
+def with_volume(fits: DataFrame, rms: float) -> DataFrame:
+    """fits with Volume: the points of each model's unit grid over three sigma at which it is at least rms; 0 where a
+    parameter is missing. Rows are dealt first, since a small table has much work in few rows."""
+    c = lambda n: F.col(n).cast("double")
     cube = "v0" in fits.columns
+    cut = fits.repartition(1 + fits.count() // FITS_A_TASK)
+    return cut.withColumn("Volume", _volume(rms, cube)(c("A"), c("s1"), c("s2"), c("s3") if cube else F.lit(None).cast("double"), c("theta")))
 
-    def ticks(place: str, sigma: str) -> Column:
-        n = F.ceil(6 * F.col(sigma)).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col(place) - 3 * F.col(sigma) + k)
 
-    grid = fits.withColumn("gx", F.explode(ticks("x0", "s1"))).withColumn("gy", F.explode(ticks("y0", "s2")))
-    if cube:
-        grid = grid.withColumn("gv", F.explode(ticks("v0", "s3")))
-    c = F.col
-    value = gaussian(c("gx"), c("gy"), c("gv") if cube else None, c("A"), c("x0"), c("y0"), c("s1"), c("s2"), c("theta"), *((c("v0"), c("s3")) if cube else ()))
-    return grid.groupBy(*tile_keys(fits), "ID").agg(F.count_if(value >= rms).alias("Volume"))
+def model_volume(fits: DataFrame, rms: float) -> DataFrame:
+    """(ID, Volume), after tile if fits have one: see with_volume()."""
+    return with_volume(fits, rms).select(*tile_keys(fits), "ID", "Volume")
 
 
 def fit_catalog(fits: DataFrame, rms: float) -> DataFrame:
@@ -82,7 +115,7 @@ def fit_catalog(fits: DataFrame, rms: float) -> DataFrame:
     snr = F.when(c("Volume") > 0, c("_flux") / (rms * F.sqrt("Volume"))).otherwise(c("_flux") / rms)
     angle, swap = F.pmod(F.degrees("theta"), F.lit(180.0)), c("s1") < c("s2")
     keys = tile_keys(fits)
-    made = fits.join(model_volume(fits, rms), [*keys, "ID"], "left").fillna(0, ["Volume"]).withColumn("_flux", total)
+    made = with_volume(fits, rms).withColumn("_flux", total)
     return made.select(
         *keys, "ID", c("x0").alias("Cen1"), c("y0").alias("Cen2"), *([c("v0").alias("Cen3")] if cube else []),
         (FWHM * F.greatest("s1", "s2")).alias("Size1"), (FWHM * F.least("s1", "s2")).alias("Size2"), *([(FWHM * c("s3")).alias("Size3")] if cube else []),

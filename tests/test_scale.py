@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from stellagrid.functions import model
 from stellagrid.operators import graph, measure, overlap, simulate
 from stellagrid.params import FWHM
 from stellagrid.plans import queries
@@ -89,3 +90,17 @@ def test_a_tile_without_clumps_counts_nothing(spark):
 def test_counts_of_a_cube_without_clumps(spark, small, tmp_path):
     spark.read.parquet(f"{small}/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in queries.detect_counts(spark, str(tmp_path)).collect()] == [(0, 0, 0)]
+
+
+def test_volumes_without_rows_for_points(spark, monkeypatch):
+    monkeypatch.setattr(model, "POINTS", 40)
+    rows = [(k, 2.0 + k, 5.1, 6.2, 0.7 + k / 4, 0.8 + k / 3, k / 5, 4.3, 0.9) for k in range(6)] + [(9, None, 5.0, 6.0, 1.0, 1.0, 0.0, 4.0, 1.0), (10, 2.0, 5.0, 6.0, 1.0, 1.0, 0.0, 4.0, None)]
+    fits = spark.createDataFrame(rows, "ID int, A double, x0 double, y0 double, s1 double, s2 double, theta double, v0 double, s3 double")
+    made = model.model_volume(fits, 0.5)
+    assert "Generate" not in _plan(made)
+    want = {9: 0, 10: 0}
+    for k, a, _, _, s1, s2, t, _, s3 in rows[:6]:
+        grid = [(x - 3 * s1, y - 3 * s2, v - 3 * s3) for x in range(math.ceil(6 * s1)) for y in range(math.ceil(6 * s2)) for v in range(math.ceil(6 * s3))]
+        q = [x * x * (math.cos(t) ** 2 / (2 * s1 * s1) + math.sin(t) ** 2 / (2 * s2 * s2)) + y * y * (math.sin(t) ** 2 / (2 * s1 * s1) + math.cos(t) ** 2 / (2 * s2 * s2)) + x * y * math.sin(2 * t) * (1 / (2 * s2 * s2) - 1 / (2 * s1 * s1)) + v * v / (2 * s3 * s3) for x, y, v in grid]
+        want[k] = sum(a * math.exp(-p) >= 0.5 for p in q)
+    assert {r["ID"]: r["Volume"] for r in made.collect()} == want
