@@ -24,20 +24,35 @@ def overlapping(ax: Column, ay: Column, asig: Column, bx: Column, by: Column, bs
     return near if av is None else near & (F.abs(av - bv) < asv + bsv)
 
 
-def separable_from(candidates: DataFrame, placed: DataFrame) -> DataFrame:
-    """The candidates (tile, ID, x, y, v, s, sv) that overlap no placed clump of their tile.
+#: Clumps that a task of separable_from() gets of each side, about.
+CLUMPS_A_TASK = 10_000
 
-    Cells as wide as the greatest reach make the anti-join an equi-join on cells.
-    """
-    longest = candidates.select("s").unionByName(placed.select("s")).agg(F.max("s")).first()[0] or 1.0
-    cell = 2 * longest + 1e-9
-    own = candidates.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+
+def _apart(candidates: DataFrame, placed: DataFrame, cell: float, tasks: int) -> DataFrame:
+    """The candidates that overlap none of placed: an anti-join on cells as wide as the greatest reach, dealt by cells."""
+    own = candidates.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}).repartition(tasks, "tile", "cx", "cy")
     step = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    there = placed.select(*(F.col(c).alias(f"p_{c}") for c in ("tile", "x", "y", "v", "s", "sv")), *(F.explode(F.transform(step, lambda k: F.floor(F.col("x") / cell) + k)).alias("p_cx") for _ in range(1)))
-    there = there.withColumn("p_cy", F.explode(F.transform(step, lambda k: F.floor(F.col("p_y") / cell) + k)))
+    there = placed.select(*(F.col(c).alias(f"p_{c}") for c in ("tile", "x", "y", "v", "s", "sv")), F.explode(F.transform(step, lambda k: F.floor(F.col("x") / cell) + k)).alias("p_cx"))
+    there = there.withColumn("p_cy", F.explode(F.transform(step, lambda k: F.floor(F.col("p_y") / cell) + k))).repartition(tasks, "p_tile", "p_cx", "p_cy")
     c = F.col
     bad = (c("tile") == c("p_tile")) & (c("cx") == c("p_cx")) & (c("cy") == c("p_cy")) & overlapping(c("x"), c("y"), c("s"), c("p_x"), c("p_y"), c("p_s"), c("v"), c("sv"), c("p_v"), c("p_sv"))
-    return own.join(there, bad, "left_anti").drop("cx", "cy")
+    return own.join(there.hint("merge"), bad, "left_anti").drop("cx", "cy")
+
+
+def separable_from(candidates: DataFrame, placed: DataFrame) -> DataFrame:
+    """The candidates (tile, ID, x, y, v, s, sv) that overlap no placed clump of their tile.
+
+    Where clumps are dense, one placed clump of each of a grid of small boxes already overlaps almost all candidates: they
+    are looked at first, and all placed clumps only for the candidates that are left.
+    """
+    ends = lambda t: t.select("s", "sv")
+    longest, deepest, n = ends(candidates).unionByName(ends(placed)).agg(F.max("s"), F.max(F.abs("sv")), F.count("*")).first()
+    cell, deep = 2 * (longest or 1.0) + 1e-9, 2 * (deepest or 1.0) + 1e-9
+    tasks = 1 + n // CLUMPS_A_TASK
+    boxes = [F.floor(F.col(a) / (w / 4)).alias(f"b_{a}") for a, w in (("x", cell), ("y", cell), ("v", deep))]
+    few = placed.groupBy("tile", *boxes).agg(F.max(F.struct("s", "sv", "x", "y", "v")).alias("p")).select("tile", "p.*")
+    left = cut_lineage(_apart(candidates, few, cell, tasks), "left")
+    return _apart(left, placed, cell, tasks)
 
 
 #: Tiles whose clumps a task places, and voxels of dense cubes that it makes: their rows say little of the work in them.

@@ -104,3 +104,12 @@ def test_volumes_without_rows_for_points(spark, monkeypatch):
         q = [x * x * (math.cos(t) ** 2 / (2 * s1 * s1) + math.sin(t) ** 2 / (2 * s2 * s2)) + y * y * (math.sin(t) ** 2 / (2 * s1 * s1) + math.cos(t) ** 2 / (2 * s2 * s2)) + x * y * math.sin(2 * t) * (1 / (2 * s2 * s2) - 1 / (2 * s1 * s1)) + v * v / (2 * s3 * s3) for x, y, v in grid]
         want[k] = sum(a * math.exp(-p) >= 0.5 for p in q)
     assert {r["ID"]: r["Volume"] for r in made.collect()} == want
+
+
+def test_separable_without_broadcast(spark):
+    c = spark.range(1, 900).select(F.lit("t").alias("tile"), F.col("id").alias("ID"), (F.col("id") * 37 % 301 / 10).alias("x"), (F.col("id") * 53 % 307 / 10).alias("y"), (F.col("id") * 71 % 311 / 10).alias("v"), (0.9 + F.col("id") % 3 / 4).alias("s"), (0.9 + F.col("id") % 2 / 2).alias("sv"))
+    rows = c.collect()
+    free = {r["ID"] for r in rows if r["ID"] % 2 and not any(math.hypot(r["x"] - p["x"], r["y"] - p["y"]) < r["s"] + p["s"] and abs(r["v"] - p["v"]) < r["sv"] + p["sv"] for p in rows if p["ID"] % 2 == 0)}
+    got = simulate.separable_from(c.where("ID % 2 = 1"), c.where("ID % 2 = 0"))
+    assert "Broadcast" not in _plan(got)
+    assert {r["ID"] for r in got.collect()} == free and 0 < len(free) < 400
