@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..tables import cut_lineage
-from .grid import Shape
+from .grid import Shape, by_block
 from .rank import ranked
 
 
@@ -46,11 +48,6 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, shape: Shape, r: int | di
     )
 
 
-def _nearest(left: DataFrame, bright: DataFrame, shape: Shape, r: int) -> DataFrame:
-    higher = (F.col("n_rho") > F.col("rho")) | ((F.col("n_rho") == F.col("rho")) & (F.col("n_idx") < F.col("idx")))
-    return _best(neighbour_pairs(left, bright, shape, r).where(higher), shape)
-
-
 def _best(pairs: DataFrame, shape: Shape) -> DataFrame:
     """(tile, idx, parent, d2, grad) of the nearest of each voxel's partners in pairs."""
     key = F.struct(F.col("d2"), *((-F.col(f"n_{a}")).alias(f"k_{a}") for a in shape))
@@ -59,17 +56,66 @@ def _best(pairs: DataFrame, shape: Shape) -> DataFrame:
     return pairs.groupBy("tile", "idx", "rho").agg(best.alias("b")).select("tile", "idx", F.col("b.n_idx").alias("parent"), F.col("b.key.d2").alias("d2"), grad.alias("grad"))
 
 
-def nearest_higher(bright: DataFrame, shape: Shape, reach: int = 4) -> DataFrame:
-    """bright (tile, axes, idx, rho) with parent, d2 and grad of each voxel's nearest denser neighbour; null without one.
+def _denser(axes: list[str], reach: int):
+    """Rows of blocks to their own voxels, with the nearest denser voxel of each; itself, at the distance 0, without one."""
+    steps = sorted((o for o in product(range(-reach, reach + 1), repeat=len(axes)) if any(o)), key=lambda o: (sum(d * d for d in o), [-d for d in o]))
+    side = BLOCK + 2 * reach
+
+    def work(table: pa.Table, number: np.ndarray) -> pa.Table:
+        place = number.astype(np.int64)
+        for a in axes:
+            place = place * side + table.column(a).to_numpy() - table.column(f"b_{a}").to_numpy() * BLOCK - 1 + reach
+        idx, known = table.column("idx").to_numpy(), ~table.column("rho").is_null().to_numpy()
+        level = np.full(len(table), -1)  # equal numbers for equal densities; nulls neither look nor are found
+        level[known] = np.unique(table.column("rho").drop_null().to_numpy(), return_inverse=True)[1]
+        order = np.lexsort((idx, level, place))
+        order = order[known[order]]
+        places = place[order]
+        own = np.flatnonzero(table.column("own").to_numpy())
+        found, d2 = own.copy(), np.zeros(len(own), dtype=np.int32)
+        left = np.flatnonzero(known[own])
+        for o in steps:
+            if not len(left):
+                break
+            me, shift = own[left], 0
+            for d in o:
+                shift = shift * side + d
+            at = np.searchsorted(places, place[me] + shift, side="right") - 1
+            there = order[np.maximum(at, 0)]
+            hit = (at >= 0) & (place[there] == place[me] + shift) & ((level[there] > level[me]) | ((level[there] == level[me]) & (idx[there] < idx[me])))
+            found[left[hit]], d2[left[hit]] = there[hit], sum(d * d for d in o)
+            left = left[~hit]
+        mine = table.drop_columns(["own", *(f"b_{a}" for a in axes)]).take(pa.array(own))
+        partner = table.select(["idx", "rho"]).take(pa.array(found))
+        return mine.append_column("parent", partner.column("idx")).append_column("d2", pa.array(d2)).append_column("n_rho", partner.column("rho"))
+
+    return work
+
+
+def nearest_higher(bright: DataFrame, shape: Shape, reach: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """bright (tile, axes, idx, rho and the columns of carry) with parent, d2 and grad of each voxel's nearest denser
+    neighbour; null without one.
 
     Denser is a total order: greater rho, then smaller idx. Nearest: least distance, then the last place in (x, y, v)
-    order. All voxels look one step around; only those that find nothing look `reach` steps around, so the wide box is
-    searched for local maxima alone. Voxels below the noise are left out before, on both sides.
+    order, among the voxels at most `reach` places away along every axis. Voxels are dealt to blocks of BLOCK places an
+    axis and to those that their halo of `reach` places lies in: one shuffle, after which a task has all that its voxels
+    can find, and looks at the places around them by distance until each has met a denser one. No pair becomes a row.
     """
-    bright = cut_lineage(bright.select("tile", *shape, "idx", "rho"), "bright")
-    near = cut_lineage(_nearest(bright, bright, shape, 1), "near")
-    far = _nearest(bright.join(near, ["tile", "idx"], "left_anti"), bright, shape, reach)
-    return bright.join(near.unionByName(far), ["tile", "idx"], "left")
+    axes = list(shape)
+    block = lambda a, d: F.floor((F.col(a) - 1 + d) / BLOCK).cast("int")
+    rows = bright.select("tile", "idx", *axes, "rho", *carry)
+    near, own = rows, F.lit(True)
+    for a in axes:
+        near = near.withColumn(f"b_{a}", F.explode(F.sequence(block(a, -reach), block(a, reach))))
+        own &= block(a, 0) == F.col(f"b_{a}")
+    blocks = [f"b_{a}" for a in axes]
+    dealt = near.withColumn("own", own)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + f", parent {kinds['idx']}, d2 int, n_rho {kinds['rho']}"
+    looked = by_block(dealt, ["tile", *blocks], _denser(axes, reach), schema)
+    denser = F.col("d2") > 0
+    grad = F.when(denser, (F.col("n_rho") - F.col("rho")) / F.sqrt("d2"))
+    return looked.select(*rows.columns, F.when(denser, F.col("parent")).alias("parent"), F.when(denser, F.col("d2")).alias("d2"), grad.alias("grad"))
 
 
 #: Edge of the smallest blocks of a pyramid, and how many blocks of a level a block of the next one has along an axis.
@@ -127,11 +173,11 @@ def farther_higher(peaks: DataFrame, bright: DataFrame, shape: Shape) -> DataFra
     return _best(found.join(voxels, ["tile", *blocks]).where(higher).withColumn("d2", d2), shape)
 
 
-def nearest_higher_anywhere(bright: DataFrame, shape: Shape, reach: int = 4) -> DataFrame:
+def nearest_higher_anywhere(bright: DataFrame, shape: Shape, reach: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """As nearest_higher(), but voxels without a denser one in the box look on through the whole tile. Only the densest
     voxel of a tile has no parent."""
-    linked = cut_lineage(nearest_higher(bright, shape, reach), "linked")
-    alone = linked.where(F.col("parent").isNull()).select("tile", *shape, "idx", "rho")
+    linked = cut_lineage(nearest_higher(bright, shape, reach, carry), "linked")
+    alone = linked.where(F.col("parent").isNull()).drop("parent", "d2", "grad")
     far = farther_higher(alone, bright, shape)
     rest = alone.join(far, ["tile", "idx"], "left").select(*linked.columns)
     return linked.where(F.col("parent").isNotNull()).unionByName(rest)

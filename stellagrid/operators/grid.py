@@ -6,8 +6,12 @@ and an intensity. `shape` maps each axis to its length. Tables may be sparse; de
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +34,42 @@ def voxel_index(shape: Shape) -> Column:
     return index
 
 
-def dense_grid(voxels: DataFrame, shape: Shape) -> DataFrame:
+def by_block(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """work on whole blocks, the rows of equal keys: df is dealt and sorted by keys, and work gets a table of some of the
+    blocks in a row, with the number of each row's block, from 0. A task holds one batch, or one block if that is larger."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), dtype=bool)
+        for k in keys:
+            column = table.column(k).combine_chunks()
+            a, b = column.slice(1), column.slice(0, len(table) - 1)
+            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+        return new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.concat_tables([*rest, pa.Table.from_batches([batch])])
+            new = starts(table)
+            last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            rest = [table.slice(last)]
+            if last:
+                yield from work(table.slice(0, last).combine_chunks(), np.cumsum(new[:last])).to_batches()
+        for table in rest:
+            yield from work(table.combine_chunks(), np.zeros(len(table), dtype=np.int64)).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def dense_grid(voxels: DataFrame, shape: Shape, tiles: DataFrame | None = None) -> DataFrame:
     """All voxels of each tile, missing, null and NaN intensities being 0, with their index. Voxels outside are dropped.
 
     What is shuffled is a row for each line of the first axis, and the voxels there are; both are dealt by line, and a
-    line is filled where it arrives. So one tile of any size is spread over all tasks.
+    line is filled where it arrives. So one tile of any size is spread over all tasks. tiles (tile) are the distinct tiles
+    of voxels, where there is a shorter way to them than through the voxels.
     """
     first, *others = shape
     inside = reduce(lambda a, b: a & b, (F.col(axis).between(1, n) for axis, n in shape.items()))
@@ -43,7 +78,8 @@ def dense_grid(voxels: DataFrame, shape: Shape) -> DataFrame:
     for axis in others:
         place.append((F.floor(F.col("line") / step) % shape[axis] + 1).cast("int").alias(axis))
         step *= shape[axis]
-    empty = voxels.select("tile").distinct().select("tile", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line")).select("tile", *place)
+    tiles = voxels.select("tile").distinct() if tiles is None else tiles
+    empty = tiles.select("tile", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line")).select("tile", *place)
     dealt = empty.unionByName(voxels.where(inside).select("tile", *shape, "intensity"), allowMissingColumns=True).repartition("tile", *others)
     cells = F.when(F.col(first).isNull(), F.sequence(F.lit(1), F.lit(shape[first]))).otherwise(F.array(F.col(first).cast("int")))
     filled = dealt.withColumn(first, F.explode(cells)).groupBy("tile", *shape).agg(F.max("intensity").alias("intensity"))

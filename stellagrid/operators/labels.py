@@ -6,40 +6,72 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..tables import cut_lineage
 from .graph import connected_components, forest_roots
-from .grid import Shape, voxel_index
+from .grid import Shape, by_block, voxel_index
+
+
+#: Edge of the blocks in which chains of parents are followed in a task.
+BLOCK = 32
+
+
+def _ends(table: pa.Table, number: np.ndarray) -> pa.Table:
+    """Rows with the place `goal` where their chain ends or, if `leaves`, first comes to another block."""
+    idx, up = table.column("idx").to_numpy(), table.column("up").to_numpy()
+    names, code = np.unique(np.concatenate((idx, up)), return_inverse=True)
+    mine, theirs = (number * len(names) + c for c in (code[: len(idx)], code[len(idx) :]))
+    order = np.argsort(mine)
+    at = np.minimum(np.searchsorted(mine[order], theirs), len(idx) - 1)
+    there = order[at]
+    outside = mine[there] != theirs
+    to = np.where(outside, np.arange(len(idx)), there)
+    while (to[to] != to).any():
+        to = to[to]
+    kept = table.drop_columns([c for c in table.column_names if c == "up" or c.startswith("b_")])
+    return kept.append_column("goal", pa.array(up[to])).append_column("leaves", pa.array(outside[to]))
 
 
 def propagate(linked: DataFrame, centre: DataFrame) -> DataFrame:
     """linked with clump_id: each voxel has the label of the centre its chain of parents meets first, or null.
 
-    Centres become roots, and pointer jumping finds every voxel's root in log2(longest chain) joins.
+    Centres become roots. Voxels are dealt to blocks of BLOCK places an axis (by idx, if linked has no axes), and a task
+    follows their chains to the end or out of the block. Places at which chains come into a block are few; those alone go
+    through pointer jumping, in log2(most blocks of a chain) joins.
     """
-    marked = linked.join(centre, ["tile", "idx"], "left")
-    node = F.struct("tile", "idx")
-    parent = F.when(F.col("clump_id").isNull() & F.col("parent").isNotNull(), F.struct("tile", F.col("parent").alias("idx")))
-    roots = forest_roots(marked.select(node.alias("node"), parent.alias("parent"))).select("node.tile", "node.idx", F.col("root.idx").alias("root"))
+    axes = [a for a in ("x", "y", "v") if a in linked.columns]
+    place = {f"b_{a}": F.floor((F.col(a) - 1) / BLOCK) for a in axes} or {"b_idx": F.floor(F.col("idx") / BLOCK**2)}
+    marked = linked.join(centre.select("tile", "idx", "clump_id"), ["tile", "idx"], "left")
+    up = F.when(F.col("clump_id").isNull() & F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("idx"))
+    kinds = dict(linked.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in linked.columns) + f", goal {kinds['idx']}, leaves boolean"
+    followed = by_block(marked.select(*linked.columns, *(c.alias(n) for n, c in place.items()), up.alias("up")), ["tile", *place], _ends, schema)
+    ways = cut_lineage(followed, "ways")
+    entries = ways.where("leaves").select("tile", F.col("goal").alias("idx")).distinct()
+    steps = ways.join(entries, ["tile", "idx"]).select(F.struct("tile", "idx").alias("node"), F.struct("tile", F.col("goal").alias("idx")).alias("parent"))
+    roots = forest_roots(steps).select("node.tile", F.col("node.idx").alias("goal"), F.col("root.idx").alias("root"))
     named = centre.select("tile", F.col("idx").alias("root"), "clump_id")
-    return linked.join(roots, ["tile", "idx"]).join(named, ["tile", "root"], "left").drop("root")
+    named = roots.join(named, ["tile", "root"]).drop("root").unionByName(named.withColumnRenamed("root", "goal")).distinct()
+    return ways.join(named, ["tile", "goal"], "left").select(*linked.columns, "clump_id")
 
 
 def cut_boundaries(labelled: DataFrame, gradmin: float = 0.01) -> DataFrame:
     """The voxels of each cluster with a steep way up, or denser than the mean of those; clusters without any go.
 
-    grad is -1 where there is no denser neighbour. Labels are renumbered without gaps. Spans and means are aggregates of
-    one row a cluster, joined back to the voxels: no task sorts a cluster.
+    grad is -1 where there is no denser neighbour. Labels are renumbered without gaps: a cluster stays if any voxel is
+    steep. Spans and means are aggregates of one row a cluster, joined back to the voxels: no task sorts a cluster.
     """
     named = labelled.where(F.col("clump_id").isNotNull())
     span = named.groupBy("tile", "clump_id").agg((F.max("rho") - F.min("rho")).alias("span"))
     steep = F.coalesce("grad", F.lit(-1.0)) / F.when(F.col("span") == 0, 1).otherwise(F.col("span")) > gradmin
-    marked = named.join(span, ["tile", "clump_id"]).withColumn("steep", steep).drop("span")
-    mean = marked.where("steep").groupBy("tile", "clump_id").agg(F.avg("rho").alias("mean"))
-    return renumber(marked.join(mean, ["tile", "clump_id"]).where(F.col("steep") | (F.col("rho") > F.col("mean"))).drop("steep", "mean"))
+    means = named.join(span, ["tile", "clump_id"]).where(steep).groupBy("tile", "clump_id").agg(F.avg("rho").alias("mean"), F.max("span").alias("span"))
+    means = cut_lineage(means.withColumn("new_id", F.row_number().over(W.partitionBy("tile").orderBy("clump_id"))), "means")
+    kept = named.join(means, ["tile", "clump_id"]).where(steep | (F.col("rho") > F.col("mean")))
+    return kept.drop("clump_id", "mean", "span").withColumnRenamed("new_id", "clump_id")
 
 
 def renumber(labelled: DataFrame) -> DataFrame:

@@ -63,10 +63,10 @@ def detect(cube: DataFrame, shape: Shape, p: DetectParams, densities: str | None
     """
     rho = kept_density(cube, shape, p, densities, header)[0] if densities else cut_lineage(smoothed(cube, shape, p), "density")
     link = density.nearest_higher_anywhere if p.anywhere else density.nearest_higher
-    linked = cut_lineage(link(rho.where(F.col("rho") > p.noise), shape, p.delta_min), "linked")
+    linked = cut_lineage(link(rho.where(F.col("rho") > p.noise), shape, p.delta_min, ("intensity",)), "linked")
     centre = density.centres(linked, p.rho_min, p.delta_min)
     named = cut_lineage(labels.propagate(linked, centre), "labels")
-    clusters = cut_lineage(labels.cut_boundaries(named, p.gradmin).join(rho.select("tile", "idx", "intensity"), ["tile", "idx"]), "clusters")
+    clusters = cut_lineage(labels.cut_boundaries(named, p.gradmin), "clusters")
     part = cut_lineage(labels.largest_part(clusters, shape), "parts")
     sizes = labels.area_and_span(part, shape)
     enough = F.col("area") >= p.min_area

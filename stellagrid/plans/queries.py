@@ -75,11 +75,19 @@ def levels(rho: DataFrame) -> tuple[float, float]:
 
 
 def supplier_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two-dimensional cube of each block of 25 suppliers, smoothed: as many tiles as the tables have blocks."""
+    """The two-dimensional cube of each block of 25 suppliers, smoothed: as many tiles as the tables have blocks.
+
+    Tiles are numbers, which are shuffled and sorted with less work than names; block_name() names them.
+    """
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
-    block = F.format_string("s%05d", F.floor(F.col("l_suppkey") / 25))
-    cubes = grid.voxelize(table(spark, sf_dir, "lineitem"), {"x": F.col("l_quantity"), "y": month}, F.count("*"), block)
-    return smooth.binomial(grid.dense_grid(cubes, SHAPE2), SHAPE2)
+    block = F.floor(F.col("l_suppkey") / 25)
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_suppkey").isNotNull())
+    cubes = grid.voxelize(rows, {"x": F.col("l_quantity"), "y": month}, F.count("*"), block)
+    return smooth.binomial(grid.dense_grid(cubes, SHAPE2, rows.select(block.alias("tile")).distinct()), SHAPE2)
+
+
+def block_name() -> Column:
+    return F.format_string("s%05d", F.col("tile")).alias("tile")
 
 
 class Found:
@@ -91,15 +99,14 @@ class Found:
         self.bright = self.rho.where(F.col("rho") > self.noise)
 
     def linked(self) -> DataFrame:
-        return cut_lineage(density.nearest_higher(self.bright, SHAPE2, 4), "linked")
+        return cut_lineage(density.nearest_higher(self.bright, SHAPE2, 4, ("intensity",)), "linked")
 
     def labelled(self) -> DataFrame:
         linked = self.linked()
         return cut_lineage(labels.propagate(linked, density.centres(linked, self.rho_min, 4)), "labels")
 
     def clusters(self) -> DataFrame:
-        cut = labels.cut_boundaries(self.labelled(), 0.01)
-        return cut_lineage(cut.join(self.rho.select("tile", "idx", "intensity"), ["tile", "idx"]), "clusters")
+        return cut_lineage(labels.cut_boundaries(self.labelled(), 0.01), "clusters")
 
     def catalog(self) -> DataFrame:
         return measure.regions(self.clusters(), SHAPE2)
@@ -152,7 +159,7 @@ def detect_2d(spark, sf_dir):
 def detect_suppliers(spark, sf_dir):
     """The whole detection on the cubes of all blocks of suppliers at once."""
     c = Found(spark, sf_dir, supplier_cubes).catalog()
-    return c.select("tile", *longs("ID", "Peak1", "Peak2"), *r6("Cen1", "Cen2", "Size1", "Size2"), *longs("Peak", "Sum", "Volume"))
+    return c.select(block_name(), *longs("ID", "Peak1", "Peak2"), *r6("Cen1", "Cen2", "Size1", "Size2"), *longs("Peak", "Sum", "Volume"))
 
 
 @query
@@ -781,7 +788,7 @@ def nearest_higher_anywhere(spark, sf_dir):
 def decision_graph_anywhere(spark, sf_dir):
     """Distances to choose centres by, exact for all voxels but a tile's densest."""
     linked = density.nearest_higher_anywhere(Found(spark, sf_dir, supplier_cubes).bright, SHAPE2, 4)
-    return density.decision_graph(linked, 4).select("tile", *longs("idx", "rho", "parent"), *r6("delta"))
+    return density.decision_graph(linked, 4).select(block_name(), *longs("idx", "rho", "parent"), *r6("delta"))
 
 
 @query

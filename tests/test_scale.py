@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stellagrid.functions import model
-from stellagrid.operators import graph, measure, overlap, simulate
+from stellagrid.operators import density, graph, grid, labels, measure, overlap, simulate
 from stellagrid.params import FWHM
 from stellagrid.plans import queries
 
@@ -113,3 +115,68 @@ def test_separable_without_broadcast(spark):
     got = simulate.separable_from(c.where("ID % 2 = 1"), c.where("ID % 2 = 0"))
     assert "Broadcast" not in _plan(got)
     assert {r["ID"] for r in got.collect()} == free and 0 < len(free) < 400
+
+
+def _field(spark, n: int):
+    """Two tiles, by number, of plateaus, gaps and one long slope over many blocks; and a voxel without a density."""
+    rows = [(7, x, y, (y - 1) * n + x - 1, x * y % 11) for x in range(1, n + 1) for y in range(1, n + 1) if x * y % 5 != 3]
+    rows += [(8, x, 1, x - 1, x) for x in range(1, n + 1)] + [(8, 1, 3, 2 * n, None)]
+    return rows, spark.createDataFrame(rows, "tile long, x int, y int, idx long, rho long"), {"x": n, "y": n}
+
+
+def test_denser_voxels_are_found_without_rows_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK", 6)
+    rows, df, shape = _field(spark, 20)
+    linked = density.nearest_higher(df.withColumn("extra", F.col("idx") * 3), shape, 3, ("extra",))
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan  # a probe a place made both, and a sort of nine rows a voxel
+    got = {(r["tile"], r["idx"]): r for r in linked.collect()}
+    assert len(got) == len(rows) and all(r["extra"] == 3 * r["idx"] for r in got.values())
+    for t, x, y, idx, rho in rows:
+        near = [((x - a) ** 2 + (y - b) ** 2, -a, -b, k, r) for s, a, b, k, r in rows if rho is not None and r is not None and s == t and max(abs(x - a), abs(y - b)) <= 3 and (r > rho or (r == rho and k < idx))]
+        r, best = got[t, idx], min(near, default=None)
+        assert (r["parent"], r["d2"]) == ((best[3], best[0]) if best else (None, None))
+        assert r["grad"] == (pytest.approx((best[4] - rho) / math.sqrt(best[0])) if best else None)
+
+
+def test_chains_are_followed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK", 6)
+    monkeypatch.setattr(labels, "BLOCK", 6)
+    seen = []
+    whole = labels.forest_roots
+    monkeypatch.setattr(labels, "forest_roots", lambda parents: whole(seen.append(parents.count()) or parents))
+    rows, df, shape = _field(spark, 20)
+    linked = density.nearest_higher(df, shape, 3).cache()
+    centre = density.centres(linked, 3, 2).cache()
+    up = {(r["tile"], r["idx"]): r["parent"] for r in linked.collect()}
+    ids = {(r["tile"], r["idx"]): r["clump_id"] for r in centre.collect()}
+    want = {}
+    for t, k in up:
+        at = k
+        while (t, at) not in ids and up[t, at] is not None:
+            at = up[t, at]
+        want[t, k] = ids.get((t, at))
+    for given in (linked, linked.drop("x", "y")):  # by places, and by idx
+        got = labels.propagate(given, centre)
+        assert got.columns == [*given.columns, "clump_id"]
+        assert {(r["tile"], r["idx"]): r["clump_id"] for r in got.collect()} == want
+    assert max(seen) < len(rows) / 2  # every voxel went through every round
+
+
+def test_blocks_are_whole_in_batches_of_any_size(spark):
+    rows = [(None if k < 5 else f"t{k % 3}", k % 4, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "tile string, b long, k long")
+
+    def count(table, number):
+        sizes = np.bincount(number)
+        return table.append_column("n", pa.array(sizes[number]))
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = grid.by_block(df, ["tile", "b"], count, "tile string, b long, k long, n long").collect()
+            assert sorted(r["k"] for r in got) == list(range(60))
+            assert all(r["n"] == sum(q[:2] == (r["tile"], r["b"]) for q in rows) for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
