@@ -180,3 +180,17 @@ def test_blocks_are_whole_in_batches_of_any_size(spark):
             assert all(r["n"] == sum(q[:2] == (r["tile"], r["b"]) for q in rows) for r in got)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_supplier_cubes_have_numbers_for_tiles(spark, tmp_path):
+    rows = [(k, 1.0 + k % 7, f"199{5 + k % 3}-0{1 + k % 9}-11") for k in range(1, 80)] + [(None, 3.0, "1995-01-01"), (99, None, "1995-01-01"), (2_500_000, 50.0, "1995-01-01")]
+    items = spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_shipdate string").withColumn("l_shipdate", F.to_date("l_shipdate"))
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    rho = queries.supplier_cubes(spark, str(tmp_path))
+    assert dict(rho.dtypes)["tile"] == "bigint"
+    sums = {r["tile"]: (r["n"], r["s"]) for r in rho.groupBy("tile").agg(F.count("*").alias("n"), F.sum("intensity").alias("s")).collect()}
+    # a row without a supplier has no tile, one without a quantity makes its tile but no voxel of it
+    assert sums == {0: (4150, 24), 1: (4150, 25), 2: (4150, 25), 3: (4150, 5), 100_000: (4150, 1)}
+    found = queries.QUERIES["decision_graph_anywhere"](spark, str(tmp_path))
+    assert {r["tile"] for r in found.select("tile").distinct().collect()} == {"s00000", "s00001", "s00002", "s00003", "s100000"}
+    assert found.where("idx = parent").groupBy("tile").count().where("count <> 1").count() == 0
